@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from moodtide.llm import common
 from moodtide.llm import textkit as tk
 
-MAX_DOCS, BITS, LEVELS, EM_STEPS = 2000, 18, 6, 12
+MAX_DOCS, BITS, LEVELS, EM_STEPS, SALTS = 2000, 18, 6, 12, 64
+#: A document whose first language has a smaller share is rejected by ``identified``.
+MIN_SCORE = 0.5
 #: Log-likelihood that one more language must add: a part for each n-gram, as neighbours overlap, and a fixed part.
 PENALTY_SHARE, PENALTY = 0.01, 6.0
 _FOLD = np.full(256, 32, np.uint8)
@@ -43,8 +45,12 @@ def grams(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
     """The model of docs(doc_id, text, lang); texts stay on the executors, counts of fixed size reach the driver."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    low = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(low)).where(F.col("r") <= max_docs).select("doc_id", "lang")
+    # the lowest of each salted part of a language, then of these: no language meets in one task
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        low = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        ids = ids.withColumn("r", F.row_number().over(low)).where(F.col("r") <= (-(-2 * max_docs // SALTS) if len(keys) == 2 else max_docs))
+    ids = ids.select("doc_id", "lang")
     some = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # max_docs a language at most
 
     def count(batches):
@@ -84,7 +90,7 @@ def mixture(h: np.ndarray, p: np.ndarray, steps: int = EM_STEPS) -> tuple[np.nda
     w = np.full((len(h), p.shape[1]), 1 / p.shape[1])
     n = np.maximum(h.sum(1, keepdims=True), 1)
     for _ in range(steps):
-        w = w * ((h / (w @ p.T)) @ p) / n
+        w = w * ((h / np.maximum(w @ p.T, 1e-300)) @ p) / n
     return w, (h * np.log(w @ p.T + 1e-300)).sum(1)
 
 
@@ -120,41 +126,52 @@ def infer(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return weight
 
 
-def predictions(model: dict | None):
-    def rows(batches):
-        for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text")
-            for t in tk.slices(texts):
-                letters = np.append(0, np.cumsum((t.data >= 128) | ((t.data | 32) - np.uint8(97) < 26)))
-                has = np.diff(letters[t.offs]) > 0
-                ascii_letters = np.append(0, np.cumsum((t.data | 32) - np.uint8(97) < 26))
-                for i in np.flatnonzero(has & (np.diff(ascii_letters[t.offs]) == 0)):
-                    has[i] = any(c.isalpha() for c in t.data[t.offs[i] : t.offs[i + 1]].tobytes().decode("utf-8", "replace"))
-                if model is None:
-                    lang, score = np.full(t.n, "und", object), np.zeros(t.n)
-                else:
-                    g, own = grams(t)
-                    c = len(model["p"])
-                    h = np.zeros((t.n, c))
-                    step = max(1, (1 << 22) // c)
-                    begin = tk.bounds(own, t.n)
-                    code = model["code"][g].astype(np.int64)
-                    score, lang = np.zeros(t.n), np.full(t.n, "und", object)
-                    for a in range(0, t.n, step):
-                        z = min(t.n, a + step)
-                        cut = slice(begin[a], begin[z])
-                        h = np.bincount((own[cut] - a) * c + code[cut], minlength=(z - a) * c).reshape(z - a, c).astype(float)
-                        w = infer(h, model["p"])
-                        lang[a:z], score[a:z] = np.array(model["langs"], object)[w.argmax(1)], w.max(1)
-                    lang[~has], score[~has] = "und", 0
-                yield pa.record_batch([ids.slice(t.first, t.n), pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "lang_pred", "score"])
-
-    return rows
+def judge(t: tk.Texts, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a slice."""
+    ascii_letter = np.append(0, np.cumsum((t.data | 32) - np.uint8(97) < 26))
+    other = np.append(0, np.cumsum(t.data >= 128))
+    has = np.diff(ascii_letter[t.offs]) > 0
+    for i in np.flatnonzero(~has & (np.diff(other[t.offs]) > 0)):
+        has[i] = any(c.isalpha() for c in t.data[t.offs[i] : t.offs[i + 1]].tobytes().decode("utf-8", "replace"))
+    score, lang = np.zeros(t.n), np.full(t.n, "und", object)
+    if model is None:
+        return lang, score
+    g, own = grams(t)
+    c = len(model["p"])
+    begin, code, langs = tk.bounds(own, t.n), model["code"][g].astype(np.int64), np.array(model["langs"], object)
+    step = max(1, (1 << 22) // c)
+    for a in range(0, t.n, step):
+        z = min(t.n, a + step)
+        cut = slice(begin[a], begin[z])
+        h = np.bincount((own[cut] - a) * c + code[cut], minlength=(z - a) * c).reshape(z - a, c).astype(float)
+        w = infer(h, model["p"])
+        lang[a:z], score[a:z] = langs[w.argmax(1)], np.clip(w.max(1), 0, 1)
+    lang[~has], score[~has] = "und", 0
+    return lang, score
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, lang_pred, score) of docs(doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(predictions(model), "doc_id long, lang_pred string, score double")
+
+    def rows(batches):
+        for b in batches:
+            for t in tk.slices(b.column("text")):
+                lang, score = judge(t, model)
+                yield pa.record_batch([b.column("doc_id").slice(t.first, t.n), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, all columns, that have a language with at least that share."""
+
+    def rows(batches):
+        for b in batches:
+            for t in tk.slices(b.column("text")):
+                lang, score = judge(t, model)
+                yield b.slice(t.first, t.n).filter(pa.array((lang != "und") & (score >= min_score)))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moodtide.llm import language, packing, quality_model, quality_rules, token_file
+from moodtide.llm import decontamination, html_extraction, language, packing, quality_model, quality_rules, similarity, token_file, url_filter
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
@@ -10,5 +10,10 @@ QUERIES = {
     "op3_pattern_packing": packing.op3_pattern_packing,
     "op4_quadratic_quality": quality_model.op4_quadratic_quality,
     "op5_simple8b": token_file.op5_simple8b,
+    "op6_jaccard_tiles": similarity.op6_jaccard_tiles,
+    "op7_line_dedup": similarity.op7_line_dedup,
+    "op8_redirect_classes": url_filter.op8_redirect_classes,
+    "op9_tree_marginals": html_extraction.op9_tree_marginals,
+    "op10_winnowing": decontamination.op10_winnowing,
 }
-ORACLE_SQL = {"op1_line_frequency": quality_rules.ORACLE}
+ORACLE_SQL = {"op1_line_frequency": quality_rules.ORACLE, "op10_winnowing": decontamination.ORACLE}
