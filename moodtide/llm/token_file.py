@@ -137,7 +137,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> l
     parts = common.reduce_partitions(docs.sparkSession)
     ranged = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     # a row for each shard: their number does not follow the number of documents
-    return [r.asDict() for r in ranged.mapInArrow(shard, "shard int, path string, n_docs long, n_ids long").orderBy("shard").collect()]
+    return sorted((r.asDict() for r in ranged.mapInArrow(shard, "shard int, path string, n_docs long, n_ids long").collect()), key=lambda r: r["shard"])
 
 
 def read_shards(spark: SparkSession, folder: str, shards: list[dict]) -> DataFrame:

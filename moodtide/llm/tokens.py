@@ -2,9 +2,9 @@
 
 A text is cut where the file's pre-tokenizer is sure to cut it: before ASCII white space that a
 non-blank character follows, around a line break, and between an ASCII letter and ASCII punctuation. So
-the ids of a text are those of its pieces one after another. Each distinct piece goes through the
-library at most once a batch; ids come from a bounded cache. New pieces are joined by a separator
-that has an id of its own, and their ids are parted there again.
+the ids of a text are those of its pieces one after another. Ids come from a direct-mapped cache of fixed
+size; the distinct pieces of a slice that it lacks go through the library, joined by a separator that has an id of
+its own, and their ids are parted there again.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ import numpy as np
 
 from moodtide.llm import textkit as tk
 
-CACHE_PIECES = 700_000
-JOINED = 4096
+CACHE_BITS, CACHED_IDS, JOINED = 21, 8, 512
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 #: ASCII punctuation but the apostrophe, with which contractions begin.
@@ -41,40 +40,39 @@ class PieceEncoder:
         self.separator = next((s for s in _SEPARATORS if len(self._ids(s)) == 1 and self._ids(f"x{s} y{s}z") == [*self._ids("x"), *self._ids(s), *self._ids(" y"), *self._ids(s), *self._ids("z")]), None)
         self.mark = self._ids(self.separator)[0] if self.separator else -1
         self.folds = self._ids("ABC") == self._ids("abc")
-        self._clear()
+        self.keys = np.zeros(1 << CACHE_BITS, np.uint64)
+        self.count = np.zeros(1 << CACHE_BITS, np.uint8)
+        self.cached = np.zeros((1 << CACHE_BITS, CACHED_IDS), np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _keep(self, keys: list[int], ids: np.ndarray, length: np.ndarray) -> None:
-        k = len(self.known)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        while k + len(keys) > len(self.start):
-            self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[k : k + len(keys)] = self.used + np.cumsum(length) - length
-        self.length[k : k + len(keys)] = length
-        self.known.update(zip(keys, range(k, k + len(keys)), strict=True))
-        self.used += len(ids)
-
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
-        for at in range(0, len(pieces), JOINED):
-            some, names = pieces[at : at + JOINED], keys[at : at + JOINED]
-            if self.separator and len(some) > 1:
-                ids = np.array(self._ids(self.separator.join(some)), np.uint32)
-                breaks = np.flatnonzero(ids == self.mark)
-                if len(breaks) == len(some) - 1:
-                    edges = np.concatenate([[-1], breaks, [len(ids)]])
-                    self._keep(names, np.delete(ids, breaks), np.diff(edges) - 1)
-                    continue
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            self._keep(names, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
+    def _encode_pieces(self, pieces: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and their counts; odd ones can't stand beside a separator."""
+        count, out, order = np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint32)], []
+        plain, single = np.flatnonzero(~odd).tolist(), np.flatnonzero(odd).tolist()
+        if not self.separator:
+            plain, single = [], list(range(len(pieces)))
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = np.array(self._ids(self.separator.join([pieces[i] for i in some])), np.uint32)
+            breaks = np.flatnonzero(ids == self.mark)
+            if len(breaks) != len(some) - 1:
+                single += some
+                continue
+            count[some] = np.diff(np.concatenate([[-1], breaks, [len(ids)]])) - 1
+            out.append(np.delete(ids, breaks))
+            order += some
+        for at in range(0, len(single), JOINED):
+            some = single[at : at + JOINED]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
+                count[i] = len(e.ids)
+                out.append(np.array(e.ids, np.uint32))
+            order += some
+        order = np.array(order, np.int64)
+        ends = np.zeros(len(pieces), np.int64)
+        ends[order] = np.cumsum(count[order])
+        return np.concatenate(out)[tk.ragged(ends - count, count)], count
 
     def encode(self, t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and where each text's begin."""
@@ -90,29 +88,42 @@ class PieceEncoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         keys = tk.Texts(data, t.offs, 0, lower=self.folds).hashes(start, end)
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > CACHE_PIECES:
-            self._clear()
-        listed, known = unique.tolist(), self.known
-        new = [i for i, k in enumerate(listed) if k not in known]
-        if new:
-            raw, at = data.tobytes(), first[new]
+        slot = (keys >> tk.U(64 - CACHE_BITS)).astype(np.int64)
+        missed = np.flatnonzero(self.keys[slot] != keys)
+        length = self.count[slot].astype(np.int64)
+        new, first, back = np.unique(keys[missed], return_index=True, return_inverse=True)
+        if len(new):
+            raw, at = data.tobytes(), missed[first]
             blanks = np.append(0, np.cumsum(~full | (data == 1)))
             # a blank anywhere but in front could run into a separator
             odd = blanks[end[at]] - blanks[start[at] + 1] + ((data[start[at]] != 32) & ~full[start[at]]) + (data[start[at]] == 1) > 0
             text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            for kind in (True, False):
-                of = np.flatnonzero(odd == kind).tolist()
-                if kind:
-                    for i in of:
-                        self._add([listed[new[i]]], [text[i]])
-                else:
-                    self._add([listed[new[i]] for i in of], [text[i] for i in of])
-        slot = np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[back]
-        length = self.length[slot]
-        ids = self.ids[tk.ragged(self.start[slot], length)]
-        total = np.append(0, np.cumsum(length))
-        return ids, total[np.searchsorted(start, t.offs)]
+            new_ids, new_count = self._encode_pieces(text, odd)
+            length[missed] = new_count[back]
+        begin = np.append(0, np.cumsum(length))
+        ids = np.zeros(begin[-1], np.uint32)
+        known = length.copy()
+        known[missed] = 0
+        of = np.flatnonzero(known)
+        where, rows = begin[of], slot[of]
+        for j in range(CACHED_IDS):
+            more = known[of] > j
+            if j and not more.all():
+                of, where, rows = of[more], where[more], rows[more]
+            ids[where + j] = self.cached[rows, j]
+        if len(new):
+            place = np.cumsum(new_count) - new_count
+            ids[tk.ragged(begin[missed], length[missed])] = new_ids[tk.ragged(place[back], new_count[back])]
+            fits = np.flatnonzero((new_count <= CACHED_IDS) & (new != 0))
+            to = (new[fits] >> tk.U(64 - CACHE_BITS)).astype(np.int64)
+            _, last = np.unique(to, return_index=True)
+            fits, to = fits[last], to[last]
+            self.keys[to], self.count[to] = new[fits], new_count[fits]
+            row = np.zeros((len(fits), CACHED_IDS), self.cached.dtype)
+            n = new_count[fits]
+            row[np.repeat(np.arange(len(fits)), n), tk.ragged(np.zeros(len(fits), np.int64), n)] = new_ids[tk.ragged(place[fits], n)]
+            self.cached[to] = row
+        return ids, begin[np.searchsorted(start, t.offs)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
