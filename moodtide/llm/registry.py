@@ -16,4 +16,10 @@ QUERIES = {
     "op9_tree_marginals": html_extraction.op9_tree_marginals,
     "op10_winnowing": decontamination.op10_winnowing,
 }
-ORACLE_SQL = {"op1_line_frequency": quality_rules.ORACLE, "op10_winnowing": decontamination.ORACLE}
+ORACLE_SQL = {
+    "op1_line_frequency": quality_rules.ORACLE,
+    "op6_jaccard_tiles": similarity.ORACLE_DOCUMENTS,
+    "op7_line_dedup": similarity.ORACLE_LINES,
+    "op8_redirect_classes": url_filter.ORACLE,
+    "op10_winnowing": decontamination.ORACLE,
+}

@@ -85,3 +85,37 @@ def url_verdicts(pages: DataFrame, rules=RULES, edges: DataFrame | None = None)
 
 def op8_redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(common.table(spark, sf_dir, "pages"))
+
+
+_HOST = "translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _node_sql(u: str) -> str:
+    h, p = _HOST.format(u), _PATH.format(u)
+    return f"CASE WHEN {h} <> '' THEN {h} || CASE WHEN {p} = '' THEN '/' ELSE {p} END || coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*[^?#]*(\\?[^#]*)', 1), '') END"
+
+
+def _rule_sql(h: str, p: str, what: str) -> str:
+    ranked = sorted(RULES, key=lambda r: (len(r[0]), len(r[1]), r[2] == "allow"), reverse=True)
+    return "CASE " + " ".join(f"WHEN ({h} = '{a}' OR ends_with({h}, '.{a}')) AND starts_with({p}, '{b}') THEN '{a + b if what == 'rule' else v}'" for a, b, v in ranked) + " END"
+
+
+def _tag_sql(tag: str, has: str, value: str) -> str:
+    tags = f"regexp_extract_all(html, '(?is)<{tag}\\b[^>]*>')"
+    return f"(SELECT url, regexp_extract(list_filter({tags}, lambda x: regexp_matches(x, '{has}') AND regexp_matches(x, '{value}'))[1], '{value}', 1) AS t FROM pages)"
+
+
+_TO = "replace(t, '&amp;', '&')"
+_BASE = "regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)"
+ORACLE = f"""
+WITH RECURSIVE targets AS (SELECT url, {_TO} AS t FROM (SELECT * FROM {_tag_sql('link', '(?i)\\brel\\s*=\\s*["'']?canonical\\b', '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)')}
+  UNION ALL SELECT * FROM {_tag_sql('meta', '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b', '(?is)\\bcontent\\s*=\\s*["'']?[^"''>]*?url\\s*=\\s*["'']?([^"''\\s>]+)')}) WHERE coalesce(t, '') <> ''),
+full_targets AS (SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN {_BASE} || t ELSE {_BASE} || regexp_extract({_PATH.format('url')}, '(?s)^(.*/)', 1) || t END AS t FROM targets),
+e AS (SELECT {_node_sql('url')} AS x, {_node_sql('t')} AS y FROM full_targets),
+b AS (SELECT x, y FROM e WHERE x IS NOT NULL AND y IS NOT NULL UNION SELECT y, x FROM e WHERE x IS NOT NULL AND y IS NOT NULL),
+r AS (SELECT x AS node, x AS o FROM b UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.o),
+alias AS (SELECT node, min({_rule_sql(_HOST.format("('x://' || o)"), _PATH.format("('x://' || o)"), 'verdict')}) AS v FROM r GROUP BY 1),
+j AS (SELECT page_id, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_node_sql('url')} AS node FROM pages)
+SELECT page_id, host, path, {_rule_sql('host', 'path', 'rule')} AS rule, coalesce({_rule_sql('host', 'path', 'verdict')}, v, 'allow') AS verdict FROM j LEFT JOIN alias USING (node)
+"""
