@@ -4,25 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, for those that can't import it from their own path."""
-    if (app := spark.sparkContext.applicationId) not in _shipped:
-        _shipped.add(app)
-        top = Path(__file__).resolve().parents[1]
-        with zipfile.ZipFile(archive := f"{tempfile.mkdtemp(prefix='package-')}/{top.name}.zip", "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        spark.sparkContext.addPyFile(archive)
+from moodtide.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,19 +44,19 @@ def reduce_partitions(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(src, dst); component is the smallest node it reaches.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). Minima are partial
-    aggregates that are joined back, so that a hub's rows may be split over tasks. Rounds end when the
-    edge set is unchanged; each round is written to the shared folder. Nulls and loops are dropped.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014). The minima of
+    large stars are partial aggregates that are written and joined back, so that a hub's rows may be split over tasks. Rounds end when every
+    component is a star around its smallest node; each round is written to the shared folder. Nulls and loops are dropped.
     """
     e = edges.select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).where("v <> u").distinct()
-    e, seen = written(e, "edges"), None
+    e = written(e, "edges")
     while True:
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
+        # no star: a node below two others, or below one and above another
+        ends = e.select(F.col("v").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("u", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("below").alias("b"), F.max("above").alias("a")).where("b > 1 OR b = 1 AND a = 1").isEmpty():
             break
-        seen = state
         both = e.union(e.select("u", "v")).toDF("x", "y")
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        low = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", "m")).where("v <> u").distinct()

@@ -1,20 +1,23 @@
 """Exact set-similarity classes of texts or lines at a Jaccard similarity of at least 3/4 on 5-word shingles.
 
-An item is a pair (a, b): the doc_id, and the line's number (0 for a whole text). The plan:
+An item is a pair (a, b): the doc_id, and the line's number (0 for a whole text). Items of equal sets are one class;
+a class is named by 64 bits of its set's 128-bit fingerprint (names that two fingerprints share are told apart).
 
-1. ``keys``: size, 128-bit fingerprint and hashed bitmap of each item's set. Items of equal sets form a class, named by
-   its smallest item. Counts of hashed shingles that are frequent in a task add up to a fixed-size table of rarity levels.
+1. ``keys``: class, size and hashed bitmap of each item. Counts of hashed shingles that are frequent in a task add up to a
+   fixed-size table of rarity levels.
 2. ``postings``: shingles are ordered by (level, hash), which is one order for all items however good the
-   levels are; two items that link share one of the first n - ceil(3n/4) + 1 of each. Those prefixes go, as packed
-   arrays, to buckets of shingles. A bucket finds lists of two or more items, and gives equal lists one name.
-3. Star: each list's smallest item is tested against the others (length, bitmap bound, exact intersection). Tests
-   come as streams sorted by tile (center, size band, salt), so one large group is many tiles.
-4. Tiles: lists whose members the star left in several components are cut into blocks; each pair of blocks is a tile in
-   which bitmaps bound the overlap of items of different components; what may reach it is tested exactly.
-
-All pairs that share a prefix shingle are so tested, or are joined by tested links: components are exact. A
-32-bit tag stands for a shingle inside a bucket; clashes only cost tests. No group meets whole in one task
-but for its distinct shingles' packed entries, and no pairs are emitted within a component.
+   levels are; two sets that link share one of the first n - ceil(3n/4) + 1 of the larger and of the first n - ceil(6n/7) + 1 of the
+   smaller. Those prefixes go, as packed arrays, to buckets of shingles. A bucket finds lists of two or more classes, and gives equal
+   lists one name.
+3. Star: each list's class of most lists is its centre. Lengths and bitmaps bound the overlap with the others; what is left
+   is tested by exact intersection, first with the centre of most common lists, then with those still apart. Tests
+   come as streams sorted by tile (centre, size band, part), so one large group is many tiles.
+4. Tiles: lists whose members are still in several components are cut into blocks; each pair of blocks is a tile, in
+   which bitmaps bound the overlaps. In ``NEAREST_ROUNDS`` rounds each class is tested against its nearest one of
+   another component; then all pairs of different components that may link are tested.
+
+All pairs that share a prefix shingle are so tested, ruled out by a bound, or joined by tested links: components are exact. A
+32-bit tag stands for a shingle inside a bucket; clashes only cost tests.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ from moodtide.llm import common
 from moodtide.llm import textkit as tk
 
 K, NUM, DEN = 5, 75, 100
-SKETCH_BITS, BLOCK_TOKENS, TILE, SALTS, WORDS64 = 22, 1_500_000, 512, 64, 4
+SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_ROWS, NEAREST_ROUNDS = 22, 1_500_000, 512, 200_000, 1
+#: Bits of a bitmap: the power of two from four for each shingle up, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 20
 _U = np.uint64
-ITEM = "a long, b int"
 _SECOND = _U(0xA24BAED4963EE407)
 
 
-def item_sets(t: tk.Texts, lines: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted shingles, where each item's begin, and each item's text and number. Items without a word are left out."""
+def item_words(t: tk.Texts, lines: bool) -> tuple[np.ndarray, ...]:
+    """Word hashes, the item of each, and each item's text and number. Items without a word are left out."""
     start, end = t.spans(tk.BLANK_SEPARATED)
     h = t.hashes(start, end)
     if lines:
@@ -49,40 +53,82 @@ def item_sets(t: tk.Texts, lines: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
         begin = np.append(np.searchsorted(start, t.offs[:-1]), len(start))
     count = np.diff(begin)
     full = np.flatnonzero(count)
-    values, edges = tk.shingle_sets(h, np.repeat(np.arange(len(full)), count[full]), len(full), K)
-    return values, edges, own[full], number[full].astype(np.int32)
+    return h, np.repeat(np.arange(len(full)), count[full]), own[full], number[full].astype(np.int32)
 
 
-def bitmaps(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of 64 * WORDS64 bits for each set."""
-    n, width = len(edges) - 1, 64 * WORDS64
-    on = np.zeros(n * width, bool)
-    on[np.repeat(np.arange(n) * width, np.diff(edges)) + ((values >> _U(20)) % _U(width)).astype(np.int64)] = True
-    return np.packbits(on).view(np.uint64).reshape(n, WORDS64)
+def fingerprints(v: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set of shingles, in any order."""
+    return tk.sums(tk.mix(v), edges), tk.sums(tk.mix(v * _SECOND + _U(1)), edges)
 
 
-def linked(n1: int, n2: int, overlap: int) -> bool:
+def bitmaps(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A hashed bitmap of each set. Widths are powers of two, so that a wide one folds into a narrow one."""
+    n = np.diff(edges)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    begin = np.append(0, np.cumsum(width))
+    on = np.zeros(begin[-1], bool)
+    on[np.repeat(begin[:-1], n) + ((values >> _U(20)).astype(np.int64) & np.repeat(width - 1, n))] = True
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((begin // 8).astype(np.int32)), pa.py_buffer(np.packbits(on))])
+
+
+def folded(marks: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words, folded to so many."""
+    return np.bitwise_or.reduce(marks.reshape(len(marks), -1, words), axis=1)
+
+
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the bitmaps of each pair differ, at the narrower one's width."""
+    out = np.zeros(len(a), np.int64)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        kinds.setdefault((len(x), len(y)), []).append(i)
+    for (x, y), of in kinds.items():
+        words = min(x, y) // 8
+        p, q = (folded(np.frombuffer(b"".join(v[i] for i in of), np.uint64).reshape(len(of), -1), words) for v in (a, b))
+        out[of] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+    return out
+
+
+def linked(n1, n2, overlap):
     return DEN * overlap >= NUM * (n1 + n2 - overlap)
 
 
+def may_link(n1, n2, differing):
+    """Whether sets of these sizes whose bitmaps differ in so many bits can link: the overlap's bound from above."""
+    return linked(n1, n2, np.minimum((n1 + n2 - differing) // 2, np.minimum(n1, n2)))
+
+
 def keys(docs: DataFrame, lines: bool) -> DataFrame:
     def rows(batches):
-        sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), 0
+        sketch, seen, waiting = np.zeros(1 << SKETCH_BITS, np.int64), 0, []
+
+        def add():
+            cells = np.concatenate(waiting)
+            waiting.clear()
+            np.add(sketch, np.bincount(cells, minlength=1 << SKETCH_BITS), out=sketch)
+            return len(cells)
+
+        size = 0
         for b in batches:
             ids = b.column("doc_id")
             for t in tk.slices(b.column("text"), lower=True):
-                v, edges, own, number = item_sets(t, lines)
+                h, item, own, number = item_words(t, lines)
                 if not len(own):
                     continue
-                sketch += np.bincount((v >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                seen += len(v)
-                h1, h2 = tk.sums(tk.mix(v), edges), tk.sums(tk.mix(v * _SECOND + _U(1)), edges)
-                yield pa.record_batch([ids.take(pa.array(own + t.first)), pa.array(number), pa.array(np.diff(edges).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([x.tobytes() for x in bitmaps(v, edges)], pa.binary())], names=["a", "b", "n", "h1", "h2", "bits"])
+                v, edges = tk.shingle_sets(h, item, len(own), K)
+                waiting.append((v >> _U(64 - SKETCH_BITS)).astype(np.int32))
+                size += len(v)
+                if size > 4_000_000:
+                    seen, size = seen + add(), 0
+                h1, h2 = fingerprints(v, edges)
+                yield pa.record_batch([ids.take(pa.array(own + t.first)), pa.array(number), pa.array(np.diff(edges).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bitmaps(v, edges)], names=["a", "b", "n", "h1", "h2", "bits"])
+        if waiting:
+            seen += add()
         hot = np.flatnonzero(sketch >= 8 + 2 * seen // (1 << SKETCH_BITS))
-        none = pa.nulls(len(hot), pa.binary())
-        yield pa.record_batch([pa.array(hot.astype(np.int64)), pa.array(np.zeros(len(hot), np.int32)), pa.array(np.full(len(hot), -1, np.int32)), pa.array(sketch[hot].astype(np.int64)), pa.array(np.zeros(len(hot), np.int64)), none], names=["a", "b", "n", "h1", "h2", "bits"])
+        none = np.zeros(len(hot), np.int64)
+        yield pa.record_batch([pa.array(hot.astype(np.int64)), pa.array(none.astype(np.int32)), pa.array((none - 1).astype(np.int32)), pa.array(sketch[hot]), pa.array(none), pa.nulls(len(hot), pa.binary())], names=["a", "b", "n", "h1", "h2", "bits"])
 
-    return docs.mapInArrow(rows, f"{ITEM}, n int, h1 long, h2 long, bits binary")
+    return docs.mapInArrow(rows, "a long, b int, n int, h1 long, h2 long, bits binary")
 
 
 def levels(keyed: DataFrame) -> np.ndarray:
@@ -94,78 +140,91 @@ def levels(keyed: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(docs: DataFrame, lines: bool, level, buckets: int) -> DataFrame:
-    """Prefix shingles of the items as packed arrays: (bucket, tags, items)."""
+def shared_names(items: DataFrame) -> dict[tuple[int, int], int]:
+    """Other names for classes of which two have the same first 64 bits: about n**2 / 2**65 of n classes, none as a rule."""
+    twice = items.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo <> hi").select("h1")
+    names = [r["h1"] for r in twice.collect()]
+    clash = items.where(F.col("h1").isin(names)).select("h1", "h2").distinct().collect() if names else []
+    return {(r["h1"], r["h2"]): (r["h1"] ^ (r["h2"] * 0x5851F42D4C957F2D)) % 2**63 for r in clash}
+
+
+def postings(docs: DataFrame, lines: bool, level, buckets: int, renamed: dict) -> DataFrame:
+    """Prefix shingles of the classes of each task as packed arrays: (bucket, tags, ids, sizes)."""
 
     def rows(batches):
-        tag, a, b_, size = [], [], [], 0
-        known = level.value
+        held, size, known = ([], [], []), 0, level.value
 
         def block():
-            tags, ids, numbers = np.concatenate(tag), np.concatenate(a), np.concatenate(b_)
+            tags, ids, n = (np.concatenate(x) for x in held)
             bucket = ((tags >> _U(40)) % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            tags, ids, numbers = tags[order].astype(np.uint32), ids[order], numbers[order]
             some = np.flatnonzero(np.diff(edge))
-            cut = [(x, y) for x, y in zip(edge[some].tolist(), edge[some + 1].tolist(), strict=True)]
-            return pa.record_batch([pa.array(some.astype(np.int32)), *(pa.array([v[x:y].tobytes() for x, y in cut], pa.binary()) for v in (tags, ids, numbers))], names=["bucket", "tags", "ids", "numbers"])
+            cut = list(zip(edge[some].tolist(), edge[some + 1].tolist(), strict=True))
+            packed = (tags[order].astype(np.uint32), ids[order], n[order])
+            return pa.record_batch([pa.array(some.astype(np.int32)), *(pa.array([v[x:y].tobytes() for x, y in cut], pa.binary()) for v in packed)], names=["bucket", "tags", "ids", "sizes"])
 
         for batch in batches:
-            doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for t in tk.slices(batch.column("text"), lower=True):
-                v, edges, own, number = item_sets(t, lines)
+                h, item, own, _ = item_words(t, lines)
                 if not len(own):
                     continue
-                # of equal sets in a slice one is enough
-                print_ = np.stack([tk.sums(tk.mix(v), edges), tk.sums(tk.mix(v * _SECOND + _U(1)), edges)], 1)
-                _, one = np.unique(print_.view("V16").reshape(-1), return_index=True)
+                v, by = tk.shingles(h, item, len(own), K)
+                # one sort puts each set in rarity order; its last bits are the first bits of the hash
+                token = (known[v >> _U(64 - SKETCH_BITS)].astype(np.uint64) << _U(58)) | (v >> _U(6))
+                token, edges, first = tk.sorted_sets(token, by, len(own), where=True)
+                h1, h2 = fingerprints(v[first], edges)
+                name = h1.view(np.int64)
+                if renamed:
+                    name = np.array([renamed.get(k, k[0]) for k in zip(name.tolist(), h2.view(np.int64).tolist(), strict=True)], np.int64)
+                _, one = np.unique(name, return_index=True)  # of equal sets in a slice one is enough
                 one.sort()
                 n = np.diff(edges)[one]
-                token = (known[v >> _U(64 - SKETCH_BITS)].astype(np.uint64) << _U(58)) | (v >> _U(6))
-                flat = tk.ragged(edges[one], n)
-                item = np.repeat(np.arange(len(one)), n)
-                token, edges = tk.sorted_sets(token[flat], item, len(one))
-                n = np.diff(edges)
                 prefix = n - (NUM * n + DEN - 1) // DEN + 1
-                first = tk.ragged(edges[:-1], prefix)
-                tag.append(tk.mix(token[first]))
-                a.append(np.repeat(doc_id[own[one] + t.first], prefix))
-                b_.append(np.repeat(number[one], prefix))
-                size += len(first)
+                # against sets no smaller than itself a set needs fewer: beyond these its size is negative
+                own_prefix = n - (2 * NUM * n + NUM + DEN - 1) // (NUM + DEN) + 1
+                at = tk.ragged(edges[one], prefix)
+                sign = np.where(tk.ragged(np.zeros(len(n), np.int64), prefix) < np.repeat(own_prefix, prefix), 1, -1)
+                for have, x in zip(held, (tk.mix(token[at]), np.repeat(name[one], prefix), (np.repeat(n, prefix) * sign).astype(np.int32)), strict=True):
+                    have.append(x)
+                size += len(at)
                 if size >= BLOCK_TOKENS:
                     yield block()
-                    tag, a, b_, size = [], [], [], 0
+                    held, size = ([], [], []), 0
         if size:
             yield block()
 
-    return docs.mapInArrow(rows, "bucket int, tags binary, ids binary, numbers binary")
+    return docs.mapInArrow(rows, "bucket int, tags binary, ids binary, sizes binary")
 
 
 def shared_lists(batches):
-    """Items of each list of two or more, from rows sorted by bucket; equal lists of a bucket are emitted once."""
+    """Classes of each list of two or more, from rows sorted by bucket; equal lists of a bucket are emitted once."""
     bucket, held = None, ([], [], [])
 
     def lists():
-        tags, ids, numbers = (np.frombuffer(b"".join(x), t) for x, t in zip(held, (np.uint32, np.int64, np.int32), strict=True))
+        tags, ids, n = (np.frombuffer(b"".join(x), t) for x, t in zip(held, (np.uint32, np.int64, np.int32), strict=True))
         order = np.argsort(tags, kind="stable")
-        tags = tags[order]
         twice = np.zeros(len(tags) + 1, bool)
-        twice[1:-1] = tags[1:] == tags[:-1]
+        twice[1:-1] = tags[order][1:] == tags[order][:-1]
         order = order[twice[1:] | twice[:-1]]
-        tags = np.sort(tags[twice[1:] | twice[:-1]])
         if not len(order):
             return None
-        ids, numbers = ids[order], numbers[order]
+        order = order[np.lexsort((-n[order], ids[order], tags[order]))]
+        tags, ids, n = tags[order], ids[order], n[order]
+        new = np.append(True, (tags[1:] != tags[:-1]) | (ids[1:] != ids[:-1]))  # a class may come from several tasks
+        tags, ids, n = tags[new], ids[new], n[new]
         edges = np.append(np.flatnonzero(np.append(True, tags[1:] != tags[:-1])), len(tags))
-        name = tk.mix(tk.sums(tk.mix(ids.astype(np.uint64) * _SECOND + numbers.astype(np.uint64) + _U(1)), edges) + np.diff(edges).astype(np.uint64))
-        _, one = np.unique(name, return_index=True)
-        n = np.diff(edges)[one]
-        flat = tk.ragged(edges[one], n)
-        return pa.record_batch([pa.array(np.repeat(name[one], n).view(np.int64)), pa.array(ids[flat]), pa.array(numbers[flat])], names=["list", "a", "b"])
+        count = np.diff(edges)
+        name = tk.mix(tk.sums(tk.mix(ids.view(np.uint64)), edges) + count.astype(np.uint64))
+        # a pair needs an entry of the smaller set's own prefix
+        useful = np.flatnonzero((count > 1) & (np.maximum.reduceat(n, edges[:-1]) > 0))
+        one = useful[np.unique(name[useful], return_index=True)[1]]
+        n = np.abs(n)
+        flat = tk.ragged(edges[one], count[one])
+        return pa.record_batch([pa.array(np.repeat(name[one], count[one]).view(np.int64)), pa.array(ids[flat]), pa.array(n[flat])], names=["list", "id", "n"])
 
     for batch in batches:
-        for k, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tags", "ids", "numbers")), strict=True):
+        for k, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tags", "ids", "sizes")), strict=True):
             if k != bucket:
                 if bucket is not None and (out := lists()) is not None:
                     yield out
@@ -176,101 +235,216 @@ def shared_lists(batches):
         yield out
 
 
-def item_texts(docs: DataFrame, wanted: DataFrame, lines: bool) -> DataFrame:
-    """(a, b, text) of the wanted items (a, b)."""
+def class_texts(docs: DataFrame, first: DataFrame, lines: bool) -> DataFrame:
+    """(id, text) of the items (id, a, b)."""
     if not lines:
-        return docs.join(wanted.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.lit(0).alias("b"), "text")
-    of_doc = wanted.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("wanted"))  # a document's own lines
+        wanted = first.select("id", F.col("a").alias("doc_id"))
+        return docs.join(wanted.hint("shuffle_hash"), "doc_id").select("id", "text")
+    of_doc = first.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("b", "id")).alias("wanted"))  # a document's own lines
 
     def cut(batches):
         for batch in batches:
-            a, b, text = [], [], []
-            for doc, t, w in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            ids, text = [], []
+            for t, w in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 parts = (t or "").split("\n")
-                for k in w:
-                    if k < len(parts):
-                        a.append(doc), b.append(k), text.append(parts[k])
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(text, pa.string())], names=["a", "b", "text"])
+                for x in w:
+                    if x["b"] < len(parts):
+                        ids.append(x["id"]), text.append(parts[x["b"]])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(text, pa.string())], names=["id", "text"])
+
+    return docs.join(of_doc.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(cut, "id long, text string")
+
+
+def bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of pairs (c, x, xn, ...) that the bitmaps of marks (id, n, bits) leave possible."""
+    named = pairs.columns
+    both = pairs.join(marks.toDF("c", "c_n", "c_bits"), "c").join(marks.toDF("x", "x_n", "x_bits"), "x")
+
+    def rows(batches):
+        for b in batches:
+            if b.num_rows:
+                ok = may_link(b.column("c_n").to_numpy().astype(np.int64), b.column("x_n").to_numpy().astype(np.int64), differing(b.column("c_bits").to_pylist(), b.column("x_bits").to_pylist()))
+                yield b.select(named).filter(pa.array(ok))
 
-    return docs.join(of_doc, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, f"{ITEM}, text string")
+    return both.select(*named, "c_n", "c_bits", "x_n", "x_bits").mapInArrow(rows, ", ".join(f"{k} {t}" for k, t in pairs.dtypes))
 
 
 def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (ca, cb, xa, xb, xn) that link: ca, cb, xa, xb."""
+    """Those of pairs (c, x, xn) that link: c, x."""
     band = F.floor(F.log(F.col("xn").cast("double")) / math.log(DEN / NUM)).cast("int")
-    tiles = pairs.select("ca", "cb", "xa", "xb", band.alias("band"), F.pmod(F.xxhash64("xa", "xb"), F.lit(SALTS)).cast("int").alias("salt"))
-    x = tiles.join(texts.toDF("xa", "xb", "text"), ["xa", "xb"]).select("ca", "cb", "band", "salt", "xa", "xb", "text")
-    centers = tiles.select("ca", "cb", "band", "salt").distinct()
-    c = centers.join(texts.toDF("ca", "cb", "text"), ["ca", "cb"]).select("ca", "cb", "band", "salt", F.lit(None).cast("long").alias("xa"), F.lit(None).cast("int").alias("xb"), "text")
-    dealt = c.union(x).repartition(common.reduce_partitions(pairs.sparkSession), "ca", "cb", "band", "salt").sortWithinPartitions("ca", "cb", "band", "salt", F.col("xa").asc_nulls_first())
+    large = common.written(pairs.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")).where("parts > 1"), "large")
+    tiles = pairs.join(large, "c", "left").select("c", "x", band.alias("band"), F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    x = tiles.join(texts.toDF("x", "text"), "x").select("c", "band", "part", "x", "text")
+    centers = tiles.select("c", "band", "part").distinct().join(texts.toDF("c", "text"), "c").select("c", "band", "part", F.lit(None).cast("long").alias("x"), "text")
+    dealt = centers.union(x).repartition(common.reduce_partitions(pairs.sparkSession), "c", "band", "part").sortWithinPartitions("c", "band", "part", F.col("x").asc_nulls_first())
 
     def test(batches):
         tile, centers = None, []
         for batch in batches:
-            col = [batch.column(k).to_pylist() for k in ("ca", "cb", "band", "salt", "xa", "xb")]
+            col = [batch.column(k).to_pylist() for k in ("c", "band", "part", "x")]
             for t in tk.slices(batch.column("text"), lower=True):
                 start, end = t.spans(tk.BLANK_SEPARATED)
                 v, edges = tk.shingle_sets(t.hashes(start, end), t.owner(start), t.n, K)
-                bits = bitmaps(v, edges)
                 found = []
                 for i in range(t.n):
-                    ca, cb, band_, salt, xa, xb = (c[t.first + i] for c in col)
+                    c, band_, part, x = (k[t.first + i] for k in col)
                     own = v[edges[i] : edges[i + 1]]
-                    if tile != (ca, cb, band_, salt):
-                        tile, centers = (ca, cb, band_, salt), []
-                    if xa is None:
-                        centers.append((own.copy(), bits[i].copy()))
-                        continue
-                    for other, mark in centers:
-                        total = len(own) + len(other)
-                        most = (total - int(np.bitwise_count(mark ^ bits[i]).sum())) // 2
-                        if linked(len(own), len(other), min(most, len(own), len(other))) and linked(len(own), len(other), len(np.intersect1d(own, other, assume_unique=True))):
-                            found.append((ca, cb, xa, xb))
-                            break
+                    if tile != (c, band_, part):
+                        tile, centers = (c, band_, part), []
+                    if x is None:
+                        centers.append(own.copy())
+                    elif any(linked(len(own), len(o), len(np.intersect1d(own, o, assume_unique=True))) for o in centers):
+                        found.append((c, x))
                 if found:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32()) * 2, strict=True)], names=["ca", "cb", "xa", "xb"])
-
-    return dealt.mapInArrow(test, "ca long, cb int, xa long, xb int")
-
-
-def tile_pairs(batches):
-    """Pairs of different components, in rows sorted by tile, whose bitmaps allow a link."""
-    tile, held = None, []
-
-    def pairs():
-        a, b, n, part, bits, side = zip(*held, strict=True)
-        a, b, n, part, side = (np.array(x, np.int64) for x in (a, b, n, part, side))
-        marks = np.frombuffer(b"".join(bits), np.uint64).reshape(len(a), -1)
-        _, part = np.unique(part, return_inverse=True)
-        out = []
-        for at in range(0, len(a), 64):
-            z = min(len(a), at + 64)
-            total = n[at:z, None] + n[None, :]
-            differ = np.bitwise_count(marks[at:z, None, :] ^ marks[None, :, :]).sum(2, dtype=np.int64)
-            most = np.minimum((total - differ) // 2, np.minimum(n[at:z, None], n[None, :]))
-            ok = (DEN * most >= NUM * (total - most)) & (part[at:z, None] != part[None, :]) & ((side[at:z, None] != side[None, :]) if tile[1] != tile[2] else True)
-            i, j = np.nonzero(ok)
-            i = i + at
-            once = (n[i] < n[j]) | ((n[i] == n[j]) & (i < j))
-            out.append((i[once], j[once]))
-        i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.record_batch([pa.array(a[i]), pa.array(b[i].astype(np.int32)), pa.array(a[j]), pa.array(b[j].astype(np.int32)), pa.array(n[j].astype(np.int32))], names=["ca", "cb", "xa", "xb", "xn"])
+                    yield pa.record_batch([pa.array(k, pa.int64()) for k in zip(*found, strict=True)], names=["c", "x"])
+
+    return dealt.mapInArrow(test, "c long, x long")
+
+
+def grouped(batches, key: list[str], limit: int):
+    """Tables of whole groups of rows that are sorted by key; a group over limit rows comes in parts, flagged."""
+    held: list[pa.RecordBatch] = []
+    size, broken = 0, None
+
+    def edges(t: pa.Table) -> tuple[int, int]:
+        """Where the second and the last group begin."""
+        at = np.flatnonzero(np.diff(_groups(t, key), prepend=0))
+        return (int(at[0]), int(at[-1])) if len(at) else (t.num_rows, 0)
+
+    def name(t: pa.Table) -> list:
+        return [t.column(k)[0].as_py() for k in key]
+
+    def parted(t: pa.Table):
+        """t, without what continues a group that came in parts."""
+        if broken is not None and name(t) == broken:
+            first = edges(t)[0]
+            yield t.slice(0, first), False
+            t = t.slice(first)
+        if t.num_rows:
+            yield t, True
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        t = pa.Table.from_batches(held).combine_chunks()
+        cut = edges(t)[1]
+        if cut:
+            yield from parted(t.slice(0, cut))
+            held, size, broken = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut, broken if name(t) == broken and name(t.slice(cut)) == broken else None
+        elif size > limit:
+            yield t, False
+            held, size, broken = [], 0, name(t)
+    if held:
+        yield from parted(pa.Table.from_batches(held).combine_chunks())
+
+
+def _groups(t: pa.Table, key: list[str]) -> np.ndarray:
+    """A number for each run of equal keys."""
+    change = np.zeros(t.num_rows, bool)
+    for k in key:
+        c = t.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
+
+
+def _sizes_around(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most size that a set of size n can link to."""
+    return -(-NUM * n // DEN), DEN * n // NUM
+
+
+def with_partner(batches):
+    """Rows sorted by list: those with a row of another component and a fitting size in their list."""
+    for t, whole in grouped(batches, ["list"], HELD_ROWS):
+        if whole:
+            g, n, part = _groups(t, ["list"]), t.column("n").to_numpy().astype(np.int64), t.column("part").to_numpy()
+            low, high = _sizes_around(n)
+            _, own = np.unique(np.stack([g, part], 1), axis=0, return_inverse=True)
+
+            def within(of, top=int(high.max()) + 2):
+                key = np.sort(of.reshape(-1) * top + n)
+                return np.searchsorted(key, of.reshape(-1) * top + high, "right") - np.searchsorted(key, of.reshape(-1) * top + low)
+
+            t = t.filter(pa.array(within(g) > within(own)))
+        yield from t.to_batches()
+
+
+class Marks:
+    """Bitmaps of a binary column, as matrices by width."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        a = column.combine_chunks()
+        a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+        offs = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+        data = np.frombuffer(a.buffers()[2], np.uint8)
+        self.width, self.row, self.held = np.diff(offs) // 8, np.zeros(len(a), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            of = np.flatnonzero(self.width == w)
+            self.row[of] = np.arange(len(of))
+            self.held[w] = data[tk.ragged(offs[of], np.full(len(of), 8 * w))].view(np.uint64).reshape(len(of), w)
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which rows i and j differ, at the narrower one's width."""
+        out = np.zeros(len(i), np.int64)
+        pair = np.stack([self.width[i], self.width[j]], 1)
+        for x, y in np.unique(pair, axis=0).tolist():
+            of, w = np.flatnonzero((pair[:, 0] == x) & (pair[:, 1] == y)), min(x, y)
+            for at in range(0, len(of), step := max(1, (1 << 20) // w)):
+                k = of[at : at + step]
+                p, q = folded(self.held[x][self.row[i[k]]], w), folded(self.held[y][self.row[j[k]]], w)
+                out[k] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+        return out
+
+
+def tile_pairs(nearest: bool):
+    """Of rows sorted by tile: pairs of different components whose bitmaps allow a link; each class's nearest only, or all.
+
+    Only rows outside the tile's largest component look for partners: of two components one is not the largest.
+    """
 
-    for batch in batches:
-        for list_, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "i", "j", "a", "b", "n", "part", "bits", "side")), strict=True):
-            if (list_, i, j) != tile:
-                if len(held) > 1:
-                    yield pairs()
-                tile, held = (list_, i, j), []
-            held.append(row)
-    if len(held) > 1:
-        yield pairs()
+    def rows(batches):
+        for t, _ in grouped(batches, ["list", "i", "j"], 1 << 30):  # a tile has two blocks of about TILE rows
+            g, n, ids = _groups(t, ["list", "i", "j"]), t.column("n").to_numpy().astype(np.int64), t.column("id").to_numpy()
+            side = np.where(t.column("i").to_numpy() == t.column("j").to_numpy(), -1, t.column("side").to_numpy())
+            _, own, size = np.unique(np.stack([g, t.column("part").to_numpy()], 1), axis=0, return_inverse=True, return_counts=True)
+            own = own.reshape(-1)
+            by_size = np.lexsort((own, size[own], g))
+            last = np.append(g[1:] != g[:-1], True)
+            largest = np.repeat(own[by_size][np.flatnonzero(last)], np.bincount(g))
+            low, high = _sizes_around(n)
+            top = int(high.max()) + 2
+            order = np.argsort(g * top + n, kind="stable")
+            key = (g * top + n)[order]
+            seek = np.flatnonzero(own != largest)
+            begin, end = np.searchsorted(key, g[seek] * top + low[seek]), np.searchsorted(key, g[seek] * top + high[seek], "right")
+            marks = Marks(t.column("bits"))
+            pairs = np.cumsum(end - begin)
+            at = 0
+            while at < len(seek):
+                to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + 500_000, "right")))
+                i, j = np.repeat(seek[at:to], (end - begin)[at:to]), order[tk.ragged(begin[at:to], (end - begin)[at:to])]
+                ok = (own[i] != own[j]) & ((side[i] < 0) | (side[i] != side[j]))
+                i, j = i[ok], j[ok]
+                d = marks.differing(i, j)
+                ok = may_link(n[i], n[j], d)
+                if not nearest:  # a pair that both seek comes once
+                    ok &= (ids[i] < ids[j]) | (own[j] == largest[j])
+                i, j, d = i[ok], j[ok], d[ok]
+                if nearest:
+                    by = np.lexsort((j, d, i))
+                    first = by[np.append(True, i[by][1:] != i[by][:-1])[: len(by)]]
+                    i, j, d = i[first], j[first], d[first]
+                yield pa.record_batch([pa.array(ids[i]), pa.array(ids[j]), pa.array(n[j].astype(np.int32)), pa.array(d.astype(np.int32))], names=["c", "x", "xn", "d"])
+                at = to
+
+    return rows
 
 
 def classes(docs: DataFrame, lines: bool = False) -> DataFrame:
     """(a, b, n, ca, cb): each item with words, its set's size, and the smallest item of its component.
 
-    docs has doc_id and text; rows whose doc_id is null are left out; rows of one doc_id are one item of several texts.
+    docs has doc_id and text; rows whose doc_id is null are left out; rows of one doc_id are items of one name and several sets.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -278,37 +452,82 @@ def classes(docs: DataFrame, lines: bool = False) -> DataFrame:
     parts = common.reduce_partitions(spark)
     keyed = common.written(keys(docs, lines), "keys")
     level = spark.sparkContext.broadcast(levels(keyed))
-    items = keyed.where("n > 0").select("a", "b", "n", "h1", "h2", "bits")
-    named = items.groupBy("h1", "h2", "n").agg(F.min(F.struct("a", "b")).alias("rep"))
-    members = common.written(items.drop("bits").join(named, ["h1", "h2", "n"]).select("a", "b", "n", F.col("rep.a").alias("ra"), F.col("rep.b").alias("rb")), "members")
-
-    packed = postings(docs, lines, level, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    raw = packed.mapInArrow(shared_lists, f"list long, {ITEM}").distinct()
-    lists = raw.join(members, ["a", "b"]).select("list", F.col("ra").alias("a"), F.col("rb").alias("b"), "n").distinct()
-    center = lists.groupBy("list").agg(F.min(F.struct("n", "a", "b")).alias("c"), F.max(F.struct("a", "b")).alias("hi"), F.min(F.struct("a", "b")).alias("lo")).where("hi <> lo").select("list", "c")
-    lists = common.written(lists.join(center, "list").select("list", "a", "b", "n", F.col("c.a").alias("ca"), F.col("c.b").alias("cb"), F.col("c.n").alias("cn")), "lists")
-    texts = common.written(item_texts(docs, lists.select("a", "b").distinct(), lines), "texts")
-
-    star = lists.where(f"NOT (a = ca AND b = cb) AND {DEN} * cn >= {NUM} * n").select("ca", "cb", F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("n").alias("xn")).distinct()
-    links = common.written(tested(star, texts), "links")
+    items = keyed.where("n > 0")
+    renamed = shared_names(items)
+    name = F.col("h1")
+    for (h1, h2), other in renamed.items():
+        name = F.when((F.col("h1") == h1) & (F.col("h2") == h2), F.lit(other)).otherwise(name)
+    items = items.withColumn("id", name)
+    # (a, b) as one number, of which minima need no sort
+    place = F.col("a").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("b")
+
+    packed = postings(docs, lines, level, 4 * parts, renamed).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    lists = common.written(packed.mapInArrow(shared_lists, "list long, id long, n int").distinct(), "raw")
+    degree = lists.groupBy("id").agg(F.count("*").alias("degree"))
+    rank = F.shiftleft(F.least(F.col("degree"), F.lit((1 << 22) - 1)), 40) + F.col("id").bitwiseAND((1 << 40) - 1)
+    center = common.written(lists.join(degree, "id").groupBy("list").agg(F.max_by("id", rank).alias("c"), F.max_by("n", rank).alias("cn")), "centers")
+    lists = common.written(lists.join(center, "list"), "lists")
+    # one item of each class that is in a list; copies are combined before they are joined
+    low = items.groupBy("id").agg(F.min(place).alias("p")).join(lists.select("id").distinct(), "id", "left_semi")
+    first = items.withColumn("p", place).join(low, ["id", "p"]).select("id", "a", "b", "n", "bits").dropDuplicates(["id"])
+    first = common.written(first, "first")
+    marks = first.select("id", "n", "bits")
+    texts = common.written(class_texts(docs, first.select("id", "a", "b"), lines), "texts")
+
+    star = lists.where(f"id <> c AND {DEN} * least(cn, n) >= {NUM} * greatest(cn, n)").groupBy("c", F.col("id").alias("x"), F.col("n").alias("xn")).agg(F.count("*").alias("shared"))
+    star = common.written(bounded(star, marks), "star")
+    best = star.groupBy("x", "xn").agg(F.max_by("c", F.shiftleft(F.col("shared"), 40) + F.col("c").bitwiseAND((1 << 40) - 1)).alias("c")).select("c", "x", "xn")
+    links = common.written(tested(best, texts), "links")
     parts_of = _components(links)
-
-    item = F.struct("a", "b")
-    placed = lists.join(parts_of, [lists.a == parts_of.node.a, lists.b == parts_of.node.b], "left").select("list", "a", "b", "n", "ca", "cb", F.coalesce("component", item).alias("part"))
-    rest = placed.where("NOT (a = ca AND b = cb)").groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", "size")
-    open_ = common.written(placed.join(rest, "list").where("NOT (a = ca AND b = cb)").select("list", "a", "b", "n", F.xxhash64("part").alias("part"), F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "open")
-    marked = open_.join(items.select("a", "b", "n", "bits").dropDuplicates(["a", "b", "n"]), ["a", "b", "n"]).withColumn("side", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
-    tiled = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "a", "b", "n", "part", "bits", "side")
-    dealt = tiled.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "n", "a", "b")
-    more = common.written(dealt.mapInArrow(tile_pairs, "ca long, cb int, xa long, xb int, xn int").distinct(), "tiles")
-    if not more.isEmpty():
-        more = common.written(tested(more, texts), "links")
-        if not more.isEmpty():
-            parts_of = _components(links.union(more))
-    joined = members.join(parts_of, [members.ra == parts_of.node.a, members.rb == parts_of.node.b], "left")
-    return joined.select("a", "b", "n", F.coalesce("component.a", "ra").alias("ca"), F.coalesce("component.b", "rb").alias("cb"))
+    links, parts_of = _grown(links, parts_of, _apart(star, parts_of), texts)
+    for k in range(NEAREST_ROUNDS + 1):
+        nearest = k < NEAREST_ROUNDS
+        tiled = _open_tiles(lists, parts_of, marks, parts)
+        found = tiled.mapInArrow(tile_pairs(nearest), "c long, x long, xn int, d int")
+        if nearest:
+            by = F.shiftleft(F.col("d").cast("long"), 40) + F.col("x").bitwiseAND((1 << 40) - 1)
+            found = found.groupBy("c").agg(F.min_by("x", by).alias("x"), F.min_by("xn", by).alias("xn"))
+        found = common.written(found.select("c", "x", "xn").distinct(), "tiles")
+        if found.isEmpty():
+            break
+        links, parts_of = _grown(links, parts_of, found, texts)
+    of_item = items.select("a", "b", "n", "id").join(parts_of.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    low = common.written(of_item.groupBy("component").agg(F.min(place).alias("p"), F.count("*").alias("k")).where("k > 1").select("component", "p"), "low")
+    unit = F.lit(1 << 31).cast("decimal(11,0)")
+    cb = F.pmod("p", unit)
+    out = of_item.join(low, "component", "left")
+    return out.select("a", "b", "n", F.coalesce(((F.col("p") - cb) / unit).cast("long"), "a").alias("ca"), F.coalesce(cb.cast("int"), "b").alias("cb"))
+
+
+def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
+    """Members of the lists that hold several components beside their centre, dealt and sorted by pairs of blocks."""
+    placed = lists.where("id <> c").join(parts_of.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    rest = common.written(placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("list"), "open")
+    apart = placed.join(rest, "list").select("list", "id", "n", "part").repartition(parts, "list").sortWithinPartitions("list")
+    apart = common.written(apart.mapInArrow(with_partner, "list long, id long, n int, part long"), "fitting")
+    blocks = common.written(apart.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+    marked = apart.join(blocks, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(marks.select("id", "bits"), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiled = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("list", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "id", "n", "part", "bits", "side")
+    return tiled.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "id")
+
+
+def _grown(links: DataFrame, parts_of: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and their components after tests of more pairs."""
+    if pairs.isEmpty():
+        return links, parts_of
+    more = common.written(tested(pairs, texts), "links")
+    if more.isEmpty():
+        return links, parts_of
+    links = links.union(more)
+    return links, _components(links)
+
+
+def _apart(pairs: DataFrame, parts_of: DataFrame) -> DataFrame:
+    """The pairs (c, x, xn) whose ends are not in one component."""
+    both = pairs.select("c", "x", "xn").join(parts_of.toDF("c", "cp"), "c", "left").join(parts_of.toDF("x", "xp"), "x", "left")
+    return common.written(both.where("cp IS NULL OR xp IS NULL OR cp <> xp").select("c", "x", "xn"), "apart")
 
 
 def _components(links: DataFrame) -> DataFrame:
-    edge = links.select(F.struct(F.col("ca").alias("a"), F.col("cb").alias("b")).alias("src"), F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("dst"))
-    return common.connected_components(edge)
+    return common.connected_components(links.select(F.col("c").alias("src"), F.col("x").alias("dst")))

@@ -60,7 +60,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(list(cols.values()), names=list(cols))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_lines long, n_removed long, emptied boolean"
-    return docs.join(gone, "doc_id", "left").select(*names, "_gone").mapInArrow(cut, schema)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select(*names, "_gone").mapInArrow(cut, schema)
 
 
 def op6_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,3 +70,24 @@ def op6_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "emptied", "text")
+
+
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_COMPONENTS = r"""
+s AS (SELECT DISTINCT k, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.k = x JOIN n b ON b.k = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT k, k AS o FROM n UNION SELECT r.k, l.y FROM r JOIN l ON l.x = r.o),
+comp AS (SELECT k, min(o) AS component FROM r GROUP BY 1)"""
+ORACLE_DOCUMENTS = rf"""
+WITH RECURSIVE w AS (SELECT doc_id AS k, regexp_extract_all({_LOW.format('text')}, '[^\x20\x09-\x0D]+') AS ws FROM documents), {_COMPONENTS}
+SELECT k AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, k) AS component_id FROM w LEFT JOIN n USING (k) LEFT JOIN comp USING (k)
+"""
+ORACLE_LINES = rf"""
+WITH RECURSIVE lines AS (SELECT doc_id, i, line, doc_id * 1000000 + i AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT k, regexp_extract_all({_LOW.format('line')}, '[^\x20\x09-\x0D]+') AS ws FROM lines), {_COMPONENTS}
+SELECT d.doc_id, count(component)::BIGINT AS n_lines, count(*) FILTER (component <> k)::BIGINT AS n_removed, count(component) > 0 AND count(component) = count(*) FILTER (component <> k) AS emptied,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (component IS NULL OR component = k), '') END AS text
+FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN comp USING (k) GROUP BY d.doc_id, d.text
+"""

@@ -141,6 +141,11 @@ def shingle_sets(words: np.ndarray, owner: np.ndarray, n: int, k: int = 5) -> tu
 
     An owner of fewer words has one shingle, its whole sequence; one without words has none.
     """
+    return sorted_sets(*shingles(words, owner, n, k), n)
+
+
+def shingles(words: np.ndarray, owner: np.ndarray, n: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The same with repeats and in no order: values and owners."""
     h, at = windows(words, owner, k)
     own = owner[at]
     begin = bounds(owner, n)
@@ -149,10 +154,11 @@ def shingle_sets(words: np.ndarray, owner: np.ndarray, n: int, k: int = 5) -> tu
     if len(few):
         short = run_hash(words, begin[few], begin[few + 1], _STEP)
         h, own = np.concatenate([h, short]), np.concatenate([own, few])
-    return sorted_sets(h, own, n)
+    return h, own
 
 
-def sorted_sets(h: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def sorted_sets(h: np.ndarray, own: np.ndarray, n: int, where: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct values of each owner, sorted, and where each owner's begin; with where, the place of each in h too."""
     order = np.argsort(h)
     by = own[order]
     order = order[np.argsort(by.astype(np.uint16) if n < 65536 else by, kind="stable")]
@@ -160,8 +166,8 @@ def sorted_sets(h: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.
     if len(h):
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-        h, own = h[new], own[new]
-    return h, bounds(own, n)
+        h, own, order = h[new], own[new], order[new]
+    return (h, bounds(own, n), order) if where else (h, bounds(own, n))
 
 
 def sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
