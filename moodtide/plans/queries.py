@@ -806,3 +806,82 @@ def streaming_history(spark, d):
     last = done.agg(F.max("timestamp").alias("last"))
     rest = A.history(spark, d).crossJoin(F.broadcast(last)).where("last IS NULL OR timestamp > last").select("timestamp", "net_sentiment_percent", "total_posts")  # one row
     return done.select("timestamp", "net_sentiment_percent", "total_posts").union(rest).withColumn("net_sentiment_percent", F.round("net_sentiment_percent", 6))
+
+
+@query("SELECT n, CASE WHEN n = 0 THEN 'First chart expected in ~7 days.' ELSE 'Currently have ' || n || ' data points, need 2+ for charts.' END AS weekly, CASE WHEN n = 0 THEN 'First yearly chart expected in ~30 days.' ELSE 'Currently have ' || n || ' days, need 30+ for yearly charts.' END AS yearly FROM (VALUES (0), (1), (12)) AS t(n)")
+def insufficient_text(spark, d):
+    rows = fixture(spark, "(VALUES (0), (1), (12)) AS t(n)")
+    line = lambda c: F.regexp_extract(c, r"📈 ([^\n]*)", 1)
+    return rows.select("n", line(T.insufficient_text(F.col("n"))).alias("weekly"), line(T.insufficient_text(F.col("n"), yearly=True)).alias("yearly"))
+
+
+@query(f"WITH {A.POSTS} SELECT (SELECT count(*) FROM posts)::BIGINT AS posts, (SELECT count(DISTINCT author) FROM posts)::BIGINT AS authors")
+def report(spark, d):
+    """The nested report as JSON, read back."""
+    from moodtide.sources import storage
+
+    one = A.posts(spark, d).agg(F.struct(F.count("*").alias("posts"), F.count_distinct("author").alias("authors")).alias("stats"))
+    return storage.report_json(one).select(F.from_json("report", "stats struct<posts: bigint, authors: bigint>").alias("r")).select("r.stats.posts", "r.stats.authors")
+
+
+@query("SELECT 10000::BIGINT AS files_by_2500")
+def checksums(spark, d):
+    """SHA-256 of each file of a written table: as many distinct names as files, all of 64 digits."""
+    from moodtide.plans.files import scratch
+    from moodtide.sources import storage
+
+    folder = scratch(spark, "files")
+    storage.write_jsonl(spark.range(100).repartition(4), folder)
+    files = storage.list_objects(spark, folder, "part-*")
+    return files.agg((F.count_if(F.length("checksum") == 64) * 2500).cast("long").alias("files_by_2500"))
+
+
+@query(f"WITH {A.HISTORY} SELECT count(*) AS stored, min(ttl) - min(epoch(\"timestamp\")::BIGINT) AS kept_seconds FROM history")
+def append_history(spark, d):
+    """Points appended to a table by day, and read back."""
+    from moodtide.plans.files import scratch
+    from moodtide.sources import storage
+
+    folder = scratch(spark, "history")
+    storage.append_history(A.history(spark, d).drop("ttl"), folder, A.ts(A.END))
+    back = spark.read.parquet(folder)
+    return back.agg(F.count("*").alias("stored"), (F.min("ttl") - F.min(F.unix_timestamp("created_at"))).alias("kept_seconds"))
+
+
+@query(f"WITH {A.DAILY} SELECT date, total_runs FROM daily")
+def upsert_daily(spark, d):
+    """Days written, a third of them again; no day is there twice."""
+    from moodtide.plans.files import scratch
+    from moodtide.sources import storage
+
+    folder, daily = scratch(spark, "daily"), A.daily(spark, d)
+    storage.upsert_daily(daily, folder, A.ts(A.END))
+    storage.upsert_daily(daily.where(F.dayofmonth("date") % 3 == 0), folder, A.ts(A.END))
+    return spark.read.parquet(folder).select(F.col("date").cast("date").alias("date"), "total_runs")
+
+
+@query("SELECT run_id, total_posts FROM (VALUES ('run-1', 5), ('run-2', 7)) AS t(run_id, total_posts)")
+def restore_history_json(spark, d):
+    from moodtide.sources import storage
+
+    rows = fixture(spark, """(VALUES ('{"run_id": "run-1", "total_posts": 5}'), ('{"run_id": "run-2", "total_posts": 7}'), ('not json')) AS t(value)""")
+    return storage.parse_history_json(rows, A.ts(A.END)).select("run_id", F.col("total_posts").cast("int").alias("total_posts"))
+
+
+@query(f"WITH {A.DAILY} SELECT date, total_runs FROM daily WHERE date = DATE '2024-01-05'")
+def daily_point_get(spark, d):
+    return A.daily(spark, d).where("date = DATE '2024-01-05'").select("date", "total_runs")
+
+
+@query(f"WITH {A.DAILY} SELECT date, round(average_sentiment, 6) AS average_sentiment, total_runs FROM daily WHERE date < (SELECT max(date) FROM daily)")
+def streaming_daily(spark, d):
+    """Daily roll-up by a stream over half-hour points; the last day stays open."""
+    from moodtide.plans.files import scratch
+    from moodtide.streaming import history as H
+
+    folder = scratch(spark, "daily-stream")
+    A.history(spark, d).select(F.col("timestamp").alias("ts"), F.col("net_sentiment_percent").alias("net")).repartition(1).write.parquet(f"{folder}/in")
+    rows = spark.readStream.schema("ts timestamp, net double").parquet(f"{folder}/in")
+    H.append_once(H.daily_stream(rows, late="1 hour"), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    done = spark.read.schema("date date, average_sentiment double, min_sentiment double, max_sentiment double, total_runs long").parquet(f"{folder}/rows")
+    return done.select("date", F.round("average_sentiment", 6).alias("average_sentiment"), "total_runs")
