@@ -33,7 +33,7 @@ from moodtide.llm import common
 from moodtide.llm import textkit as tk
 
 K, NUM, DEN = 5, 75, 100
-SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_ROWS, NEAREST_ROUNDS = 22, 1_500_000, 512, 200_000, 1
+SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_ROWS, HELD_PAIRS, NEAREST_ROUNDS = 22, 1_500_000, 512, 200_000, 500_000, 1
 #: Bits of a bitmap: the power of two from four for each shingle up, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 1 << 20
 _U = np.uint64
@@ -400,10 +400,34 @@ class Marks:
 def tile_pairs(nearest: bool):
     """Of rows sorted by tile: pairs of different components whose bitmaps allow a link; each class's nearest only, or all.
 
-    Only rows outside the tile's largest component look for partners: of two components one is not the largest.
+    Only rows outside the tile's largest component look for partners: of two components one is not the largest. A task
+    combines what its tiles give before it hands it on: lists of one centre hold the same pairs again and again.
     """
 
+    def combined(held):
+        c, x, xn, d = (np.concatenate(k) for k in zip(*held, strict=True))
+        order = np.lexsort((x, d, c) if nearest else (x, c))
+        new = c[order][1:] != c[order][:-1]
+        if not nearest:
+            new |= x[order][1:] != x[order][:-1]
+        first = order[np.append(True, new)[: len(order)]]
+        return c[first], x[first], xn[first], d[first]
+
     def rows(batches):
+        held, size = [], 0
+        for some in found(batches):
+            held.append(some)
+            size += len(some[0])
+            if size > HELD_PAIRS:
+                held = [combined(held)]
+                size = len(held[0][0])
+                if 2 * size > HELD_PAIRS:
+                    yield pa.record_batch([pa.array(k) for k in held[0]], names=["c", "x", "xn", "d"])
+                    held, size = [], 0
+        if size:
+            yield pa.record_batch([pa.array(k) for k in combined(held)], names=["c", "x", "xn", "d"])
+
+    def found(batches):
         for t, _ in grouped(batches, ["list", "i", "j"], 1 << 30):  # a tile has two blocks of about TILE rows
             g, n, ids = _groups(t, ["list", "i", "j"]), t.column("n").to_numpy().astype(np.int64), t.column("id").to_numpy()
             side = np.where(t.column("i").to_numpy() == t.column("j").to_numpy(), -1, t.column("side").to_numpy())
@@ -435,7 +459,7 @@ def tile_pairs(nearest: bool):
                     by = np.lexsort((j, d, i))
                     first = by[np.append(True, i[by][1:] != i[by][:-1])[: len(by)]]
                     i, j, d = i[first], j[first], d[first]
-                yield pa.record_batch([pa.array(ids[i]), pa.array(ids[j]), pa.array(n[j].astype(np.int32)), pa.array(d.astype(np.int32))], names=["c", "x", "xn", "d"])
+                yield ids[i], ids[j], n[j].astype(np.int32), d.astype(np.int32)
                 at = to
 
     return rows
@@ -503,13 +527,15 @@ def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts:
     """Members of the lists that hold several components beside their centre, dealt and sorted by pairs of blocks."""
     placed = lists.where("id <> c").join(parts_of.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
     rest = common.written(placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("list"), "open")
-    apart = placed.join(rest, "list").select("list", "id", "n", "part").repartition(parts, "list").sortWithinPartitions("list")
-    apart = common.written(apart.mapInArrow(with_partner, "list long, id long, n int, part long"), "fitting")
-    blocks = common.written(apart.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
-    marked = apart.join(blocks, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(marks.select("id", "bits"), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    apart = placed.join(rest, "list").select("list", "c", "id", "n", "part").repartition(parts, "list").sortWithinPartitions("list")
+    apart = common.written(apart.mapInArrow(with_partner, "list long, c long, id long, n int, part long"), "fitting")
+    # lists of one centre are cut alike
+    sizes = apart.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("c").agg(F.ceil(F.max("k") / TILE).cast("int").alias("blocks"))
+    blocks = common.written(sizes.where("blocks > 1"), "blocks")
+    marked = apart.join(blocks, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(marks.select("id", "bits"), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiled = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("list", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "id", "n", "part", "bits", "side")
-    return tiled.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "id")
+    tiled = tiled.select("c", "list", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "id", "n", "part", "bits", "side")
+    return tiled.repartition(parts, "c", "i", "j").sortWithinPartitions("list", "i", "j", "id")
 
 
 def _grown(links: DataFrame, parts_of: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
