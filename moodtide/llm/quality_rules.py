@@ -92,7 +92,7 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
     """The verdicts of docs(doc_id, text, host), and the removed lines (doc_id, line_no, words)."""
     slim = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
     lines = slim.mapInArrow(lines_of, LINE_SCHEMA)
-    # at the same time few columns: the hot host's lines are dealt by line, not by host
+    # dealt by host and line: a hot host's lines are spread, a hot line's rows may be split
     removed = lines.join(frequent_lines(lines, max_docs), ["host", "line"]).where("doc_id <> first_doc").select("doc_id", "line_no", "words")
     gone = removed.groupBy("doc_id").agg(F.sum("words").alias("removed_words"), F.count("*").alias("removed_lines"))
     base = slim.select("doc_id", "text").mapInArrow(base_counts, BASE_SCHEMA)

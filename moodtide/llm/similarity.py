@@ -43,6 +43,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with texts cut, and n_lines (with a word), n_removed and emptied."""
     gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # a document's own lines
+    added = {"n_lines", "n_removed", "emptied"}
+    docs = docs.drop(*added)  # columns of the result's names give way to it
     names = docs.columns
 
     def cut(batches):
