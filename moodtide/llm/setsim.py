@@ -526,13 +526,12 @@ def classes(docs: DataFrame, lines: bool = False) -> DataFrame:
 def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     """Members of the lists that hold several components beside their centre, dealt and sorted by pairs of blocks."""
     placed = lists.where("id <> c").join(parts_of.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    rest = common.written(placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("list"), "open")
-    apart = placed.join(rest, "list").select("list", "c", "id", "n", "part").repartition(parts, "list").sortWithinPartitions("list")
-    apart = common.written(apart.mapInArrow(with_partner, "list long, c long, id long, n int, part long"), "fitting")
-    # lists of one centre are cut alike
-    sizes = apart.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("c").agg(F.ceil(F.max("k") / TILE).cast("int").alias("blocks"))
-    blocks = common.written(sizes.where("blocks > 1"), "blocks")
-    marked = apart.join(blocks, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(marks.select("id", "bits"), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a power of two of blocks: lists of one centre, which are about as long, are cut alike
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / TILE, F.lit(1.0))))).cast("int")
+    rest = placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", blocks.alias("blocks"))
+    apart = placed.join(common.written(rest, "open"), "list").select("list", "c", "id", "n", "part", "blocks").repartition(parts, "list").sortWithinPartitions("list")
+    apart = common.written(apart.mapInArrow(with_partner, "list long, c long, id long, n int, part long, blocks int"), "fitting")
+    marked = apart.join(marks.select("id", "bits"), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiled = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("c", "list", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "id", "n", "part", "bits", "side")
     return tiled.repartition(parts, "c", "i", "j").sortWithinPartitions("list", "i", "j", "id")
