@@ -40,7 +40,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64 for i < n."""
     held = _powers.get(int(base))
     if held is None or len(held[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = 1 << max(16, (n - 1).bit_length())
         inverse = U(pow(int(base), -1, 2**64))
         both = []
         for b in (base, inverse):
@@ -48,7 +48,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             both.append(np.multiply.accumulate(a))
         held = both[0], both[1]
-        if size <= 8 << 20:
+        if size <= 4 << 20:  # longer ones serve one long text and go
             _powers[int(base)] = held
     return held
 
