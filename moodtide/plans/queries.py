@@ -244,7 +244,7 @@ def union_all_pages(spark, d):
 
 @query(P_ + "SELECT min(created_at) AS oldest FROM posts WHERE seq < 1000")
 def oldest_across_pages(spark, d):
-    return A.posts(spark, d).where("seq < 1000").agg(F.min("created_at").alias("oldest"))
+    return A.posts(spark, d).agg(F.min("created_at").alias("oldest"))
 
 
 @query(PD + "SELECT uri, cid FROM dedup ORDER BY replies + likes + reposts DESC, uri LIMIT 1")
