@@ -2,13 +2,18 @@
 
 ``pages`` names a folder of JSON-lines pages ``page-<cursor>.jsonl`` (the offline form of the API; a client may be put in
 its place by subclassing ``read_page``). The cursor is the offset; a page is a partition. Pages end at the first
-whose oldest row precedes the cutoff, at ``max_pages``, or where the next page is missing.
+whose oldest row precedes the option ``cutoff`` (ISO 8601; that page is read as a whole), at ``maxPages`` (100 pages of
+100 posts unless given), or where the next page is missing. A stream that has met the cutoff reads nothing more;
+``maxPages`` bounds each of its batches, not the stream. A batch read that ends at ``maxPages`` before a page that is
+there warns.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import os
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -38,13 +43,44 @@ def _tuples(rows: list[dict]) -> Iterator[tuple]:
         yield tuple(r.get(c) if c in ("uri", "cid", "text", "author", "created_at") else int(r.get(c) or 0) for c in _COLUMNS)
 
 
+def _time(text: str | None) -> dt.datetime | None:
+    """A point in time, UTC where no zone is given; None where it can't be read."""
+    try:
+        t = dt.datetime.fromisoformat(text or "")
+    except (TypeError, ValueError):
+        return None
+    return t if t.tzinfo else t.replace(tzinfo=dt.UTC)
+
+
+def _cutoff(options: dict) -> dt.datetime | None:
+    text = options.get("cutoff")
+    if text and _time(text) is None:
+        raise ValueError(f"cutoff is no ISO 8601 time: {text}")
+    return _time(text)
+
+
+def _precedes(page: list[dict], cutoff: dt.datetime | None) -> bool:
+    """Whether the page's oldest row is before the cutoff."""
+    return cutoff is not None and any(t < cutoff for r in page if (t := _time(r.get("created_at"))))
+
+
 class PagesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.pages = options["path"], int(options.get("maxPages", MAX_PAGES))
-        self.start = int(options.get("cursor") or 0)
+        self.start, self.cutoff = int(options.get("cursor") or 0), _cutoff(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.start + k * PAGE_SIZE) for k in range(self.pages)]
+        out = []
+        for cursor in range(self.start, self.start + self.pages * PAGE_SIZE, PAGE_SIZE):
+            page = read_page(self.folder, cursor)
+            if page is None:
+                return out
+            out.append(InputPartition(cursor))
+            if _precedes(page, self.cutoff):
+                return out
+        if read_page(self.folder, self.start + self.pages * PAGE_SIZE) is not None:
+            warnings.warn(f"paged_posts ends at maxPages = {self.pages}; more pages follow", stacklevel=2)
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         return _tuples(read_page(self.folder, partition.value) or [])
@@ -53,19 +89,23 @@ class PagesReader(DataSourceReader):
 class PagesStream(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         self.folder, self.pages, self.start = options["path"], int(options.get("maxPages", MAX_PAGES)), int(options.get("cursor") or 0)
+        self.cutoff = _cutoff(options)
 
     def initialOffset(self) -> dict:
         return {"cursor": self.start}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        cursor, rows = start["cursor"], []
-        for _ in range(self.pages):
+        cursor, rows, done = start["cursor"], [], start.get("done", False)
+        for _ in range(0 if done else self.pages):
             page = read_page(self.folder, cursor)
             if not page:
                 break
             rows += page
             cursor += PAGE_SIZE
-        return _tuples(rows), {"cursor": cursor}
+            if _precedes(page, self.cutoff):
+                done = True
+                break
+        return _tuples(rows), {"cursor": cursor, "done": True} if done else {"cursor": cursor}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         for cursor in range(start["cursor"], end["cursor"], PAGE_SIZE):
