@@ -159,6 +159,13 @@ def extract_topics(spark, d):
     return fixture(spark, _TEXTS).select("id", F.array_join(S.topics(F.col("text")), "|").alias("topics"))
 
 
+@query(_topic_sql("SELECT src.id AS id, coalesce(string_agg(topic, '|' ORDER BY o), '') AS topics FROM src LEFT JOIN firsts USING (id) GROUP BY 1", f"{A.POSTS}, src AS (SELECT id::BIGINT AS id, text FROM {_TEXTS} UNION ALL SELECT 100 + seq, text FROM posts)"))
+def extract_topics_posts(spark, d):
+    """Topics of the fixture and of every post."""
+    rows = fixture(spark, _TEXTS).select(F.col("id").cast("long"), "text").union(A.posts(spark, d).select(F.col("seq") + 100, "text"))
+    return rows.select("id", F.array_join(S.topics(F.col("text")), "|").alias("topics"))
+
+
 _CHAT = "src AS (SELECT conv_id * 100000 + turn AS id, text || CASE WHEN turn % 3 = 0 THEN ' #AI news!' ELSE ' #tag' || turn END AS text FROM conversations)"
 
 
@@ -826,14 +833,15 @@ def report(spark, d):
 
 @query("SELECT 10000::BIGINT AS files_by_2500")
 def checksums(spark, d):
-    """SHA-256 of each file of a written table: as many distinct names as files, all of 64 digits."""
+    """SHA-256 of each file of a table written from all documents: files by name with 64 digits, in 10,000ths of the files."""
     from moodtide.plans.files import scratch
     from moodtide.sources import storage
 
     folder = scratch(spark, "files")
-    storage.write_jsonl(spark.range(100).repartition(4), folder)
+    storage.write_jsonl(A.table(spark, d, "documents"), folder)
     files = storage.list_objects(spark, folder, "part-*")
-    return files.agg((F.count_if(F.length("checksum") == 64) * 2500).cast("long").alias("files_by_2500"))
+    good = F.count_distinct(F.when(F.length("checksum") == 64, F.col("path")))
+    return files.agg((good * 10000 / F.count("*")).cast("long").alias("files_by_2500"))
 
 
 @query(f"WITH {A.HISTORY} SELECT count(*) AS stored, min(ttl) - min(epoch(\"timestamp\")::BIGINT) AS kept_seconds FROM history")
