@@ -2,7 +2,7 @@ r"""op8: url rules, and block decisions that follow redirects and canonical link
 
 Rules are (host, path, verdict): a rule fits its host and all subdomains if the url's path starts with the rule's; the
 longest host, then the longest path wins, and an allow before a block of the same length. A url that no rule fits takes
-the verdict of its aliases: urls form a graph whose edges are a page's canonical link and its refresh redirect; in a
+the verdict of its aliases: urls form a graph whose edges are a page's canonical links and refresh redirects, all of them; in a
 connected component with an explicit allow all others are allowed, else with a block they are blocked. What
 has neither is allowed. Urls are nodes by host, path and query: scheme and fragment don't count.
 
@@ -48,16 +48,15 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _link(html: Column, pattern: str) -> Column:
-    found = F.regexp_extract(html, pattern, 1)
-    return F.when(F.coalesce(found, F.lit("")) != "", found)
+def _links(html: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """Edges (src, dst) between the nodes of pages(url, html)."""
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)"
-    out = pages.select("url", F.explode(F.array(_link(F.col("html"), tag), _link(F.col("html"), refresh))).alias("to")).where("to IS NOT NULL")
+    out = pages.select("url", F.explode(F.concat(_links(F.col("html"), tag), _links(F.col("html"), refresh))).alias("to")).where("to <> ''")
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     to = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(scheme, to)).otherwise(F.concat(scheme, F.regexp_extract(path_of(F.col("url")), r"(?s)^(.*/)", 1), to))
