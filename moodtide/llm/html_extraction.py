@@ -1,6 +1,6 @@
 """op9: main text of web pages by a tree-structured graphical model over their elements.
 
-A page becomes a tree of elements; ``script``, ``style`` and the like are left out. Each element has a hidden label
+A page becomes a tree of elements; ``script``, ``style``, ``template``, ``textarea``, ``select`` and the head's ``title`` are left out. Each element has a hidden label
 (content or not), a likelihood of its observed traits (kind of tag, hints in class, id and role, share of linked text,
 amount of text) and a potential with its parent's label that depends on its kind. Sum-product messages go up and down the
 tree once each, which gives exact marginals. The text that stands directly in an element is kept if its marginal
@@ -10,7 +10,8 @@ Potentials are smoothed counts over labelled pages: elements that carry ``data-y
 what they hold. ``labelled_pages`` writes such pages by rule, in many layouts; own ones may be given.
 
 Character references are decoded; white space of a block becomes one space; blocks are joined in page order by one space.
-Null and empty html give an empty text; unclosed tags end where HTML ends them; an unclosed comment or script runs to the end.
+Null and empty html give an empty text; unclosed tags end where HTML ends them; an unclosed comment, script or style runs to the end;
+of other left-out elements without a closing tag only the tag is skipped.
 Nothing is cut or dropped but by label. Repeated pages are judged each by itself; other columns are ignored.
 """
 
@@ -29,9 +30,14 @@ from pyspark.sql import functions as F
 from moodtide.llm import common
 
 #: Element kinds of HTML.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "canvas", "video", "audio"}
+RAW = {"script", "style", "template", "textarea", "title", "select"}
+RUNS_ON = {"script", "style"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+#: Embedded content, formulas and drawings: their text is part of the text around them.
+INLINE |= set("audio canvas iframe math noscript object svg video".split())
+INLINE |= set("annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE |= set("circle clippath defs desc ellipse filter foreignobject g image line lineargradient marker mask metadata path pattern polygon polyline radialgradient rect stop switch symbol text textpath tspan use view".split())
 KINDS = {
     "nav": "nav menu", "header": "header", "footer": "footer", "aside": "aside", "article": "article main", "section": "section", "div": "div center", "paragraph": "p",
     "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol li dl dt dd", "table": "table tbody thead tfoot tr td th caption", "form": "form button fieldset legend label input option dialog",
@@ -86,9 +92,9 @@ class Tree:
                     if not attrs.rstrip().endswith("/"):
                         close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
                         rest = html.find(">", close.start()) if close else -1
-                        at = rest + 1 if rest >= 0 else end
+                        at = rest + 1 if rest >= 0 else end if close or tag in RUNS_ON else at
                     continue
-                if tag in VOID:
+                if tag in VOID or tag in INLINE and attrs.rstrip().endswith("/") and not attrs.rstrip().endswith("=/"):
                     if tag in ("br", "hr"):
                         self.pieces.append((-1, ""))
                     continue
