@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all run in one process."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        wanted = "file://" + tempfile.mkdtemp(prefix="shared-")
     spark.sparkContext.setCheckpointDir(wanted)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -30,7 +34,30 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage, and lost executors lose nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, which nothing will read again."""
+    for t in tables:
+        at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, a: str = "a", r: str = "r") -> DataFrame:
+    """docs with a row's key: doc_id (a hash of the text where null), and 31 bits of that hash (and a flag of the null above them)."""
+    h = F.xxhash64("text")
+    return docs.withColumn(a, F.coalesce(F.col("doc_id").cast("long"), h)).withColumn(r, h.bitwiseAND(0x7FFFFFFF) + F.when(F.col("doc_id").isNull(), F.lit(1 << 31)).otherwise(F.lit(0)))
 
 
 def held_out(doc_id: Column) -> Column:

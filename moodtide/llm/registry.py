@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moodtide.llm import decontamination, html_extraction, language, packing, quality_model, quality_rules, similarity, token_file, url_filter
+from moodtide.llm import decontamination, html_extraction, language, line_join, packing, quality_model, quality_rules, similarity, token_file, url_filter
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
@@ -11,15 +11,15 @@ QUERIES = {
     "op4_quadratic_quality": quality_model.op4_quadratic_quality,
     "op5_simple8b": token_file.op5_simple8b,
     "op6_jaccard_tiles": similarity.op6_jaccard_tiles,
-    "op7_line_dedup": similarity.op7_line_dedup,
+    "op7_line_dedup": line_join.op7_line_dedup,
     "op8_redirect_classes": url_filter.op8_redirect_classes,
     "op9_tree_marginals": html_extraction.op9_tree_marginals,
     "op10_winnowing": decontamination.op10_winnowing,
 }
 ORACLE_SQL = {
     "op1_line_frequency": quality_rules.ORACLE,
-    "op6_jaccard_tiles": similarity.ORACLE_DOCUMENTS,
-    "op7_line_dedup": similarity.ORACLE_LINES,
+    "op6_jaccard_tiles": similarity.ORACLE,
+    "op7_line_dedup": line_join.ORACLE,
     "op8_redirect_classes": url_filter.ORACLE,
     "op10_winnowing": decontamination.ORACLE,
 }

@@ -1,7 +1,7 @@
-"""Exact set-similarity classes of texts or lines at a Jaccard similarity of at least 3/4 on 5-word shingles.
+"""Exact set-similarity classes of texts at a Jaccard similarity of at least 3/4 on 5-word shingles.
 
-An item is a pair (a, b): the doc_id, and the line's number (0 for a whole text). Items of equal sets are one class;
-a class is named by 64 bits of its set's 128-bit fingerprint (names that two fingerprints share are told apart).
+An item is a doc_id. Items of equal sets are one class; a class is named by 64 bits of its set's 128-bit fingerprint
+(names that two fingerprints share are told apart).
 
 1. ``keys``: class, size and hashed bitmap of each item. Counts of hashed shingles that are frequent in a task add up to a
    fixed-size table of rarity levels.
@@ -12,9 +12,11 @@ a class is named by 64 bits of its set's 128-bit fingerprint (names that two fin
 3. Star: each list's class of most lists is its centre. Lengths and bitmaps bound the overlap with the others; what is left
    is tested by exact intersection, first with the centre of most common lists, then with those still apart. Tests
    come as streams sorted by tile (centre, size band, part), so one large group is many tiles.
-4. Tiles: lists whose members are still in several components are cut into blocks; each pair of blocks is a tile, in
-   which bitmaps bound the overlaps. In ``NEAREST_ROUNDS`` rounds each class is tested against its nearest one of
-   another component; then all pairs of different components that may link are tested.
+4. Tiles: of a list whose members are still in several components, those outside its largest one seek partners. Sizes are cut into
+   bands of the ratio that links allow; a tile is a block of one band of a list and the seekers of this and the neighbouring bands,
+   so a member is in one tile and seekers alone are copied. In a tile sizes, then bitmaps bound the overlaps. In rounds each
+   seeker is tested against its nearest one of another component, as long as half of these link; then all pairs of
+   different components that may still link are tested.
 
 All pairs that share a prefix shingle are so tested, ruled out by a bound, or joined by tested links: components are exact. A
 32-bit tag stands for a shingle inside a bucket; clashes only cost tests.
@@ -33,27 +35,21 @@ from moodtide.llm import common
 from moodtide.llm import textkit as tk
 
 K, NUM, DEN = 5, 75, 100
-SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_ROWS, HELD_PAIRS, NEAREST_ROUNDS = 22, 1_500_000, 512, 200_000, 500_000, 1
+SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_PAIRS = 22, 1_000_000, 512, 500_000
 #: Bits of a bitmap: the power of two from four for each shingle up, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 1 << 20
+NAMES = ["a", "r", "n", "h1", "h2", "bits"]
 _U = np.uint64
 _SECOND = _U(0xA24BAED4963EE407)
 
 
-def item_words(t: tk.Texts, lines: bool) -> tuple[np.ndarray, ...]:
-    """Word hashes, the item of each, and each item's text and number. Items without a word are left out."""
+def item_words(t: tk.Texts) -> tuple[np.ndarray, ...]:
+    """Word hashes, the item of each, and each item's text. Texts without a word are left out."""
     start, end = t.spans(tk.BLANK_SEPARATED)
-    h = t.hashes(start, end)
-    if lines:
-        line_start, _, own = t.lines()
-        begin = np.append(np.searchsorted(start, line_start), len(start))
-        number = np.arange(len(own)) - np.searchsorted(own, own)
-    else:
-        own, number = np.arange(t.n), np.zeros(t.n, np.int64)
-        begin = np.append(np.searchsorted(start, t.offs[:-1]), len(start))
+    begin = np.append(np.searchsorted(start, t.offs[:-1]), len(start))
     count = np.diff(begin)
     full = np.flatnonzero(count)
-    return h, np.repeat(np.arange(len(full)), count[full]), own[full], number[full].astype(np.int32)
+    return t.hashes(start, end), np.repeat(np.arange(len(full)), count[full]), full
 
 
 def fingerprints(v: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,37 +94,31 @@ def may_link(n1, n2, differing):
     return linked(n1, n2, np.minimum((n1 + n2 - differing) // 2, np.minimum(n1, n2)))
 
 
-def keys(docs: DataFrame, lines: bool) -> DataFrame:
-    def rows(batches):
-        sketch, seen, waiting = np.zeros(1 << SKETCH_BITS, np.int64), 0, []
-
-        def add():
-            cells = np.concatenate(waiting)
-            waiting.clear()
-            np.add(sketch, np.bincount(cells, minlength=1 << SKETCH_BITS), out=sketch)
-            return len(cells)
+def keys(docs: DataFrame) -> DataFrame:
+    """(a, r, n, h1, h2, bits) of each row of docs(a, r, text), and the counts h1 of the sketch's cells a in rows whose n is -1."""
 
-        size = 0
+    def rows(batches):
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            ids = b.column("doc_id")
+            a, r = b.column("a"), b.column("r")
             for t in tk.slices(b.column("text"), lower=True):
-                h, item, own, number = item_words(t, lines)
+                h, item, own = item_words(t)
+                bare = np.setdiff1d(np.arange(t.n), own) + t.first
+                if len(bare):
+                    zero = pa.array(np.zeros(len(bare), np.int64))
+                    yield pa.record_batch([a.take(pa.array(bare)), r.take(pa.array(bare)), zero.cast(pa.int32()), zero, zero, pa.nulls(len(bare), pa.binary())], names=NAMES)
                 if not len(own):
                     continue
                 v, edges = tk.shingle_sets(h, item, len(own), K)
-                waiting.append((v >> _U(64 - SKETCH_BITS)).astype(np.int32))
-                size += len(v)
-                if size > 4_000_000:
-                    seen, size = seen + add(), 0
+                np.add.at(sketch, (v >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
                 h1, h2 = fingerprints(v, edges)
-                yield pa.record_batch([ids.take(pa.array(own + t.first)), pa.array(number), pa.array(np.diff(edges).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bitmaps(v, edges)], names=["a", "b", "n", "h1", "h2", "bits"])
-        if waiting:
-            seen += add()
-        hot = np.flatnonzero(sketch >= 8 + 2 * seen // (1 << SKETCH_BITS))
+                of = pa.array(own + t.first)
+                yield pa.record_batch([a.take(of), r.take(of), pa.array(np.diff(edges).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bitmaps(v, edges)], names=NAMES)
+        hot = np.flatnonzero(sketch >= 8 + 2 * int(sketch.sum(dtype=np.int64)) // (1 << SKETCH_BITS))
         none = np.zeros(len(hot), np.int64)
-        yield pa.record_batch([pa.array(hot.astype(np.int64)), pa.array(none.astype(np.int32)), pa.array((none - 1).astype(np.int32)), pa.array(sketch[hot]), pa.array(none), pa.nulls(len(hot), pa.binary())], names=["a", "b", "n", "h1", "h2", "bits"])
+        yield pa.record_batch([pa.array(hot.astype(np.int64)), pa.array(none), pa.array((none - 1).astype(np.int32)), pa.array(sketch[hot].astype(np.int64)), pa.array(none), pa.nulls(len(hot), pa.binary())], names=NAMES)
 
-    return docs.mapInArrow(rows, "a long, b int, n int, h1 long, h2 long, bits binary")
+    return docs.mapInArrow(rows, "a long, r long, n int, h1 long, h2 long, bits binary")
 
 
 def levels(keyed: DataFrame) -> np.ndarray:
@@ -148,7 +138,7 @@ def shared_names(items: DataFrame) -> dict[tuple[int, int], int]:
     return {(r["h1"], r["h2"]): (r["h1"] ^ (r["h2"] * 0x5851F42D4C957F2D)) % 2**63 for r in clash}
 
 
-def postings(docs: DataFrame, lines: bool, level, buckets: int, renamed: dict) -> DataFrame:
+def postings(docs: DataFrame, level, buckets: int, renamed: dict) -> DataFrame:
     """Prefix shingles of the classes of each task as packed arrays: (bucket, tags, ids, sizes)."""
 
     def rows(batches):
@@ -166,7 +156,7 @@ def postings(docs: DataFrame, lines: bool, level, buckets: int, renamed: dict) -
 
         for batch in batches:
             for t in tk.slices(batch.column("text"), lower=True):
-                h, item, own, _ = item_words(t, lines)
+                h, item, own = item_words(t)
                 if not len(own):
                     continue
                 v, by = tk.shingles(h, item, len(own), K)
@@ -235,26 +225,6 @@ def shared_lists(batches):
         yield out
 
 
-def class_texts(docs: DataFrame, first: DataFrame, lines: bool) -> DataFrame:
-    """(id, text) of the items (id, a, b)."""
-    if not lines:
-        wanted = first.select("id", F.col("a").alias("doc_id"))
-        return docs.join(wanted.hint("shuffle_hash"), "doc_id").select("id", "text")
-    of_doc = first.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("b", "id")).alias("wanted"))  # a document's own lines
-
-    def cut(batches):
-        for batch in batches:
-            ids, text = [], []
-            for t, w in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                parts = (t or "").split("\n")
-                for x in w:
-                    if x["b"] < len(parts):
-                        ids.append(x["id"]), text.append(parts[x["b"]])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(text, pa.string())], names=["id", "text"])
-
-    return docs.join(of_doc.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(cut, "id long, text string")
-
-
 def bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Those of pairs (c, x, xn, ...) that the bitmaps of marks (id, n, bits) leave possible."""
     named = pairs.columns
@@ -354,22 +324,6 @@ def _sizes_around(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return -(-NUM * n // DEN), DEN * n // NUM
 
 
-def with_partner(batches):
-    """Rows sorted by list: those with a row of another component and a fitting size in their list."""
-    for t, whole in grouped(batches, ["list"], HELD_ROWS):
-        if whole:
-            g, n, part = _groups(t, ["list"]), t.column("n").to_numpy().astype(np.int64), t.column("part").to_numpy()
-            low, high = _sizes_around(n)
-            _, own = np.unique(np.stack([g, part], 1), axis=0, return_inverse=True)
-
-            def within(of, top=int(high.max()) + 2):
-                key = np.sort(of.reshape(-1) * top + n)
-                return np.searchsorted(key, of.reshape(-1) * top + high, "right") - np.searchsorted(key, of.reshape(-1) * top + low)
-
-            t = t.filter(pa.array(within(g) > within(own)))
-        yield from t.to_batches()
-
-
 class Marks:
     """Bitmaps of a binary column, as matrices by width."""
 
@@ -400,8 +354,8 @@ class Marks:
 def tile_pairs(nearest: bool):
     """Of rows sorted by tile: pairs of different components whose bitmaps allow a link; each class's nearest only, or all.
 
-    Only rows outside the tile's largest component look for partners: of two components one is not the largest. A task
-    combines what its tiles give before it hands it on: lists of one centre hold the same pairs again and again.
+    Only members outside the list's largest component look for partners: of two components one is not the largest. A task
+    combines what its tiles give before it hands it on: many lists hold the same pairs.
     """
 
     def combined(held):
@@ -428,32 +382,27 @@ def tile_pairs(nearest: bool):
             yield pa.record_batch([pa.array(k) for k in combined(held)], names=["c", "x", "xn", "d"])
 
     def found(batches):
-        for t, _ in grouped(batches, ["list", "i", "j"], 1 << 30):  # a tile has two blocks of about TILE rows
-            g, n, ids = _groups(t, ["list", "i", "j"]), t.column("n").to_numpy().astype(np.int64), t.column("id").to_numpy()
-            side = np.where(t.column("i").to_numpy() == t.column("j").to_numpy(), -1, t.column("side").to_numpy())
-            _, own, size = np.unique(np.stack([g, t.column("part").to_numpy()], 1), axis=0, return_inverse=True, return_counts=True)
-            own = own.reshape(-1)
-            by_size = np.lexsort((own, size[own], g))
-            last = np.append(g[1:] != g[:-1], True)
-            largest = np.repeat(own[by_size][np.flatnonzero(last)], np.bincount(g))
+        for t, _ in grouped(batches, ["list", "band", "block"], 1 << 30):  # about TILE members and the list's seekers
+            g, n, ids = _groups(t, ["list", "band", "block"]), t.column("n").to_numpy().astype(np.int64), t.column("id").to_numpy()
+            part, asks, seeks = (t.column(k).to_numpy(zero_copy_only=False) for k in ("part", "asks", "seeks"))
             low, high = _sizes_around(n)
             top = int(high.max()) + 2
-            order = np.argsort(g * top + n, kind="stable")
-            key = (g * top + n)[order]
-            seek = np.flatnonzero(own != largest)
+            held, seek = np.flatnonzero(~asks), np.flatnonzero(asks)
+            held = held[np.argsort((g * top + n)[held], kind="stable")]
+            key = (g * top + n)[held]
             begin, end = np.searchsorted(key, g[seek] * top + low[seek]), np.searchsorted(key, g[seek] * top + high[seek], "right")
             marks = Marks(t.column("bits"))
             pairs = np.cumsum(end - begin)
             at = 0
             while at < len(seek):
                 to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + 500_000, "right")))
-                i, j = np.repeat(seek[at:to], (end - begin)[at:to]), order[tk.ragged(begin[at:to], (end - begin)[at:to])]
-                ok = (own[i] != own[j]) & ((side[i] < 0) | (side[i] != side[j]))
+                i, j = np.repeat(seek[at:to], (end - begin)[at:to]), held[tk.ragged(begin[at:to], (end - begin)[at:to])]
+                ok = part[i] != part[j]
                 i, j = i[ok], j[ok]
                 d = marks.differing(i, j)
                 ok = may_link(n[i], n[j], d)
                 if not nearest:  # a pair that both seek comes once
-                    ok &= (ids[i] < ids[j]) | (own[j] == largest[j])
+                    ok &= (ids[i] < ids[j]) | ~seeks[j]
                 i, j, d = i[ok], j[ok], d[ok]
                 if nearest:
                     by = np.lexsort((j, d, i))
@@ -465,87 +414,103 @@ def tile_pairs(nearest: bool):
     return rows
 
 
-def classes(docs: DataFrame, lines: bool = False) -> DataFrame:
-    """(a, b, n, ca, cb): each item with words, its set's size, and the smallest item of its component.
-
-    docs has doc_id and text; rows whose doc_id is null are left out; rows of one doc_id are items of one name and several sets.
+def classes(docs: DataFrame) -> DataFrame:
+    """(a, r, n, component_id, stays) of each row of docs(doc_id, text): its key, its set's size, the smallest doc_id of its component, and
+    whether it is the first row of its component, by doc_id (null last) and a hash of its text. Without words: n is 0, and it stays.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    docs = common.keyed(docs.select("doc_id", "text")).select("a", "r", "text")
     parts = common.reduce_partitions(spark)
-    keyed = common.written(keys(docs, lines), "keys")
+    keyed = common.written(keys(docs), "keys")
     level = spark.sparkContext.broadcast(levels(keyed))
     items = keyed.where("n > 0")
     renamed = shared_names(items)
-    name = F.col("h1")
-    for (h1, h2), other in renamed.items():
-        name = F.when((F.col("h1") == h1) & (F.col("h2") == h2), F.lit(other)).otherwise(name)
-    items = items.withColumn("id", name)
-    # (a, b) as one number, of which minima need no sort
-    place = F.col("a").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("b")
-
-    packed = postings(docs, lines, level, 4 * parts, renamed).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    lists = common.written(packed.mapInArrow(shared_lists, "list long, id long, n int").distinct(), "raw")
-    degree = lists.groupBy("id").agg(F.count("*").alias("degree"))
+    items = items.withColumn("id", F.col("h1"))
+    if renamed:  # as few rows as names that clash
+        other = spark.createDataFrame([(*k, v) for k, v in renamed.items()], "h1 long, h2 long, other long")
+        items = items.join(F.broadcast(other), ["h1", "h2"], "left").withColumn("id", F.coalesce("other", "h1")).drop("other")
+    # (a, r) as one number, of which minima need no sort; rows without a doc_id come last
+    place = F.col("a").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("r") + F.when(F.col("r") >= 1 << 31, F.lit(1 << 62).cast("decimal(20,0)") * F.lit(1 << 36).cast("decimal(12,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+
+    packed = postings(docs, level, 4 * parts, renamed).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    raw = common.written(packed.mapInArrow(shared_lists, "list long, id long, n int").distinct(), "raw")
+    degree = raw.groupBy("id").agg(F.count("*").alias("degree"))
     rank = F.shiftleft(F.least(F.col("degree"), F.lit((1 << 22) - 1)), 40) + F.col("id").bitwiseAND((1 << 40) - 1)
-    center = common.written(lists.join(degree, "id").groupBy("list").agg(F.max_by("id", rank).alias("c"), F.max_by("n", rank).alias("cn")), "centers")
-    lists = common.written(lists.join(center, "list"), "lists")
+    center = raw.join(degree, "id").groupBy("list").agg(F.max_by("id", rank).alias("c"), F.max_by("n", rank).alias("cn"))
+    lists = common.written(raw.join(center, "list"), "lists")
+    common.discard(raw)
     # one item of each class that is in a list; copies are combined before they are joined
     low = items.groupBy("id").agg(F.min(place).alias("p")).join(lists.select("id").distinct(), "id", "left_semi")
-    first = items.withColumn("p", place).join(low, ["id", "p"]).select("id", "a", "b", "n", "bits").dropDuplicates(["id"])
+    first = items.withColumn("p", place).join(low, ["id", "p"]).select("id", "a", "r", "n", "bits").dropDuplicates(["id"])
     first = common.written(first, "first")
     marks = first.select("id", "n", "bits")
-    texts = common.written(class_texts(docs, first.select("id", "a", "b"), lines), "texts")
+    texts = common.written(docs.join(first.select("id", "a", "r"), ["a", "r"]).dropDuplicates(["a", "r"]).select("id", "text"), "texts")
 
     star = lists.where(f"id <> c AND {DEN} * least(cn, n) >= {NUM} * greatest(cn, n)").groupBy("c", F.col("id").alias("x"), F.col("n").alias("xn")).agg(F.count("*").alias("shared"))
     star = common.written(bounded(star, marks), "star")
     best = star.groupBy("x", "xn").agg(F.max_by("c", F.shiftleft(F.col("shared"), 40) + F.col("c").bitwiseAND((1 << 40) - 1)).alias("c")).select("c", "x", "xn")
     links = common.written(tested(best, texts), "links")
     parts_of = _components(links)
-    links, parts_of = _grown(links, parts_of, _apart(star, parts_of), texts)
-    for k in range(NEAREST_ROUNDS + 1):
-        nearest = k < NEAREST_ROUNDS
+    links, parts_of, _ = _grown(links, parts_of, _apart(star, parts_of), texts)
+    common.discard(star)
+    nearest = True
+    while True:
         tiled = _open_tiles(lists, parts_of, marks, parts)
         found = tiled.mapInArrow(tile_pairs(nearest), "c long, x long, xn int, d int")
         if nearest:
             by = F.shiftleft(F.col("d").cast("long"), 40) + F.col("x").bitwiseAND((1 << 40) - 1)
             found = found.groupBy("c").agg(F.min_by("x", by).alias("x"), F.min_by("xn", by).alias("xn"))
         found = common.written(found.select("c", "x", "xn").distinct(), "tiles")
-        if found.isEmpty():
+        links, parts_of, share = _grown(links, parts_of, found, texts)
+        common.discard(found)
+        if share is None or not nearest:
             break
-        links, parts_of = _grown(links, parts_of, found, texts)
-    of_item = items.select("a", "b", "n", "id").join(parts_of.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    low = common.written(of_item.groupBy("component").agg(F.min(place).alias("p"), F.count("*").alias("k")).where("k > 1").select("component", "p"), "low")
-    unit = F.lit(1 << 31).cast("decimal(11,0)")
-    cb = F.pmod("p", unit)
-    out = of_item.join(low, "component", "left")
-    return out.select("a", "b", "n", F.coalesce(((F.col("p") - cb) / unit).cast("long"), "a").alias("ca"), F.coalesce(cb.cast("int"), "b").alias("cb"))
+        nearest = share >= 0.5
+    of_item = items.select("a", "r", "id").distinct().join(parts_of.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of_item = of_item.withColumn("doc_id", F.when(F.col("r") < 1 << 31, F.col("a"))).withColumn("p", place)
+    of_item = common.written(of_item.select("a", "r", "doc_id", "p", "component"), "of-item")
+    low = common.written(of_item.groupBy("component").agg(F.min("p").alias("low"), F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"), "low")
+    common.discard(lists, texts)
+    judged = of_item.join(low, "component", "left").select("a", "r", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("p") == F.col("low"), F.lit(True)).alias("stays"))
+    rows = keyed.where("n >= 0").select("a", "r", "n")
+    doc_id = F.when(F.col("r") < 1 << 31, F.col("a"))
+    return rows.join(judged, ["a", "r"], "left").select("a", "r", "n", F.coalesce("component_id", doc_id).alias("component_id"), F.coalesce("stays", F.lit(True)).alias("stays"))
 
 
 def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
-    """Members of the lists that hold several components beside their centre, dealt and sorted by pairs of blocks."""
-    placed = lists.where("id <> c").join(parts_of.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    # a power of two of blocks: lists of one centre, which are about as long, are cut alike
-    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / TILE, F.lit(1.0))))).cast("int")
-    rest = placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", blocks.alias("blocks"))
-    apart = placed.join(common.written(rest, "open"), "list").select("list", "c", "id", "n", "part", "blocks").repartition(parts, "list").sortWithinPartitions("list")
-    apart = common.written(apart.mapInArrow(with_partner, "list long, c long, id long, n int, part long, blocks int"), "fitting")
-    marked = apart.join(marks.select("id", "bits"), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiled = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("c", "list", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "id", "n", "part", "bits", "side")
-    return tiled.repartition(parts, "c", "i", "j").sortWithinPartitions("list", "i", "j", "id")
-
-
-def _grown(links: DataFrame, parts_of: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links and their components after tests of more pairs."""
-    if pairs.isEmpty():
-        return links, parts_of
+    """Members of the lists that hold several components beside their centre, by tile: (list, size band, block)."""
+    placed = lists.where("id <> c").join(parts_of.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("int")
+    placed = placed.select("list", "id", "n", F.coalesce("part", "id").alias("part"), band.alias("band"))
+    shares = placed.groupBy("list", "part").agg(F.count("*").alias("k"))
+    main = shares.groupBy("list").agg(F.max_by("part", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("list", "main")
+    member = common.written(placed.join(main, "list").withColumn("seeks", F.col("part") != F.col("main")).drop("main"), "open")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    seekers = member.where("seeks").select("list", "id", "n", "part", near)
+    # a band without seekers around it, or whose only member seeks, has no tile
+    sizes = member.groupBy("list", "band").agg(F.count("*").alias("size"), F.min("id").alias("lone"))
+    asked = seekers.groupBy("list", "band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / TILE, F.lit(1.0))))).cast("int").alias("blocks")
+    bands = common.written(sizes.join(asked, ["list", "band"]).where("NOT (size = 1 AND lo = hi AND lone = lo)").select("list", "band", blocks), "bands")
+    held = member.join(bands, ["list", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    asking = seekers.join(bands, ["list", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("seeks", F.lit(True))
+    cols = ["list", "band", "block", "id", "n", "part", "seeks"]
+    both = held.select(*cols, F.lit(False).alias("asks")).union(asking.select(*cols, F.lit(True).alias("asks")))
+    return both.join(marks.select("id", "bits"), "id").repartition(parts, "list", "band", "block").sortWithinPartitions("list", "band", "block", "id")
+
+
+def _grown(links: DataFrame, parts_of: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, float | None]:
+    """links and their components after tests of more pairs, and the share of these that link; None if there are none."""
+    wanted = pairs.count()
+    if not wanted:
+        return links, parts_of, None
     more = common.written(tested(pairs, texts), "links")
-    if more.isEmpty():
-        return links, parts_of
-    links = links.union(more)
-    return links, _components(links)
+    n = more.count()
+    if n:
+        links = links.union(more)
+        parts_of = _components(links)
+    return links, parts_of, n / wanted
 
 
 def _apart(pairs: DataFrame, parts_of: DataFrame) -> DataFrame:

@@ -1,18 +1,14 @@
-"""op6 and op7: n-gram Jaccard join of documents, and removal of lines that resemble earlier ones.
+"""op6: n-gram Jaccard join of documents.
 
-Both take a set's elements from :mod:`moodtide.llm.setsim`: 5-word shingles of A-Z lower-cased words (fewer words: the
-whole sequence), linked at a Jaccard similarity of at least 3/4, closed transitively.
+A set's elements are 5-word shingles of A-Z lower-cased words (fewer words: the whole sequence), linked at a Jaccard
+similarity of at least 3/4, closed transitively; see :mod:`moodtide.llm.setsim`.
 
-Documents: null, empty and blank texts have no shingle and are components of their own. Rows of one
-doc_id share a component. A null doc_id has a null component. Lines: of each component of lines only the first one, by
-(doc_id, line number), stays; lines without a word always stay. A text of which every line with a word is removed is
-``emptied``. Texts keep their other lines, joined by line breaks; null stays null. Empty tables give empty
-results; other columns are ignored (op6) or kept (``without_repeated_lines``).
+Null, empty and blank texts have no shingle and are components of their own. Rows of one doc_id are judged each by its own text. A
+row without a doc_id links like others; its component is null if no linked row has one. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,59 +17,27 @@ from moodtide.llm import common, setsim
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
-    found = setsim.classes(docs).groupBy("a").agg(F.max("n").alias("n"), F.min("ca").alias("ca"))
-    ids = docs.select("doc_id")
-    out = ids.join(found, ids.doc_id == found.a, "left")
-    return out.select("doc_id", F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n_shingles"), F.coalesce("ca", "doc_id").alias("component_id"))
+    doc_id = F.when(F.col("r") < 1 << 31, F.col("a"))
+    return setsim.classes(docs).select(doc_id.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of the smallest doc_id of each component; of rows of one doc_id the one whose text sorts first."""
-    stays = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(stays, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)
-    return named.union(docs.where("doc_id IS NULL"))
+    """The rows of docs, all columns, that are the first of their component, by doc_id (null last) and a hash of the text.
 
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, kept_doc_id, kept_line_no) of each line that resembles an earlier one, with the one that stays."""
-    return setsim.classes(docs, lines=True).where("NOT (a = ca AND b = cb)").select(F.col("a").alias("doc_id"), F.col("b").alias("line_no"), F.col("ca").alias("kept_doc_id"), F.col("cb").alias("kept_line_no")).distinct()
-
-
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with texts cut, and n_lines (with a word), n_removed and emptied."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # a document's own lines
-    added = {"n_lines", "n_removed", "emptied"}
-    docs = docs.drop(*added)  # columns of the result's names give way to it
-    names = docs.columns
-
-    def cut(batches):
-        for b in batches:
-            texts, lines, removed = [], [], []
-            for text, out in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True):
-                parts = (text or "").split("\n")
-                full = [bool(p.strip(" \t\n\v\f\r")) for p in parts]
-                out = set(out or ())
-                texts.append(text if not out else "\n".join(p for k, p in enumerate(parts) if k not in out))
-                lines.append(sum(full))
-                removed.append(len(out))
-            empty = [n > 0 and n == r for n, r in zip(lines, removed, strict=True)]
-            cols = {c: b.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "emptied": pa.array(empty)}
-            yield pa.record_batch(list(cols.values()), names=list(cols))
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_lines long, n_removed long, emptied boolean"
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select(*names, "_gone").mapInArrow(cut, schema)
+    Of rows equal in doc_id and text one stays. Rows without words stay, all of them.
+    """
+    a, r, n, rank = (common.fresh(docs, k) for k in ("a", "r", "n", "rank"))
+    stays = setsim.classes(docs).where("stays").select(F.col("a").alias(a), F.col("r").alias(r), F.col("n").alias(n)).distinct()
+    kept = common.keyed(docs, a, r).join(stays, [a, r])
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.row_number().over(Window.partitionBy(a, r).orderBy(F.xxhash64(*plain)))
+    return kept.withColumn(rank, order).where((F.col(n) == 0) | (F.col(rank) == 1)).select(*docs.columns)
 
 
 def op6_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "emptied", "text")
-
-
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _COMPONENTS = r"""
 s AS (SELECT DISTINCT k, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
@@ -82,14 +46,7 @@ p AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AN
 l AS (SELECT x, y FROM p JOIN n a ON a.k = x JOIN n b ON b.k = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 r AS (SELECT k, k AS o FROM n UNION SELECT r.k, l.y FROM r JOIN l ON l.x = r.o),
 comp AS (SELECT k, min(o) AS component FROM r GROUP BY 1)"""
-ORACLE_DOCUMENTS = rf"""
+ORACLE = rf"""
 WITH RECURSIVE w AS (SELECT doc_id AS k, regexp_extract_all({_LOW.format('text')}, '[^\x20\x09-\x0D]+') AS ws FROM documents), {_COMPONENTS}
 SELECT k AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, k) AS component_id FROM w LEFT JOIN n USING (k) LEFT JOIN comp USING (k)
 """
-ORACLE_LINES = rf"""
-WITH RECURSIVE lines AS (SELECT doc_id, i, line, doc_id * 1000000 + i AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
-w AS (SELECT k, regexp_extract_all({_LOW.format('line')}, '[^\x20\x09-\x0D]+') AS ws FROM lines), {_COMPONENTS}
-SELECT d.doc_id, count(component)::BIGINT AS n_lines, count(*) FILTER (component <> k)::BIGINT AS n_removed, count(component) > 0 AND count(component) = count(*) FILTER (component <> k) AS emptied,
-       CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (component IS NULL OR component = k), '') END AS text
-FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN comp USING (k) GROUP BY d.doc_id, d.text
-"""

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _RNG = np.random.default_rng(20240117)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)

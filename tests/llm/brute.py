@@ -52,3 +52,16 @@ def contamination(text: str | None, items: list[tuple]) -> tuple[int, int, list[
                 hit.update(range(i, i + k))
                 found.add(str(item))
     return len(words), len(hit), sorted(found)
+
+
+def line_rows(rows: list[tuple]) -> dict:
+    """Lines that go, by (doc_id, line number): those with an earlier line of a word-set similarity of at least 0.8. doc_ids are unique."""
+    seen, gone = [], set()
+    for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0)):
+        for k, line in enumerate(t.split("\n")):
+            s = frozenset(re.findall(BLANK, low(line)))
+            if s:
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                    gone.add((i, k))
+                seen.append(s)
+    return gone

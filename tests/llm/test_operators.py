@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from moodtide.llm import common, decontamination, html_extraction, language, packing, quality_model, quality_rules, registry, setsim, similarity, token_file, url_filter
+from moodtide.llm import common, decontamination, html_extraction, language, line_join, packing, quality_model, quality_rules, registry, setsim, similarity, token_file, url_filter
 from tests.llm import brute
 from tests.oracle import rows_of, sql_rows
 
@@ -78,32 +78,86 @@ def test_near_duplicates_with_small_tiles(spark, monkeypatch):
 
 
 def test_near_duplicates_repeated_and_null_ids(spark):
-    rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "q r s t u v w"), (None, "a b c d e f g")]
+    """Rows are compared by their own texts, whatever their ids."""
+    rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "q r s t u v w"), (None, "a b c d e f g"), (None, "k l m n o p q"), (None, "k l m n o p q"), (3, None), (3, ""), (4, "q r s t u v w"), (4, "q r s t u v w")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in similarity.near_duplicates(df).collect()), key=str)
-    assert got == [(1, 1), (1, 1), (2, 1), (None, None)]
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (None, 1), (None, None), (None, None), (3, 3), (3, 3), (4, 1), (4, 1)], key=str)
     kept = similarity.one_of_each(df).collect()
-    assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept) == [("1", "a"), ("None", "a")]
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:1]) for r in kept) == [("1", "a"), ("1", "q"), ("3", ""), ("3", ""), ("None", "k")]
+    same = spark.createDataFrame([(7, "a b c d e f g")] * 3, "doc_id long, text string")
+    assert similarity.one_of_each(same).count() == 1 and similarity.near_duplicates(same).count() == 3
     assert similarity.near_duplicates(df.where("doc_id = 77")).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 3])
-def test_repeated_lines(spark, seed):
-    rows = documents(seed)
-    lines = [((i, k), x) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
-    _, component = brute.components(lines)
-    gone = {k for k, c in component.items() if k != c}
-    got = similarity.without_repeated_lines(frame(spark, rows)).collect()
+def check_lines(spark, rows):
+    gone = brute.line_rows(rows)
+    got = line_join.without_repeated_lines(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     for r in got:
-        own = (dict(rows)[r["doc_id"]] or "").split("\n")
-        left = [x for k, x in enumerate(own) if (r["doc_id"], k) not in gone]
         text = dict(rows)[r["doc_id"]]
+        own = (text or "").split("\n")
+        left = [x for k, x in enumerate(own) if (r["doc_id"], k) not in gone]
         assert r["text"] == (text if len(left) == len(own) else "\n".join(left))
-        full = [k for k in range(len(own)) if (r["doc_id"], k) in component]
-        assert (r["n_lines"], r["n_removed"], r["emptied"]) == (len(full), len(own) - len(left), bool(full) and len(own) - len(left) == len(full))
+        full = sum(bool(re.search(brute.BLANK, x)) for x in own)
+        assert (r["n_lines"], r["n_removed"], r["emptied"]) == (full, len(own) - len(left), full > 0 and len(own) - len(left) == full)
         assert r["list"] == "l"
-    assert similarity.without_repeated_lines(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_repeated_lines(spark, seed):
+    check_lines(spark, documents(seed))
+    assert line_join.without_repeated_lines(frame(spark, []).limit(0)).count() == 0
+
+
+def test_repeated_lines_in_many_rounds(spark, monkeypatch):
+    """Long lists, several blocks and several rounds: lines of few words that nearly match, and a group of near copies."""
+    for name, v in {"LONG_LIST": 8, "LEADERS": 2, "MEMBERS": 5, "MORE": 2, "PAIRS": 50}.items():
+        monkeypatch.setattr(line_join, name, v)
+    r = random.Random(11)
+    base = words(r, 40, 10**6).split()
+    rows = []
+    for i in range(60):
+        w = base[:]
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = f"n{r.randrange(12)}"
+        rows.append((i, "\n".join([" ".join(w), " ".join(r.sample([f"c{k}" for k in range(14)], 10)), words(r, 8, 30)])))
+    check_lines(spark, rows)
+
+
+def test_repeated_lines_of_odd_ids(spark):
+    a, b = "one two three four", "five six seven eight"
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, "nine ten"), (5, "x\nx\n\ny"), (5, "x\nx\n\ny"), (6, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "n", i) for i, t in rows], "doc_id long, text string, n_lines string, a long")
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["emptied"], r["a"]) for r in line_join.without_repeated_lines(df).collect()), key=str)
+    want = [(1, a, 1, 0, False, 1), (2, "", 1, 1, True, 2), (2, b, 1, 0, False, 2), (None, "", 1, 1, True, None), (None, "nine ten", 1, 0, False, None), (5, "x\n\ny", 3, 1, False, 5), (5, "x\n\ny", 3, 1, False, 5), (6, None, 0, 0, False, 6), (None, None, 0, 0, False, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_filters_let_every_match_through():
+    """For random sets, some shared word of a matching pair passes all filters."""
+    import numpy as np
+
+    r = random.Random(2)
+    for _ in range(300):
+        x = set(r.sample(range(30), r.randint(1, 25)))
+        y = {v if r.random() < 0.93 else r.randrange(60) for v in x}
+        if 100 * len(x & y) < 80 * len(x | y):
+            continue
+        token = [np.sort(np.array([hash_of(v) for v in s], np.uint64)) for s in (x, y)]
+        n = np.array([len(t) for t in token])
+        prefix, own = line_join.prefix_lengths(n)
+        s0, s1 = line_join.signatures(np.concatenate(token), np.array([0, n[0], n[0] + n[1]]))
+        ok = False
+        for v in set(token[0][: prefix[0]].tolist()) & set(token[1][: prefix[1]].tolist()):
+            pos = np.array([token[0].tolist().index(v), token[1].tolist().index(v)])
+            m = line_join.Members(np.where(pos < own, n, -n), pos, n, n, s0, s1)
+            ok |= bool(m.score(np.array([0]), np.array([1]))[0])
+        assert ok
+
+
+def hash_of(v: int) -> int:
+    return int.from_bytes(hashlib.sha256(str(v).encode()).digest()[:8], "little")
 
 
 def test_classes_named_alike_are_told_apart(spark):

@@ -22,14 +22,12 @@ def test_stages(spark):
         if name == "language":
             assert set(before) - set(after) <= {i for i, t in before.items() if not re.search(r"[^\W\d_]", t or "") or len(t) < 40}
         elif name == "lines":
-            lines = [((i, k), x) for i, t in before.items() for k, x in enumerate((t or "").split("\n"))]
-            _, component = brute.components(lines)
-            want = {}
+            gone, want = brute.line_rows(list(before.items())), {}
             for i, t in before.items():
                 own = (t or "").split("\n")
-                left = [x for k, x in enumerate(own) if component.get((i, k), (i, k)) == (i, k)]
-                if any(component.get((i, k)) == (i, k) for k in range(len(own))) or not any((i, k) in component for k in range(len(own))):
-                    want[i] = "\n".join(left)
+                full = [k for k, x in enumerate(own) if re.search(brute.BLANK, x)]
+                if not full or any((i, k) not in gone for k in full):
+                    want[i] = "\n".join(x for k, x in enumerate(own) if (i, k) not in gone)
             assert after == want
         elif name == "near_duplicates":
             _, component = brute.components(list(before.items()))
