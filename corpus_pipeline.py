@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm import common, decontamination, language, packing, similarity, token_file
+from moodtide.llm import common, decontamination, language, line_join, packing, similarity, token_file
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that resemble earlier ones; a document that loses every line goes."""
-    cut = similarity.without_repeated_lines(docs).where("NOT emptied")
+    """Documents without the lines that match an earlier one; a document that loses every line goes."""
+    cut = line_join.without_repeated_lines(docs).where("NOT emptied")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -49,9 +49,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = common.table(spark, sf_dir, "documents")
+    out, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = common.written(stage(spark, out, sf_dir), f"stage-{name}")
+        if before is not None:
+            common.discard(before)
+        before = out
     return out
 
 
