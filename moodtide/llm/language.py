@@ -4,11 +4,13 @@ A model holds a probability of each hashed byte 4-gram (letters lower-cased, all
 blank) in each language. N-grams with like likelihood profiles share a class, so that a document is a
 short count vector over classes, whose likelihoods are exact sums over the members. EM estimates the mixture
 weights on a language set; the set grows greedily from the best single language while the penalised log-likelihood
-rises. The largest weight names the language, and is the score.
+rises. The largest weight names the language; the score is that weight times the posterior of the first language
+alone, so that a text of few or undecided n-grams has a low one (1 / languages where it has none).
 
 The model is fitted on at most ``max_docs`` documents of each language, those whose doc_id hashes lowest. A
 text that is null, or has no letter, is ``und`` with score 0, as is every text if no labelled document can be
-learnt from. Copies, ties (the language that sorts first) and other columns change nothing; empty tables give empty results.
+learnt from. Copies, repeated rows, ties (the language that sorts first) and other columns change nothing; null doc_ids are judged, but teach nothing; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from moodtide.llm import common
 from moodtide.llm import textkit as tk
 
-MAX_DOCS, BITS, LEVELS, EM_STEPS, SALTS = 2000, 18, 6, 12, 64
+MAX_DOCS, BITS, PART, LEVELS, EM_STEPS, SALTS = 2000, 18, 1 << 14, 6, 12, 64
 #: A document whose first language has a smaller share is rejected by ``identified``.
 MIN_SCORE = 0.5
 #: Log-likelihood that one more language must add: a part for each n-gram, as neighbours overlap, and a fixed part.
@@ -63,16 +65,33 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
                 for name in np.unique(names):
                     total[name] = total.get(name, 0) + np.bincount(g[(names == name)[own]], minlength=1 << BITS)
         for name, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([name]), pa.array([at.astype(np.int32).tobytes()]), pa.array([n[at].astype(np.int64).tobytes()])], names=["lang", "at", "n"])
+            cells = n.astype(np.int64).reshape(-1, PART)
+            of = np.flatnonzero(cells.any(1))
+            yield pa.record_batch([pa.array([name] * len(of)), pa.array(of.astype(np.int32)), pa.array([cells[i].tobytes() for i in of])], names=["lang", "part", "n"])
 
+    # counts go in parts of cells, each summed in a task of its own: as many numbers a language, whatever the input, reach the driver
+    parts = some.select("lang", "text").mapInArrow(count, "lang string, part int, n binary")
+    summed = parts.repartition(common.reduce_partitions(docs.sparkSession), "lang", "part").sortWithinPartitions("lang", "part").mapInArrow(_added, "lang string, part int, n binary").toArrow()
     counts: dict[str, np.ndarray] = {}
-    for r in some.select("lang", "text").coalesce(16).mapInArrow(count, "lang string, at binary, n binary").toLocalIterator():
-        own = counts.setdefault(r["lang"], np.zeros(1 << BITS))
-        own[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int64)
+    for lang, part, n in zip(*(summed[k].to_pylist() for k in ("lang", "part", "n")), strict=True):
+        counts.setdefault(lang, np.zeros(1 << BITS))[part * PART : (part + 1) * PART] = np.frombuffer(n, np.int64)
     return model_of(counts) if counts else None
 
 
+def _added(batches):
+    """Sums of the counts of rows sorted by language and part."""
+    key, total = None, None
+    for b in batches:
+        for lang, part, n in zip(*(b.column(k).to_pylist() for k in ("lang", "part", "n")), strict=True):
+            if key != (lang, part):
+                if key:
+                    yield pa.record_batch([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])], names=["lang", "part", "n"])
+                key, total = (lang, part), np.zeros(PART, np.int64)
+            total += np.frombuffer(n, np.int64)
+    if key:
+        yield pa.record_batch([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])], names=["lang", "part", "n"])
+
+
 def model_of(counts: dict[str, np.ndarray]) -> dict:
     langs = sorted(counts)
     p = np.stack([counts[k] + 0.05 for k in langs], 1)
@@ -139,13 +158,15 @@ def judge(t: tk.Texts, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
     g, own = grams(t)
     c = len(model["p"])
     begin, code, langs = tk.bounds(own, t.n), model["code"][g].astype(np.int64), np.array(model["langs"], object)
-    step = max(1, (1 << 22) // c)
+    step = max(1, (1 << 20) // c)
     for a in range(0, t.n, step):
         z = min(t.n, a + step)
         cut = slice(begin[a], begin[z])
         h = np.bincount((own[cut] - a) * c + code[cut], minlength=(z - a) * c).reshape(z - a, c).astype(float)
         w = infer(h, model["p"])
-        lang[a:z], score[a:z] = langs[w.argmax(1)], np.clip(w.max(1), 0, 1)
+        ll = h @ np.log(model["p"])
+        alone = np.exp(ll - ll.max(1, keepdims=True))
+        lang[a:z], score[a:z] = langs[w.argmax(1)], np.clip(w.max(1) / alone.sum(1), 0, 1)
     lang[~has], score[~has] = "und", 0
     return lang, score
 

@@ -2,12 +2,13 @@
 
 Only the histogram of lengths (as many numbers as a sequence has tokens) meets on the driver. Lengths
 are binned; patterns of few bins whose upper edges fill a sequence are enumerated; repeat counts are fitted to the
-binned histogram by non-negative least squares and rounded down. What is left over is packed best-fit
-decreasing, also into the room that patterns leave. The plan is a list of runs: so many pieces of one
+binned histogram by non-negative least squares and rounded down. A pattern takes the longest pieces of its bins, and for
+its last two bins the two pieces that fill the sequence best; it repeats while it fills it, or leaves room of use. What is left over, with
+the lengths under 1/32 of a sequence, is packed best-fit decreasing, also into that room. The plan is a list of runs: so many pieces of one
 length, one in each of consecutive sequences, at one offset. A piece's rank among those of its length
 finds its run; ranks are counted in salted groups, so no length meets in one task.
 
-Null or empty text: one piece, the end id alone. Repeated rows and doc_ids are packed each by itself.
+Null or empty text: one piece, the end id alone. Null doc_ids stay null. Repeated rows and doc_ids are packed each by itself.
 Other columns are ignored; no rows give no sequences.
 """
 
@@ -26,6 +27,8 @@ from moodtide.llm import textkit as tk
 from moodtide.llm.token_file import tokenizer_path
 
 SIZE, END_ID, BIN, MOST_PARTS, SALTS = 4096, 1, 64, 5, 256
+#: Bins up to this part of a sequence are left to fill room; room smaller than a bin is of no use.
+FILLERS = 32
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -93,30 +96,73 @@ def patterns(bins: int, present: np.ndarray, most: int = MOST_PARTS) -> list[tup
 
 
 def packing_plan(counts: np.ndarray, size: int = SIZE, width: int = BIN) -> tuple[np.ndarray, int]:
-    """Runs (length, first sequence, pieces, offset) that place counts[k] pieces of length k, and the number of sequences.
+    """Runs (length, first sequence, pieces, offset) that place counts[k] pieces of length k, and the number of sequences."""
+    runs, sequences, left, room = pattern_runs(counts, size, width)
+    return _best_fit(left, size, runs, sequences, room)
 
-    Several shares of the fitted repeats are tried, the rest being left to best fit; the fewest sequences win.
-    """
+
+def pattern_runs(counts: np.ndarray, size: int = SIZE, width: int = BIN) -> tuple[list, int, np.ndarray, list]:
+    """Runs of the fitted patterns, their sequences, the pieces they leave, and the room (space, first sequence, sequences)."""
     bins = -(-size // width)
     binned = np.add.reduceat(counts[1:], np.arange(0, size, width)).astype(float)
-    # bins under a sixteenth of a sequence are left to fill room
-    fitted = np.where(np.arange(1, bins + 1) * width * 16 > size, binned, 0)
+    fitted = np.where(np.arange(1, bins + 1) * width * FILLERS > size, binned, 0)
     some = patterns(bins, fitted > 0)
     matrix = np.zeros((bins, len(some)))
     for j, p in enumerate(some):
         for k in p:
             matrix[k - 1, j] += 1
-    x = nnls(matrix, fitted) if some else np.zeros(0)
-    best = None
-    for share in (1.0, 0.75, 0.5, 0.25, 0.1, 0.04):
-        found = _runs(counts, size, width, some, np.floor(x * share).astype(np.int64))
-        if best is None or found[1] < best[1]:
-            best = found
-    return best
+    repeats = np.floor(nnls(matrix, fitted) + 1e-9).astype(np.int64) if some else np.zeros(0, np.int64)
+    left, runs, sequences, room = counts.astype(np.int64).copy(), [], 0, []
+    for p, wanted in zip(some, repeats.tolist(), strict=True):
+        while wanted > 0:
+            lengths = _pieces(p, left, size, width)
+            space = size - sum(lengths)
+            if len(lengths) < len(p) or 0 < space < width:
+                break
+            need = {length: lengths.count(length) for length in lengths}
+            n = min(wanted, *(int(left[length]) // m for length, m in need.items()))
+            at = 0
+            for length in lengths:
+                runs.append((length, sequences, n, at))
+                left[length] -= n
+                at += length
+            if space:
+                room.append((space, sequences, n))
+            sequences, wanted = sequences + n, wanted - n
+    return runs, sequences, left, room
+
+
+def _pieces(pattern: tuple[int, ...], left: np.ndarray, size: int, width: int) -> list[int]:
+    """Lengths for a pattern's bins: the longest that are left, the last two chosen to fill the sequence best. Fewer if some bin has none."""
+    out: list[int] = []
+
+    def longest(k: int, most: int) -> int:
+        return next((x for x in range(min(most, size), (k - 1) * width, -1) if left[x] > out.count(x)), 0)
+
+    for i, k in enumerate(pattern):
+        space = size - sum(out)
+        if i == len(pattern) - 2:
+            best = (space + 1, 0)
+            for x in range(min(k * width, size), (k - 1) * width, -1):
+                if left[x] > out.count(x):
+                    out.append(x)
+                    y = longest(pattern[-1], space - x)
+                    out.pop()
+                    if y and space - x - y < best[0]:
+                        best = (space - x - y, x)
+                    if not best[0]:
+                        break
+            length = best[1]
+        else:
+            length = longest(k, space if i == len(pattern) - 1 else k * width)
+        if not length:
+            break
+        out.append(length)
+    return out
 
 
-def _runs(counts: np.ndarray, size: int, width: int, some: list[tuple[int, ...]], repeats: np.ndarray) -> tuple[np.ndarray, int]:
-    left, runs, sequences = counts.astype(np.int64).copy(), [], 0
+def _best_fit(left: np.ndarray, size: int, runs: list, sequences: int, spaces: list) -> tuple[np.ndarray, int]:
+    """The runs, and those of the pieces that are left: longest first, each into the smallest room that holds it."""
     room: dict[int, list[tuple[int, int]]] = {}
     open_room: list[int] = []
 
@@ -126,26 +172,8 @@ def _runs(counts: np.ndarray, size: int, width: int, some: list[tuple[int, ...]]
             insort(open_room, space)
         room[space].append((first, n))
 
-    for p, wanted in zip(some, repeats.tolist(), strict=True):
-        while wanted > 0:
-            lengths, need = [], {}
-            for k in p:  # the longest pieces of each bin that are left
-                for length in range(k * width, (k - 1) * width, -1):
-                    if length <= size and left[length] > need.get(length, 0):
-                        lengths.append(length)
-                        need[length] = need.get(length, 0) + 1
-                        break
-            if len(lengths) < len(p):
-                break
-            n = min(wanted, *(int(left[length]) // m for length, m in need.items()))
-            at = 0
-            for length in lengths:
-                runs.append((length, sequences, n, at))
-                left[length] -= n
-                at += length
-            if at < size:
-                leave(size - at, sequences, n)
-            sequences, wanted = sequences + n, wanted - n
+    for x in spaces:
+        leave(*x)
     for length in range(size, 0, -1):
         m = int(left[length])
         while m:

@@ -4,7 +4,8 @@ A text is cut where the file's pre-tokenizer is sure to cut it: before ASCII whi
 non-blank character follows, around a line break, and between an ASCII letter and ASCII punctuation. So
 the ids of a text are those of its pieces one after another. Ids come from a direct-mapped cache of fixed
 size; the distinct pieces of a slice that it lacks go through the library, joined by a separator that has an id of
-its own, and their ids are parted there again.
+its own, and their ids are parted there again. A text that holds an added token's string (``<|endoftext|>``) goes through the
+library whole, which gives that string its own id.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ _SEPARATORS = ("\n", " \x01 ")
 
 
 class PieceEncoder:
-    """Encodes texts with the tokenizers library, ``add_special_tokens=False``; special strings are ordinary text."""
+    """Ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.separator = next((s for s in _SEPARATORS if len(self._ids(s)) == 1 and self._ids(f"x{s} y{s}z") == [*self._ids("x"), *self._ids(s), *self._ids(" y"), *self._ids(s), *self._ids("z")]), None)
         self.mark = self._ids(self.separator)[0] if self.separator else -1
         self.folds = self._ids("ABC") == self._ids("abc")
@@ -76,6 +77,32 @@ class PieceEncoder:
 
     def encode(self, t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and where each text's begin."""
+        ids, begin = self._piecewise(t)
+        odd = self._with_added(t)
+        if not odd:
+            return ids, begin
+        parts, at = [], 0
+        for i in odd:
+            parts += [ids[begin[at] : begin[i]], np.array(self._ids(t.data[t.offs[i] : t.offs[i + 1]].tobytes().decode("utf-8", "replace")), ids.dtype)]
+            at = i + 1
+        length = np.diff(begin)
+        length[odd] = [len(x) for x in parts[1::2]]
+        return np.concatenate([*parts, ids[begin[at] :]]), np.append(0, np.cumsum(length))
+
+    def _with_added(self, t: tk.Texts) -> list[int]:
+        """The texts that hold an added token's string, in any case of letters."""
+        if not self.added:
+            return []
+        raw, found = t.data.tobytes().lower(), set()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                i = int(t.owner(np.array([at]))[0])
+                found.add(i)
+                at = raw.find(content, int(t.offs[i + 1]))
+        return sorted(found)
+
+    def _piecewise(self, t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         data = t.data
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(t.n + 1, np.int64)

@@ -277,8 +277,8 @@ def test_token_files(spark):
     assert token_file.token_file(frame(spark, rows).limit(0), path).count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("group_bytes", [8 << 20, 300])
+def test_decontamination(spark, group_bytes):
     r = random.Random(8)
     items = [(k, words(r, n)) for k, n in enumerate([40, 12, 10, 9, 3, 1, 0, 60])] + [(20, None), (None, words(r, 20)), (0, words(r, 30))]
     long = items[0][1].split()
@@ -286,16 +286,32 @@ def test_decontamination(spark, block_bytes):
     rows = list(enumerate(texts)) + [(0, texts[0])]
     usable = [(i, t) for i, t in items if i is not None and t]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontaminate(frame(spark, rows), bench, block_bytes=block_bytes).collect()
+    got = decontamination.decontaminate(frame(spark, rows), bench, group_bytes=group_bytes).collect()
     assert len(got) == len(rows)
     for x in got:
         n, hit, found = brute.contamination(texts[x["doc_id"]], usable)
         assert (x["n_words"], sum(s["end"] - s["first"] for s in x["spans"]), x["items"]) == (n, hit, found)
-    clean = decontamination.clean(frame(spark, rows), bench, block_bytes=block_bytes)
+    clean = decontamination.clean(frame(spark, rows), bench, group_bytes=group_bytes)
     assert {x["doc_id"] for x in clean.collect()} == {i for i, t in enumerate(texts) if not brute.contamination(t, usable)[2]}
     assert decontamination.decontaminate(frame(spark, rows), bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_decontamination_of_repeated_words(spark):
+    """Time and memory are linear in texts of one word, or of few words, again and again."""
+    import time
+
+    few = " ".join(["a b a"] * 400)
+    rows = [(1, "a " * 1_000_000), (2, few * 3), (3, "b " * 9), (None, "x " + few), (None, None)]
+    items = [("i", "a " * 1000), ("j", few), ("k", "b " * 9)]
+    began = time.time()
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert time.time() - began < 60
+    got = {(x["doc_id"], x["n_words"]): (sum(s["end"] - s["first"] for s in x["spans"]), x["items"]) for x in got}
+    assert got[1, 1_000_000] == (1_000_000, ["i"]) and got[3, 9] == (9, ["k"]) and got[None, 1201] == (1200, ["j"]) and got[None, 0] == (0, [])
+    n, hit, found = brute.contamination(few * 3, items)
+    assert got[2, n] == (hit, found)
+
+
 def test_url_rules_and_aliases(spark):
     canonical = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [
