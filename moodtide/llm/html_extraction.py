@@ -10,8 +10,9 @@ Potentials are smoothed counts over labelled pages: elements that carry ``data-y
 what they hold. ``labelled_pages`` writes such pages by rule, in many layouts; own ones may be given.
 
 Character references are decoded; white space of a block becomes one space; blocks are joined in page order by one space.
-Null and empty html give an empty text; unclosed tags end where HTML ends them; an unclosed comment, script or style runs to the end;
-of other left-out elements without a closing tag only the tag is skipped.
+Null and empty html give an empty text; unclosed elements end where HTML ends them; an unclosed comment, script or style, and a tag
+without its ``>``, run to the end; of other left-out elements without a closing tag only the tag is skipped. Labels are read in training
+pages only. Time is linear in the page, whatever it holds.
 Nothing is cut or dropped but by label. Repeated pages are judged each by itself; other columns are ignored.
 """
 
@@ -57,105 +58,168 @@ HINTS = (
     ("content", r"article|content|post|entry|main|story|text|body|prose|page"),
 )
 _HINT = [re.compile(p) for _, p in HINTS]
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"""[\s/]*([^\s/>=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_CLOSED_BY = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in sorted(RAW)}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-_CLOSES_LIKE = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("thead tbody tfoot tr td th", ("table",)), "thead": ("thead tbody tfoot tr td th", ("table",)), "tfoot": ("thead tbody tfoot tr td th", ("table",))}
+#: Elements that the start of another ends, and those within which it does.
+_CLOSES_LIKE = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tfoot tr td th", "table"), "thead": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tfoot tr td th", "table")}
 LENGTHS, SHARES = (1, 25, 80, 250, 1000), (0.01, 0.35, 0.7)
 N_HINTS, N_LENGTHS, N_SHARES = len(HINTS) + 2, len(LENGTHS) + 1, len(SHARES) + 2
 
 
+class _Open:
+    """The open elements: a stack that knows where each tag, and the last block, stands."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def cut(self, size: int) -> None:
+        """Closes the elements above the first size ones."""
+        while len(self.stack) > size:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tags: str) -> int:
+        """The place of the innermost open element of some tags, the page's root apart; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags.split() if self.places.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        """A closing tag; one of an inline element closes nothing beyond the innermost block."""
+        at = self.last(tag)
+        if at and (tag not in INLINE or at > self.blocks[-1]):
+            self.cut(at)
+
+    def start_block(self, tag: str) -> None:
+        """Closes what the start of a block ends."""
+        self.cut(self.blocks[-1] + 1)  # formatting elements don't hold blocks together
+        if tag in _CLOSES_LIKE:
+            likes, within = _CLOSES_LIKE[tag]
+            if (at := self.last(likes)) > self.last(within):
+                self.cut(at)
+        elif self.stack[-1][0] == "p":
+            self.cut(len(self.stack) - 1)
+
+
 class Tree:
-    """Elements of a page in page order: parents, kinds, hints, amounts of text, and the text between."""
+    """Elements of a page in page order: parents, kinds, hints, amounts of text, and the text between; labels of training pages."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, labelled: bool = False):
         self.parent, self.kind, self.hint, self.own, self.linked, self.label = [-1], [KIND_OF["html"]], [0], [0], [0], [None]
         self.pieces: list[tuple[int, str]] = []  # (-1, "") is a border between blocks
-        stack: list[tuple[str, int]] = [("html", 0)]
-        links, at, end = 0, 0, len(html)
+        self.html, self.links, self.labelled = html, False, labelled
+        self.open, self.missing = _Open(), set()
+        self.open.push("html", 0)
+        at, text_from, end = 0, 0, len(html)
         while at < end:
-            m = _TOKEN.search(html, at)
-            stop = m.start() if m else end
-            if stop > at:
-                text = html_lib.unescape(html[at:stop])
-                node = stack[-1][1]
-                size = len(text) if "  " not in text and "\n" not in text else len(" ".join(text.split()))
-                self.own[node] += size
-                self.linked[node] += size * (links > 0)
-                self.pieces.append((node, text))
-            if not m:
-                break
-            at = m.end()
-            if m[2]:
-                tag, attrs = m[2].lower(), m[3]
-                if tag in RAW:
-                    if not attrs.rstrip().endswith("/"):
-                        close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
-                        rest = html.find(">", close.start()) if close else -1
-                        at = rest + 1 if rest >= 0 else end if close or tag in RUNS_ON else at
-                    continue
-                if tag in VOID or tag in INLINE and attrs.rstrip().endswith("/") and not attrs.rstrip().endswith("=/"):
-                    if tag in ("br", "hr"):
-                        self.pieces.append((-1, ""))
-                    continue
-                inline = tag in INLINE
-                hint, label = self._hint(attrs) if attrs else (0, None)
-                if tag == "a":
-                    links = 1
-                if inline and not hint and label is None:
-                    continue
-                if not inline:
-                    links = 0
-                    self.pieces.append((-1, ""))
-                    self._close_implied(stack, tag)
-                    if tag in ("html", "body") and len(stack) == 1:
-                        continue
-                parent = stack[-1][1]
-                self.parent.append(parent), self.kind.append(KIND_OF.get(tag, OTHER)), self.hint.append(hint), self.own.append(0), self.linked.append(0)
-                self.label.append(self.label[parent] if label is None else label)
-                stack.append((tag, len(self.parent) - 1))
-            elif m[1]:
-                tag = m[1].lower()
-                if tag == "a":
-                    links = 0
-                if tag not in INLINE:
-                    self.pieces.append((-1, ""))
-                    links = 0
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                    if tag in INLINE and stack[i][0] not in INLINE:
-                        break
-
-    @staticmethod
-    def _close_implied(stack: list[tuple[str, int]], tag: str) -> None:
-        while len(stack) > 1 and stack[-1][0] in INLINE:  # formatting elements don't hold blocks together
-            stack.pop()
-        if tag in _CLOSES_LIKE:
-            likes, within = _CLOSES_LIKE[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in likes.split():
-                    del stack[i:]
-                    break
-        elif stack[-1][0] == "p":
-            stack.pop()
-
-    @staticmethod
-    def _hint(attrs: str) -> tuple[int, int | None]:
+            stop = html.find("<", at)
+            after = html[stop + 1 : stop + 2] if stop >= 0 else ""
+            if stop >= 0 and not (after in ("!", "?") and after or after.isascii() and after.isalpha() or after == "/" and html[stop + 2 : stop + 3].isalpha()):
+                at = stop + 1  # a character like others
+                continue
+            self._text(text_from, stop if stop >= 0 else end)
+            if stop < 0:
+                return
+            at = text_from = self._mark_up(stop, after)
+        self._text(text_from, end)
+
+    def _text(self, start: int, stop: int) -> None:
+        if stop <= start:
+            return
+        text = html_lib.unescape(self.html[start:stop])
+        node = self.open.stack[-1][1]
+        size = len(text) if "  " not in text and "\n" not in text else len(" ".join(text.split()))
+        self.own[node] += size
+        self.linked[node] += size * self.links
+        self.pieces.append((node, text))
+
+    def _find(self, what: str, at: int) -> int:
+        """The place behind the next of what; the end of the page if there is none."""
+        found = self.html.find(what, at)
+        return found + len(what) if found >= 0 else len(self.html)
+
+    def _mark_up(self, at: int, after: str) -> int:
+        """Reads the tag, comment or declaration at a place, and tells where it ends."""
+        if after in "!?":
+            return self._find("-->", at + 4) if self.html.startswith("<!--", at) else self._find(">", at)
+        name = _NAME.match(self.html, at + 1 + (after == "/"))
+        tag = name[0].lower()
+        if after == "/":
+            to = self._find(">", name.end())
+            if tag == "a":
+                self.links = False
+            if tag not in INLINE:
+                self.pieces.append((-1, ""))
+                self.links = False
+            self.open.end(tag)
+            return to
+        to, attrs = self._attributes(name.end())
+        closed = self.html.endswith("/>", at, to) and self.html[to - 3 : to - 2] != "="
+        if tag in RAW:
+            return to if closed else self._raw(tag, to)
+        if tag in VOID or tag in INLINE and closed:
+            if tag in ("br", "hr"):
+                self.pieces.append((-1, ""))
+            return to
+        hint, label = self._hint(attrs) if attrs else (0, None)
+        inline = tag in INLINE
+        if tag == "a":
+            self.links = True
+        if inline and not hint and label is None:
+            return to
+        if not inline:
+            self.links = False
+            self.pieces.append((-1, ""))
+            self.open.start_block(tag)
+            if tag in ("html", "body") and len(self.open.stack) == 1:
+                return to
+        parent = self.open.stack[-1][1]
+        self.parent.append(parent), self.kind.append(KIND_OF.get(tag, OTHER)), self.hint.append(hint), self.own.append(0), self.linked.append(0)
+        self.label.append(self.label[parent] if label is None else label)
+        self.open.push(tag, len(self.parent) - 1)
+        return to
+
+    def _attributes(self, at: int) -> tuple[int, list[tuple[str, str]]]:
+        """Where a tag ends, and its attributes."""
+        out, end = [], len(self.html)
+        while at < end:
+            m = _ATTR.match(self.html, at)
+            if m:
+                out.append((m[1].lower(), (m[2] or m[3] or m[4] or "").lower()))
+                at = m.end()
+            elif self.html[at] == ">":
+                return at + 1, out
+            else:
+                at += 1
+        return end, out
+
+    def _raw(self, tag: str, at: int) -> int:
+        """Where a left-out element that begins before a place ends."""
+        close = None if tag in self.missing else _CLOSED_BY[tag].search(self.html, at)
+        if close:
+            return self._find(">", close.start())
+        self.missing.add(tag)
+        return len(self.html) if tag in RUNS_ON else at
+
+    def _hint(self, attrs: list[tuple[str, str]]) -> tuple[int, int | None]:
         found, label, words = 0, None, []
-        for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        for name, value in attrs:
             if name in ("class", "id", "role", "aria-label", "itemprop"):
                 words.append(value)
-            elif name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value == "true":
+            elif name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value == "true" or name == "hidden":
                 found = N_HINTS - 1
-            elif name == "data-y":
+            elif self.labelled and name == "data-y" and value in ("0", "1"):
                 label = int(value)
-        if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
-            found = N_HINTS - 1
         if words and not found:
             joined = " ".join(words)
             found = next((i for i, p in enumerate(_HINT, 1) if p.search(joined)), 0)
@@ -178,7 +242,7 @@ def fit(pages: list[str]) -> dict:
     edge, obs = np.ones((OTHER + 1, 2, 2)), [np.ones((2, n)) for n in (OTHER + 1, N_HINTS, N_LENGTHS, N_SHARES)]
     root = np.ones(2)
     for page in pages:
-        t = Tree(page)
+        t = Tree(page, labelled=True)
         amount, share = t.traits()
         y = t.label[:]
         size = [t.own[i] * (y[i] is not None) for i in range(len(y))]

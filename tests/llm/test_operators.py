@@ -350,6 +350,23 @@ def test_main_text(spark):
     assert next(r["text"] for r in got if r["page_id"] == 5).startswith("lone text")
 
 
+@pytest.mark.parametrize("unit", ['<a b="', "<a b='", "<p class=x", '<div class="a">', "<div></span>", "<i class=ad>", "<b id=x></i>", "<li>", "<div><li>", "<select>", "<title>", "<!--", "<!x", "</", "< ", "&amp", "<td><p>", "<ul><li><a>", "<x y=z/>", '"<p a=">', "<a = = ", "<textarea></textare>"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    model = html_extraction.fit(html_extraction.labelled_pages(30))
+    page = "<p>start</p>" + unit * (1_000_000 // len(unit)) + "</div>" * 1000 + "<p>end</p>"
+    began = time.time()
+    html_extraction.extract(page, model)
+    assert time.time() - began < 30
+
+
+def test_own_data_attributes_teach_nothing():
+    model = html_extraction.fit(html_extraction.labelled_pages(60))
+    page = '<article><p data-y="x">A first paragraph that is long enough to be read.</p><p data-y="0">And a second one, also long enough to be read by all.</p></article>'
+    assert html_extraction.extract(page, model) == html_extraction.extract(page.replace(' data-y="x"', "").replace(' data-y="0"', ""), model) != ""
+
+
 def test_marginals_equal_enumeration():
     import itertools
     import math
@@ -373,7 +390,7 @@ def test_held_out_pages_of_other_layouts():
     model = html_extraction.fit(html_extraction.labelled_pages())
     right = wrong = 0
     for page in html_extraction.labelled_pages(150, seed=123):
-        t = html_extraction.Tree(page)
+        t = html_extraction.Tree(page, labelled=True)
         keep = html_extraction.marginals(t, model)
         for node, text in t.pieces:
             if node >= 0 and text.strip():
