@@ -60,6 +60,12 @@ def keyed(docs: DataFrame, a: str = "a", r: str = "r") -> DataFrame:
     return docs.withColumn(a, F.coalesce(F.col("doc_id").cast("long"), h)).withColumn(r, h.bitwiseAND(0x7FFFFFFF) + F.when(F.col("doc_id").isNull(), F.lit(1 << 31)).otherwise(F.lit(0)))
 
 
+def row_place(a: str = "a", r: str = "r") -> Column:
+    """A row's place by its key, null doc_ids last, as one number, of which minima need no sort."""
+    last = F.lit(1 << 62).cast("decimal(20,0)") * F.lit(1 << 36).cast("decimal(12,0)")
+    return F.col(a).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col(r) + F.when(F.col(r) >= 1 << 31, last).otherwise(F.lit(0).cast("decimal(20,0)"))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 

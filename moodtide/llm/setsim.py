@@ -430,8 +430,7 @@ def classes(docs: DataFrame) -> DataFrame:
     if renamed:  # as few rows as names that clash
         other = spark.createDataFrame([(*k, v) for k, v in renamed.items()], "h1 long, h2 long, other long")
         items = items.join(F.broadcast(other), ["h1", "h2"], "left").withColumn("id", F.coalesce("other", "h1")).drop("other")
-    # (a, r) as one number, of which minima need no sort; rows without a doc_id come last
-    place = F.col("a").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("r") + F.when(F.col("r") >= 1 << 31, F.lit(1 << 62).cast("decimal(20,0)") * F.lit(1 << 36).cast("decimal(12,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    place = common.row_place()
 
     packed = postings(docs, level, 4 * parts, renamed).repartition(parts, "bucket").sortWithinPartitions("bucket")
     raw = common.written(packed.mapInArrow(shared_lists, "list long, id long, n int").distinct(), "raw")

@@ -112,7 +112,7 @@ def test_repeated_lines(spark, seed):
 
 def test_repeated_lines_in_many_rounds(spark, monkeypatch):
     """Long lists, several blocks and several rounds: lines of few words that nearly match, and a group of near copies."""
-    for name, v in {"LONG_LIST": 8, "LEADERS": 2, "MEMBERS": 5, "MORE": 2, "PAIRS": 50}.items():
+    for name, v in {"WIDE_FROM": 9, "LONG_LIST": 8, "LEADERS": 2, "MEMBERS": 5, "MORE": 2, "PAIRS": 50}.items():
         monkeypatch.setattr(line_join, name, v)
     r = random.Random(11)
     base = words(r, 40, 10**6).split()
@@ -147,11 +147,13 @@ def test_filters_let_every_match_through():
         token = [np.sort(np.array([hash_of(v) for v in s], np.uint64)) for s in (x, y)]
         n = np.array([len(t) for t in token])
         prefix, own = line_join.prefix_lengths(n)
-        s0, s1 = line_join.signatures(np.concatenate(token), np.array([0, n[0], n[0] + n[1]]))
+        edges = np.array([0, n[0], n[0] + n[1]])
+        s0, s1 = line_join.signatures(np.concatenate(token), edges).T
+        wide = line_join.signatures(np.concatenate(token), edges, line_join.WIDE)
         ok = False
         for v in set(token[0][: prefix[0]].tolist()) & set(token[1][: prefix[1]].tolist()):
             pos = np.array([token[0].tolist().index(v), token[1].tolist().index(v)])
-            m = line_join.Members(np.where(pos < own, n, -n), pos, n, n, s0, s1)
+            m = line_join.Members(np.where(pos < own, n, -n), pos, np.arange(2), n.astype(np.uint64), s0, s1, np.arange(2), wide)
             ok |= bool(m.score(np.array([0]), np.array([1]))[0])
         assert ok
 
@@ -192,6 +194,25 @@ def test_line_frequency_rejects_depleted(spark):
     assert quality_rules.quality_rules(df.limit(0))[0].count() == 0
 
 
+def test_line_frequency_of_odd_rows(spark):
+    """Repeated rows are one document; null ids, null hosts and names that clash are rows like others."""
+    line = "the same line of nine words in every document"
+    rows = [(i, line + "\n" + f"u{i} v w x y z a{i} b c d e f{i}") for i in range(12)]
+    rows += [rows[3], (3, line + "\nsomething else here"), (None, line + " \n" + line.upper()), (None, None), (20, "")]
+    df = spark.createDataFrame([(i, t, None if i == 20 else "h", "line", 1, "x", 2) for i, t in rows], "doc_id long, text string, source string, host string, line int, removed_words string, a long")
+    verdict, removed = quality_rules.quality_rules(df)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed_lines"], r["kept"]) for r in verdict.collect())
+    want = Counter({(i, 21, i > 0, True): 1 for i in range(12)} | {(3, 21, 1, True): 2, (3, 12, 1, False): 1, (None, 18, 2, False): 1, (None, 0, 0, False): 1, (20, 0, 0, False): 1})
+    assert got == want
+    assert removed.count() == 11 + 1 + 2
+    folder = common.shared_dir(spark) + "/odd-rows"
+    df.select("doc_id", "text", "source").write.mode("overwrite").parquet(folder + "/documents.parquet")
+    from tests.oracle import sql_rows as sql
+
+    query = quality_rules.ORACLE.replace("FROM documents", f"FROM read_parquet('{folder.removeprefix('file:')}/documents.parquet/*.parquet') documents")
+    assert rows_of(verdict) == sql(query, FOLDER)
+
+
 def test_mixture_finds_both_languages():
     r = random.Random(1)
     say = lambda stock, n: " ".join(r.choice(stock) for _ in range(n))
@@ -213,6 +234,57 @@ def test_mixture_finds_both_languages():
         assert lang[2:4].tolist() == ["und", "und"] and lang[4] != "und"
 
 
+def test_mixture_against_plain_em():
+    """Weights, sets and scores of a few texts by a plain version of the same model."""
+    import math
+
+    import numpy as np
+
+    r = random.Random(4)
+    p = np.array([[r.random() ** 3 + 1e-3 for _ in range(4)] for _ in range(30)])
+    p /= p.sum(0)
+    h = np.array([[r.randrange(4) if r.random() < 0.6 else 0 for _ in range(30)] for _ in range(25)] + [[0] * 30], float)
+    h[:20] += np.array([[20 * p[c, i % 4] + 25 * p[c, (i + 1) % 4] * (i % 2) for c in range(30)] for i in range(20)]).round()
+
+    def em(counts, langs):
+        w = {k: 1 / len(langs) for k in langs}
+        for _ in range(language.EM_STEPS):
+            new = dict.fromkeys(langs, 0.0)
+            for c, n in enumerate(counts):
+                total = sum(w[k] * p[c, k] for k in langs)
+                for k in langs if n else ():
+                    new[k] += n * w[k] * p[c, k] / total
+            w = {k: new[k] / max(sum(counts), 1) for k in langs}
+        return w, sum(n * math.log(sum(w[k] * p[c, k] for k in langs) + 1e-300) for c, n in enumerate(counts))
+
+    got = language.infer(h, p)
+    for i, counts in enumerate(h.tolist()):
+        ll = [sum(n * math.log(p[c, k]) for c, n in enumerate(counts)) for k in range(4)]
+        chosen = [max(range(4), key=lambda k: (ll[k], -k))]
+        w, score = {chosen[0]: 1.0}, ll[chosen[0]]
+        while len(chosen) < 4:
+            tries = [(em(counts, sorted([*chosen, k])), k) for k in range(4) if k not in chosen]
+            (new_w, new), k = max(tries, key=lambda x: x[0][1])
+            if new - score <= language.PENALTY + language.PENALTY_SHARE * sum(counts):
+                break
+            chosen, w, score = [*chosen, k], new_w, new
+        assert np.allclose(got[i], [w.get(k, 0) for k in range(4)], atol=1e-6)
+    assert {int((x > 0).sum()) for x in got} >= {1, 2}
+
+
+def test_language_of_odd_tables(spark):
+    say = {"aa": "kato mira solu beni taro", "bb": "xyxy wrrt zzgh qqpl vvrt"}
+    rows = [(i, " ".join(t.split()[i % 5 :] * 4), k, "s", 1, "c") for i in range(40) for k, t in say.items()] + [(1, "kato mira solu", None, "s", 1, "c"), (None, "kato mira", "aa", "s", 1, "c"), (1, "a", None, "s", 1, "c"), (2, None, "aa", "s", 1, "c"), (3, "kato " * 200_000, "aa", "s", 1, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int, h string")
+    model = language.fit(language.training_rows(df))
+    assert model["langs"] == ["aa", "bb"]
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(df, model).collect()]
+    assert len(got) == len(rows) and (2, "und", 0.0) in got and (1, "aa", 0.5) in got
+    assert all(k == "aa" and v > 0.9 for i, k, v in got if i is None)
+    assert language.identify(df.limit(0), model).count() == 0 and language.fit(df.limit(0)) is None
+    assert language.identified(df, model).columns == df.columns
+
+
 def test_language_held_out_accuracy(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     found = language.op2_mixture_language(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
@@ -234,6 +306,45 @@ def test_quality_held_out(spark):
     assert {r["score"] for r in quality_model.scores(odd, None).collect()} == {0.5}
 
 
+def test_quadratic_scores_against_plain_densities():
+    """Statistics, shrunk covariances and log-densities by plain formulas."""
+    import numpy as np
+    import pyarrow as pa
+
+    from moodtide.llm import textkit
+
+    texts = [t for _, t in documents(6, 60)]
+    x = np.concatenate([quality_model.statistics(t) for t in textkit.slices(pa.array(texts, pa.string()))])
+    names = list(quality_model.FEATURES)
+    for row, text in zip(x, texts, strict=True):
+        text = text or ""
+        w, raw = re.findall(brute.BLANK, text), text.encode()
+        lines = [k for k in text.split("\n") if re.search(brute.BLANK, k)]
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        want = {
+            "log_words": np.log1p(len(w)), "word_length": np.log1p(sum(len(v.encode()) for v in w) / max(len(w), 1)), "log_line_words": np.log1p(len(w) / max(len(lines), 1)),
+            "upper": (sum(65 <= c <= 90 for c in raw) / max(len(raw), 1)) ** 0.5, "digit": (sum(48 <= c <= 57 for c in raw) / max(len(raw), 1)) ** 0.5,
+            "distinct_words": (len(set(w)) / max(len(w), 1)) ** 0.5, "repeated_windows": (1 - len(set(grams)) / len(grams)) ** 0.5 if grams else 0,
+            "repeated_lines": (1 - len(set(lines)) / len(lines)) ** 0.5 if lines else 0, "next_same": (sum(a == b for a, b in zip(w, w[1:])) / max(len(w), 1)) ** 0.5,
+            "entropy": -sum(n / len(raw) * np.log2(n / len(raw)) for n in Counter(raw).values()) if raw else 0,
+        }
+        for k, v in want.items():
+            assert abs(row[names.index(k)] - v) < 1e-6, (k, text[:50])
+    good = np.array([i % 3 > 0 for i in range(len(x))])
+    model = quality_model.model_of(x, good)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    pooled = sum((z[good == c] - z[good == c].mean(0)).T @ (z[good == c] - z[good == c].mean(0)) for c in (False, True)) / len(z)
+    density = []
+    for c in (False, True):
+        own = z[good == c]
+        d = own - own.mean(0)
+        s = 0.8 * d.T @ d / len(own) + 0.2 * pooled
+        s = 0.95 * s + 0.05 * np.trace(s) / len(s) * np.eye(len(s))
+        e = z - own.mean(0)
+        density.append(np.log((len(own) + 1) / (len(z) + 2)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", e, np.linalg.inv(s), e))
+    assert np.allclose(quality_model.log_odds(model, x), density[1] - density[0])
+
+
 def test_packing_of_odd_rows(spark):
     rows = documents(2, 40) + [(3, "one two")]
     tokenizer = token_file.tokenizer_path("word_bpe_49k.json")
