@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodtide.llm import textkit
 from moodtide.session import ship
 
 
@@ -66,6 +71,26 @@ def row_place(a: str = "a", r: str = "r") -> Column:
     return F.col(a).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col(r) + F.when(F.col(r) >= 1 << 31, last).otherwise(F.lit(0).cast("decimal(20,0)"))
 
 
+def lean(rows):
+    """rows for mapInArrow, run without what other operators keep in the worker; freed memory goes back when a task ends.
+
+    Workers are used again and again: what each of them holds on to adds up to a good part of an executor.
+    """
+
+    def run(batches):
+        if (tokens := sys.modules.get("moodtide.llm.tokens")) is not None:
+            tokens.forget()
+        try:
+            yield from rows(batches)
+        finally:
+            textkit.forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 

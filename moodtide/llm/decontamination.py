@@ -73,7 +73,7 @@ def fingerprints(items: DataFrame, window: int) -> DataFrame:
                     f, at = winnowed(words[of], owner[of], window) if k == 0 else tk.windows(words[of], owner[of], k)
                     yield pa.record_batch([pa.array(f.view(np.int64)), ids.take(pa.array(owner[of][at] + t.first)), pa.array(np.full(len(f), k, np.int32))], names=["print", "item_id", "k"])
 
-    return items.mapInArrow(rows, "print long, item_id string, k int").distinct()
+    return items.mapInArrow(common.lean(rows), "print long, item_id string, k int").distinct()
 
 
 def print_filter(prints: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -98,9 +98,9 @@ def print_filter(prints: DataFrame) -> tuple[np.ndarray, list[int]]:
             size = (1 << FILTER_BITS) // FILTER_PARTS
             yield pa.record_batch([pa.array(slot // size), pa.array(slot % size), pa.array(np.tile(b.column("k").to_numpy(), 2))], names=["part", "cell", "k"])
 
-    dealt = prints.select("print", "k").mapInArrow(cells, "part long, cell long, k int").distinct().repartition(FILTER_PARTS, "part").sortWithinPartitions("part")
+    dealt = prints.select("print", "k").mapInArrow(common.lean(cells), "part long, cell long, k int").distinct().repartition(FILTER_PARTS, "part").sortWithinPartitions("part")
     out, sizes = np.zeros((1 << FILTER_BITS) // 8, np.uint8), 0
-    for r in dealt.mapInArrow(rows, "part long, bits binary, sizes long").collect():  # FILTER_PARTS rows of fixed size
+    for r in dealt.mapInArrow(common.lean(rows), "part long, bits binary, sizes long").collect():  # FILTER_PARTS rows of fixed size
         bits = np.frombuffer(r["bits"], np.uint8)
         out[r["part"] * len(bits) : (r["part"] + 1) * len(bits)] = bits
         sizes |= r["sizes"]
@@ -129,7 +129,7 @@ def _marked(docs: DataFrame, held, ks: list[int], window: int) -> DataFrame:
                 prints = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(f.view(np.int64)))
                 yield pa.record_batch([b.column("a").slice(t.first, t.n), b.column("r").slice(t.first, t.n), pa.array(np.bincount(owner, minlength=t.n)), prints, text], names=["a", "r", "n_words", "prints", "text"])
 
-    return docs.mapInArrow(rows, "a long, r long, n_words long, prints array<long>, text string")
+    return docs.mapInArrow(common.lean(rows), "a long, r long, n_words long, prints array<long>, text string")
 
 
 def hits_in(words: np.ndarray, item_words: np.ndarray, item_owner: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,9 +219,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gr
     group = F.pmod(F.xxhash64("item_id"), F.lit(groups)).alias("g")
     of_doc = pairs.join(items, "item_id").groupBy("a", "r", group).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))  # about group_bytes
     texts = marked.where("text IS NOT NULL").select("a", "r", "text").dropDuplicates(["a", "r"])
-    found = texts.join(of_doc, ["a", "r"]).select("a", "r", "text", "items").mapInArrow(_extended(window), f"a long, r long, {_SPANS}, items array<string>")
+    found = texts.join(of_doc, ["a", "r"]).select("a", "r", "text", "items").mapInArrow(common.lean(_extended(window)), f"a long, r long, {_SPANS}, items array<string>")
     found = found.groupBy("a", "r").agg(F.collect_list("spans").alias("all_spans"), F.collect_list("items").alias("all_items"))
-    found = common.written(found.mapInArrow(_united, f"a long, r long, {_SPANS}, items array<string>"), "hits")
+    found = common.written(found.mapInArrow(common.lean(_united), f"a long, r long, {_SPANS}, items array<string>"), "hits")
     common.discard(prints)
     return marked.select("a", "r", "n_words"), found
 

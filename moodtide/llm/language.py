@@ -70,8 +70,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
             yield pa.record_batch([pa.array([name] * len(of)), pa.array(of.astype(np.int32)), pa.array([cells[i].tobytes() for i in of])], names=["lang", "part", "n"])
 
     # counts go in parts of cells, each summed in a task of its own: as many numbers a language, whatever the input, reach the driver
-    parts = some.select("lang", "text").mapInArrow(count, "lang string, part int, n binary")
-    summed = parts.repartition(common.reduce_partitions(docs.sparkSession), "lang", "part").sortWithinPartitions("lang", "part").mapInArrow(_added, "lang string, part int, n binary").toArrow()
+    parts = some.select("lang", "text").mapInArrow(common.lean(count), "lang string, part int, n binary")
+    summed = parts.repartition(common.reduce_partitions(docs.sparkSession), "lang", "part").sortWithinPartitions("lang", "part").mapInArrow(common.lean(_added), "lang string, part int, n binary").toArrow()
     counts: dict[str, np.ndarray] = {}
     for lang, part, n in zip(*(summed[k].to_pylist() for k in ("lang", "part", "n")), strict=True):
         counts.setdefault(lang, np.zeros(1 << BITS))[part * PART : (part + 1) * PART] = np.frombuffer(n, np.int64)
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                 lang, score = judge(t, model)
                 yield pa.record_batch([b.column("doc_id").slice(t.first, t.n), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(rows), "doc_id long, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE) -> DataFrame:
@@ -192,7 +192,7 @@ def identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE
                 lang, score = judge(t, model)
                 yield b.slice(t.first, t.n).filter(pa.array((lang != "und") & (score >= min_score)))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(common.lean(rows), docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

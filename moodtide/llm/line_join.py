@@ -32,7 +32,7 @@ from moodtide.llm import common
 from moodtide.llm import textkit as tk
 
 NUM, DEN = 80, 100
-SKETCH_BITS, BLOCK, SEEN_BITS, LONG_LIST, PAIRS, LEADERS, MEMBERS = 22, 1_000_000, 17, 1024, 400_000, 128, 4096
+SKETCH_BITS, BLOCK, SEEN_BITS, LONG_LIST, PAIRS, LEADERS, MEMBERS = 22, 1_000_000, 17, 1024, 400_000, 128, 512
 #: Words of all lines for each bucket of postings, at most, as an average.
 BUCKET_WORDS = 16_000_000
 #: Candidates of a line in the first round of verification, and the factor by which later rounds take more.
@@ -104,7 +104,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
             cells, counts = np.append(hot, -1), np.append(sketch[hot].astype(np.int64), total)
             yield pa.record_batch([pa.array(cells.astype(np.int64)), pa.array(counts), none, none], names=["a", "sub", "h1", "h2"])
 
-    return docs.mapInArrow(rows, "a long, sub long, h1 long, h2 long")
+    return docs.mapInArrow(common.lean(rows), "a long, sub long, h1 long, h2 long")
 
 
 def levels(keys: DataFrame) -> tuple[np.ndarray, int]:
@@ -119,7 +119,8 @@ def levels(keys: DataFrame) -> tuple[np.ndarray, int]:
 def copies(keys: DataFrame) -> DataFrame:
     """(a, sub) of each line that equals an earlier one word by word."""
     lines = keys.where("h1 IS NOT NULL")
-    again = lines.groupBy("h1", "h2").agg(F.min(place("a", "sub")).alias("p"), F.max(place("a", "sub")).alias("q")).where("p <> q").select("h1", "h2", "p")
+    again = lines.groupBy("h1", "h2").agg(F.min(place("a", "sub")).alias("p"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "p")
+    again = common.written(again, "line-again")  # read again, so that a very common line's rows may be split over tasks
     return lines.join(again, ["h1", "h2"]).where(place("a", "sub") != F.col("p")).select("a", "sub")
 
 
@@ -207,7 +208,7 @@ def postings(docs: DataFrame, level, buckets: int) -> DataFrame:
         if size:
             yield block()
 
-    return docs.mapInArrow(rows, "bucket long, " + ", ".join(f"{k} binary" for k, _ in PACKED))
+    return docs.mapInArrow(common.lean(rows), "bucket long, " + ", ".join(f"{k} binary" for k, _ in PACKED))
 
 
 # -- filters ---------------------------------------------------------------------------------------------------------
@@ -303,7 +304,7 @@ def shortlist(batches):
             if b != bucket:
                 if held is not None:
                     yield from lists(unpacked())
-                bucket, held = b, {k: [] for k, _ in PACKED}
+                bucket, held = b, {k: [] for k in cols}
             for k in held:
                 held[k].append(cols[k][r])
     if held is not None:
@@ -396,7 +397,19 @@ def line_sets(docs: DataFrame, items: DataFrame) -> DataFrame:
                 tokens = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((8 * edges).astype(np.int32)), pa.py_buffer(v)])
                 yield pa.record_batch([pa.array(doc[own[one] + t.first]), pa.array(_sub(row[own[one] + t.first], number[one]).view(np.int64)), tokens], names=["a", "sub", "tokens"])
 
-    return docs.join(of_doc, ["a", "r"]).select("a", "r", "text", "wanted").mapInArrow(cut, "a long, sub long, tokens binary")
+    def once(batches):
+        last = None
+        for b in batches:
+            if b.num_rows:
+                a, sub = b.column("a").to_numpy(), b.column("sub").to_numpy()
+                new = np.append(last != (a[0], sub[0]), (a[1:] != a[:-1]) | (sub[1:] != sub[:-1]))
+                last = a[-1], sub[-1]
+                yield b.filter(pa.array(new))
+
+    schema = "a long, sub long, tokens binary"
+    found = docs.join(of_doc, ["a", "r"]).select("a", "r", "text", "wanted").mapInArrow(common.lean(cut), schema)
+    # equal rows are one document
+    return found.repartition(common.reduce_partitions(docs.sparkSession), "a", "sub").sortWithinPartitions("a", "sub").mapInArrow(common.lean(once), schema)
 
 
 def _matching(batches):
@@ -414,14 +427,10 @@ def _matching(batches):
             yield part.select(["a", "sub"]).filter(pa.array(DEN * overlap >= NUM * union))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, sub) of the pairs (a, sub, ya, ysub) whose sets match."""
-    items = pairs.select("a", "sub").union(pairs.select("ya", "ysub")).distinct()
-    sets = common.written(line_sets(docs, items).dropDuplicates(["a", "sub"]), "line-sets")
     both = pairs.select("a", "sub", "ya", "ysub").join(sets.withColumnRenamed("tokens", "x"), ["a", "sub"]).join(sets.toDF("ya", "ysub", "y"), ["ya", "ysub"])
-    found = common.written(both.select("a", "sub", "x", "y").mapInArrow(_matching, "a long, sub long").distinct(), "matched")
-    common.discard(sets)
-    return found
+    return common.written(both.select("a", "sub", "x", "y").mapInArrow(common.lean(_matching), "a long, sub long").distinct(), "matched")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -434,7 +443,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     level = spark.sparkContext.broadcast(table)  # 2**SKETCH_BITS bytes
     buckets = max(4 * parts, n_words // BUCKET_WORDS)
     dealt = postings(docs, level, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = common.written(dealt.mapInArrow(shortlist, MEMBER + ", ya long, ysub long, score long"), "line-lists")
+    found = common.written(dealt.mapInArrow(common.lean(shortlist), MEMBER + ", ya long, ysub long, score long"), "line-lists")
     gone = [common.written(copies(keys), "line-copies")]
     common.discard(keys)
 
@@ -443,7 +452,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     pairs = pairs.select("a", "sub", F.col("m.p.a").alias("ya"), F.col("m.p.s").alias("ysub"))
     # an equal earlier line already removes these
     pairs = common.written(pairs.join(gone[0], ["a", "sub"], "left_anti"), "line-pairs")
-    gone.append(verified(docs, pairs))
+    sets = common.written(line_sets(docs, found.select("a", "sub").distinct()), "line-sets")  # the texts are read once more
+    gone.append(verified(sets, pairs))
     none = [F.lit((1 << 62)).alias("cs"), F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("csub")]
     open_ = common.written(pairs.join(gone[1], ["a", "sub"], "left_anti").select("a", "sub", *none), "line-open")
     common.discard(pairs)
@@ -451,14 +461,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     while not open_.isEmpty():
         take *= MORE
         more = common.written(_next(found, open_, take, parts), "line-pairs")
-        linked = verified(docs, more)
+        linked = verified(sets, more)
         gone.append(linked)
         last = F.max(F.struct((-F.col("score")).alias("k"), place("ya", "ysub").alias("p"))).alias("m")
         full = more.groupBy("a", "sub").agg(last, F.count("*").alias("c")).where(F.col("c") >= take)
         rest = full.join(linked, ["a", "sub"], "left_anti").select("a", "sub", (-F.col("m.k")).alias("cs"), F.col("m.p.a").alias("ca"), F.col("m.p.s").alias("csub"))
         before, open_ = open_, common.written(rest, "line-open")
         common.discard(more, before)
-    common.discard(found, open_)
+    common.discard(found, open_, sets)
     out = gone[0]
     for g in gone[1:]:
         out = out.union(g)
@@ -477,7 +487,7 @@ def _next(found: DataFrame, open_: DataFrame, take: int, parts: int) -> DataFram
     zero = [F.lit(0).cast("long").alias(k) for k in ("cs", "ca", "csub")]
     tiles = held.select(*cols, *zero, F.lit(False).alias("seek")).union(asking.select(*cols, "cs", "ca", "csub", F.lit(True).alias("seek")))
     tiles = tiles.repartition(parts, "list", "block").sortWithinPartitions("list", "block")
-    pairs = tiles.mapInArrow(next_partners(take), "a long, sub long, ya long, ysub long, score long").distinct()
+    pairs = tiles.mapInArrow(common.lean(next_partners(take)), "a long, sub long, ya long, ysub long, score long").distinct()
     by = Window.partitionBy("a", "sub").orderBy(F.col("score").desc(), place("ya", "ysub"))
     return pairs.withColumn("k", F.row_number().over(by)).where(F.col("k") <= take).drop("k")
 
@@ -514,7 +524,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(list(cols.values()), names=list(cols))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_lines long, n_removed long, emptied boolean"
-    return common.keyed(docs, a, r).join(gone, [a, r], "left").select(*names, out).mapInArrow(cut, schema)
+    return common.keyed(docs, a, r).join(gone, [a, r], "left").select(*names, out).mapInArrow(common.lean(cut), schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

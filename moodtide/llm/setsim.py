@@ -13,8 +13,8 @@ An item is a doc_id. Items of equal sets are one class; a class is named by 64 b
    is tested by exact intersection, first with the centre of most common lists, then with those still apart. Tests
    come as streams sorted by tile (centre, size band, part), so one large group is many tiles.
 4. Tiles: of a list whose members are still in several components, those outside its largest one seek partners. Sizes are cut into
-   bands of the ratio that links allow; a tile is a block of one band of a list and the seekers of this and the neighbouring bands,
-   so a member is in one tile and seekers alone are copied. In a tile sizes, then bitmaps bound the overlaps. In rounds each
+   bands, so wide that the sizes a set can link to lie in one or two; a tile is a block of one band of a list and the seekers that can link
+   into it, so a member is in one tile and seekers alone are copied. In a tile sizes, then bitmaps bound the overlaps. In rounds each
    seeker is tested against its nearest one of another component, as long as half of these link; then all pairs of
    different components that may still link are tested.
 
@@ -28,13 +28,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.llm import common
 from moodtide.llm import textkit as tk
 
 K, NUM, DEN = 5, 75, 100
+#: Width of a size band, in steps of the ratio that links allow.
+BAND = 4
 SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_PAIRS = 22, 1_000_000, 512, 500_000
 #: Bits of a bitmap: the power of two from four for each shingle up, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 1 << 20
@@ -118,7 +120,7 @@ def keys(docs: DataFrame) -> DataFrame:
         none = np.zeros(len(hot), np.int64)
         yield pa.record_batch([pa.array(hot.astype(np.int64)), pa.array(none), pa.array((none - 1).astype(np.int32)), pa.array(sketch[hot].astype(np.int64)), pa.array(none), pa.nulls(len(hot), pa.binary())], names=NAMES)
 
-    return docs.mapInArrow(rows, "a long, r long, n int, h1 long, h2 long, bits binary")
+    return docs.mapInArrow(common.lean(rows), "a long, r long, n int, h1 long, h2 long, bits binary")
 
 
 def levels(keyed: DataFrame) -> np.ndarray:
@@ -184,7 +186,7 @@ def postings(docs: DataFrame, level, buckets: int, renamed: dict) -> DataFrame:
         if size:
             yield block()
 
-    return docs.mapInArrow(rows, "bucket int, tags binary, ids binary, sizes binary")
+    return docs.mapInArrow(common.lean(rows), "bucket int, tags binary, ids binary, sizes binary")
 
 
 def shared_lists(batches):
@@ -236,7 +238,7 @@ def bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
                 ok = may_link(b.column("c_n").to_numpy().astype(np.int64), b.column("x_n").to_numpy().astype(np.int64), differing(b.column("c_bits").to_pylist(), b.column("x_bits").to_pylist()))
                 yield b.select(named).filter(pa.array(ok))
 
-    return both.select(*named, "c_n", "c_bits", "x_n", "x_bits").mapInArrow(rows, ", ".join(f"{k} {t}" for k, t in pairs.dtypes))
+    return both.select(*named, "c_n", "c_bits", "x_n", "x_bits").mapInArrow(common.lean(rows), ", ".join(f"{k} {t}" for k, t in pairs.dtypes))
 
 
 def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -268,7 +270,7 @@ def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if found:
                     yield pa.record_batch([pa.array(k, pa.int64()) for k in zip(*found, strict=True)], names=["c", "x"])
 
-    return dealt.mapInArrow(test, "c long, x long")
+    return dealt.mapInArrow(common.lean(test), "c long, x long")
 
 
 def grouped(batches, key: list[str], limit: int):
@@ -387,7 +389,7 @@ def tile_pairs(nearest: bool):
             part, asks, seeks = (t.column(k).to_numpy(zero_copy_only=False) for k in ("part", "asks", "seeks"))
             low, high = _sizes_around(n)
             top = int(high.max()) + 2
-            held, seek = np.flatnonzero(~asks), np.flatnonzero(asks)
+            held, seek = np.flatnonzero(~asks), np.flatnonzero(seeks)
             held = held[np.argsort((g * top + n)[held], kind="stable")]
             key = (g * top + n)[held]
             begin, end = np.searchsorted(key, g[seek] * top + low[seek]), np.searchsorted(key, g[seek] * top + high[seek], "right")
@@ -433,7 +435,7 @@ def classes(docs: DataFrame) -> DataFrame:
     place = common.row_place()
 
     packed = postings(docs, level, 4 * parts, renamed).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    raw = common.written(packed.mapInArrow(shared_lists, "list long, id long, n int").distinct(), "raw")
+    raw = common.written(packed.mapInArrow(common.lean(shared_lists), "list long, id long, n int").distinct(), "raw")
     degree = raw.groupBy("id").agg(F.count("*").alias("degree"))
     rank = F.shiftleft(F.least(F.col("degree"), F.lit((1 << 22) - 1)), 40) + F.col("id").bitwiseAND((1 << 40) - 1)
     center = raw.join(degree, "id").groupBy("list").agg(F.max_by("id", rank).alias("c"), F.max_by("n", rank).alias("cn"))
@@ -456,7 +458,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nearest = True
     while True:
         tiled = _open_tiles(lists, parts_of, marks, parts)
-        found = tiled.mapInArrow(tile_pairs(nearest), "c long, x long, xn int, d int")
+        found = tiled.mapInArrow(common.lean(tile_pairs(nearest)), "c long, x long, xn int, d int")
         if nearest:
             by = F.shiftleft(F.col("d").cast("long"), 40) + F.col("x").bitwiseAND((1 << 40) - 1)
             found = found.groupBy("c").agg(F.min_by("x", by).alias("x"), F.min_by("xn", by).alias("xn"))
@@ -480,25 +482,33 @@ def classes(docs: DataFrame) -> DataFrame:
 def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     """Members of the lists that hold several components beside their centre, by tile: (list, size band, block)."""
     placed = lists.where("id <> c").join(parts_of.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("int")
-    placed = placed.select("list", "id", "n", F.coalesce("part", "id").alias("part"), band.alias("band"))
+    placed = placed.select("list", "id", "n", F.coalesce("part", "id").alias("part"), _band(F.col("n")).alias("band"))
     shares = placed.groupBy("list", "part").agg(F.count("*").alias("k"))
     main = shares.groupBy("list").agg(F.max_by("part", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("list", "main")
     member = common.written(placed.join(main, "list").withColumn("seeks", F.col("part") != F.col("main")).drop("main"), "open")
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-    seekers = member.where("seeks").select("list", "id", "n", "part", near)
+    # the bands of all sizes that a seeker can link to: one or two
+    near = F.explode(F.sequence(_band(F.ceil(F.col("n") * NUM / DEN)), _band(F.floor(F.col("n") * DEN / NUM)))).alias("band")
+    seekers = member.where("seeks").select("list", "id", "n", "part", F.col("band").alias("home"), near)
     # a band without seekers around it, or whose only member seeks, has no tile
     sizes = member.groupBy("list", "band").agg(F.count("*").alias("size"), F.min("id").alias("lone"))
     asked = seekers.groupBy("list", "band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / TILE, F.lit(1.0))))).cast("int").alias("blocks")
     bands = common.written(sizes.join(asked, ["list", "band"]).where("NOT (size = 1 AND lo = hi AND lone = lo)").select("list", "band", blocks), "bands")
-    held = member.join(bands, ["list", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asking = seekers.join(bands, ["list", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("seeks", F.lit(True))
+    home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    held = member.join(bands, ["list", "band"]).withColumn("block", home)
+    # in its own block a seeker asks where it stands; copies go to the others
+    asking = seekers.join(bands, ["list", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = asking.where((F.col("band") != F.col("home")) | (F.col("block") != home)).withColumn("seeks", F.lit(True))
     cols = ["list", "band", "block", "id", "n", "part", "seeks"]
     both = held.select(*cols, F.lit(False).alias("asks")).union(asking.select(*cols, F.lit(True).alias("asks")))
     return both.join(marks.select("id", "bits"), "id").repartition(parts, "list", "band", "block").sortWithinPartitions("list", "band", "block", "id")
 
 
+def _band(n: Column) -> Column:
+    """A size's band: bands are so wide that the sizes a set can link to lie in one or two."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / (BAND * math.log(DEN / NUM)) + 1e-9).cast("int")
+
+
 def _grown(links: DataFrame, parts_of: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, float | None]:
     """links and their components after tests of more pairs, and the share of these that link; None if there are none."""
     wanted = pairs.count()

@@ -53,6 +53,11 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return held
 
 
+def forget() -> None:
+    """Drops tables that are made again when they are needed."""
+    _powers.clear()
+
+
 def run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """A 64-bit polynomial hash of each run values[start:end]; the run's length is part of it."""
     up, down = powers(base, len(values) + 1)

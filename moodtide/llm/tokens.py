@@ -163,6 +163,11 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drops the encoders of this worker."""
+    _encoders.clear()
+
+
 def with_end(ids: np.ndarray, begin: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same ids with end_id after each text's."""
     return np.insert(ids, begin[1:], np.uint32(end_id)).astype(np.uint32), begin + np.arange(len(begin))

@@ -112,7 +112,7 @@ def test_repeated_lines(spark, seed):
 
 def test_repeated_lines_in_many_rounds(spark, monkeypatch):
     """Long lists, several blocks and several rounds: lines of few words that nearly match, and a group of near copies."""
-    for name, v in {"WIDE_FROM": 9, "LONG_LIST": 8, "LEADERS": 2, "MEMBERS": 5, "MORE": 2, "PAIRS": 50}.items():
+    for name, v in {"LONG_LIST": 8, "LEADERS": 2, "MEMBERS": 5, "MORE": 2, "PAIRS": 50}.items():
         monkeypatch.setattr(line_join, name, v)
     r = random.Random(11)
     base = words(r, 40, 10**6).split()
@@ -147,13 +147,11 @@ def test_filters_let_every_match_through():
         token = [np.sort(np.array([hash_of(v) for v in s], np.uint64)) for s in (x, y)]
         n = np.array([len(t) for t in token])
         prefix, own = line_join.prefix_lengths(n)
-        edges = np.array([0, n[0], n[0] + n[1]])
-        s0, s1 = line_join.signatures(np.concatenate(token), edges).T
-        wide = line_join.signatures(np.concatenate(token), edges, line_join.WIDE)
+        s0, s1 = line_join.signatures(np.concatenate(token), np.array([0, n[0], n[0] + n[1]]))
         ok = False
         for v in set(token[0][: prefix[0]].tolist()) & set(token[1][: prefix[1]].tolist()):
             pos = np.array([token[0].tolist().index(v), token[1].tolist().index(v)])
-            m = line_join.Members(np.where(pos < own, n, -n), pos, np.arange(2), n.astype(np.uint64), s0, s1, np.arange(2), wide)
+            m = line_join.Members(np.where(pos < own, n, -n), pos, np.arange(2), n.astype(np.uint64), s0, s1)
             ok |= bool(m.score(np.array([0]), np.array([1]))[0])
         assert ok
 
