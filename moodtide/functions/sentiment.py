@@ -28,13 +28,14 @@ def _hits(text: Column, words: list[str]) -> Column:
 
 
 def keyword_votes(text: Column) -> tuple[Column, Column]:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return _hits(low, lexicon.POSITIVE_WORDS), _hits(low, lexicon.NEGATIVE_WORDS)
+    """Positive and negative entries of a text. The lower-cased text is bound once a row, not once a word."""
+    both = F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: F.struct(_hits(low, lexicon.POSITIVE_WORDS).alias("pos"), _hits(low, lexicon.NEGATIVE_WORDS).alias("neg"))), F.lit(0))
+    return both["pos"], both["neg"]
 
 
 def keyword_sentiment(text: Column) -> Column:
-    pos, neg = keyword_votes(text)
-    return category_of(pos, neg)
+    low = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    return F.get(F.transform(low, lambda t: category_of(_hits(t, lexicon.POSITIVE_WORDS), _hits(t, lexicon.NEGATIVE_WORDS))), F.lit(0))
 
 
 def category_of(pos: Column, neg: Column) -> Column:

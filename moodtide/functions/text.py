@@ -125,10 +125,10 @@ def gap_severity(minutes: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     """1024-based with one decimal, truncation-free arithmetic in the unit of the leading power."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate("KMGTPE", 1):
-        out = F.when(n >= 1024**k, F.concat(one_decimal(n / float(1024**k)), F.lit(f" {unit}B"))).otherwise(out)
-    return out
+    value, unit = n.cast("double"), F.lit("B")
+    for k, name in enumerate("KMGTPE", 1):
+        value, unit = F.when(n >= 1024**k, n / float(1024**k)).otherwise(value), F.when(n >= 1024**k, f"{name}B").otherwise(unit)
+    return F.concat(F.when(n >= 1024, one_decimal(value)).otherwise(n.cast("string")), F.lit(" "), unit)
 
 
 def backup_stamp(ts: Column) -> Column:
@@ -145,14 +145,18 @@ def image_kind(data: Column) -> Column:
     return F.when(jpeg, "image/jpeg").otherwise("image/png")
 
 
-def alt_text(title: str, stats: str, when: str, kind: str, tail: str) -> Column:
-    """Sentences of a chart's description from a row of series_stats."""
+#: Trends of a description.
+TRENDS = ("Trending positive", "Trending negative", "Stable sentiment")
+
+
+def alt_text(title: str, stats: str, when: str, tail: str, short: str, least: int = 2) -> Column:
+    """Sentences of a chart's description from a row of series_stats; the short one for fewer than least points."""
 
     def part(name: str, value: str, at: str) -> Column:
         return F.concat(F.lit(f"{name} sentiment: "), one_decimal(F.col(value)), F.lit("% ("), F.date_format(at, when), F.lit("). "))
 
-    trend = F.when(F.col("trend") > 0, "Trending positive").when(F.col("trend") < 0, "Trending negative").otherwise("Stable sentiment")
-    return F.concat(F.lit(title), part("Current", "current", "current_ts"), part("Highest", "highest", "highest_ts"), part("Lowest", "lowest", "lowest_ts"), F.lit(stats), one_decimal(F.col("average")), F.lit("%. "), trend, F.lit(f" over the {tail}."))
+    trend = F.when(F.col("trend") > 0, TRENDS[0]).when(F.col("trend") < 0, TRENDS[1]).otherwise(TRENDS[2])
+    return F.when(F.col("points") < least, F.lit(short)).otherwise(F.concat(F.lit(title), part("Current", "current", "current_ts"), part("Highest", "highest", "highest_ts"), part("Lowest", "lowest", "lowest_ts"), F.lit(stats), one_decimal(F.col("average")), F.lit("%. "), trend, F.lit(f" over the {tail}.")))
 
 
 # Messages for charts without enough points; %s is the sentence on what there is.
@@ -160,9 +164,12 @@ WEEKLY_MESSAGE = "📊 Building sentiment history...\n\n⏳ Sparkline charts wil
 YEARLY_MESSAGE = "📊 Building yearly sentiment history...\n\n⏳ Yearly sentiment charts will be available after collecting 30+ days of daily data.\n📈 %s\n\n💡 In the meantime, check out the daily sentiment summaries and weekly sparklines!"
 
 
+FIRST_WEEKLY, FIRST_YEARLY = "First chart expected in ~7 days.", "First yearly chart expected in ~30 days."
+HAVE, NEED_WEEKLY, NEED_YEARLY = "Currently have ", " data points, need 2+ for charts.", " days, need 30+ for yearly charts."
+
+
 def insufficient_text(points: Column, yearly: bool = False) -> Column:
     """The message for a chart that has too few points."""
     head, tail = (YEARLY_MESSAGE if yearly else WEEKLY_MESSAGE).split("%s")
-    none = "First yearly chart expected in ~30 days." if yearly else "First chart expected in ~7 days."
-    some = (" days, need 30+ for yearly charts." if yearly else " data points, need 2+ for charts.")
-    return F.concat(F.lit(head), F.when(points == 0, F.lit(none)).otherwise(F.concat(F.lit("Currently have "), points.cast("string"), F.lit(some))), F.lit(tail))
+    none, some = (FIRST_YEARLY, NEED_YEARLY) if yearly else (FIRST_WEEKLY, NEED_WEEKLY)
+    return F.concat(F.lit(head), F.when(points == 0, F.lit(none)).otherwise(F.concat(F.lit(HAVE), points.cast("string"), F.lit(some))), F.lit(tail))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodtide.functions.sentiment import series_color
@@ -31,6 +33,12 @@ class Canvas:
 WEEKLY, YEARLY = Canvas(1200, 800, 80), Canvas(1500, 1000, 100, bottom=30.0)
 
 
+# Dashes, and how far below the plot its ends are named. Colours are our own.
+DASH, GAP, ENDS_BELOW = 8.0, 4.0, 50.0
+COLORS = {"positive": "#2e8b57", "negative": "#b22222", "neutral": "#708090"}
+BAND, GRID, AVERAGE = "#f2f2f2", "#cccccc", "#4169e1"
+
+
 def y_of(value: Column, canvas: Canvas) -> Column:
     _, y, _, h = canvas.box
     return F.lit(y + h / 2) - ((value - F.col("center")) * F.col("scale") / 100) * (h / 2)
@@ -137,13 +145,55 @@ def yearly_ticks(series: DataFrame, start: str, end: str, canvas: Canvas = YEARL
     return out
 
 
-def svg(series: DataFrame, canvas: Canvas = WEEKLY, most_points: int = 5000) -> str:
-    """The series as an SVG text. A sink: at most most_points rows come to the driver, more are refused."""
+def start_end_labels(series: DataFrame, canvas: Canvas = YEARLY, v: str = "net_sentiment_percent") -> DataFrame:
+    """Dates and values of the first and last point, below the plot at its ends."""
+    x, y, w, h = canvas.box
+    f = Q.first_last(series, v=v).where("first_ts IS NOT NULL")
+    ends = F.array(
+        F.struct(F.lit("start").alias("kind"), F.col("first_ts").alias("ts"), F.col("first_value").alias("value"), F.lit(x).alias("x"), F.lit(0.0).alias("anchor")),
+        F.struct(F.lit("end").alias("kind"), F.col("last_ts").alias("ts"), F.col("last_value").alias("value"), F.lit(x + w).alias("x"), F.lit(1.0).alias("anchor")),
+    )
+    rows = f.select(F.explode(ends).alias("e")).select("e.*")
+    return rows.select("kind", "ts", F.date_format("ts", "d MMM").alias("label"), "value", "x", F.lit(y + h + ENDS_BELOW).alias("y"), "anchor")
+
+
+def dash_segments(spark: SparkSession, width: float, dash: float = DASH, gap: float = GAP) -> DataFrame:
+    """Starts and ends of the dashes of a line of some width; the last one ends with the line."""
+    at = F.col("id") * (dash + gap)
+    return spark.range(max(0, math.ceil(width / (dash + gap)))).select(at.alias("x0"), F.least(at + dash, F.lit(float(width))).alias("x1"))
+
+
+def lines_of(text: str, x: float, y: float, size: float, anchor: str = "middle") -> str:
+    """SVG lines of a text around a point."""
+    return "".join(f'<text x="{x:.1f}" y="{y + i * size * 1.2:.1f}" font-size="{size:.0f}" text-anchor="{anchor}">{html.escape(line)}</text>' for i, line in enumerate(text.split("\n")))
+
+
+def svg(series: DataFrame, canvas: Canvas = WEEKLY, most_points: int = 5000, title: str = "", brand: str = "") -> str:
+    """The series as an SVG text: neutral band, grid with dashes and labels, zones, average, coloured segments, points, ticks, extremes and
+    the latest point. A sink: at most most_points rows come to the driver, more are refused; all else is a few rows.
+    """
     rows = xy_points(series, canvas).orderBy("timestamp").limit(most_points + 1).collect()
     if not rows:
         raise ValueError("no data points provided")
     if len(rows) > most_points:
         raise ValueError(f"a chart holds at most {most_points} points")
-    middle = canvas.box[0] + canvas.box[2] / 2
-    points = " ".join(f"{middle if r['x'] is None else r['x']:.1f},{r['y']:.1f}" for r in rows)
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{canvas.width:.0f}" height="{canvas.height:.0f}"><polyline fill="none" stroke="black" points="{points}"/></svg>'
+    x, y, w, h = canvas.box
+    at = [(x + w / 2 if r["x"] is None else r["x"], r["y"], COLORS[r["color"]], r["value"], r["timestamp"]) for r in rows]
+    place = {r[4]: r for r in at}
+    out = [f'<rect x="{x:.1f}" y="{r["top"]:.1f}" width="{w:.1f}" height="{r["height"]:.1f}" fill="{BAND}"/>' for r in neutral_band(series, canvas).collect()]
+    for r in grid_levels(series, canvas).collect():
+        dashes = f' stroke-dasharray="{DASH:.0f} {GAP:.0f}"' if r["kind"] in ("zero", "center_line") else ""
+        out.append(f'<line x1="{x:.1f}" y1="{r["y"]:.1f}" x2="{x + w:.1f}" y2="{r["y"]:.1f}" stroke="{GRID}"{dashes}/>')
+    out += [lines_of(f"{r['level']:.0f}%", x - 6, r["y"], 14, "end") for r in axis_labels(series, canvas).collect()]
+    out += [lines_of(r["zone"], x + w / 2, r["y"], r["font"]) for r in zone_labels(series, canvas).collect()]
+    out += [f'<line x1="{x:.1f}" y1="{r["y"]:.1f}" x2="{x + w:.1f}" y2="{r["y"]:.1f}" stroke="{AVERAGE}"/>' for r in average_line(series, canvas).collect()]
+    out += [f'<line x1="{a[0]:.1f}" y1="{a[1]:.1f}" x2="{b[0]:.1f}" y2="{b[1]:.1f}" stroke="{a[2]}"/>' for a, b in zip(at, at[1:])]
+    out += [f'<circle cx="{p[0]:.1f}" cy="{p[1]:.1f}" r="2" fill="{p[2]}"/>' for p in at]
+    out += [lines_of(r["label"], x + w / 2 if r["x"] is None else r["x"], y + h + 16, 14) for r in day_markers(series, canvas).collect()]
+    for r in extreme_labels(series).collect():
+        p = place[r["ts"]]
+        out.append(lines_of(f"{r['value']:.1f}%", p[0], p[1] + (18 if r["kind"] == "low" else -8), 14))
+    last = at[-1]
+    out.append(lines_of(f"Latest: {last[3]:.1f}%", last[0], last[1] - 8, 14, "end"))
+    out += [lines_of(t, *where, 20) for t, where in ((title, (x + w / 2, y - 20)), (brand, (x + w / 2, canvas.height - 8))) if t]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{canvas.width:.0f}" height="{canvas.height:.0f}">{"".join(out)}</svg>'

@@ -11,6 +11,8 @@ from moodtide.functions import posts as P
 from moodtide.functions import sentiment as S
 from moodtide.schemas import PAGE_SIZE, TOP_N
 
+PAGES_PER_BLOCK = 4096
+
 
 def from_raw(raw: DataFrame, prefix_missing: bool = False) -> DataFrame:
     """API rows as posts: flat columns, absent counters as 0, full uris. ``prefix_missing``: a text in place of none."""
@@ -36,12 +38,16 @@ def invalidated(posts: DataFrame) -> DataFrame:
 
 
 def dedup_by_uri(posts: DataFrame) -> DataFrame:
-    """The most engaged row of each uri, the first arrived (``seq``) of equals; empty uris go.
+    """The most engaged row of each uri, the first arrived (``seq``, unique) of equals; empty uris go.
 
-    A hash aggregate of the best row: partial results are combined before the shuffle, nothing is sorted.
+    Engagement and seq make one number, whose maximum by uri is a hash aggregate; texts take no part in it, and only then are
+    rows picked by (uri, seq).
     """
-    best = F.max_by(F.struct(*posts.columns), F.struct(P.engagement().alias("e"), (-F.col("seq")).alias("s")))
-    return posts.where("uri <> ''").groupBy(F.col("uri").alias("_uri")).agg(best.alias("_best")).select("_best.*")
+    unit = F.lit("1" + 19 * "0").cast("decimal(20,0)")
+    rank = (F.col("replies") + F.col("likes") + F.col("reposts")).cast("decimal(18,0)") * unit - F.col("seq")
+    best = posts.where("uri <> ''").groupBy("uri").agg(F.max(rank).alias("best"))
+    first = best.select("uri", F.pmod(-F.col("best"), unit).cast("long").alias("seq"))
+    return posts.where("uri <> ''").join(first, ["uri", "seq"], "left_semi")
 
 
 def scored(posts: DataFrame, score: Column | None = None) -> DataFrame:
@@ -74,13 +80,18 @@ def time_histogram(posts: DataFrame, cutoff: Column, now: Column, buckets: int =
     width = (F.unix_micros(now) - F.unix_micros(cutoff)) / buckets
     at = F.floor((F.unix_micros(F.col(column)) - F.unix_micros(cutoff)) / width).cast("int")
     inside = posts.where((F.col(column) >= cutoff) & (F.col(column) < now)).withColumn("bucket", at)
-    firsts = inside.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("seq"))).where(F.col("r") <= samples)
+    firsts = first_rows(inside, "bucket", samples).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("seq")))
     lists = firsts.groupBy("bucket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "uri"))), lambda x: x["uri"]), ",").alias("samples"))
     counted = inside.groupBy("bucket").agg(F.count("*").alias("n"))
     spine = posts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     return spine.join(counted, "bucket", "left").join(lists, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("samples", F.lit("")).alias("samples"))
 
 
+def first_rows(rows: DataFrame, key: str, k: int, order: str = "seq") -> DataFrame:
+    """The first k rows of each key, in order; a limit before the shuffle keeps a hot key out of one task."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") <= k).drop("_r")
+
+
 def coverage_span(posts: DataFrame, column: str = "created_at") -> DataFrame:
     first, last = F.min(column), F.max(column)
     return posts.agg(first.alias("first_ts"), last.alias("last_ts"), ((F.unix_micros(last) - F.unix_micros(first)) / 6e7).alias("span_minutes"))
@@ -108,8 +119,13 @@ def page_distinct_counts(posts: DataFrame) -> DataFrame:
     """Per page: rows, uris not seen on any page before, and the running number of distinct uris."""
     firsts = posts.groupBy("uri").agg(F.min(F.struct("page", "seq")).alias("f")).groupBy(F.col("f.page").alias("page")).agg(F.count("*").alias("fresh"))
     pages = posts.groupBy("page").agg(F.count("*").alias("rows")).join(firsts, "page", "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
-    running = F.sum("fresh").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0))  # a row for each page
-    return pages.select("page", "rows", (F.col("rows") - F.col("fresh")).alias("duplicates"), running.alias("distinct_so_far"))
+    # running sums in blocks of pages; sums of whole blocks, a 4096th as many, are summed in one window
+    block = F.floor(F.col("page") / PAGES_PER_BLOCK).alias("block")
+    blocks = pages.groupBy(block).agg(F.sum("fresh").alias("s"))
+    before = blocks.select("block", (F.sum("s").over(Window.orderBy("block")) - F.col("s")).alias("before"))
+    running = F.sum("fresh").over(Window.partitionBy("block").orderBy("page"))
+    out = pages.select("page", "rows", "fresh", block).select("*", running.alias("running")).join(before, "block")
+    return out.select("page", "rows", (F.col("rows") - F.col("fresh")).alias("duplicates"), (F.col("running") + F.col("before")).alias("distinct_so_far"))
 
 
 def page_top(posts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,9 +86,51 @@ def latest_state(states: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy(F.col("run_id").alias("_r"), F.col("step").alias("_s")).agg(best.alias("_b")).select("_b.*")
 
 
-def transition(states: DataFrame, run_id: str, step: str, now: Column, **values: Column) -> DataFrame:
-    """The changed row of a run's step, for latest_state: cursor, analysis, completion or post references."""
-    return point_get(states, run_id, step).withColumns(values | {"updated_at": now})
+def run_id_gen(now_ns: int | None = None) -> str:
+    """``run-<nanoseconds>`` of now."""
+    return f"run-{time.time_ns() if now_ns is None else now_ns}"
+
+
+def latest_of_run(states: DataFrame) -> DataFrame:
+    """The state of each run that changed last."""
+    best = F.max_by(F.struct(*states.columns), F.struct("updated_at", "step"))
+    return states.groupBy(F.col("run_id").alias("_r")).agg(best.alias("_b")).select("_b.*")
+
+
+def transition(states: DataFrame, base: DataFrame, values: DataFrame, now: Column, **fixed: str) -> DataFrame:
+    """States after a change: base's rows take the columns of values(run_id, ...), fixed ones, and the time, and replace states of their run and step."""
+    new = [c for c in values.columns if c != "run_id"]
+    named = values.select("run_id", *(F.col(c).alias(f"_new_{c}") for c in new))
+    changed = base.join(named, "run_id").withColumns({c: F.col(f"_new_{c}") for c in new} | {k: F.lit(v) for k, v in fixed.items()} | {"updated_at": now})
+    return latest_state(states, changed.select(*dict.fromkeys([*states.columns, *new])))
+
+
+def cursor_moved(states: DataFrame, values: DataFrame, now: Column) -> DataFrame:
+    """After a page: values has run_id, current_cursor and has_more_posts. The fetcher's state, else the orchestrator's, becomes the fetcher's."""
+    some = states.where(F.col("step").isin("fetcher", "orchestrator"))
+    best = F.max_by(F.struct(*states.columns), (F.col("step") == "fetcher").cast("int"))
+    base = some.groupBy(F.col("run_id").alias("_r")).agg(best.alias("_b")).select("_b.*")
+    return transition(states, base, values, now, step="fetcher", status="fetching")
+
+
+def analysed(states: DataFrame, values: DataFrame, now: Column) -> DataFrame:
+    """After analysis: values has run_id, overall_sentiment and what else is known (top_posts)."""
+    return transition(states, latest_of_run(states), values, now, step="aggregator", status="analyzed")
+
+
+def top_post_set(states: DataFrame, values: DataFrame, now: Column) -> DataFrame:
+    """After the summary went out: values has run_id, top_post_uri and top_post_cid; step and status stay."""
+    return transition(states, latest_of_run(states), values, now)
+
+
+def completed(states: DataFrame, values: DataFrame, now: Column) -> DataFrame:
+    """After all: values has run_id."""
+    return transition(states, latest_of_run(states), values, now, step="poster", status="completed")
+
+
+def is_complete(created_at: Column, now: Column, minutes: int = 10) -> Column:
+    """A run older than some minutes counts as complete, whatever its state says."""
+    return F.unix_micros(now) - F.unix_micros(created_at) > minutes * 60_000_000
 
 
 def batches(posts: DataFrame, size: int = POSTS_PER_BATCH) -> DataFrame:

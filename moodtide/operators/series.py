@@ -42,6 +42,18 @@ def daily_between(daily: DataFrame, days: int, today: Column) -> DataFrame:
     return daily.where(F.col("date").between(F.date_sub(today, days), today))
 
 
+def daily_point_get(daily: DataFrame, day: Column) -> DataFrame:
+    """The row of one day; an error where there is none."""
+    found = daily.where(F.col("date") == day)
+    lacks = found.agg(F.count("*").alias("n")).select(F.assert_true(F.col("n") > 0, F.concat(F.lit("no daily row for "), day.cast("string"))).alias("ok"))
+    return found.crossJoin(F.broadcast(lacks)).where("ok IS NULL").drop("ok")  # one row
+
+
+def days_after(day: Column, days: int = 0, months: int = 0) -> Column:
+    """A day some days and months later."""
+    return F.add_months(F.date_add(day, days), months) if months else F.date_add(day, days)
+
+
 def new_days(daily: DataFrame, existing: DataFrame) -> DataFrame:
     """Days that are not stored yet."""
     return daily.join(existing.select("date"), "date", "left_anti")
@@ -72,13 +84,12 @@ def extremes_rows(series: DataFrame, ts: str = "timestamp", v: str = "net_sentim
     return s.select(F.lit("lowest").alias("kind"), F.col("lowest_ts").alias("ts"), F.col("lowest").alias("value")).union(s.select(F.lit("highest"), "highest_ts", "highest"))
 
 
-def gaussian_smooth(series: DataFrame, sigma: float = WEEKLY_SIGMA, ts: str = "timestamp", v: str = "net_sentiment_percent", exact_rows: int = 2000) -> DataFrame:
-    """Normalised Gaussian weights over row distance. Beyond exact_rows the kernel ends at 6 sigma, where weights are below 2e-8.
+def gaussian_smooth(series: DataFrame, sigma: float = WEEKLY_SIGMA, ts: str = "timestamp", v: str = "net_sentiment_percent") -> DataFrame:
+    """Normalised Gaussian weights over row distance, of all rows: beyond 39 sigma a weight is 0 as a double, so those rows add nothing.
 
     Each point meets those within reach by an equi-join on blocks of row numbers, never by a cross join.
     """
-    n = series.count()
-    reach = n if n <= exact_rows else int(6 * sigma) + 1
+    reach = int(39 * sigma) + 1
     numbered = series.select(F.col(ts).alias("ts"), F.col(v).alias("value")).withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)
     block = max(reach, 1)
     left = numbered.select("i", "ts", "value", F.explode(F.array(*(F.floor(F.col("i") / block) + k for k in (-1, 0, 1)))).alias("b"))
@@ -96,6 +107,10 @@ def with_position(series: DataFrame, ts: str = "timestamp") -> DataFrame:
     return series.crossJoin(F.broadcast(ends)).withColumn("position", F.try_divide((t - F.col("t0")).cast("double"), (F.col("t1") - F.col("t0")).cast("double"))).drop("t0", "t1")  # one row
 
 
+def average(series: DataFrame, v: str = "net_sentiment_percent") -> DataFrame:
+    return series.agg(F.avg(v).alias("average"))
+
+
 def segments(series: DataFrame, ts: str = "timestamp", v: str = "net_sentiment_percent") -> DataFrame:
     """Pairs of neighbours with the colour of the left one."""
     w = Window.orderBy(ts)

@@ -19,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt to all of them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post for each document: uri by text, so that copies collide; the time of the event of its number."""
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"))
+    d, e = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"))
     toxic = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("t"))
     out = d.join(e, d.doc_id == e.event_id).join(toxic, "doc_id", "left")
     return out.select(
@@ -107,3 +113,28 @@ def run_post_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUN_POSTS = "run_posts AS (SELECT 'run-' || epoch(time_bucket(INTERVAL 30 MINUTES, ts))::BIGINT AS run_id, event_id AS seq, user_id % 50 AS likes FROM raw)"
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the steps of each run: all have an orchestrator and an aggregator, some a fetcher and an analyzer."""
+    h = history(spark, sf_dir).withColumn("k", (F.unix_timestamp("timestamp") / 1800).cast("long"))
+
+    def step(name: str, status: str, minutes: int, overall=None, net=None) -> DataFrame:
+        rows = h.select("run_id", "k", F.lit(name).alias("step"), F.lit(status).alias("status"), (overall if overall is not None else F.lit("")).alias("overall_sentiment"), (net if net is not None else F.lit(0.0)).alias("net_sentiment_percentage"), F.col("timestamp").alias("created_at"), (F.col("timestamp") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("updated_at"))
+        return rows.where({"fetcher": "k % 2 = 0", "analyzer": "k % 3 <> 0"}.get(name, "true")).drop("k")
+
+    out = step("orchestrator", "started", 0).union(step("fetcher", "fetching", 1))
+    return out.union(step("analyzer", "done", 2, F.col("sentiment_category"), F.col("net_sentiment_percent"))).union(step("aggregator", "done", 3))
+
+
+def _step_sql(name: str, status: str, minutes: int, overall: str = "''", net: str = "0.0") -> str:
+    some = {"fetcher": "WHERE k % 2 = 0", "analyzer": "WHERE k % 3 <> 0"}.get(name, "")
+    return f"""SELECT run_id, '{name}' AS step, '{status}' AS status, {overall} AS overall_sentiment, {net}::DOUBLE AS net_sentiment_percentage, "timestamp" AS created_at, "timestamp" + INTERVAL {minutes} MINUTES AS updated_at FROM s0 {some}"""
+
+
+STATES = (
+    HISTORY
+    + ', s0 AS (SELECT *, epoch("timestamp")::BIGINT // 1800 AS k FROM history), states AS ('
+    + " UNION ALL ".join([_step_sql("orchestrator", "started", 0), _step_sql("fetcher", "fetching", 1), _step_sql("analyzer", "done", 2, "sentiment_category", "net_sentiment_percent"), _step_sql("aggregator", "done", 3)])
+    + ")"
+)

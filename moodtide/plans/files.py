@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scratch-")
+    """A new folder below spark.checkpoint.dir; below a temporary one where that is unset and all run in one process."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

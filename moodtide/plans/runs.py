@@ -11,12 +11,19 @@ from moodtide.operators import posts as O
 from moodtide.operators import series as Q
 from moodtide.schemas import HISTORY_TTL_DAYS, TOP_N
 
+#: First sentences of descriptions, and the descriptions of charts of fewer than two points.
+WEEKLY_SHORT = "Seven day sentiment trend chart showing community mood over time"
+YEARLY_SHORT = "Yearly sentiment trend chart showing community mood over the past year"
+WEEKLY_TITLE = "Seven day Bluesky sentiment trend chart. "
+YEARLY_TITLE = "Yearly Bluesky sentiment trend chart showing daily averages over the past year. "
+
 
 def half_hour_run(posts: DataFrame, run_id: str, cutoff: Column, now: Column, score: Column, n: int = TOP_N) -> dict[str, DataFrame]:
-    """Filter, dedup, score, aggregate and rank; ``scored`` feeds all else, so the caller may persist it."""
-    clean = O.since(O.invalidated(posts), cutoff)
-    scored = O.scored(O.dedup_by_uri(clean), score)
-    overall, top = O.overall_sentiment(scored), O.top_posts(scored, n)
+    """Filter, dedup, score, aggregate and rank. Categories and topics are computed for ``scored``, if that is read, and for the n top rows alone."""
+    clean = O.dedup_by_uri(O.since(O.invalidated(posts), cutoff))
+    scored = O.scored(clean, score)
+    valued = clean.withColumn("sentiment_score", score)
+    overall, top = O.overall_sentiment(valued), O.scored(O.top_posts(valued, n), F.col("sentiment_score"))
     line = F.struct("rank", F.concat(F.lit("@"), F.col("author"), F.lit(" "), S.sentiment_symbol(F.col("sentiment"))).alias("line"))
     lines = top.agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]).alias("lines"))  # n rows
     both = overall.crossJoin(lines)  # one row each
@@ -36,7 +43,7 @@ def daily_update(history: DataFrame, stored: DataFrame, compat: bool = False) ->
 def weekly_payload(history: DataFrame) -> DataFrame:
     """The weekly chart's description and note."""
     stats = Q.series_stats(history)
-    text = T.alt_text("Seven day Bluesky sentiment trend chart. ", "Average sentiment: ", "MMM d, h:mm a 'UTC'", "weekly", "period")
+    text = T.alt_text(WEEKLY_TITLE, "Average sentiment: ", "MMM d, h:mm a 'UTC'", "period", WEEKLY_SHORT)
     note = Q.latest_is_extreme(history).select(Q.extreme_note(F.col("extreme")).alias("note"))
     return stats.select(text.alias("alt_text"), "points").crossJoin(note)  # one row each
 
@@ -44,5 +51,5 @@ def weekly_payload(history: DataFrame) -> DataFrame:
 def yearly_payload(series: DataFrame) -> DataFrame:
     """The yearly chart's description and text."""
     stats = Q.series_stats(series)
-    text = T.alt_text("Yearly Bluesky sentiment trend chart showing daily averages over the past year. ", "Yearly average sentiment: ", "MMM d, yyyy", "yearly", "year")
+    text = T.alt_text(YEARLY_TITLE, "Yearly average sentiment: ", "MMM d, yyyy", "year", YEARLY_SHORT)
     return stats.select(text.alias("alt_text"), "points").crossJoin(Q.insight_text(series).select(T.truncate_lines(F.col("insights")).alias("text")))  # one row each

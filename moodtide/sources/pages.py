@@ -1,7 +1,7 @@
 """A cursor-paged source of posts as a Python data source, batch and streaming.
 
-``pages`` names a folder of JSON-lines pages ``page-<cursor>.jsonl`` (the offline form of the API; a client may be put in
-its place by subclassing ``read_page``). The cursor is the offset; a page is a partition. Pages end at the first
+``path`` names a folder, of any file system that Arrow reads, of JSON-lines pages ``page-<cursor>.jsonl`` (the offline form of the API; a
+client may be put in its place by subclassing ``read_page``). The cursor is the offset; a page is a partition. Pages end at the first
 whose oldest row precedes the option ``cutoff`` (ISO 8601; that page is read as a whole), at ``maxPages`` (100 pages of
 100 posts unless given), or where the next page is missing. A stream that has met the cutoff reads nothing more;
 ``maxPages`` bounds each of its batches, not the stream. A batch read that ends at ``maxPages`` before a page that is
@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
 import warnings
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from moodtide.schemas import MAX_PAGES, PAGE_SIZE
@@ -25,12 +28,13 @@ _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def read_page(folder: str, cursor: int) -> list[dict] | None:
-    path = os.path.join(folder, f"page-{cursor:09d}.jsonl")
-    if not os.path.exists(path):
+    io, path = _opened(folder)
+    path = f"{path}/page-{cursor:09d}.jsonl"
+    if io.get_file_info(path).type != fs.FileType.File:
         return None
     rows = []
-    with open(path) as f:
-        for line in f:
+    with io.open_input_stream(path) as f:
+        for line in f.read().decode().split("\n"):
             try:
                 rows.append(json.loads(line))
             except ValueError:
@@ -38,6 +42,42 @@ def read_page(folder: str, cursor: int) -> list[dict] | None:
     return rows
 
 
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    if "://" not in folder and not folder.startswith("file:"):
+        return fs.LocalFileSystem(), folder
+    return fs.FileSystem.from_uri("file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+
+
+def write_pages(posts: DataFrame, folder: str) -> int:
+    """Writes posts as pages in the order of their column seq, which counts from 0; the number of pages."""
+
+    def pages(batches):
+        io, path = _opened(folder)
+        last, rows = None, []
+
+        def put():
+            with io.open_output_stream(f"{path}/page-{last * PAGE_SIZE:09d}.jsonl") as f:
+                f.write("\n".join(json.dumps(r) for r in rows).encode())
+
+        for b in batches:
+            for r in b.to_pylist():
+                page = r.pop("page")
+                if page != last:
+                    if rows:
+                        put()
+                        yield pa.record_batch([pa.array([last])], names=["page"])
+                    last, rows = page, []
+                rows.append(r)
+        if rows:
+            put()
+            yield pa.record_batch([pa.array([last])], names=["page"])
+
+    io, path = _opened(folder)
+    io.create_dir(path, recursive=True)
+    paged = posts.select(*_COLUMNS, F.floor(F.col("seq") / PAGE_SIZE).alias("page")).repartition("page").sortWithinPartitions("page", "seq")
+    return paged.mapInArrow(pages, "page long").count()
+
+
 def _tuples(rows: list[dict]) -> Iterator[tuple]:
     for r in rows:
         yield tuple(r.get(c) if c in ("uri", "cid", "text", "author", "created_at") else int(r.get(c) or 0) for c in _COLUMNS)

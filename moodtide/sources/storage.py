@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +34,75 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path)
 
 
+#: Files up to this many bytes are read as one value; larger ones in parts.
+WHOLE_FILE = 256 << 20
+
+
 def list_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and SHA-256 of each file below a folder."""
+    """Path, size and SHA-256 of each file below a folder; empty files are left out. Files over WHOLE_FILE are read in parts by the tasks, through Arrow's file systems."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("checksum"))
+    small = files.where(F.col("length") <= WHOLE_FILE).select("path", "length", F.sha2("content", 256).alias("checksum"))
+
+    def digests(batches):
+        for b in batches:
+            out = []
+            for name in b.column("path").to_pylist():
+                io, at = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                digest = hashlib.sha256()
+                with io.open_input_stream(at) as f:
+                    while part := f.read(8 << 20):
+                        digest.update(part)
+                out.append(digest.hexdigest())
+            yield pa.record_batch([b.column("path"), b.column("length"), pa.array(out, pa.string())], names=["path", "length", "checksum"])
+
+    large = files.where(F.col("length") > WHOLE_FILE).select("path", "length")
+    return small.union(large.mapInArrow(digests, "path string, length long, checksum string"))
+
+
+def checksum_of(files: DataFrame) -> DataFrame:
+    """One row: file_size, and the SHA-256 of the files' checksums in order."""
+    return files.agg(F.sum("length").alias("file_size"), F.sha2(F.array_join(F.sort_array(F.collect_list("checksum")), "").cast("binary"), 256).alias("checksum"))
+
+
+def batch_write(rows: DataFrame, send, size: int = 25, attempts: int = 5, pause: float = 0.1) -> DataFrame:
+    """Sends the rows in batches of at most size, each up to so many times with growing pauses; (items, attempts) of each batch.
+
+    send takes a list of dictionaries and returns those that it could not take; a batch of which some are left after the last attempt fails.
+    """
+
+    def each(batches):
+        for b in batches:
+            items, tries = [], []
+            for at in range(0, b.num_rows, size):
+                left, n = b.slice(at, size).to_pylist(), 0
+                items.append(len(left))
+                while left and n < attempts:
+                    if n:
+                        time.sleep(n * pause)
+                    left, n = send(left), n + 1
+                if left:
+                    raise RuntimeError(f"{len(left)} rows are left after {attempts} attempts")
+                tries.append(n)
+            yield pa.record_batch([pa.array(items, pa.int32()), pa.array(tries, pa.int32())], names=["items", "attempts"])
+
+    return rows.mapInArrow(each, "items int, attempts int")
+
+
+def upload(spark: SparkSession, source: str, target: str) -> int:
+    """Copies the files below a folder to another file system, each under a temporary name and then renamed; their number."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = hadoop.Path(source), hadoop.Path(target)
+    a, b = src.getFileSystem(conf), dst.getFileSystem(conf)
+    files, n, root = a.listFiles(src, True), 0, str(a.makeQualified(src).toString())
+    while files.hasNext():
+        at = files.next().getPath()
+        to = hadoop.Path(dst, at.toString()[len(root) :].lstrip("/"))
+        part = hadoop.Path(to.toString() + "._copying")
+        hadoop.FileUtil.copy(a, at, b, part, False, True, conf)
+        b.delete(to, False)
+        b.rename(part, to)
+        n += 1
+    return n
 
 
 def append_partitioned(df: DataFrame, path: str, *keys: str, rows_per_file: int | None = None) -> None:
@@ -74,7 +143,7 @@ def backup(tables: dict[str, DataFrame], folder: str, now: Column, gzip: bool =
         name, df = item
         write_jsonl(df, f"{folder}/{name}", gzip)
         files = list_objects(spark, f"{folder}/{name}", "part-*")
-        total = files.agg(F.sum("length").alias("file_size"), F.sha2(F.array_join(F.sort_array(F.collect_list("checksum")), "").cast("binary"), 256).alias("checksum"))
+        total = checksum_of(files)
         n = spark.read.text(f"{folder}/{name}").agg(F.count("*").alias("item_count"))
         return total.crossJoin(n).select(F.lit(name).alias("table_name"), "item_count", "file_size", F.lit(name).alias("file_name"), "checksum", F.lit("").alias("backup_duration"))  # one row each
 
@@ -91,9 +160,20 @@ def backup(tables: dict[str, DataFrame], folder: str, now: Column, gzip: bool =
     return read_manifest(spark, f"{folder}/manifest")
 
 
+def verified_file(spark: SparkSession, folder: str, table: str) -> str:
+    """The file name that a backup's manifest has for a table; an error if it lacks it, or the files differ from what it says."""
+    entry = read_manifest(spark, f"{folder}/manifest").select(F.explode("tables").alias("t")).where(F.col("t.table_name") == table).select("t.*").first()
+    if entry is None:
+        raise ValueError(f"Table {table} not found in backup manifest")
+    found = checksum_of(list_objects(spark, f"{folder}/{entry['file_name']}", "part-*")).first()
+    if (found["checksum"], found["file_size"]) != (entry["checksum"], entry["file_size"]):
+        raise ValueError(f"the files of {table} differ from the backup manifest")
+    return entry["file_name"]
+
+
 def restore(spark: SparkSession, folder: str, table: str, schema: T.StructType, into: str | None = None) -> DataFrame:
-    """The rows of a backed-up table, appended to ``into`` if that is given (else a dry run)."""
-    rows = read_jsonl(spark, f"{folder}/{table}", schema)
+    """The rows of a backed-up table, found by the manifest and verified, appended to ``into`` if that is given (else a dry run)."""
+    rows = read_jsonl(spark, f"{folder}/{verified_file(spark, folder, table)}", schema)
     if into:
         rows.write.mode("append").parquet(into)
     return rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from moodtide.functions import posts as P
 from moodtide.schemas import INTERVAL_MINUTES
@@ -34,10 +34,50 @@ def best_of_uri(posts: DataFrame, minutes: int = INTERVAL_MINUTES, ts: str = "cr
     return out.select("_b.*")
 
 
-def append_once(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch under its own batch_id partition, which a retried batch replaces: exactly once."""
+def observed(rows: DataFrame, name: str = "pages") -> DataFrame:
+    """rows, counted in each batch's progress under a name."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+class EmptyFirstPage(StreamingQueryListener):
+    """Alerts once for each query whose first batch has no rows."""
+
+    def __init__(self, alert, name: str = "pages"):
+        self.alert, self.name, self.seen = alert, name, set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if str(p.id) in self.seen or self.name not in p.observedMetrics:
+            return
+        self.seen.add(str(p.id))
+        if p.observedMetrics[self.name]["rows"] == 0:
+            self.alert(str(p.id))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def alive_stream(rows: DataFrame, seconds: int, ts: str = "created_at") -> DataFrame:
+    """The latest row of each run_id within a time to live: state older than the watermark is evicted."""
+    best = F.max_by(F.struct(*rows.columns), F.col(ts))
+    out = rows.withWatermark(ts, f"{seconds} seconds").groupBy(F.session_window(ts, f"{seconds} seconds"), F.col("run_id").alias("_r")).agg(best.alias("_b"))
+    return out.select("_b.*")
+
+
+def append_once(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Appends each micro-batch under its own batch_id partition, which a retried batch replaces: exactly once.
+
+    All that there is, then an end; with ``every`` ("1 hour") at once and then again each so often.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
-    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -80,3 +80,17 @@ def test_run_of_no_posts(spark):
 def test_percent_is_half_even(spark):
     got = spark.createDataFrame([(0.25,), (0.35,), (-3.15,), (None,)], "p double").select(T.percent_format(F.col("p"))).collect()
     assert [r[0] for r in got] == ["+0.2%", "+0.3%", "-3.1%", None]
+
+
+def test_rules_of_the_compound_score():
+    """Each rule moves the score of a plain sentence the way it should."""
+    v = {"good": 1.9, "bad": -2.5, "so": 0.0, "heart": 1.0, "death": -2.9, "right": 1.0}
+    at = lambda t: compound(t, v)
+    assert at("good") == compound("good", {"good": 1.9}) > 0
+    assert at("very good") > at("good") > at("barely good") > 0 > at("not good") > at("bad")
+    assert at("least good") < 0 < at("at least good") and at("very least good") > 0
+    assert at("it was never so good") > at("it was good") and at("without doubt good") == at("good")
+    assert at("GOOD day here") > at("good day here") and at("GOOD DAY") == at("good day")
+    assert at("the kiss of death") == at("a the kiss of death") != at("a big black death")
+    assert at("good but bad") < at("good and bad") and at("good!!!") > at("good!") and at("bad??") < at("bad?")
+    assert at("nothing here") == 0 == at("") == at(None)
