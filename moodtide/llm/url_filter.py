@@ -79,6 +79,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, edges: DataFrame | None = None)
     # a page of an allowed component stays allowed: 'allow' sorts before 'block'
     decided = of_node.where("v IS NOT NULL").groupBy("component").agg(F.min("v").alias("alias"))
     alias = component.join(decided, "component").select("node", "alias")
+    # pages without a node have keys of their own, so that they don't meet in one task
+    judged = judged.withColumn("node", F.coalesce("node", F.concat(F.lit("\x00"), F.col("page_id").cast("string"))))
     return judged.join(alias, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "alias", F.lit("allow")).alias("verdict"))
 
 
@@ -102,7 +104,7 @@ def _rule_sql(h: str, p: str, what: str) -> str:
 
 def _tag_sql(tag: str, has: str, value: str) -> str:
     tags = f"regexp_extract_all(html, '(?is)<{tag}\\b[^>]*>')"
-    return f"(SELECT url, regexp_extract(list_filter({tags}, lambda x: regexp_matches(x, '{has}') AND regexp_matches(x, '{value}'))[1], '{value}', 1) AS t FROM pages)"
+    return f"(SELECT url, regexp_extract(x, '{value}', 1) AS t FROM (SELECT url, unnest(list_filter({tags}, lambda x: regexp_matches(x, '{has}') AND regexp_matches(x, '{value}'))) AS x FROM pages))"
 
 
 _TO = "replace(t, '&amp;', '&')"

@@ -1,5 +1,7 @@
 """Every canonical link and refresh of a page is an edge."""
 
+import duckdb
+
 from moodtide.llm import url_filter
 
 
@@ -16,3 +18,8 @@ def test_later_links_are_edges_too(spark):
     got = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(pages).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
     assert url_filter.links(pages).count() == 7
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    out = con.sql(url_filter.ORACLE)
+    assert {r[out.columns.index("page_id")]: r[out.columns.index("verdict")] for r in out.fetchall()} == got
