@@ -94,7 +94,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
                 if not len(own):
                     continue
                 np.add.at(sketch, (h >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-                h1, h2 = tk.run_hash(h, begin[:-1], begin[1:]), tk.run_hash(tk.mix(h), begin[:-1], begin[1:])
+                h1, h2 = tk.run_hash(h, begin[:-1], begin[1:]), tk.sums(tk.mix(h), begin)
                 yield pa.record_batch([pa.array(a[own + t.first]), pa.array(_sub(r[own + t.first], number).view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["a", "sub", "h1", "h2"])
         hot = np.flatnonzero(sketch)
         if len(hot):
@@ -385,15 +385,18 @@ def line_sets(docs: DataFrame, items: DataFrame) -> DataFrame:
             doc, row = b.column("a").to_numpy(), b.column("r").to_numpy()
             wanted = b.column("wanted")
             for t in tk.slices(b.column("text"), lower=True):
-                h, begin, own, number = words_of(t)
+                # only the wanted lines are read as words
+                start, end, own = t.lines()
+                number = np.arange(len(own)) - np.searchsorted(own, own)
                 w = wanted.slice(t.first, t.n)
-                size = np.diff(w.offsets.to_numpy())
-                key = np.repeat(np.arange(t.n), size) * (1 << 32) + w.flatten().to_numpy()
+                key = np.repeat(np.arange(t.n), np.diff(w.offsets.to_numpy())) * (1 << 32) + w.flatten().to_numpy()
                 one = np.flatnonzero(np.isin(own * (1 << 32) + number, key))
                 if not len(one):
                     continue
-                count = np.diff(begin)[one]
-                v, edges = tk.sorted_sets(h[tk.ragged(begin[one], count)], np.repeat(np.arange(len(one)), count), len(one))
+                size = (end - start)[one]
+                some = tk.Texts(t.data[tk.ragged(start[one], size)], np.append(0, np.cumsum(size)), 0)
+                first, last = some.spans(tk.BLANK_SEPARATED)
+                v, edges = tk.sorted_sets(some.hashes(first, last), some.owner(first), some.n)
                 tokens = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((8 * edges).astype(np.int32)), pa.py_buffer(v)])
                 yield pa.record_batch([pa.array(doc[own[one] + t.first]), pa.array(_sub(row[own[one] + t.first], number[one]).view(np.int64)), tokens], names=["a", "sub", "tokens"])
 
@@ -507,19 +510,19 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
         for b in batches:
             text, lines = b.column("text"), []
             for t in tk.slices(text):
-                _, _, own, _ = words_of(t)
-                lines.append(np.bincount(own, minlength=t.n))
+                upto = np.append(0, np.cumsum(tk.BLANK_SEPARATED[t.data], dtype=np.int64))
+                start, end, own = t.lines()
+                lines.append(np.bincount(own[upto[end] > upto[start]], minlength=t.n))
             lines = np.concatenate(lines) if lines else np.zeros(0, np.int64)
             removed = np.zeros(len(lines), np.int64)
             held = b.column(out)
-            hit = np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False))
-            if len(hit):
-                new = {}
-                for i in hit.tolist():
-                    drop = set(held[i].as_py())
-                    removed[i] = len(drop)
-                    new[i] = "\n".join(p for k, p in enumerate(text[i].as_py().split("\n")) if k not in drop)
-                text = pa.array([new.get(i, v) if i in new else v for i, v in enumerate(text.to_pylist())], pa.string())
+            if held.null_count < len(held):
+                new = text.to_pylist()
+                for i, drop in enumerate(held.to_pylist()):
+                    if drop is not None:
+                        removed[i], drop = len(drop), set(drop)
+                        new[i] = "\n".join([p for k, p in enumerate(new[i].split("\n")) if k not in drop])
+                text = pa.array(new, pa.string())
             cols = {c: b.column(c) for c in names} | {"text": text, "n_lines": pa.array(lines.astype(np.int64)), "n_removed": pa.array(removed), "emptied": pa.array((lines > 0) & (lines == removed))}
             yield pa.record_batch(list(cols.values()), names=list(cols))
 
