@@ -38,8 +38,8 @@ K, NUM, DEN = 5, 75, 100
 #: Width of a size band, in steps of the ratio that links allow.
 BAND = 4
 SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_PAIRS = 22, 1_000_000, 512, 500_000
-#: Bits of a bitmap: the power of two from four for each shingle up, within these bounds.
-LEAST_BITS, MOST_BITS = 256, 1 << 20
+#: Bits of a bitmap: the power of two from two for each shingle up, within these bounds.
+LEAST_BITS, MOST_BITS = 128, 1 << 20
 NAMES = ["a", "r", "n", "h1", "h2", "bits"]
 _U = np.uint64
 _SECOND = _U(0xA24BAED4963EE407)
@@ -60,18 +60,19 @@ def fingerprints(v: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def bitmaps(values: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """A hashed bitmap of each set. Widths are powers of two, so that a wide one folds into a narrow one."""
+    """A hashed bitmap of each set: the parity of the elements of each cell. Widths are powers of two, so that a wide one folds into a narrow one."""
     n = np.diff(edges)
-    width = np.clip(1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
     begin = np.append(0, np.cumsum(width))
+    cell, count = np.unique(np.repeat(begin[:-1], n) + ((values >> _U(20)).astype(np.int64) & np.repeat(width - 1, n)), return_counts=True)
     on = np.zeros(begin[-1], bool)
-    on[np.repeat(begin[:-1], n) + ((values >> _U(20)).astype(np.int64) & np.repeat(width - 1, n))] = True
+    on[cell[count % 2 == 1]] = True
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((begin // 8).astype(np.int32)), pa.py_buffer(np.packbits(on))])
 
 
 def folded(marks: np.ndarray, words: int) -> np.ndarray:
     """Rows of 64-bit words, folded to so many."""
-    return np.bitwise_or.reduce(marks.reshape(len(marks), -1, words), axis=1)
+    return np.bitwise_xor.reduce(marks.reshape(len(marks), -1, words), axis=1)
 
 
 def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:

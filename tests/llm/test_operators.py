@@ -156,6 +156,19 @@ def test_filters_let_every_match_through():
         assert ok
 
 
+def test_bitmaps_never_hide_a_link():
+    """Parities that differ, at the narrower width, are no more than the elements in which two sets differ."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for n in (1, 30, 90, 700):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, int(len(a) * r.uniform(0.5, 1)))], r.integers(0, 2**63, int(r.integers(0, 2 * n + 1)), dtype=np.uint64)]))
+        marks = setsim.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).to_pylist()
+        assert setsim.differing(marks[:1], marks[1:])[0] <= len(np.setxor1d(a, b))
+        assert setsim.differing(marks[:1], marks[:1])[0] == 0
+
+
 def hash_of(v: int) -> int:
     return int.from_bytes(hashlib.sha256(str(v).encode()).digest()[:8], "little")
 
