@@ -14,9 +14,9 @@ An item is a doc_id. Items of equal sets are one class; a class is named by 64 b
    come as streams sorted by tile (centre, size band, part), so one large group is many tiles.
 4. Tiles: of a list whose members are still in several components, those outside its largest one seek partners. Sizes are cut into
    bands, so wide that the sizes a set can link to lie in one or two; a tile is a block of one band of a list and the seekers that can link
-   into it, so a member is in one tile and seekers alone are copied. In a tile sizes, then bitmaps bound the overlaps. In rounds each
-   seeker is tested against its nearest one of another component, as long as half of these link; then all pairs of
-   different components that may still link are tested.
+   into it, so a member is in one tile and seekers alone are copied. In a tile sizes, then bitmaps bound the overlaps. In ``NEAREST_ROUNDS`` rounds
+   each seeker is tested against its nearest one of another component; then all pairs of different components that may still
+   link are tested.
 
 All pairs that share a prefix shingle are so tested, ruled out by a bound, or joined by tested links: components are exact. A
 32-bit tag stands for a shingle inside a bucket; clashes only cost tests.
@@ -37,7 +37,7 @@ from moodtide.llm import textkit as tk
 K, NUM, DEN = 5, 75, 100
 #: Width of a size band, in steps of the ratio that links allow.
 BAND = 4
-SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_PAIRS = 22, 1_000_000, 512, 500_000
+SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_PAIRS, NEAREST_ROUNDS = 22, 1_000_000, 512, 500_000, 1
 #: Bits of a bitmap: the power of two from two for each shingle up, within these bounds.
 LEAST_BITS, MOST_BITS = 128, 1 << 20
 NAMES = ["a", "r", "n", "h1", "h2", "bits"]
@@ -456,8 +456,8 @@ def classes(docs: DataFrame) -> DataFrame:
     parts_of = _components(links)
     links, parts_of, _ = _grown(links, parts_of, _apart(star, parts_of), texts)
     common.discard(star)
-    nearest = True
-    while True:
+    for left in range(NEAREST_ROUNDS, -1, -1):
+        nearest = left > 0
         tiled = _open_tiles(lists, parts_of, marks, parts)
         found = tiled.mapInArrow(common.lean(tile_pairs(nearest)), "c long, x long, xn int, d int")
         if nearest:
@@ -466,9 +466,8 @@ def classes(docs: DataFrame) -> DataFrame:
         found = common.written(found.select("c", "x", "xn").distinct(), "tiles")
         links, parts_of, share = _grown(links, parts_of, found, texts)
         common.discard(found)
-        if share is None or not nearest:
+        if share is None:
             break
-        nearest = share >= 0.5
     of_item = items.select("a", "r", "id").distinct().join(parts_of.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_item = of_item.withColumn("doc_id", F.when(F.col("r") < 1 << 31, F.col("a"))).withColumn("p", place)
     of_item = common.written(of_item.select("a", "r", "doc_id", "p", "component"), "of-item")
