@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moodtide.llm import decontamination, html_extraction, language, line_join, packing, quality_model, quality_rules, similarity, token_file, url_filter
+from moodtide.llm import decontamination, dominance, html_extraction, language, line_join, packing, quality_model, quality_rules, similarity, token_file, url_filter
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_redirect_classes": url_filter.op8_redirect_classes,
     "op9_tree_marginals": html_extraction.op9_tree_marginals,
     "op10_winnowing": decontamination.op10_winnowing,
+    "op11_dominance": dominance.op11_dominance,
 }
 ORACLE_SQL = {
     "op1_line_frequency": quality_rules.ORACLE,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_line_dedup": line_join.ORACLE,
     "op8_redirect_classes": url_filter.ORACLE,
     "op10_winnowing": decontamination.ORACLE,
+    "op11_dominance": dominance.ORACLE,
 }
