@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -120,3 +121,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", "m")).where("v <> u").distinct()
         e = written(small, "edges")
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", "u").distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs whose results are written: it does so once its handles on them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moodtide.llm import decontamination, dominance, html_extraction, language, line_join, packing, quality_model, quality_rules, resampling, similarity, token_file, url_filter
+from moodtide.llm import decontamination, dominance, html_extraction, language, line_join, ngram_model, packing, quality_model, quality_rules, resampling, similarity, token_file, url_filter
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_tree_marginals": html_extraction.op9_tree_marginals,
     "op10_winnowing": decontamination.op10_winnowing,
     "op11_dominance": dominance.op11_dominance,
+    "op12_elias_fano_trie": ngram_model.op12_elias_fano_trie,
     "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 ORACLE_SQL = {
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op8_redirect_classes": url_filter.ORACLE,
     "op10_winnowing": decontamination.ORACLE,
     "op11_dominance": dominance.ORACLE,
+    "op12_elias_fano_trie": ngram_model.ORACLE,
     "op13_importance_resampling": resampling.ORACLE,
 }
