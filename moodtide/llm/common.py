@@ -105,7 +105,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). The minima of
     large stars are partial aggregates that are written and joined back, so that a hub's rows may be split over tasks. Rounds end when every
-    component is a star around its smallest node; each round is written to the shared folder. Nulls and loops are dropped.
+    component is a star around its smallest node; each round is written to the shared folder, and deleted after the next. Nulls and loops are dropped.
     """
     e = edges.select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).where("v <> u").distinct()
     e = written(e, "edges")
@@ -115,12 +115,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if ends.groupBy("x").agg(F.sum("below").alias("b"), F.max("above").alias("a")).where("b > 1 OR b = 1 AND a = 1").isEmpty():
             break
         both = e.union(e.select("u", "v")).toDF("x", "y")
-        low = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
+        low = smallest = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", "m")).where("v <> u").distinct()
-        e = written(small, "edges")
-    return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", "u").distinct())
+        before, e = e, written(small, "edges")
+        discard(before, smallest)
+    out = e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", "u").distinct())
+    out.written_path = e.written_path
+    return out
 
 
 def release(spark: SparkSession) -> None:

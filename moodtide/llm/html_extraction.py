@@ -395,6 +395,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
 
 def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """page_id, url and the main text of pages(page_id, url, html)."""
+    common.ship(pages.sparkSession)
     model = model or fit(labelled_pages())
 
     def rows(batches):

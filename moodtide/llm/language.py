@@ -7,9 +7,10 @@ weights on a language set; the set grows greedily from the best single language
 rises. The largest weight names the language; the score is that weight times the posterior of the first language
 alone, so that a text of few or undecided n-grams has a low one (1 / languages where it has none).
 
-The model is fitted on at most ``max_docs`` documents of each language, those whose doc_id hashes lowest. A
+The model is fitted on at most ``max_docs`` documents of each language, those whose doc_id and text hash lowest; rows equal in
+doc_id, text and language are one document there. The driver holds 2 MB for each language. ``held_out`` is null where doc_id is null. A
 text that is null, or has no letter, is ``und`` with score 0, as is every text if no labelled document can be
-learnt from. Copies, repeated rows, ties (the language that sorts first) and other columns change nothing; null doc_ids are judged, but teach nothing; empty
+learnt from. Repeated rows, ties (the language that sorts first) and other columns change nothing; null doc_ids are judged, but teach nothing; empty
 tables give empty results.
 """
 
@@ -46,14 +47,14 @@ def grams(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
     """The model of docs(doc_id, text, lang); texts stay on the executors, counts of fixed size reach the driver."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    common.ship(docs.sparkSession)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     # the lowest of each salted part of a language, then of these: no language meets in one task
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    usable = usable.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
+    ids = usable.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))  # repeated rows are one
     for keys in (["lang", "salt"], ["lang"]):
-        low = Window.partitionBy(*keys).orderBy("h", "doc_id")
-        ids = ids.withColumn("r", F.row_number().over(low)).where(F.col("r") <= (-(-2 * max_docs // SALTS) if len(keys) == 2 else max_docs))
-    ids = ids.select("doc_id", "lang")
-    some = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # max_docs a language at most
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= max_docs)
+    some = usable.join(F.broadcast(ids.select("lang", "h")), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # max_docs a language at most
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -173,6 +174,7 @@ def judge(t: tk.Texts, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, lang_pred, score) of docs(doc_id, text)."""
+    common.ship(docs.sparkSession)
 
     def rows(batches):
         for b in batches:

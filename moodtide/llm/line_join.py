@@ -116,12 +116,12 @@ def levels(keys: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(count[cell < 0].sum())
 
 
-def copies(keys: DataFrame) -> DataFrame:
-    """(a, sub) of each line that equals an earlier one word by word."""
+def copies(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, sub) of each line that equals an earlier one word by word, and a table that this is read from."""
     lines = keys.where("h1 IS NOT NULL")
     again = lines.groupBy("h1", "h2").agg(F.min(place("a", "sub")).alias("p"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "p")
     again = common.written(again, "line-again")  # read again, so that a very common line's rows may be split over tasks
-    return lines.join(again, ["h1", "h2"]).where(place("a", "sub") != F.col("p")).select("a", "sub")
+    return lines.join(again, ["h1", "h2"]).where(place("a", "sub") != F.col("p")).select("a", "sub"), again
 
 
 # -- prefixes --------------------------------------------------------------------------------------------------------
@@ -447,8 +447,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     buckets = max(4 * parts, n_words // BUCKET_WORDS)
     dealt = postings(docs, level, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = common.written(dealt.mapInArrow(common.lean(shortlist), MEMBER + ", ya long, ysub long, score long"), "line-lists")
-    gone = [common.written(copies(keys), "line-copies")]
-    common.discard(keys)
+    common.release(spark)  # shuffle files of the postings
+    equal, again = copies(keys)
+    gone = [common.written(equal, "line-copies")]
+    common.discard(keys, again)
 
     first = F.min(F.struct((-F.col("score")).alias("k"), place("ya", "ysub").alias("p"))).alias("m")
     pairs = found.where("ya IS NOT NULL").groupBy("a", "sub").agg(first)
@@ -460,6 +462,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     none = [F.lit((1 << 62)).alias("cs"), F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("csub")]
     open_ = common.written(pairs.join(gone[1], ["a", "sub"], "left_anti").select("a", "sub", *none), "line-open")
     common.discard(pairs)
+    common.release(spark)
     take = 1
     while not open_.isEmpty():
         take *= MORE

@@ -4,10 +4,11 @@ Each class has a mean and a covariance that is shrunk towards the pooled one, an
 the identity; Cholesky factors are computed once and shipped. The score is the logistic of the difference of
 the two Mahalanobis log-densities and log priors.
 
-The model is fitted on at most ``max_rows`` labelled documents, those whose doc_id hashes lowest; the sample's
+The model is fitted on at most ``max_rows`` labelled documents, those whose doc_id, and of these whose doc_id and text, hash lowest; the sample's
 statistics, not its texts, reach the driver. Null and empty texts have statistics like any other (all 0). Where a class has no
 labelled row, its mean and covariance are the pooled ones; without any label every score is 0.5. Rows of
-``labels`` whose quality is null, and ids that only one table has, teach nothing; repeated rows count again.
+``labels`` whose quality is null, and ids that only one table has, teach nothing; rows equal in doc_id, text and quality
+are one there. ``held_out`` is null where doc_id is null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,14 +76,16 @@ def _rows(batches):
     for b in batches:
         for t in tk.slices(b.column("text"), limit=tk.SLICE_BYTES):
             x = statistics(t)
-            yield pa.record_batch([b.column("quality").slice(t.first, t.n), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+            yield pa.record_batch([b.column("h").slice(t.first, t.n), b.column("quality").slice(t.first, t.n), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "quality", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict | None:
+    common.ship(docs.sparkSession)
     usable = labels.where(F.col("quality").isNotNull() & ~common.held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text")  # max_rows at most
-    rows = sample.mapInArrow(_rows, "quality int, x array<double>").toArrow()
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id", "text", "quality").alias("h"), "quality", "text")
+    # equal rows are one, and many texts of one doc_id don't add up beyond max_rows
+    rows = sample.mapInArrow(common.lean(_rows), "h long, quality int, x array<double>").dropDuplicates(["h"]).orderBy("h").limit(max_rows).toArrow()
     if not rows.num_rows:
         return None
     return model_of(np.array(rows["x"].combine_chunks().flatten()).reshape(rows.num_rows, -1), rows["quality"].to_numpy() == 1)
@@ -115,6 +118,8 @@ def log_odds(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame, model: dict | None) -> DataFrame:
+    common.ship(docs.sparkSession)
+
     def rows(batches):
         for b in batches:
             ids = b.column("doc_id")

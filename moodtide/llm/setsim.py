@@ -454,33 +454,38 @@ def classes(docs: DataFrame) -> DataFrame:
     best = star.groupBy("x", "xn").agg(F.max_by("c", F.shiftleft(F.col("shared"), 40) + F.col("c").bitwiseAND((1 << 40) - 1)).alias("c")).select("c", "x", "xn")
     links = common.written(tested(best, texts), "links")
     parts_of = _components(links)
-    links, parts_of, _ = _grown(links, parts_of, _apart(star, parts_of), texts)
-    common.discard(star)
+    apart = _apart(star, parts_of)
+    links, parts_of, _ = _grown(links, parts_of, apart, texts)
+    common.discard(star, apart)
+    common.release(spark)  # shuffle files of what is written by now
     for left in range(NEAREST_ROUNDS, -1, -1):
         nearest = left > 0
-        tiled = _open_tiles(lists, parts_of, marks, parts)
+        tiled, scratch = _open_tiles(lists, parts_of, marks, parts)
         found = tiled.mapInArrow(common.lean(tile_pairs(nearest)), "c long, x long, xn int, d int")
         if nearest:
             by = F.shiftleft(F.col("d").cast("long"), 40) + F.col("x").bitwiseAND((1 << 40) - 1)
             found = found.groupBy("c").agg(F.min_by("x", by).alias("x"), F.min_by("xn", by).alias("xn"))
         found = common.written(found.select("c", "x", "xn").distinct(), "tiles")
+        common.discard(*scratch)
         links, parts_of, share = _grown(links, parts_of, found, texts)
         common.discard(found)
+        common.release(spark)
         if share is None:
             break
     of_item = items.select("a", "r", "id").distinct().join(parts_of.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_item = of_item.withColumn("doc_id", F.when(F.col("r") < 1 << 31, F.col("a"))).withColumn("p", place)
     of_item = common.written(of_item.select("a", "r", "doc_id", "p", "component"), "of-item")
     low = common.written(of_item.groupBy("component").agg(F.min("p").alias("low"), F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"), "low")
-    common.discard(lists, texts)
+    common.discard(lists, texts, first, parts_of)
+    common.release(spark)
     judged = of_item.join(low, "component", "left").select("a", "r", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("p") == F.col("low"), F.lit(True)).alias("stays"))
     rows = keyed.where("n >= 0").select("a", "r", "n")
     doc_id = F.when(F.col("r") < 1 << 31, F.col("a"))
     return rows.join(judged, ["a", "r"], "left").select("a", "r", "n", F.coalesce("component_id", doc_id).alias("component_id"), F.coalesce("stays", F.lit(True)).alias("stays"))
 
 
-def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
-    """Members of the lists that hold several components beside their centre, by tile: (list, size band, block)."""
+def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Members of the lists that hold several components beside their centre, by tile: (list, size band, block); and the tables that they are read from."""
     placed = lists.where("id <> c").join(parts_of.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left")
     placed = placed.select("list", "id", "n", F.coalesce("part", "id").alias("part"), _band(F.col("n")).alias("band"))
     shares = placed.groupBy("list", "part").agg(F.count("*").alias("k"))
@@ -501,7 +506,8 @@ def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts:
     asking = asking.where((F.col("band") != F.col("home")) | (F.col("block") != home)).withColumn("seeks", F.lit(True))
     cols = ["list", "band", "block", "id", "n", "part", "seeks"]
     both = held.select(*cols, F.lit(False).alias("asks")).union(asking.select(*cols, F.lit(True).alias("asks")))
-    return both.join(marks.select("id", "bits"), "id").repartition(parts, "list", "band", "block").sortWithinPartitions("list", "band", "block", "id")
+    tiles = both.join(marks.select("id", "bits"), "id").repartition(parts, "list", "band", "block").sortWithinPartitions("list", "band", "block", "id")
+    return tiles, [member, bands]
 
 
 def _band(n: Column) -> Column:
@@ -518,7 +524,8 @@ def _grown(links: DataFrame, parts_of: DataFrame, pairs: DataFrame, texts: DataF
     n = more.count()
     if n:
         links = links.union(more)
-        parts_of = _components(links)
+        before, parts_of = parts_of, _components(links)
+        common.discard(before)
     return links, parts_of, n / wanted
 
 

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from moodtide.llm import common, tokens
 from moodtide.llm import textkit as tk
 
+#: Bytes of text for each shard; small inputs have one for each shuffle partition.
+SHARD_BYTES = 1 << 30
 MAGIC = b"S8BFILE1"
 #: Values and bits of each selector from 1.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -131,12 +133,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> l
         io.move(temporary, final)
         yield pa.record_batch({"shard": pa.array([number], pa.int32()), "path": [final], "n_docs": pa.array([docs_n], pa.int64()), "n_ids": pa.array([ids_n], pa.int64())})
 
+    common.ship(docs.sparkSession)
     io, path = file_system(folder)
     io.create_dir(path, recursive=True)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    parts = common.reduce_partitions(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(common.reduce_partitions(docs.sparkSession), size // SHARD_BYTES)
     ranged = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    # a row for each shard: their number does not follow the number of documents
+    # a row for each shard of about SHARD_BYTES of text
     return sorted((r.asDict() for r in ranged.mapInArrow(shard, "shard int, path string, n_docs long, n_ids long").collect()), key=lambda r: r["shard"])
 
 

@@ -48,15 +48,22 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _links(html: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+#: Patterns of one tag's text, each of which is read once from its start; SQL takes the same.
+_CANONICAL, _HREF = r"(?is)\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_REFRESH, _CONTENT, _URL = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\bcontent\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"']+)", r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Edges (src, dst) between the nodes of pages(url, html)."""
-    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)"
-    out = pages.select("url", F.explode(F.concat(_links(F.col("html"), tag), _links(F.col("html"), refresh))).alias("to")).where("to <> ''")
+    """Edges (src, dst) between the nodes of pages(url, html).
+
+    A page is cut at each ``<``, and a tag ends at the first ``>`` or ``<``: patterns see one tag at a time, so that work is linear in the page.
+    """
+    tags = F.filter(F.split("html", "<", -1), lambda x: F.lower(F.substring(x, 1, 4)).isin("link", "meta"))
+    tag = pages.select("url", F.explode(F.transform(tags, lambda x: F.substring_index(x, ">", 1))).alias("tag"))
+    href = F.regexp_extract("tag", _HREF, 1)
+    refresh = F.regexp_extract(F.regexp_extract("tag", _CONTENT, 1), _URL, 1)
+    kind = F.when(F.col("tag").rlike(r"(?i)^link\b") & F.col("tag").rlike(_CANONICAL), href).when(F.col("tag").rlike(r"(?i)^meta\b") & F.col("tag").rlike(_REFRESH), refresh)
+    out = tag.select("url", kind.alias("to")).where("to <> ''")
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     to = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(scheme, to)).otherwise(F.concat(scheme, F.regexp_extract(path_of(F.col("url")), r"(?s)^(.*/)", 1), to))
@@ -102,16 +109,17 @@ def _rule_sql(h: str, p: str, what: str) -> str:
     return "CASE " + " ".join(f"WHEN ({h} = '{a}' OR ends_with({h}, '.{a}')) AND starts_with({p}, '{b}') THEN '{a + b if what == 'rule' else v}'" for a, b, v in ranked) + " END"
 
 
-def _tag_sql(tag: str, has: str, value: str) -> str:
-    tags = f"regexp_extract_all(html, '(?is)<{tag}\\b[^>]*>')"
-    return f"(SELECT url, regexp_extract(x, '{value}', 1) AS t FROM (SELECT url, unnest(list_filter({tags}, lambda x: regexp_matches(x, '{has}') AND regexp_matches(x, '{value}'))) AS x FROM pages))"
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
 
 
 _TO = "replace(t, '&amp;', '&')"
 _BASE = "regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)"
 ORACLE = f"""
-WITH RECURSIVE targets AS (SELECT url, {_TO} AS t FROM (SELECT * FROM {_tag_sql('link', '(?i)\\brel\\s*=\\s*["'']?canonical\\b', '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)')}
-  UNION ALL SELECT * FROM {_tag_sql('meta', '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b', '(?is)\\bcontent\\s*=\\s*["'']?[^"''>]*?url\\s*=\\s*["'']?([^"''\\s>]+)')}) WHERE coalesce(t, '') <> ''),
+WITH RECURSIVE tags AS (SELECT url, split_part(x, '>', 1) AS tag FROM (SELECT url, unnest(string_split(html, '<')) AS x FROM pages) WHERE lower(substr(x, 1, 4)) IN ('link', 'meta')),
+found AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)^link\\b') AND regexp_matches(tag, {_sql(_CANONICAL)}) THEN regexp_extract(tag, {_sql(_HREF)}, 1)
+  WHEN regexp_matches(tag, '(?i)^meta\\b') AND regexp_matches(tag, {_sql(_REFRESH)}) THEN regexp_extract(regexp_extract(tag, {_sql(_CONTENT)}, 1), {_sql(_URL)}, 1) END AS t FROM tags),
+targets AS (SELECT url, {_TO} AS t FROM found WHERE coalesce(t, '') <> ''),
 full_targets AS (SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN {_BASE} || t ELSE {_BASE} || regexp_extract({_PATH.format('url')}, '(?s)^(.*/)', 1) || t END AS t FROM targets),
 e AS (SELECT {_node_sql('url')} AS x, {_node_sql('t')} AS y FROM full_targets),
 b AS (SELECT x, y FROM e WHERE x IS NOT NULL AND y IS NOT NULL UNION SELECT y, x FROM e WHERE x IS NOT NULL AND y IS NOT NULL),

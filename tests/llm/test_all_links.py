@@ -1,6 +1,7 @@
 """Every canonical link and refresh of a page is an edge."""
 
 import duckdb
+import pytest
 
 from moodtide.llm import url_filter
 
@@ -23,3 +24,14 @@ def test_later_links_are_edges_too(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
     out = con.sql(url_filter.ORACLE)
     assert {r[out.columns.index("page_id")]: r[out.columns.index("verdict")] for r in out.fetchall()} == got
+
+
+@pytest.mark.parametrize("piece", ["<link ", "<meta ", "<link rel=canonical ", "<meta http-equiv=refresh content=", "<meta http-equiv='refresh' content=\"0; url ", "content=\"url=", "<", ">", "<link href=" + "a" * 90])
+def test_urls_of_pages_of_many_megabytes(spark, piece):
+    import time
+
+    html = "<link rel=canonical href='/a'>" + piece * ((4 << 20) // len(piece)) + "<LINK href=/b REL=\"Canonical\">"
+    df = spark.createDataFrame([(1, "http://h.example/x", html)], "page_id long, url string, html string")
+    began = time.time()
+    found = {(r["src"], r["dst"]) for r in url_filter.links(df).collect()}
+    assert ("h.example/x", "h.example/a") in found and ("h.example/x", "h.example/b") in found and time.time() - began < 10
