@@ -7,6 +7,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -127,6 +128,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs whose results are written: it does so once its handles on them are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of jobs whose results are written: it does so once its handles on them are collected, which takes a second round where listeners held them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

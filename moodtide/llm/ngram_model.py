@@ -15,7 +15,7 @@ text's score is a sum of whole numbers, equal in any order and for any number of
    that training lacks, which are looked up among the contexts in a second round.
 4. Sums meet by slice of texts and are added up.
 
-Only the heavy words with their counts and two totals go to the driver, all of bounded number. The rest grows with the corpus and is dealt by hash. Words are held by 64-bit hashes, successors by 40 bits
+Only the heavy words with their counts and two totals go to the driver, all of bounded number. The rest grows with the corpus and is dealt by hash. Words are held by 48 bits of their hash, successors by 40
 beside their context.
 
 Null texts are empty: one token, the end. A null doc_id is hashed as an empty string and so belongs to training. Each row is a text of its own, repeated or not. Other columns are ignored. An
@@ -41,9 +41,10 @@ U = np.uint64
 STEPS, DISCOUNT = 1024, 0.75
 HEAVY_PARTS, BLOCKS, SALTS = 256, 16, 8
 SHARD_TOKENS, SHARDS_PER_TASK, SLICE, ROWS, BATCH, MERGE_ROWS = 1_000_000, 4, 4 << 20, 50_000, 1 << 18, 1 << 21
-BOUNDARY = U(0x6A09E667F3BCC908)
-WORD_BITS, WORD_BYTES = 40, 5
-_CUT = U(64 - WORD_BITS)
+#: Words as contexts are held by 48 bits of their hash, as successors by the first 40 of these.
+CONTEXT_BYTES, WORD_BYTES = 6, 5
+_CONTEXT, _CUT = U(64 - 8 * CONTEXT_BYTES), U(8 * (CONTEXT_BYTES - WORD_BYTES))
+BOUNDARY = U(0x6A09E667F3BC)
 FOLD, HELD_OUT = 7, 2
 
 
@@ -64,9 +65,9 @@ def _slices(b: pa.RecordBatch) -> Iterator[tuple[tk.Texts, pa.RecordBatch]]:
 
 
 def _tokens(t: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context, token and text of each token of a slice; tokens by 64-bit hashes."""
+    """Context, token and text of each token of a slice, by 48-bit hashes."""
     start, end = t.spans(tk.BLANK_SEPARATED)
-    h, own = t.hashes(start, end), t.owner(start)
+    h, own = t.hashes(start, end) >> _CONTEXT, t.owner(start)
     count = np.bincount(own, minlength=t.n) + 1
     after = np.full(len(h) + t.n, BOUNDARY, U)
     before = after.copy()
@@ -75,16 +76,33 @@ def _tokens(t: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, after, np.repeat(np.arange(t.n), count)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].T.tobytes()
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of values, plane by plane: those of sorted values shrink when Spark compresses them."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
-    out[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(WORD_BYTES, -1).T
+def _from_planes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
     return out.reshape(-1).view("<u8")
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Small whole numbers, compressed, behind their number."""
+    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.array([len(values)], "<u8").tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _from_small(raw: bytes) -> np.ndarray:
+    n = _number(raw)
+    out = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(out.T).reshape(-1).view("<u4").astype(np.int64)
+
+
+def _number(raw: bytes) -> int:
+    return int(np.frombuffer(raw[:8], "<u8")[0])
+
+
 class Layout:
     """Which shard a bigram goes to, and which task a shard."""
 
@@ -93,13 +111,13 @@ class Layout:
         self.blocks = max(BLOCKS, shards * 8 // HEAVY_PARTS)
 
     def rank(self, v: np.ndarray) -> np.ndarray:
-        """Place of each context among the heavy ones, or -1; by its first WORD_BITS bits."""
+        """Place of each context among the heavy ones, or -1; by the bits that successors have."""
         keys = self.heavy >> _CUT
         at = np.searchsorted(keys, v >> _CUT)
         return np.where((at < len(keys)) & (np.append(keys, 0)[at] == v >> _CUT), at, -1)
 
     def shard(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """w: the first WORD_BITS bits of the token's hash."""
+        """w: tokens by the bits that successors have."""
         rank = self.rank(v)
         plain = (tk.mix(v >> _CUT) % U(self.shards)).astype(np.int64)
         return np.where(rank < 0, plain, self.shards + rank * self.blocks + (tk.mix(w) % U(self.blocks)).astype(np.int64))
@@ -108,29 +126,53 @@ class Layout:
         return np.where(shard < self.shards, shard % self.tasks, (31 * shard + 7 * (salt % SALTS)) % self.tasks)
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _lengths(starts: np.ndarray, end: int) -> np.ndarray:
+    return np.diff(np.append(starts, end))
+
+
 def _packed(layout: Layout, v, w, own, salt: int = 0, summed: bool = False) -> Iterator[tuple]:
-    """Distinct (context, token, text) by task: task, contexts, bigrams of each, tokens, texts, counts; without texts if summed."""
+    """Distinct (context, token, text) by task: task, contexts, bigrams of each, tokens, texts of each bigram, texts, counts; without texts if summed."""
     w = w >> _CUT
-    order = np.lexsort((w, v) if summed else (w, own, v))
+    order = np.lexsort((w, v) if summed else (own, w, v))
     v, w, own = v[order], w[order], own[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (False if summed else own[1:] != own[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(v)))
+    first = _starts(v, w) if summed else _starts(v, w, own)
+    count = _lengths(first, len(v))
     v, w, own = v[first], w[first], own[first]
     task = layout.task(layout.shard(v, w), salt)
     order = np.argsort(task.astype(np.uint16) if layout.tasks <= 1 << 16 else task, kind="stable")
     v, w, own, count, task = v[order], w[order], own[order], count[order], task[order]
-    edges = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task)) if len(task) else np.zeros(1, np.int64)
+    yield from _rows(task, v, w, own, count, summed)
+
+
+def _rows(task, v, w, own, count, summed: bool) -> Iterator[tuple]:
+    """Packed rows of entries sorted by (task, context, token)."""
+    edges = np.append(_starts(task), len(task))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        heads = np.append(0, np.flatnonzero(v[a + 1 : b] != v[a : b - 1]) + 1)
-        runs = np.diff(np.append(heads, b - a))
-        yield int(task[a]), v[a + heads].astype("<u8").tobytes(), runs.astype("<u4").tobytes(), _planes(w[a:b]), b"" if summed else own[a:b].astype("<u2").tobytes(), count[a:b].astype("<u4").tobytes()
+        pairs = _starts(v[a:b], w[a:b])
+        pv, pw = v[a:b][pairs], w[a:b][pairs]
+        heads = _starts(pv)
+        texts = (b"", b"") if summed else (_small(_lengths(pairs, b - a)), _small(own[a:b]))
+        yield int(task[a]), _planes(pv[heads], CONTEXT_BYTES), _small(_lengths(heads, len(pv))), _planes(pw, WORD_BYTES), *texts, _small(count[a:b])
 
 
-def _unpacked(v: bytes, runs: bytes, w: bytes, own: bytes, count: bytes) -> tuple[np.ndarray, ...]:
-    runs = np.frombuffer(runs, "<u4")
-    return np.repeat(np.frombuffer(v, "<u8"), runs), _from_planes(w), np.frombuffer(own, "<u2").astype(np.int64), np.frombuffer(count, "<u4").astype(np.int64)
+PACKED = ("task", "v", "runs", "w", "reps", "own", "count")
+
+
+def _unpacked(v: bytes, runs: bytes, w: bytes, reps: bytes, own: bytes, count: bytes) -> tuple[np.ndarray, ...]:
+    v, w = np.repeat(_from_planes(v, CONTEXT_BYTES), _from_small(runs)), _from_planes(w, WORD_BYTES)
+    if not reps:
+        return v, w, np.zeros(0, np.int64), _from_small(count)
+    reps = _from_small(reps)
+    return np.repeat(v, reps), np.repeat(w, reps), _from_small(own), _from_small(count)
 
 
 # --- survey and training ---------------------------------------------------------------------------
@@ -184,13 +226,12 @@ def train(texts: DataFrame, layout: Layout) -> DataFrame:
     def bigrams(batches):
         for b in batches:
             for t, _ in _slices(b):
-                names = ("task", "v", "runs", "w", "own", "count")
-                yield _batch([dict(zip(names, r, strict=True)) for r in _packed(layout, *_tokens(t), summed=True)], [f for f in _QUERY if f[0] in names])
+                yield _batch([dict(zip(PACKED, r, strict=True)) for r in _packed(layout, *_tokens(t), summed=True)], [f for f in _QUERY if f[0] in PACKED])
 
     def tries(batches):
         held, waiting, size = None, [], 0
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in ("v", "runs", "w", "own", "count")), strict=True):
+            for r in zip(*(b.column(k).to_pylist() for k in PACKED[1:]), strict=True):
                 v, w, _, count = _unpacked(*r)
                 waiting.append((v, w, count))
                 size += len(v)
@@ -205,7 +246,7 @@ def train(texts: DataFrame, layout: Layout) -> DataFrame:
             trie = build_trie(v[on], w[on], count[on])
             yield pa.record_batch([pa.array([x]) for x in (s, *trie)], names=["shard", "contexts", "levels", "n_contexts", "n_tokens", "n_bigrams"])
 
-    packed = texts.select("text").mapInArrow(common.lean(bigrams), "task int, v binary, runs binary, w binary, own binary, count binary")
+    packed = texts.select("text").mapInArrow(common.lean(bigrams), "task int, v binary, runs binary, w binary, reps binary, own binary, count binary")
     return packed.repartitionById(layout.tasks, F.col("task")).mapInArrow(common.lean(tries), "shard long, contexts binary, levels binary, n_contexts long, n_tokens long, n_bigrams long")
 
 
@@ -229,12 +270,14 @@ class Trie:
             self.after = ef.Sequence(held, self.words.end)
             self.codes = np.frombuffer(held, "<u2", self.after.n, self.after.end)
 
-    def context(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rank, count and number of successors of each context, by its first WORD_BITS bits; 0 and 0 for one that isn't there."""
-        low = (v >> _CUT) << _CUT
-        at = self.keys.successor(low)
-        known = at < self.keys.n
-        known[known] = self.keys.get(at[known]) >> _CUT == v[known] >> _CUT
+    def context(self, v: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank, count and number of successors of each context, 0 and 0 for one that isn't there; not whole: by the bits that successors have."""
+        if whole:
+            at, known = self.keys.find(v)
+        else:
+            at = self.keys.successor((v >> _CUT) << _CUT)
+            known = at < self.keys.n
+            known[known] = self.keys.get(at[known]) >> _CUT == v[known] >> _CUT
         at = np.where(known, at, 0)
         c = (self.sums.get(at + 1) - self.sums.get(at)).astype(np.int64) * known
         return at, c, (self.begin.get(at + 1) - self.begin.get(at)).astype(np.int64) * known
@@ -249,9 +292,9 @@ class Trie:
         return out
 
 
-_QUERY = [("task", pa.int32()), ("kind", pa.int32()), ("slice", pa.int64()), *((k, pa.binary()) for k in ("v", "runs", "w", "own", "count"))]
+_QUERY = [("task", pa.int32()), ("kind", pa.int32()), ("slice", pa.int64()), *((k, pa.binary()) for k in PACKED[1:])]
 _SUMS = [("texts", pa.list_(pa.int32())), ("units", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("doc_id", pa.list_(pa.int64())), ("learnt", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64()))]
-_QUERY_SQL = "task int, kind int, slice long, v binary, runs binary, w binary, own binary, count binary"
+_QUERY_SQL = "task int, kind int, slice long, " + ", ".join(f"{k} binary" for k in PACKED[1:])
 _ALL_SQL = f"{_QUERY_SQL}, texts array<int>, units array<long>, known array<long>, base array<double>, doc_id array<long>, learnt array<boolean>, n array<long>"
 
 
@@ -277,15 +320,15 @@ def _scorer(layout: Layout, totals: dict, first: bool):
         for s in np.unique(shard).tolist():
             if s in tries:
                 on = np.flatnonzero(shard == s)
-                rank[on], c[on], t[on] = tries[s].context(v[on])
+                rank[on], c[on], t[on] = tries[s].context(v[on], first)
         hot = layout.rank(v)
         on = hot >= 0
         c[on], t[on] = totals["heavy_c"][hot[on]], totals["heavy_t"][hot[on]]
         return rank, c, t
 
     def bigrams(tries, rows):
-        sizes = [len(r["count"]) // 4 for r in rows]
-        v, w, own, count = (np.concatenate(x) for x in zip(*(_unpacked(*(r[k] for k in ("v", "runs", "w", "own", "count"))) for r in rows), strict=True))
+        sizes = [_number(r["count"]) for r in rows]
+        v, w, own, count = (np.concatenate(x) for x in zip(*(_unpacked(*(r[k] for k in PACKED[1:])) for r in rows), strict=True))
         shard = layout.shard(v, w)
         heads = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (shard[1:] != shard[:-1])))
         back = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(v))))
@@ -306,13 +349,13 @@ def _scorer(layout: Layout, totals: dict, first: bool):
             out.append(_partial(r["slice"], own[x], units[x], known[x], base[x]))
             lacks = np.flatnonzero(missed[x]) + a
             if len(lacks):
-                out += [{"task": p[0], "kind": 1, "slice": r["slice"], "v": p[1], "runs": p[2], "w": b"", "own": p[4], "count": p[5]} for p in _missed(layout, w[lacks] << _CUT, own[lacks], count[lacks])]
+                out += [dict(zip(PACKED, p, strict=True), kind=1, slice=r["slice"]) for p in _missed(layout, w[lacks] << _CUT, own[lacks], count[lacks])]
             a += n
         return out
 
     def words(tries, rows):
-        sizes = [len(r["count"]) // 4 for r in rows]
-        v, own, count = (np.concatenate(x) for x in zip(*((np.repeat(np.frombuffer(r["v"], "<u8"), np.frombuffer(r["runs"], "<u4")), np.frombuffer(r["own"], "<u2").astype(np.int64), np.frombuffer(r["count"], "<u4").astype(np.int64)) for r in rows), strict=True))
+        sizes = [_number(r["count"]) for r in rows]
+        v, own, count = (np.concatenate(x) for x in zip(*((x[0], *x[2:]) for x in (_unpacked(*(r[k] for k in PACKED[1:])) for r in rows)), strict=True))
         heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         back = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(v))))
         _, c, _ = contexts(tries, v[heads], layout.shard(v[heads], v[heads] >> _CUT))
@@ -340,7 +383,7 @@ def _scorer(layout: Layout, totals: dict, first: bool):
                     yield _batch([{"slice": r["slice"], "texts": list(range(len(n))), "doc_id": ids, "learnt": (np.frombuffer(r["w"], np.uint8) > 0).tolist(), "n": n}], _QUERY + _SUMS)
                     continue
                 rows.append(r)
-                held += len(r["count"]) // 4
+                held += _number(r["count"])
                 if held >= BATCH:
                     yield _batch(work(tries, rows), _QUERY + _SUMS)
                     rows, held = [], 0
@@ -358,11 +401,7 @@ def _missed(layout: Layout, w: np.ndarray, own: np.ndarray, count: np.ndarray) -
     w, own, count = w[first], own[first], np.add.reduceat(count, first)
     task = layout.task(layout.shard(w, w >> _CUT))
     order = np.argsort(task, kind="stable")
-    w, own, count, task = w[order], own[order], count[order], task[order]
-    edges = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        heads = np.append(0, np.flatnonzero(w[a + 1 : b] != w[a : b - 1]) + 1)
-        yield int(task[a]), w[a + heads].astype("<u8").tobytes(), np.diff(np.append(heads, b - a)).astype("<u4").tobytes(), b"", own[a:b].astype("<u2").tobytes(), count[a:b].astype("<u4").tobytes()
+    yield from _rows(task[order], w[order], w[order] >> _CUT, own[order], count[order], False)
 
 
 def _meet(tries: DataFrame, queries: DataFrame, layout: Layout, levels: bool) -> DataFrame:
@@ -371,7 +410,7 @@ def _meet(tries: DataFrame, queries: DataFrame, layout: Layout, levels: bool) ->
     chosen = tries if levels else tries.where(F.col("shard") < layout.shards)
     task = F.when(F.col("shard") < layout.shards, F.col("shard") % layout.tasks).otherwise((31 * F.col("shard") + 7 * F.col("salt")) % layout.tasks)
     first = chosen.withColumn("salt", F.explode(salts)).select(
-        task.cast("int").alias("task"), F.lit(0).alias("kind"), F.col("shard").alias("slice"), F.col("contexts").alias("v"), F.lit(b"").alias("runs"), (F.col("levels") if levels else F.lit(b"")).alias("w"), F.lit(b"").alias("own"), F.lit(b"").alias("count")
+        task.cast("int").alias("task"), F.lit(0).alias("kind"), F.col("shard").alias("slice"), F.col("contexts").alias("v"), F.lit(b"").alias("runs"), (F.col("levels") if levels else F.lit(b"")).alias("w"), *(F.lit(b"").alias(k) for k in PACKED[4:])
     )
     return first.union(queries).repartitionById(layout.tasks, F.col("task")).sortWithinPartitions("kind", "slice")
 
@@ -401,17 +440,17 @@ def scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
         for b in batches:
             for t, part in _slices(b):
                 v, w, own = _tokens(t)
-                out = [dict(zip(("task", "v", "runs", "w", "own", "count"), p, strict=True), kind=1, slice=number) for p in _packed(layout, v, w, own, number + (number >> 32))]
+                out = [dict(zip(PACKED, p, strict=True), kind=1, slice=number) for p in _packed(layout, v, w, own, number + (number >> 32))]
                 ids, learnt = part.column("doc_id"), part.column("learnt").to_numpy(zero_copy_only=False)
                 about = {"v": ids.fill_null(0).to_numpy(), "runs": ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), "w": learnt.astype(np.uint8), "count": np.bincount(own, minlength=t.n).astype("<u8")}
-                out.append({"task": number % layout.tasks, "kind": 2, "slice": number, "own": b"", **{k: x.tobytes() for k, x in about.items()}})
+                out.append({"task": number % layout.tasks, "kind": 2, "slice": number, **{k: x.tobytes() for k, x in about.items()}})
                 yield _batch(out, _QUERY)
                 number += 1
 
     asked = rows.mapInArrow(common.lean(queries), _QUERY_SQL)
     found = common.written(_meet(tries, asked, layout, levels=True).mapInArrow(common.lean(_scorer(layout, totals, first=True)), _ALL_SQL), "found")
     common.release(spark)
-    misses = found.where("kind = 1").select("task", "kind", "slice", "v", "runs", "w", "own", "count")
+    misses = found.where("kind = 1").select("task", "kind", "slice", *PACKED[1:])
     rest = _meet(tries, misses, layout, levels=False).mapInArrow(common.lean(_scorer(layout, totals, first=False)), _ALL_SQL)
     arrays = ("texts", "units", "known", "base", "doc_id", "learnt", "n")
     both = found.where("texts IS NOT NULL").select("slice", *arrays).union(rest.select("slice", *arrays)).repartition(layout.tasks, "slice")
