@@ -38,16 +38,17 @@ def invalidated(posts: DataFrame) -> DataFrame:
 
 
 def dedup_by_uri(posts: DataFrame) -> DataFrame:
-    """The most engaged row of each uri, the first arrived (``seq``, unique) of equals; empty uris go.
+    """The most engaged row of each uri, the first arrived (``seq``, unique) of equals; empty uris go. Null counters are 0, a null seq comes last.
 
     Engagement and seq make one number, whose maximum by uri is a hash aggregate; texts take no part in it, and only then are
     rows picked by (uri, seq).
     """
     unit = F.lit("1" + 19 * "0").cast("decimal(20,0)")
-    rank = (F.col("replies") + F.col("likes") + F.col("reposts")).cast("decimal(18,0)") * unit - F.col("seq")
-    best = posts.where("uri <> ''").groupBy("uri").agg(F.max(rank).alias("best"))
-    first = best.select("uri", F.pmod(-F.col("best"), unit).cast("long").alias("seq"))
-    return posts.where("uri <> ''").join(first, ["uri", "seq"], "left_semi")
+    engaged = sum((F.coalesce(c, F.lit(0)) for c in ("replies", "likes", "reposts")), F.lit(0))
+    rows = posts.where("uri <> ''").withColumn("_seq", F.coalesce(F.col("seq").cast("long"), F.lit(1 << 62)))
+    best = rows.groupBy("uri").agg(F.max(engaged.cast("decimal(18,0)") * unit - F.col("_seq")).alias("best"))
+    first = best.select("uri", F.pmod(-F.col("best"), unit).cast("long").alias("_seq"))
+    return rows.join(first, ["uri", "_seq"], "left_semi").drop("_seq")
 
 
 def scored(posts: DataFrame, score: Column | None = None) -> DataFrame:

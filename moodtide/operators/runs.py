@@ -8,21 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodtide.functions.text import gap_severity
+from moodtide.operators.scan import scan
 from moodtide.schemas import GAP_MINUTES, POST_CHARS, POSTS_PER_BATCH, RUNS_PER_DAY, STEPS
 
 
+def _neighbours(runs: DataFrame, ts: str) -> DataFrame:
+    """(run_id, from_ts, to_ts, gap_minutes) of each run and the one before it, by a prefix scan over ranges of time."""
+    rows = scan(runs.select("run_id", F.col(ts).alias("to_ts")), ["to_ts", "run_id"], prevs=["to_ts"])
+    return rows.select("run_id", F.col("prev_to_ts").alias("from_ts"), "to_ts", ((F.unix_micros("to_ts") - F.unix_micros("prev_to_ts")) / 6e7).alias("gap_minutes"))
+
+
 def run_gaps(runs: DataFrame, ts: str = "created_at") -> DataFrame:
-    """Gaps of over 35 minutes between runs in time order (a row for each run, so one sorted partition)."""
-    w = Window.orderBy(ts, "run_id")
-    gap = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 6e7
-    out = runs.select("run_id", F.lag(ts).over(w).alias("from_ts"), F.col(ts).alias("to_ts"), gap.alias("gap_minutes"))
-    return out.where(F.col("gap_minutes") > GAP_MINUTES).withColumn("severity", gap_severity(F.col("gap_minutes")))
+    """Gaps of over 35 minutes between runs in time order."""
+    return _neighbours(runs, ts).where(F.col("gap_minutes") > GAP_MINUTES).withColumn("severity", gap_severity(F.col("gap_minutes")))
 
 
 def max_gap(runs: DataFrame, ts: str = "created_at") -> DataFrame:
     """The largest gap and where it begins, the first of equals."""
-    w = Window.orderBy(ts, "run_id")
-    gaps = runs.select(F.lag(ts).over(w).alias("from_ts"), ((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 6e7).alias("gap")).where("gap IS NOT NULL")
+    gaps = _neighbours(runs, ts).select("from_ts", F.col("gap_minutes").alias("gap")).where("gap IS NOT NULL")
     return gaps.agg(F.min(F.struct((-F.col("gap")).alias("g"), "from_ts")).alias("m")).select((-F.col("m.g")).alias("gap_minutes"), F.col("m.from_ts").alias("from_ts"))
 
 

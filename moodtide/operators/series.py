@@ -1,14 +1,15 @@
 """Operators on sentiment series (ts, net and counts): roll-ups, statistics, smoothing, trends.
 
-Windows without partition run on aggregated series only, of a row for each half hour or day.
+Neighbours and row numbers come by prefix scans, never by a window without partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.functions.sentiment import score_category, series_color
+from moodtide.operators.scan import scan
 from moodtide.schemas import EXTREME_TOLERANCE, HISTORY_TTL_DAYS, INTERVAL_MINUTES, MIN_WEEKLY, MIN_YEARLY, WEEKLY_SIGMA, YEARLY_MARGIN
 
 DAY = "INTERVAL 1 DAY"
@@ -87,10 +88,10 @@ def extremes_rows(series: DataFrame, ts: str = "timestamp", v: str = "net_sentim
 def gaussian_smooth(series: DataFrame, sigma: float = WEEKLY_SIGMA, ts: str = "timestamp", v: str = "net_sentiment_percent") -> DataFrame:
     """Normalised Gaussian weights over row distance, of all rows: beyond 39 sigma a weight is 0 as a double, so those rows add nothing.
 
-    Each point meets those within reach by an equi-join on blocks of row numbers, never by a cross join.
+    Each point meets those within reach by an equi-join on blocks of row numbers, never by a cross join; row numbers come by a prefix scan.
     """
     reach = int(39 * sigma) + 1
-    numbered = series.select(F.col(ts).alias("ts"), F.col(v).alias("value")).withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)
+    numbered = scan(series.select(F.col(ts).alias("ts"), F.col(v).alias("value")), ["ts"], row="i").withColumn("i", F.col("i") - 1)
     block = max(reach, 1)
     left = numbered.select("i", "ts", "value", F.explode(F.array(*(F.floor(F.col("i") / block) + k for k in (-1, 0, 1)))).alias("b"))
     right = numbered.select(F.col("i").alias("j"), F.col("value").alias("other"), F.floor(F.col("i") / block).alias("b"))
@@ -112,10 +113,10 @@ def average(series: DataFrame, v: str = "net_sentiment_percent") -> DataFrame:
 
 
 def segments(series: DataFrame, ts: str = "timestamp", v: str = "net_sentiment_percent") -> DataFrame:
-    """Pairs of neighbours with the colour of the left one."""
-    w = Window.orderBy(ts)
-    out = series.select(F.col(ts).alias("from_ts"), F.col(v).alias("from_value"), F.lead(ts).over(w).alias("to_ts"), F.lead(v).over(w).alias("to_value"))
-    return out.where("to_ts IS NOT NULL").withColumn("color", series_color(F.col("from_value")))
+    """Pairs of neighbours with the colour of the left one, by a prefix scan."""
+    rows = scan(series.select(F.col(ts).alias("to_ts"), F.col(v).alias("to_value")), ["to_ts"], prevs=["to_ts", "to_value"])
+    out = rows.select(F.col("prev_to_ts").alias("from_ts"), F.col("prev_to_value").alias("from_value"), "to_ts", "to_value")
+    return out.where("from_ts IS NOT NULL").withColumn("color", series_color(F.col("from_value")))
 
 
 def first_last(series: DataFrame, ts: str = "timestamp", v: str = "net_sentiment_percent") -> DataFrame:

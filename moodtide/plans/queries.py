@@ -892,10 +892,11 @@ def scan_posts_pages(spark, d):
 @query(PD[: PD.index(", dedup AS")] + " SELECT uri, created_at FROM fresh WHERE toxic = 0")
 def scan_posts_window(spark, d):
     """Pages from the newest post on, up to the first whose oldest post precedes the cutoff; then the time and label filters."""
-    from pyspark.sql import Window
+    from moodtide.operators.scan import scan
 
     p = A.posts(spark, d)
-    newest = p.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("created_at"), "seq")) - 1)  # the order of an API's answer
+    order = scan(p.select("seq", "created_at"), [F.desc("created_at"), "seq"], row="place").select("seq", (F.col("place") - 1).alias("place"))  # the order of an API's answer
+    newest = p.join(order, "seq").drop("seq").withColumnRenamed("place", "seq")
     rows = _paged(spark, d, newest, cutoff=A.CUTOFF)
     fresh = O.since(rows.withColumn("created_at", F.col("created_at").cast("timestamp")), A.ts(A.CUTOFF))
     toxic = p.select(F.col("cid").alias("c"), F.when(F.col("toxic") == 1, F.array(F.struct(F.lit("porn").alias("val")))).alias("labels"))
@@ -903,13 +904,9 @@ def scan_posts_window(spark, d):
 
 
 def _paged(spark, d, posts: DataFrame, **options: str) -> DataFrame:
-    from moodtide.plans.files import scratch
-    from moodtide.session import ship
     from moodtide.sources import pages
 
-    ship(spark)
-    folder = scratch(spark, "pages")
-    n = pages.write_pages(posts.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), folder)
+    folder, n = _pages(spark, posts)
     pages.register(spark)
     reader = spark.read.format("paged_posts").option("path", folder).option("maxPages", str(n + 1))
     for k, v in options.items():
@@ -917,6 +914,40 @@ def _paged(spark, d, posts: DataFrame, **options: str) -> DataFrame:
     return reader.load()
 
 
+def _pages(spark, posts: DataFrame) -> tuple[str, int]:
+    """Posts as pages of a folder, and their number."""
+    from moodtide.plans.files import scratch
+    from moodtide.session import ship
+    from moodtide.sources import pages
+
+    ship(spark)
+    folder = scratch(spark, "pages")
+    return folder, pages.write_pages(posts.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), folder)
+
+
+@query(P_ + f"SELECT seq, uri, text FROM posts WHERE created_at >= {CUT} AND created_at < {NOW} AND seq % 1000 <> 7 AND toxic = 0")
+def scan_posts_between(spark, d):
+    """Posts of a window of time: the source skips pages by their zones, and drops labelled posts."""
+    p = A.posts(spark, d).withColumn("labels", F.when(F.col("toxic") == 1, F.array(F.lit("porn"))).otherwise(F.array().cast("array<string>")))
+    text = lambda t: t.replace(" ", "T") + ".000000Z"
+    rows = _paged(spark, d, p, skipLabels="porn,sexual")
+    return rows.where((F.col("created_at") >= text(A.CUTOFF)) & (F.col("created_at") < text(A.NOW)) & (F.col("seq") % 1000 != 7)).select("seq", "uri", "text")
+
+
+@query(P_ + "SELECT seq, 1::BIGINT AS reads, length(text)::BIGINT AS chars FROM posts")
+def fetch_restarts(spark, d):
+    """All posts by a stream that is stopped and started again from its checkpoint three times, a third of the pages each: how often each post was read."""
+    from moodtide.sources import pages
+    from moodtide.streaming import history as H
+
+    folder, n = _pages(spark, A.posts(spark, d))
+    pages.register(spark)
+    for _ in range(4):
+        rows = spark.readStream.format("paged_posts").option("path", folder).option("state", f"{folder}/cursor").option("maxPages", str(n // 3 + 1)).option("budgetSeconds", "0").load()
+        H.append_once(rows.select("seq", "text"), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").groupBy("seq").agg(F.count("*").alias("reads"), F.sum(F.length("text").cast("long")).alias("chars"))
+
+
 @query(P_ + "SELECT author, seq, uri FROM posts QUALIFY row_number() OVER (PARTITION BY author ORDER BY seq) <= 3")
 def sample_first_k(spark, d):
     return O.first_rows(A.posts(spark, d), "author", 3).select("author", "seq", "uri")

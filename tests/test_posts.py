@@ -94,3 +94,9 @@ def test_rules_of_the_compound_score():
     assert at("the kiss of death") == at("a the kiss of death") != at("a big black death")
     assert at("good but bad") < at("good and bad") and at("good!!!") > at("good!") and at("bad??") < at("bad?")
     assert at("nothing here") == 0 == at("") == at(None)
+
+
+def test_dedup_keeps_uris_of_null_counters(spark):
+    rows = [("a", None, 1, 2, 5), ("a", 3, None, 1, 6), ("b", None, None, None, None), ("c", 1, 1, 1, None), ("c", 1, 1, 1, 9), ("", 9, 9, 9, 1)]
+    df = spark.createDataFrame(rows, "uri string, likes long, reposts long, replies long, seq long")
+    assert sorted((r["uri"], r["seq"]) for r in O.dedup_by_uri(df).collect()) == [("a", 6), ("b", None), ("c", 9)]
