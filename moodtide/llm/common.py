@@ -10,7 +10,9 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,15 +103,53 @@ def reduce_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: A graph of so many edges at most, 16 MB of numbers, is solved in one task; larger ones in rounds of joins. The result is the same.
+EDGES_IN_TASK = 1 << 20
+
+
+def _united(batches):
+    """(node, component) of all nodes of edges (v, u): the larger of two roots takes the smaller as its own, until none is left to be taken."""
+    rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+    if rows is None:
+        return
+    n = rows.num_rows
+    ends = pa.chunked_array([*rows["v"].chunks, *rows["u"].chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(ends.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at = rank[ends.indices.to_numpy()]
+    v, u, root = at[:n], at[n:], np.arange(len(order))
+    while True:
+        a, b = root[v], root[u]
+        on = a != b
+        if not on.any():
+            break
+        v, u, a, b = v[on], u[on], a[on], b[on]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.record_batch([ends.dictionary.take(pa.array(order)), ends.dictionary.take(pa.array(order[root]))], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, python: bool = True) -> DataFrame:
     """(node, component) of every node of edges(src, dst); component is the smallest node it reaches.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). The minima of
     large stars are partial aggregates that are written and joined back, so that a hub's rows may be split over tasks. Rounds end when every
     component is a star around its smallest node; each round is written to the shared folder, and deleted after the next. Nulls and loops are dropped.
+    A graph of at most ``EDGES_IN_TASK`` edges needs no rounds, unless ``python`` is false.
     """
     e = edges.select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).where("v <> u").distinct()
     e = written(e, "edges")
+    if not python or e.count() > EDGES_IN_TASK:
+        return _in_rounds(e)
+    kind = e.schema["v"].dataType.simpleString()
+    out = written(e.coalesce(1).mapInArrow(lean(_united), f"node {kind}, component {kind}"), "components")
+    discard(e)
+    return out
+
+
+def _in_rounds(e: DataFrame) -> DataFrame:
     while True:
         # no star: a node below two others, or below one and above another
         ends = e.select(F.col("v").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("u", F.lit(0), F.lit(1)))

@@ -75,7 +75,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, edges: DataFrame | None = None)
     found = links(pages)
     if edges is not None:
         found = found.union(edges.select(node_of(F.col("src")), node_of(F.col("dst"))).where("src IS NOT NULL AND dst IS NOT NULL")).distinct()
-    component = common.connected_components(found)
+    component = common.connected_components(found, python=False)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)

@@ -178,8 +178,9 @@ def test_classes_named_alike_are_told_apart(spark):
     assert set(setsim.shared_names(df)) == {(5, 1), (5, 2)} and len(set(setsim.shared_names(df).values())) == 2
 
 
-@pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (9, 8), (4, 4)], [(0, i) for i in range(1, 60)], [(i, i + 1) for i in range(70)]])
-def test_components(spark, edges):
+@pytest.mark.parametrize("python", [True, False])
+@pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (9, 8), (4, 4)], [(0, i) for i in range(1, 60)], [(i, i + 1) for i in range(70)], [((i * 37) % 300, (i * 91) % 290) for i in range(250)], [(i * 7919 % 997, (i + 1) * 7919 % 997) for i in range(400)]])
+def test_components(spark, edges, python):
     parent = {x: x for e in edges for x in e if e[0] != e[1]}
 
     def root(x):
@@ -190,7 +191,12 @@ def test_components(spark, edges):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     df = spark.createDataFrame(edges, "src long, dst long")
-    assert {r["node"]: r["component"] for r in common.connected_components(df).collect()} == {x: root(x) for x in parent}
+    assert {r["node"]: r["component"] for r in common.connected_components(df, python).collect()} == {x: root(x) for x in parent}
+    names = df.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    smallest = defaultdict(list)
+    for x in parent:
+        smallest[root(x)].append(str(x))
+    assert {r["node"]: r["component"] for r in common.connected_components(names, python).collect()} == {x: min(v) for v in smallest.values() for x in v}
 
 
 def test_line_frequency_rejects_depleted(spark):
