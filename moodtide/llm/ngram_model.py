@@ -343,29 +343,36 @@ def _scorer(layout: Layout, totals: dict, first: bool):
         lost = np.where(c > 0, unit_drop + quantised(np.maximum(t, 1)) - total, 0)
         units = np.where(missed, lost[back], code + unit_one - total[back]) * count
         known, base = (c > 0)[back] * count, np.log10((c + 1) / norm)[back] * count
-        out, a = [], 0
-        for r, n in zip(rows, sizes, strict=True):
-            x = slice(a, a + n)
+        out, edges = [], np.append(0, np.cumsum(sizes))
+        for r, a, b in zip(rows, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            x = slice(a, b)
             out.append(_partial(r["slice"], own[x], units[x], known[x], base[x]))
-            lacks = np.flatnonzero(missed[x]) + a
-            if len(lacks):
-                out += [dict(zip(PACKED, p, strict=True), kind=1, slice=r["slice"]) for p in _missed(layout, w[lacks] << _CUT, own[lacks], count[lacks])]
-            a += n
+        # what is missed in all these rows goes on together, a row for each task that is asked: texts by their slice's place in w
+        lacks = np.flatnonzero(missed)
+        if len(lacks):
+            of, held = np.unique([r["slice"] for r in rows], return_inverse=True)
+            text = np.repeat(held, sizes)[lacks] * ROWS + own[lacks]
+            out += [dict(zip(PACKED, p, strict=True), kind=1, slice=-1, w=of.astype("<i8").tobytes()) for p in _missed(layout, w[lacks] << _CUT, text, count[lacks])]
         return out
 
     def words(tries, rows):
-        sizes = [_number(r["count"]) for r in rows]
-        v, own, count = (np.concatenate(x) for x in zip(*((x[0], *x[2:]) for x in (_unpacked(*(r[k] for k in PACKED[1:])) for r in rows)), strict=True))
-        heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        back = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(v))))
+        v, own, count, where = [], [], [], []
+        for r in rows:
+            reps, text = _from_small(r["reps"]), _from_small(r["own"])
+            v.append(np.repeat(np.repeat(_from_planes(r["v"], CONTEXT_BYTES), _from_small(r["runs"])), reps))
+            own.append(text % ROWS)
+            where.append(np.frombuffer(r["w"], "<i8")[text // ROWS])
+            count.append(_from_small(r["count"]))
+        v, own, count, where = map(np.concatenate, (v, own, count, where))
+        heads = _starts(v)
+        back = np.repeat(np.arange(len(heads)), _lengths(heads, len(v)))
         _, c, _ = contexts(tries, v[heads], layout.shard(v[heads], v[heads] >> _CUT))
         units = (quantised(c + 1.0) - unit_norm)[back] * count
-        out, a, zero = [], 0, np.zeros(len(v))
-        for r, n in zip(rows, sizes, strict=True):
-            x = slice(a, a + n)
-            out.append(_partial(r["slice"], own[x], units[x], zero[x], zero[x]))
-            a += n
-        return out
+        order = np.argsort(where, kind="stable")
+        own, units, where = own[order], units[order], where[order]
+        edges = np.append(_starts(where), len(where))
+        zero = np.zeros(len(v))
+        return [_partial(int(where[a]), own[a:b], units[a:b], zero[a:b], zero[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     work = bigrams if first else words
 
