@@ -19,7 +19,7 @@ from moodtide.operators import runs as R
 from moodtide.operators import series as Q
 from moodtide.operators import ticks
 from moodtide.plans import adapters as A
-from moodtide.schemas import WEEKLY_SIGMA, YEARLY_SIGMA
+from moodtide.schemas import DAILY_TTL_DAYS, HISTORY_TTL_DAYS, WEEKLY_SIGMA, YEARLY_SIGMA
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -686,11 +686,38 @@ def scan_run_posts(spark, d):
     return R.run_posts(R.batches(A.run_post_rows(spark, d), 10), "run-1704153600").select("seq", "likes")
 
 
-@query(f"WITH {A.RUNS} SELECT run_id, CASE WHEN status = 'failed' THEN 'retried' ELSE status END AS status FROM runs")
+def _store(spark, df: DataFrame, keys: list[str], label: str):
+    """An empty snapshot table of df's columns."""
+    from moodtide.plans.files import scratch
+    from moodtide.sources.snapshots import Snapshots
+
+    return Snapshots(spark, scratch(spark, label)).create(df.schema, keys)
+
+
+@query(f"WITH {A.RUNS} SELECT run_id, CASE WHEN status = 'failed' THEN 'retried' ELSE status END AS status, status AS before FROM runs WHERE run_id NOT LIKE '%3000'")
 def upsert_run(spark, d):
+    """Run states in a snapshot table: failed ones replaced, some deleted; and the states of the version before."""
     runs = A.runs(spark, d)
-    changed = runs.where("status = 'failed'").withColumns({"status": F.lit("retried"), "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")})
-    return R.latest_state(runs, changed).select("run_id", "status")
+    store = _store(spark, runs, ["run_id", "step"], "runs")
+    first = store.append(runs)
+    changed = store.read().where("status = 'failed'").withColumns({"status": F.lit("retried"), "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")})
+    store.upsert(changed, order="updated_at")
+    store.delete(store.read().where("run_id LIKE '%3000'"))
+    return store.read().select("run_id", "status").join(store.read(first).select("run_id", F.col("status").alias("before")), "run_id")
+
+
+@query(f"WITH {A.RUNS}, {A.RUN_POSTS} SELECT runs.run_id, count(*) AS stored, sum(likes)::BIGINT AS likes, (any_value(total_posts_retrieved) + count(*))::BIGINT AS total FROM runs JOIN run_posts USING (run_id) GROUP BY 1")
+def append_posts(spark, d):
+    """Posts of runs appended in two commits, which add to the totals of their runs."""
+    from moodtide.sources.snapshots import append_posts as append
+
+    rows, runs = A.run_post_rows(spark, d), A.runs(spark, d)
+    posts, states = _store(spark, rows, ["run_id"], "posts"), _store(spark, runs, ["run_id", "step"], "totals")
+    states.append(runs)
+    for part in (0, 1):
+        append(posts, states, rows.where(F.col("seq") % 2 == part), A.ts(A.END))
+    stored = posts.read().groupBy("run_id").agg(F.count("*").alias("stored"), F.sum("likes").alias("likes"))
+    return stored.join(states.read().select("run_id", F.col("total_posts_retrieved").cast("long").alias("total")), "run_id")
 
 
 _MANIFEST = "(VALUES ('posts', 'posts.jsonl.gz'), ('runs', 'runs.jsonl')) AS m(table_name, file_name)"
@@ -995,13 +1022,15 @@ def insufficient_text(spark, d):
     return rows.select("n", line(T.insufficient_text(F.col("n"))).alias("weekly"), line(T.insufficient_text(F.col("n"), yearly=True)).alias("yearly"))
 
 
-@query(f"WITH {A.POSTS} SELECT (SELECT count(*) FROM posts)::BIGINT AS posts, (SELECT count(DISTINCT author) FROM posts)::BIGINT AS authors")
+@query(f"WITH {A.POSTS} SELECT author, count(*) AS posts, sum(likes)::BIGINT AS likes, count(DISTINCT uri) AS uris, date_trunc('second', min(created_at)) AS first_at, true AS pretty FROM posts GROUP BY 1")
 def report(spark, d):
-    """The nested report as JSON, read back."""
+    """A nested report of each author as JSON of several lines, read back whole."""
     from moodtide.sources import storage
 
-    one = A.posts(spark, d).agg(F.struct(F.count("*").alias("posts"), F.count_distinct("author").alias("authors")).alias("stats"))
-    return storage.report_json(one).select(F.from_json("report", "stats struct<posts: bigint, authors: bigint>").alias("r")).select("r.stats.posts", "r.stats.authors")
+    stats = F.struct(F.count("*").alias("posts"), F.sum("likes").alias("likes"), F.count_distinct("uri").alias("uris"))
+    each = A.posts(spark, d).groupBy("author").agg(stats.alias("stats"), F.struct(F.date_trunc("second", F.min("created_at")).alias("first_at")).alias("span"))
+    read = storage.report_json(each).select("report", F.from_json("report", "author string, stats struct<posts: bigint, likes: bigint, uris: bigint>, span struct<first_at: timestamp>").alias("r"))
+    return read.select("r.author", "r.stats.posts", "r.stats.likes", "r.stats.uris", "r.span.first_at", F.col("report").contains("\n  ").alias("pretty"))
 
 
 @query("SELECT c_nationkey::INT AS nation, sum(strlen(c_name) + 1)::BIGINT AS length, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS checksum FROM customer GROUP BY 1")
@@ -1017,17 +1046,39 @@ def checksums(spark, d):
     return files.select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("nation"), "length", "checksum")
 
 
-@query(f"WITH {A.HISTORY} SELECT count(*) AS sent, ceil(count(*) / 25.0)::BIGINT AS batches, 2 AS attempts FROM history")
+@query(f"WITH {A.RAW}, {A.RUN_POSTS} SELECT run_id, seq, likes, 1::BIGINT AS times, true AS in_batches FROM run_posts")
 def batch_write(spark, d):
-    """Points sent in batches of 25 to a receiver that refuses some of each batch the first time."""
-    from moodtide.sources import storage
+    """Posts of runs sent from all partitions in batches of 25, twice: what was received, how often, and whether batches kept to their size."""
+    from pyspark.sql import Window
+
+    from moodtide.plans.files import scratch
+    from moodtide.sources import outbox
+
+    folder, rows = scratch(spark, "outbox"), A.spread(A.run_post_rows(spark, d))
+    for _ in range(2):  # keys that came before are no new rows
+        outbox.deliver(rows, folder, key="run_id,seq", pause=0)
+    got = outbox.received(spark, folder, "run_id string, seq long, likes long")
+    sized = got.groupBy("batch").agg((F.count("*") <= 25).alias("in_batches"))
+    return got.groupBy("run_id", "seq", "likes", "batch").agg(F.count("*").alias("times")).join(sized, "batch").drop("batch")
 
-    def send(items):
-        left = [x | {"again": True} for x in items if not x.get("again") and x["total_posts"] % 2 == 0]
-        return left or [x | {"again": True} for x in items if not x.get("again")][:1]
 
-    rows = A.history(spark, d).select("run_id", "total_posts").coalesce(1)
-    return storage.batch_write(rows, send, pause=0.0).agg(F.sum("items").alias("sent"), F.count("*").alias("batches"), F.max("attempts").alias("attempts"))
+@query(f"WITH {A.HISTORY} SELECT run_id, total_posts, 'Run ' || run_id || ' saw ' || total_posts || ' posts' AS text FROM history WHERE total_posts > 0")
+def publish_payloads(spark, d):
+    """A post for each run, delivered by a stream that is started twice on one checkpoint."""
+    from moodtide.plans.files import scratch
+    from moodtide.session import ship
+    from moodtide.sources import outbox
+
+    ship(spark)
+    outbox.register(spark)
+    folder = scratch(spark, "publish")
+    text = F.concat(F.lit("Run "), F.col("run_id"), F.lit(" saw "), F.col("total_posts").cast("string"), F.lit(" posts"))
+    A.history(spark, d).select("run_id", "total_posts", text.alias("text")).write.parquet(f"{folder}/in")
+    for _ in range(2):
+        rows = spark.readStream.schema("run_id string, total_posts long, text string").parquet(f"{folder}/in").where(O.should_publish(F.col("total_posts"), F.lit(1), F.col("run_id")))
+        writer = rows.writeStream.format("outbox").option("path", f"{folder}/out").option("key", "run_id").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        writer.start().awaitTermination()
+    return outbox.received(spark, f"{folder}/out", "run_id string, total_posts long, text string").select("run_id", "total_posts", "text")
 
 
 @query("SELECT 2 AS files, true AS alike")
@@ -1056,28 +1107,34 @@ def backup_manifest(spark, d):
     return rows.crossJoin(files).select("t.table_name", "t.item_count", "total_items", (F.col("t.checksum") == F.col("found")).alias("digest"))  # one row each
 
 
-@query(f"WITH {A.HISTORY} SELECT count(*) AS stored, min(ttl) - min(epoch(\"timestamp\")::BIGINT) AS kept_seconds FROM history")
+@query(f"WITH {A.HISTORY} SELECT run_id, \"timestamp\", round(net_sentiment_percent, 6) AS net_sentiment_percent, sentiment_category, total_posts, epoch(TIMESTAMP '{A.END}')::BIGINT + {HISTORY_TTL_DAYS} * 86400 AS ttl, \"timestamp\"::DATE AS day FROM history")
 def append_history(spark, d):
-    """Points appended to a table by day, and read back."""
+    """Points appended to a table by day in two parts, and read back."""
     from moodtide.plans.files import scratch
     from moodtide.sources import storage
 
-    folder = scratch(spark, "history")
-    storage.append_history(A.history(spark, d).drop("ttl"), folder, A.ts(A.END))
-    back = spark.read.parquet(folder)
-    return back.agg(F.count("*").alias("stored"), (F.min("ttl") - F.min(F.unix_timestamp("created_at"))).alias("kept_seconds"))
+    folder, history = scratch(spark, "history"), A.history(spark, d).drop("ttl")
+    for part in (0, 1):
+        storage.append_history(history.where(F.hour("timestamp") % 2 == part), folder, A.ts(A.END))
+    return spark.read.parquet(folder).select("run_id", "timestamp", F.round("net_sentiment_percent", 6).alias("net_sentiment_percent"), "sentiment_category", "total_posts", "ttl", "day")
 
 
-@query(f"WITH {A.DAILY} SELECT date, total_runs FROM daily")
+@query(f"WITH {A.DAILY} SELECT date, round(average_sentiment, 6) AS average_sentiment, total_runs + CASE WHEN day(date) % 3 = 0 THEN 1 ELSE 0 END AS total_runs, epoch(TIMESTAMP '{A.END}')::BIGINT + {DAILY_TTL_DAYS} * 86400 AS ttl FROM daily")
 def upsert_daily(spark, d):
-    """Days written, a third of them again; no day is there twice."""
+    """Days written, a third of them again by a plain sink and by a snapshot table: no day is there twice, and both hold the same."""
     from moodtide.plans.files import scratch
     from moodtide.sources import storage
 
     folder, daily = scratch(spark, "daily"), A.daily(spark, d)
+    again = daily.where(F.dayofmonth("date") % 3 == 0).withColumn("total_runs", F.col("total_runs") + 1)
     storage.upsert_daily(daily, folder, A.ts(A.END))
-    storage.upsert_daily(daily.where(F.dayofmonth("date") % 3 == 0), folder, A.ts(A.END))
-    return spark.read.parquet(folder).select(F.col("date").cast("date").alias("date"), "total_runs")
+    storage.upsert_daily(again, folder, A.ts(A.END))
+    store = _store(spark, daily, ["date"], "days")
+    store.upsert(daily)
+    store.upsert(again)
+    plain = spark.read.parquet(folder).select(F.col("date").cast("date").alias("date"), "average_sentiment", "total_runs", "ttl")
+    both = plain.join(store.read().select("date", "total_runs"), ["date", "total_runs"])
+    return both.withColumn("average_sentiment", F.round("average_sentiment", 6))
 
 
 @query("SELECT run_id, total_posts FROM (VALUES ('run-1', 5), ('run-2', 7)) AS t(run_id, total_posts)")

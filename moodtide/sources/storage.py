@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
@@ -64,30 +63,6 @@ def checksum_of(files: DataFrame) -> DataFrame:
     return files.agg(F.sum("length").alias("file_size"), F.sha2(F.array_join(F.sort_array(F.collect_list("checksum")), "").cast("binary"), 256).alias("checksum"))
 
 
-def batch_write(rows: DataFrame, send, size: int = 25, attempts: int = 5, pause: float = 0.1) -> DataFrame:
-    """Sends the rows in batches of at most size, each up to so many times with growing pauses; (items, attempts) of each batch.
-
-    send takes a list of dictionaries and returns those that it could not take; a batch of which some are left after the last attempt fails.
-    """
-
-    def each(batches):
-        for b in batches:
-            items, tries = [], []
-            for at in range(0, b.num_rows, size):
-                left, n = b.slice(at, size).to_pylist(), 0
-                items.append(len(left))
-                while left and n < attempts:
-                    if n:
-                        time.sleep(n * pause)
-                    left, n = send(left), n + 1
-                if left:
-                    raise RuntimeError(f"{len(left)} rows are left after {attempts} attempts")
-                tries.append(n)
-            yield pa.record_batch([pa.array(items, pa.int32()), pa.array(tries, pa.int32())], names=["items", "attempts"])
-
-    return rows.mapInArrow(each, "items int, attempts int")
-
-
 def upload(spark: SparkSession, source: str, target: str) -> int:
     """Copies the files below a folder to another file system, each under a temporary name and then renamed; their number."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()

@@ -41,11 +41,6 @@ def test_restore_goes_by_the_manifest(spark, tmp_path):
         storage.restore(spark, folder, "t", rows.schema)
 
 
-def test_batches_that_are_never_taken_fail(spark):
-    with pytest.raises(Exception, match="rows are left after 3 attempts"):
-        storage.batch_write(spark.range(30), lambda items: items, attempts=3, pause=0.0).collect()
-
-
 def test_settings_of_files_environment_and_stores(tmp_path):
     (tmp_path / "c.yaml").write_text("# all\nsource:\n  handle: x\nsettings:\n  top_posts_count: 9 # most\n  dry_run: true\n  language: 'de'\n  min_engagement_score: many\n")
     got = Settings.of_file(str(tmp_path / "c.yaml"))
