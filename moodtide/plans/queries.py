@@ -1081,17 +1081,19 @@ def publish_payloads(spark, d):
     return outbox.received(spark, f"{folder}/out", "run_id string, total_posts long, text string").select("run_id", "total_posts", "text")
 
 
-@query("SELECT 2 AS files, true AS alike")
+@query("SELECT c_nationkey::INT AS nation, sum(strlen(c_name) + 1)::BIGINT AS length, ceil(sum(strlen(c_name) + 1) / 1000.0)::INT AS parts, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS checksum, true AS same FROM customer GROUP BY 1")
 def object_upload(spark, d):
-    """Files copied to another folder: their number, and that checksums are the same."""
+    """Files of customers, one for each nation, copied to another folder in parts of 1,000 bytes: digests of each as copied and as found there."""
     from moodtide.plans.files import scratch
-    from moodtide.sources import storage
+    from moodtide.sources import storage, transfer
 
     source, target = scratch(spark, "from"), scratch(spark, "to")
-    storage.write_jsonl(A.table(spark, d, "customer").repartition(1), source, gzip=True)
-    n = storage.upload(spark, source, target)
-    a, b = (storage.checksum_of(storage.list_objects(spark, x, "part-*")) for x in (source, target))
-    return a.crossJoin(b.toDF("other_size", "other")).select(F.lit(n).alias("files"), (F.col("checksum") == F.col("other")).alias("alike"))  # one row each
+    names = A.table(spark, d, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    names.select("c_nationkey", F.col("c_name").alias("value")).write.partitionBy("c_nationkey").text(source)
+    sent = transfer.transfer(spark, source, target, part_bytes=1000).where("length > 0")
+    nation = lambda c: F.regexp_extract(c, r"c_nationkey=(\d+)", 1).cast("int").alias("nation")
+    found = storage.list_objects(spark, target, "part-*").select(nation("path"), F.col("checksum").alias("found"))
+    return sent.select(nation("file"), "length", "parts", "checksum").join(found, "nation").select("nation", "length", "parts", "checksum", (F.col("checksum") == F.col("found")).alias("same"))
 
 
 @query(f"WITH {A.DAILY} SELECT 'daily' AS table_name, count(*) AS item_count, count(*) AS total_items, true AS digest FROM daily")
@@ -1150,6 +1152,70 @@ def daily_point_get(spark, d):
     return Q.daily_point_get(A.daily(spark, d), F.lit("2024-01-05").cast("date")).select("date", "total_runs")
 
 
+@query(f"""WITH {A.RAW}, u AS (SELECT 'user-' || user_id AS run_id, count(*) AS n, epoch_ms(max(ts)) AS last FROM raw GROUP BY 1), d(days) AS (VALUES (2), (14)), l AS (SELECT run_id, days, n AS rows, last + days * 86400000 AS ms FROM u, d)
+SELECT run_id, days, 'alive' AS kind, rows, make_timestamp(ms * 1000) AS until FROM l UNION ALL SELECT run_id, days, 'evicted', rows, make_timestamp(ms * 1000) FROM l WHERE ms < (SELECT epoch_ms(max(ts)) FROM raw) - 3600000""")
+def streaming_lives(spark, d):
+    """Users as runs that live for 2 and 14 days after their last event: those that are alive, and those that a timer has evicted."""
+    from moodtide.plans.files import scratch
+    from moodtide.session import ship
+    from moodtide.streaming import history as H
+    from moodtide.streaming import ttl
+
+    ship(spark)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    ttl.with_store(spark)
+    folder = scratch(spark, "lives")
+    A.raw_history(spark, d).select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("run_id"), F.col("ts").alias("created_at")).write.parquet(f"{folder}/in")
+    try:
+        for days in (2, 14):
+            rows = spark.readStream.schema("run_id string, created_at timestamp").parquet(f"{folder}/in")
+            H.append_once(ttl.lives(rows, days).withColumn("days", F.lit(days)), f"{folder}/out-{days}", f"{folder}/state-{days}").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{folder}/out-2").union(spark.read.parquet(f"{folder}/out-14")).drop("batch_id")
+
+
+@query(f"WITH {A.RAW} SELECT 'finished' AS run, 'finished' AS status, count(*) AS rows, true AS complete, '' AS alerts FROM raw UNION ALL SELECT 'empty', 'finished', 0, true, 'empty first page' FROM (SELECT count(*) FROM raw) UNION ALL SELECT 'stalled', 'stalled', count(*), true, 'stalled' FROM raw")
+def monitored_runs(spark, d):
+    """Three streams over events under a progress listener: one that ends, one whose first page is empty, and one that has had no batch for an hour."""
+    import datetime as dt
+    import time
+
+    from moodtide.plans.files import scratch
+    from moodtide.streaming import monitor
+
+    folder = scratch(spark, "monitored")
+    A.raw_history(spark, d).select("ts", "event_id").write.parquet(f"{folder}/in")
+    spark.range(0).select(F.current_timestamp().alias("ts"), F.col("id").alias("event_id")).coalesce(1).write.parquet(f"{folder}/none")
+    told, listener = [], None
+    listener = monitor.RunMonitor(f"{folder}/runs", lambda run, what: told.append((run, what)))
+    spark.streams.addListener(listener)
+
+    def start(name: str, source: str, **trigger):
+        rows = spark.readStream.schema("ts timestamp, event_id long").parquet(f"{folder}/{source}")
+        return rows.writeStream.queryName(name).format("noop").option("checkpointLocation", f"{folder}/{name}").trigger(**trigger).start()
+
+    def until(ready) -> None:
+        for _ in range(600):
+            if ready():
+                return
+            time.sleep(0.1)
+
+    try:
+        for name, source in (("finished", "in"), ("empty", "none")):
+            start(name, source, availableNow=True).awaitTermination()
+        stalled = start("stalled", "in", processingTime="1 hour")
+        until(lambda: len(listener.runs) == 3 and all(r["batches"] or r["status"] == "finished" for r in listener.runs.values()) and sum(r["status"] == "finished" for r in listener.runs.values()) == 2)
+        for _ in range(2):  # it is told of once
+            listener.check(dt.datetime.now(dt.UTC) + dt.timedelta(hours=1))
+        now = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
+        rows = monitor.states(spark, f"{folder}/runs", now).select("run", "status", "rows", "complete", F.array_join("alerts", ",").alias("alerts"))
+        return spark.createDataFrame(rows.collect(), rows.schema)  # a row for each of three runs, before the last is stopped
+    finally:
+        stalled.stop()
+        spark.streams.removeListener(listener)
+
+
 @query(f"WITH {A.DAILY} SELECT date, round(average_sentiment, 6) AS average_sentiment, total_runs FROM daily WHERE date < (SELECT max(date) FROM daily)")
 def streaming_daily(spark, d):
     """Daily roll-up by a stream over half-hour points; the last day stays open."""

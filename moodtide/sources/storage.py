@@ -63,23 +63,6 @@ def checksum_of(files: DataFrame) -> DataFrame:
     return files.agg(F.sum("length").alias("file_size"), F.sha2(F.array_join(F.sort_array(F.collect_list("checksum")), "").cast("binary"), 256).alias("checksum"))
 
 
-def upload(spark: SparkSession, source: str, target: str) -> int:
-    """Copies the files below a folder to another file system, each under a temporary name and then renamed; their number."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    src, dst = hadoop.Path(source), hadoop.Path(target)
-    a, b = src.getFileSystem(conf), dst.getFileSystem(conf)
-    files, n, root = a.listFiles(src, True), 0, str(a.makeQualified(src).toString())
-    while files.hasNext():
-        at = files.next().getPath()
-        to = hadoop.Path(dst, at.toString()[len(root) :].lstrip("/"))
-        part = hadoop.Path(to.toString() + "._copying")
-        hadoop.FileUtil.copy(a, at, b, part, False, True, conf)
-        b.delete(to, False)
-        b.rename(part, to)
-        n += 1
-    return n
-
-
 def append_partitioned(df: DataFrame, path: str, *keys: str, rows_per_file: int | None = None) -> None:
     w = df.write.mode("append").partitionBy(*keys)
     (w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w).parquet(path)
