@@ -1152,8 +1152,8 @@ def daily_point_get(spark, d):
     return Q.daily_point_get(A.daily(spark, d), F.lit("2024-01-05").cast("date")).select("date", "total_runs")
 
 
-@query(f"""WITH {A.RAW}, u AS (SELECT 'user-' || user_id AS run_id, count(*) AS n, epoch_ms(max(ts)) AS last FROM raw GROUP BY 1), d(days) AS (VALUES (2), (14)), l AS (SELECT run_id, days, n AS rows, last + days * 86400000 AS ms FROM u, d)
-SELECT run_id, days, 'alive' AS kind, rows, make_timestamp(ms * 1000) AS until FROM l UNION ALL SELECT run_id, days, 'evicted', rows, make_timestamp(ms * 1000) FROM l WHERE ms < (SELECT epoch_ms(max(ts)) FROM raw) - 3600000""")
+@query(f"""WITH {A.RAW}, u AS (SELECT 'user-' || user_id AS run_id, count(*) AS n, epoch_us(max(ts)) // 1000 AS last FROM raw GROUP BY 1), d(days) AS (VALUES (2), (14)), l AS (SELECT run_id, days, n AS rows, last + days * 86400000 AS ms FROM u, d)
+SELECT run_id, days, 'alive' AS kind, rows, make_timestamp(ms * 1000) AS until FROM l UNION ALL SELECT run_id, days, 'evicted', rows, make_timestamp(ms * 1000) FROM l WHERE ms <= (SELECT epoch_us(max(ts)) // 1000 FROM raw) - 3600000""")
 def streaming_lives(spark, d):
     """Users as runs that live for 2 and 14 days after their last event: those that are alive, and those that a timer has evicted."""
     from moodtide.plans.files import scratch
