@@ -1,14 +1,16 @@
 """Rule-based compound score (Hutto and Gilbert 2014) over a pluggable valence table.
 
-Arrow batches; the table is small and its size is checked before it is shipped. The published valences are not part of
+Arrow batches, without a loop over rows or words: tokens of all texts of a batch are one dictionary-encoded array, word properties are looked up by entry of the dictionary, and the three words before a
+word of the table are shifted arrays. The table is small and its size is checked before it is shipped. The published valences are not part of
 this repository: scores follow the rules, and equal the published ones only for the same table.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,80 +21,120 @@ from moodtide.session import ship
 MAX_ENTRIES = 200_000
 # Fixed values of the published rules.
 BOOST, NEGATION, CAPS, ALPHA = 0.293, -0.74, 0.733, 15.0
-BOOSTERS = "absolutely amazingly completely considerably decidedly deeply enormously entirely especially exceptionally extremely fully greatly highly hugely incredibly intensely majorly more most particularly purely quite really remarkably so substantially thoroughly totally tremendously unbelievably unusually utterly very".split()
-DAMPERS = "almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split()
-NEGATIONS = set("aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neither never none nope nor not nothing nowhere oughtnt shant shouldnt wasnt werent without wont wouldnt rarely seldom despite".split())
-_STRENGTH = {**dict.fromkeys(BOOSTERS, BOOST), **dict.fromkeys(DAMPERS, -BOOST)}
-
-
-# Idioms and their valences, which hold for the words that end them.
+BOOSTERS = (
+    "absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous enormously entirely especially exceptional exceptionally extreme extremely fabulously flipping flippin "
+    "frackin fracking fricking frickin frigging friggin fully fuckin fucking fuggin fugging greatly hella highly hugely incredible incredibly intensely major majorly more most particularly purely quite really "
+    "remarkably so substantially thoroughly total totally tremendous tremendously uber unbelievably unusually utter utterly very"
+).split()
+DAMPERS = "almost barely hardly kinda kindof kind-of less little marginal marginally occasional occasionally partly scarce scarcely slight slightly somewhat sorta sortof sort-of".split()
+#: Without their apostrophes; all other words that end in n't negate too.
+NEGATIONS = set(
+    "aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neednt neither never none nope nor not nothing nowhere oughtnt rarely seldom despite shant shouldnt uhuh uh-uh "
+    "wasnt werent without wont wouldnt".split()
+)
 IDIOMS = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9}
+_STRENGTH = {**dict.fromkeys(BOOSTERS, BOOST), **dict.fromkeys(DAMPERS, -BOOST)}
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SCALES = (1.0, 0.95, 0.9)
+
+
+def _table_of(words: pa.Array, table: dict[str, float]) -> np.ndarray:
+    """The value of each word, NaN for those that the table lacks."""
+    keys = list(table)
+    at = pc.index_in(words, pa.array(keys, pa.string()))
+    return np.append(np.array([table[k] for k in keys], float), np.nan)[pc.fill_null(at, len(keys)).to_numpy(zero_copy_only=False)]
+
+
+class _Words:
+    """All tokens of a batch: the text and place of each, its number in a dictionary, and properties of the dictionary's entries."""
+
+    def __init__(self, texts: pa.Array, valences: dict[str, float]):
+        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        flat = split.flatten()
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        full = pc.greater(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False)
+        encoded = flat.filter(pa.array(full)).dictionary_encode()
+        raw, self.owner = encoded.dictionary, owner[full]
+        bare = pc.utf8_trim(raw, characters=_PUNCTUATION)  # short ones may be emoticons
+        words = pc.if_else(pc.and_(pc.greater(pc.utf8_length(raw), 2), pc.greater(pc.utf8_length(bare), 2)), bare, raw)
+        self.low = pc.utf8_lower(words)
+        at = encoded.indices.to_numpy()
+        self.word = at
+        self.valence = _table_of(self.low, valences)[at]
+        self.strength = np.nan_to_num(_table_of(self.low, _STRENGTH))[at]
+        self.hit = ~np.isnan(self.valence) & (self.strength == 0)
+        self.upper = pc.utf8_is_upper(words).to_numpy(zero_copy_only=False)[at]
+        negates = pc.or_(pc.is_in(pc.replace_substring(self.low, "'", ""), pa.array(sorted(NEGATIONS))), pc.ends_with(self.low, "n't"))
+        self.negates = negates.to_numpy(zero_copy_only=False)[at]
+        n = len(texts)
+        begin = np.searchsorted(self.owner, np.arange(n + 1))
+        self.place, self.left = np.arange(len(at)) - begin[self.owner], begin[1:][self.owner] - np.arange(len(at))  # words before; words from here on
+        count = np.bincount(self.owner[self.upper], minlength=n)
+        self.mixed = ((count > 0) & (count < np.diff(begin)))[self.owner]
+
+    def number(self, word: str) -> int:
+        """The dictionary's entries that are this word, as a mask over all tokens."""
+        return pc.equal(self.low, word).to_numpy(zero_copy_only=False)[self.word]
+
+
+def _before(mask: np.ndarray, i: np.ndarray, back: int, inside: np.ndarray) -> np.ndarray:
+    """mask of the words that stand ``back`` before i; false where there are none."""
+    return mask[np.maximum(i - back, 0)] & inside
+
+
+def compounds(texts: pa.Array, valences: dict[str, float]) -> np.ndarray:
+    """Words of the table take boosts, dampers, capitals, negations, idioms and "least" before them; "but", "!" and "?" weigh the sum."""
+    w = _Words(texts, valences)
+    i = np.flatnonzero(w.hit)
+    v = w.valence[i].copy()
+    sign, place, mixed = np.where(v > 0, 1.0, -1.0), w.place[i], w.mixed[i]
+    v += np.where(mixed & w.upper[i], sign * CAPS, 0.0)
+    so, never, without, doubt = w.number("so") | w.number("this"), w.number("never"), w.number("without"), w.number("doubt")
+    for back in (1, 2, 3):
+        inside = place >= back
+        j = np.maximum(i - back, 0)
+        free = inside & ~w.hit[j]
+        s = w.strength[j] * _SCALES[back - 1]
+        v += np.where(free & (s != 0), sign * (s + np.where(mixed & w.upper[j], np.sign(s) * CAPS, 0.0)), 0.0)
+        between = range(1, back)
+        praised = free & never[j] & np.any([_before(so, i, k, inside) for k in between], axis=0) if back > 1 else np.zeros(len(i), bool)
+        sure = free & without[j] & np.any([_before(doubt, i, k, inside) for k in between], axis=0) if back > 1 else np.zeros(len(i), bool)
+        v = np.where(praised, v * (1.25 if back == 2 else 1.5), np.where(free & w.negates[j] & ~sure, v * NEGATION, v))
+        if back == 3:
+            v = _idioms(w, i, v, free)
+    if "least" not in valences:
+        least, held = w.number("least"), w.number("at") | w.number("very")
+        v = np.where(_before(least, i, 1, place >= 1) & ~_before(held, i, 2, place >= 2), v * NEGATION, v)
+    but = np.flatnonzero(w.number("but"))[::-1]
+    first = np.full(len(texts), -1)
+    first[w.owner[but]] = but  # the first of each text is set last
+    at = first[w.owner[i]]
+    v = np.where(at < 0, v, np.where(i < at, v * 0.5, np.where(i > at, v * 1.5, v)))
+    total = np.round(np.bincount(w.owner[i], v, len(texts)), 9)  # sums that differ by rounding alone have one sign
+    filled = pc.fill_null(texts, "")
+    asks, calls = (pc.count_substring(filled, c).to_numpy(zero_copy_only=False) for c in ("?", "!"))
+    loud = np.minimum(calls, 4) * 0.292 + np.where(asks < 2, 0.0, np.where(asks <= 3, asks * 0.18, 0.96))
+    total = total + np.sign(total) * loud
+    return np.clip(total / np.sqrt(total * total + ALPHA), -1.0, 1.0)
+
+
+def _idioms(w: _Words, i: np.ndarray, v: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """The valence of an idiom that ends at a word, or begins there and goes on; dampers of two words before it count where there is none."""
+    found = np.full(len(i), np.nan)
+
+    def holds(words: list[str], shift: int) -> np.ndarray:
+        ok = (w.place[i] + shift >= 0) & (w.left[i] >= shift + len(words))
+        for k, x in enumerate(words):
+            ok &= w.number(x)[np.clip(i + shift + k, 0, max(len(w.word) - 1, 0))]
+        return ok
 
-
-def _negates(word: str) -> bool:
-    return word.replace("'", "") in NEGATIONS or word.endswith("n't")
-
-
-def _negated(low: list[str], v: float, back: int, i: int) -> float:
-    """v after a negation that stands so many words before word i; "never so" and "without doubt" strengthen instead."""
-    j = i - back
-    if back > 1 and low[j] == "never" and any(w in ("so", "this") for w in low[j + 1 : i]):
-        return v * (1.25 if back == 2 else 1.5)
-    if back > 1 and low[j] == "without" and "doubt" in low[j + 1 : i]:
-        return v
-    return v * NEGATION if _negates(low[j]) else v
-
-
-def _idiom(low: list[str], v: float, i: int) -> float:
-    """The valence of an idiom that ends at word i, or begins there and goes on; v if there is none. Dampers of two words before it count."""
     for n in (3, 2):
-        for at in (i - n + 1, i):
-            if at >= 0 and " ".join(low[at : at + n]) in IDIOMS:
-                return IDIOMS[" ".join(low[at : at + n])]
-    if any(" ".join(low[i - k - 1 : i - k + 1]) in ("kind of", "sort of") for k in (1, 2) if i - k - 1 >= 0):
-        return v - BOOST
-    return v
-
-
-def compound(text: str | None, valences: dict[str, float]) -> float:
-    """Words of the table take boosts, dampers, capitals, negations, idioms and "least" before them; "but", "!" and "?" weigh the sum."""
-    if not text:
-        return 0.0
-    tokens = [w if len(w) <= 2 or len(x := w.strip(_PUNCTUATION)) <= 2 else x for w in text.split()]  # short ones may be emoticons
-    low = [w.lower() for w in tokens]
-    hits = [i for i, w in enumerate(low) if w in valences and w not in _STRENGTH]
-    if not hits:
-        return 0.0
-    upper = [w.isupper() for w in tokens]
-    mixed = any(upper) and not all(upper)
-    out = []
-    for i in hits:
-        v = valences[low[i]]
-        sign = 1 if v > 0 else -1
-        if mixed and upper[i]:
-            v += sign * CAPS
-        for back in (1, 2, 3):
-            j = i - back
-            if j < 0 or low[j] in valences and low[j] not in _STRENGTH:
-                continue
-            s = _STRENGTH.get(low[j], 0.0) * (1, 0.95, 0.9)[back - 1]
-            if s:
-                v += sign * (s + (math.copysign(CAPS, s) if mixed and upper[j] else 0))
-            v = _negated(low, v, back, i)
-            if back == 3:
-                v = _idiom(low, v, i)
-        if i and low[i - 1] == "least" and "least" not in valences and (i == 1 or low[i - 2] not in ("at", "very")):
-            v *= NEGATION
-        out.append(v)
-    if "but" in low:
-        at = low.index("but")
-        out = [v * (0.5 if i < at else 1.5 if i > at else 1) for i, v in zip(hits, out, strict=True)]
-    total = sum(out)
-    asks = text.count("?")
-    loud = min(text.count("!"), 4) * 0.292 + (0 if asks < 2 else asks * 0.18 if asks <= 3 else 0.96)
-    total += loud if total > 0 else -loud if total < 0 else 0
-    return max(-1.0, min(1.0, total / math.sqrt(total * total + ALPHA))) if total else 0.0
+        for shift in (1 - n, 0):
+            for idiom, value in IDIOMS.items():
+                if len(words := idiom.split()) == n:
+                    found = np.where(np.isnan(found) & holds(words, shift), value, found)
+    damped = np.any([holds([x, "of"], -k - 1) for x in ("kind", "sort") for k in (1, 2)], axis=0)
+    return np.where(free, np.where(np.isnan(found), np.where(damped, v - BOOST, v), found), v)
 
 
 def valence_table(table: DataFrame | None) -> dict[str, float]:
@@ -112,10 +154,6 @@ def vader_compound(text: Column, table: DataFrame | None = None) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def scored(s: pd.Series) -> pd.Series:
-        texts = s.tolist()
-        seen: dict[str | None, float] = {}  # copies of a text in a batch are scored once
-        return pd.Series([seen[x] if x in seen else seen.setdefault(x, compound(x, valences)) for x in texts], dtype="float64")
+        return pd.Series(compounds(pa.array(s, pa.string(), from_pandas=True), valences))
 
     return scored(text)
-
-

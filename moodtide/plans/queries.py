@@ -278,9 +278,58 @@ def format_summary(spark, d):
     return half_hour_run(A.posts(spark, d), "run-1", A.ts(A.CUTOFF), A.ts(A.NOW), A.score())["summary"]
 
 
-@query()
+#: A table of valences from the words of the benchmark: some of them, by a digest.
+_VALENCES = """valences AS (SELECT w AS word, ((('0x' || substr(md5(w), 1, 4))::INT % 81) - 40) / 10.0::DOUBLE AS valence FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark)
+  WHERE ('0x' || substr(md5(w), 5, 2))::INT % 4 = 0 AND ('0x' || substr(md5(w), 1, 4))::INT % 81 <> 40)"""
+
+
+def _vader_sql() -> str:
+    """The rules over windows of the words of each text."""
+    from moodtide.functions import vader as R
+
+    quoted = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+    trim = R._PUNCTUATION.replace("'", "''")
+    strength = f"CASE WHEN l IN {quoted(R.BOOSTERS)} THEN {R.BOOST} WHEN l IN {quoted(R.DAMPERS)} THEN -{R.BOOST} ELSE 0.0 END::DOUBLE"
+
+    def step(back: int, scale: float) -> str:
+        """v after the word that stands so many before."""
+        free, s = f"l{back} IS NOT NULL AND NOT h{back}", f"(s{back} * {scale}::DOUBLE)"
+        boosted = f"(v + CASE WHEN {free} AND s{back} <> 0 THEN sgn * ({s} + CASE WHEN mixed AND u{back} THEN sign({s}) * {R.CAPS}::DOUBLE ELSE 0 END) ELSE 0 END)"
+        between = [f"l{k}" for k in range(1, back)]
+        praise = f"l{back} = 'never' AND (" + " OR ".join(f"{x} IN ('so', 'this')" for x in between) + ")" if between else "false"
+        sure = f"l{back} = 'without' AND (" + " OR ".join(f"{x} = 'doubt'" for x in between) + ")" if between else "false"
+        return f"{boosted} * CASE WHEN {free} AND {praise} THEN {1.25 if back == 2 else 1.5} WHEN {free} AND {sure} THEN 1 WHEN {free} AND n{back} THEN {R.NEGATION} ELSE 1 END::DOUBLE"
+
+    def idioms(n: int, at: str) -> str:
+        return " ".join(f"WHEN {at} = '{k}' THEN {v}::DOUBLE" for k, v in R.IDIOMS.items() if len(k.split()) == n)
+
+    found = f"CASE {idioms(3, 'l2 || chr(32) || l1 || chr(32) || l')} {idioms(3, 'l || chr(32) || f1 || chr(32) || f2')} {idioms(2, 'l1 || chr(32) || l')} {idioms(2, 'l || chr(32) || f1')}"
+    lags = ", ".join(f"lag({c}, {k}) OVER t AS {x}{k}" for k in (1, 2, 3) for c, x in (("l", "l"), ("hit", "h"), ("st", "s"), ("up", "u"), ("ng", "n")))
+    space = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+    return f"""WITH {A.POSTS}, {_VALENCES},
+raw AS (SELECT seq, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM (SELECT seq, regexp_extract_all(text, '[^{space}]+') AS ws FROM posts)),
+w AS (SELECT seq, i, CASE WHEN length(x) > 2 AND length(trim(x, '{trim}')) > 2 THEN trim(x, '{trim}') ELSE x END AS x FROM raw),
+p AS (SELECT seq, i, x, lower(x) AS l, x = upper(x) AND x <> lower(x) AS up, replace(lower(x), '''', '') IN {quoted(sorted(R.NEGATIONS))} OR ends_with(lower(x), 'n''t') AS ng FROM w),
+q AS (SELECT p.*, {strength} AS st, valence FROM p LEFT JOIN valences ON word = l),
+r AS (SELECT *, valence IS NOT NULL AND st = 0 AS hit, bool_or(up) OVER m AND NOT bool_and(up) OVER m AS mixed, min(CASE WHEN l = 'but' THEN i END) OVER m AS but FROM q WINDOW m AS (PARTITION BY seq)),
+s AS (SELECT *, {lags}, lead(l, 1) OVER t AS f1, lead(l, 2) OVER t AS f2 FROM r WINDOW t AS (PARTITION BY seq ORDER BY i)),
+v0 AS (SELECT *, CASE WHEN valence > 0 THEN 1 ELSE -1 END AS sgn, valence + CASE WHEN mixed AND up THEN CASE WHEN valence > 0 THEN 1 ELSE -1 END * {R.CAPS}::DOUBLE ELSE 0 END AS v FROM s WHERE hit),
+v1 AS (SELECT * REPLACE ({step(1, 1.0)} AS v) FROM v0), v2 AS (SELECT * REPLACE ({step(2, 0.95)} AS v) FROM v1), v3 AS (SELECT * REPLACE ({step(3, 0.9)} AS v) FROM v2),
+v4 AS (SELECT * REPLACE (CASE WHEN l3 IS NOT NULL AND NOT h3 THEN {found} WHEN l2 || ' ' || l1 IN ('kind of', 'sort of') OR l3 || ' ' || l2 IN ('kind of', 'sort of') THEN v - {R.BOOST} ELSE v END ELSE v END AS v) FROM v3),
+v5 AS (SELECT seq, v * CASE WHEN l1 = 'least' AND coalesce(l2, '') NOT IN ('at', 'very') AND 'least' NOT IN (SELECT word FROM valences) THEN {R.NEGATION} ELSE 1 END::DOUBLE * CASE WHEN but IS NULL OR i = but THEN 1 WHEN i < but THEN 0.5 ELSE 1.5 END::DOUBLE AS v FROM v4),
+total AS (SELECT seq, round(sum(v), 9) AS t FROM v5 GROUP BY 1),
+loud AS (SELECT seq, least(length(text) - length(replace(text, '!', '')), 4) * 0.292::DOUBLE + CASE WHEN asks < 2 THEN 0 WHEN asks <= 3 THEN asks * 0.18 ELSE 0.96 END::DOUBLE AS a FROM (SELECT seq, text, length(text) - length(replace(text, '?', '')) AS asks FROM posts)),
+summed AS (SELECT seq, coalesce(t + sign(t) * a, 0) AS t FROM loud LEFT JOIN total USING (seq))
+SELECT seq, round(coalesce(greatest(-1.0, least(1.0, t / sqrt(t * t + {R.ALPHA}))), 0.0), 6) AS compound FROM summed"""
+
+
+@query(_vader_sql())
 def vader_scores(spark, d):
-    return A.posts(spark, d).select("seq", vader_compound(F.col("text")).alias("compound"))
+    """Compound scores of all posts over a given table of valences."""
+    words = A.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
+    at = lambda a, n: F.conv(F.substring(F.md5("word"), a, n), 16, 10).cast("int")
+    table = words.select("word", ((at(1, 4) % 81 - 40) / 10.0).alias("valence")).where((at(5, 2) % 4 == 0) & (F.col("valence") != 0))
+    return A.posts(spark, d).select("seq", F.round(vader_compound(F.col("text"), table), 6).alias("compound"))
 
 
 # series

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from moodtide.functions import posts as P
 from moodtide.functions import sentiment as S
 from moodtide.functions import text as T
-from moodtide.functions.vader import compound, vader_compound
+from moodtide.functions.vader import BOOSTERS, DAMPERS, IDIOMS, NEGATIONS, compounds, vader_compound
 from moodtide.functions.lexicon import MOOD_WORDS, NEGATIVE_WORDS, POSITIVE_WORDS, SEED_VALENCES
 from moodtide.operators import posts as O
 from moodtide.plans.runs import half_hour_run
+from tests.plain_vader import compound
 
 POSTS = [
     (1, "at://a", 1, 1, 1, "2024-01-01T00:00:00Z"), (2, "at://a", 5, 0, 0, "2024-01-01T00:10:00Z"), (3, "at://a", 0, 5, 0, "2024-01-01T00:11:00Z"), (4, "", 99, 0, 0, "2024-01-01T00:12:00Z"),
@@ -100,3 +101,19 @@ def test_dedup_keeps_uris_of_null_counters(spark):
     rows = [("a", None, 1, 2, 5), ("a", 3, None, 1, 6), ("b", None, None, None, None), ("c", 1, 1, 1, None), ("c", 1, 1, 1, 9), ("", 9, 9, 9, 1)]
     df = spark.createDataFrame(rows, "uri string, likes long, reposts long, replies long, seq long")
     assert sorted((r["uri"], r["seq"]) for r in O.dedup_by_uri(df).collect()) == [("a", 6), ("b", None), ("c", 9)]
+
+
+def test_vectorised_scores_equal_plain_ones():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(4)
+    stock = [*SEED_VALENCES, *(x.upper() for x in list(SEED_VALENCES)[:9]), *BOOSTERS[:12], *DAMPERS, *sorted(NEGATIONS)[:20], "isn't", "never", "so", "this", "without", "doubt", "least", "at", "very", "but", "BUT", "kind", "sort", "of", *(x for k in IDIOMS for x in k.split()), "table", "Éa", ":)", "!!", "?", "(good)", "x"]
+    texts = [None, "", "  ", "good", "Good!", "but", "great \u3000 war", *(r.choice([" ", "\n", "  "]).join(r.choice(stock) + r.choice(["", "", "!", "?", ","]) for _ in range(r.randrange(1, 30))) for _ in range(4000)), *(f"{a} {b} {c} good" for a in ("never", "without", "kind", "very", "") for b in ("so", "doubt", "of", "sort") for c in ("this", "of", "least", "", "BAD"))]
+    table = SEED_VALENCES | {"shit": -2.6, "bomb": -2.2, "ass": -2.5, "stop": -1.2, "right": 1.0, "death": -2.9, "die": -2.9, "kiss": 1.8, "heart": 3.2, "broken": -2.1, "doubt": -1.5, ":)": 2.0}
+    got = compounds(pa.array(texts, pa.string()), table)
+    want = np.array([compound(t, table) for t in texts])
+    assert np.abs(got - want).max() < 1e-8 and (want != 0).sum() > 3000
+    assert len(compounds(pa.array([], pa.string()), table)) == 0
