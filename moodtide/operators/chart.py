@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,10 +156,12 @@ def start_end_labels(series: DataFrame, canvas: Canvas = YEARLY, v: str = "net_s
     return rows.select("kind", "ts", F.date_format("ts", "d MMM").alias("label"), "value", "x", F.lit(y + h + ENDS_BELOW).alias("y"), "anchor")
 
 
-def dash_segments(spark: SparkSession, width: float, dash: float = DASH, gap: float = GAP) -> DataFrame:
-    """Starts and ends of the dashes of a line of some width; the last one ends with the line."""
-    at = F.col("id") * (dash + gap)
-    return spark.range(max(0, math.ceil(width / (dash + gap)))).select(at.alias("x0"), F.least(at + dash, F.lit(float(width))).alias("x1"))
+def dashes(lines: DataFrame, width: str, dash: float = DASH, gap: float = GAP) -> DataFrame:
+    """Starts and ends (x0, x1) of the dashes of each line, by its width; the last one ends with the line."""
+    count = F.greatest(F.ceil(F.col(width) / (dash + gap)), F.lit(0)).cast("int")
+    at = (F.col("_i") * (dash + gap)).cast("double")
+    out = lines.withColumn("_i", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
+    return out.select(*lines.columns, at.alias("x0"), F.least(at + dash, F.col(width).cast("double")).alias("x1"))
 
 
 def lines_of(text: str, x: float, y: float, size: float, anchor: str = "middle") -> str:

@@ -94,6 +94,11 @@ def run_id_gen(now_ns: int | None = None) -> str:
     return f"run-{time.time_ns() if now_ns is None else now_ns}"
 
 
+def run_id_of(ts: Column) -> Column:
+    """The id of a run that began at a time."""
+    return F.concat(F.lit("run-"), (F.unix_micros(ts) * 1000).cast("string"))
+
+
 def latest_of_run(states: DataFrame) -> DataFrame:
     """The state of each run that changed last."""
     best = F.max_by(F.struct(*states.columns), F.struct("updated_at", "step"))
