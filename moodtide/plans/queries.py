@@ -1077,13 +1077,23 @@ def dash_segments(spark, d):
     return V.dashes(A.table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 61).cast("double").alias("width")), "width").select("c_custkey", "x0", "x1")
 
 
-@query(f"WITH {A.HISTORY} SELECT count(*) - 1 AS segments, count(*) AS points, true AS titled FROM history")
+_HEX = "CASE color " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.COLORS.items()) + " END"
+_PLOTTED = f"""e AS (SELECT epoch_us(min("timestamp")) AS t0, epoch_us(max("timestamp")) AS t1 FROM history), xy AS (SELECT "timestamp" AS t, {_WX} + (epoch_us("timestamp") - t0)::DOUBLE / (t1 - t0) * {_WW} AS x, {_WY + _WH / 2} - ((net_sentiment_percent - center) * scale / 100) * {_WH / 2} AS y,
+  CASE WHEN net_sentiment_percent > 10 THEN 'positive' WHEN net_sentiment_percent < -10 THEN 'negative' ELSE 'neutral' END AS color FROM history, e, rng), f AS (SELECT t, printf('%.1f', x::DOUBLE) AS x, printf('%.1f', y::DOUBLE) AS y, {_HEX} AS color FROM xy)"""
+
+
+@query(H_RANGE + f""", {_PLOTTED} SELECT 'segment' AS kind, x AS x1, y AS y1, x2, y2, color FROM (SELECT *, lead(x) OVER (ORDER BY t) AS x2, lead(y) OVER (ORDER BY t) AS y2 FROM f) WHERE x2 IS NOT NULL
+UNION ALL SELECT 'point', x, y, NULL, NULL, color FROM f UNION ALL SELECT 'title', printf('%.1f', {_WX + _WW / 2}::DOUBLE), printf('%.1f', {_WY - 20}::DOUBLE), NULL, NULL, 'Mood &amp; more'""")
 def rendered_chart(spark, d):
-    """The weekly chart as a text: its coloured segments and points, and its title."""
+    """The weekly chart as a text, read back: its coloured segments, its points and its title, each with its place."""
     text = V.svg(A.history(spark, d), title="Mood & more")
-    colours = [v for v in V.COLORS.values()]
-    one = spark.range(1).select(F.lit(sum(text.count(f'stroke="{c}"/>') for c in colours)).alias("segments"), F.lit(text.count("<circle")).alias("points"))
-    return one.select(F.col("segments").cast("long"), F.col("points").cast("long"), F.lit("Mood &amp; more" in text).alias("titled"))
+    tags = spark.createDataFrame([(text,)], "svg string").select(F.explode(F.split("svg", "<")).alias("tag"))
+    of = lambda name: F.regexp_extract("tag", f' {name}="([^"]*)"', 1)
+    none, coloured = F.lit(None).cast("string"), list(V.COLORS.values())
+    segments = tags.where(F.col("tag").startswith("line ") & of("stroke").isin(coloured)).select(F.lit("segment").alias("kind"), of("x1").alias("x1"), of("y1").alias("y1"), of("x2").alias("x2"), of("y2").alias("y2"), of("stroke").alias("color"))
+    points = tags.where(F.col("tag").startswith("circle ")).select(F.lit("point"), of("cx"), of("cy"), none, none, of("fill"))
+    title = tags.where(F.col("tag").endswith(">Mood &amp; more")).select(F.lit("title"), of("x"), of("y"), none, none, F.regexp_extract("tag", ">(.*)", 1))
+    return segments.union(points).union(title)
 
 
 @query("SELECT 'Seven day sentiment trend chart showing community mood over time' AS weekly, 'Yearly sentiment trend chart showing community mood over the past year' AS yearly")
