@@ -1036,7 +1036,7 @@ def scan_posts_between(spark, d):
     """Posts of a window of time: the source skips pages by their zones, and drops labelled posts."""
     p = A.posts(spark, d).withColumn("labels", F.when(F.col("toxic") == 1, F.array(F.lit("porn"))).otherwise(F.array().cast("array<string>")))
     text = lambda t: t.replace(" ", "T") + ".000000Z"
-    rows = _paged(spark, d, p, skipLabels="porn,sexual")
+    rows = _paged(spark, d, p, skipLabels="porn,sexual", pushFilters="true")
     return rows.where((F.col("created_at") >= text(A.CUTOFF)) & (F.col("created_at") < text(A.NOW)) & (F.col("seq") % 1000 != 7)).select("seq", "uri", "text")
 
 

@@ -6,8 +6,9 @@ small file below ``_index`` with the rows, the oldest and the newest time of eac
 a group is a partition, and its pages are read by executors, those only that filters leave. In a folder without a zone map the driver looks at each page.
 
 Pages end at the first whose oldest row precedes the option ``cutoff`` (ISO 8601; that page is read as a whole), at ``maxPages`` (100 pages of 100 posts
-unless given), or where the next page is missing. A batch read that ends at ``maxPages`` before a page that is there warns. Comparisons of ``created_at`` and ``seq`` with constants
-are filtered in the source, and skip groups and pages whose zone excludes them; ``skipLabels`` (names, comma-separated) drops posts that carry one of them.
+unless given), or where the next page is missing. A batch read that ends at ``maxPages`` before a page that is there warns. With ``pushFilters`` comparisons of ``created_at`` and ``seq`` with constants
+are filtered in the source, and skip groups and pages whose zone excludes them. Load such a DataFrame anew for each query: Spark plans a Python source once for each DataFrame, and a
+second query on it would see the filters of the first. ``skipLabels`` (names, comma-separated) drops posts that carry one of them.
 
 The stream admits at most ``maxPages`` a batch, and ends for good at the cutoff, or once it has run for ``budgetSeconds`` and has more than ``budgetRows`` (14 minutes and 1,000 unless given; 0 seconds:
 no budget). What it has admitted is kept in the folder ``state`` next to its checkpoint, so that a new start goes on from there.
@@ -278,15 +279,6 @@ class PagesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.filters = _Options(options), []
 
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            values = list(f.value) if isinstance(f, D.In) else [getattr(f, "value", None)]
-            if type(f) in _TESTS and name in ("created_at", "seq") and all(isinstance(v, str if name == "created_at" else int) for v in values):
-                self.filters.append((type(f), name, values if isinstance(f, D.In) else values[0]))
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         o = self.options
         found, _, more = o.admitted(o.start, o.pages)
@@ -298,6 +290,20 @@ class PagesReader(DataSourceReader):
         return self.options.rows(partition, self.filters)
 
 
+class PushingReader(PagesReader):
+    """Takes the comparisons of created_at and seq that the source can do itself; all others stay with Spark."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        self.filters = []
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            values = list(f.value) if isinstance(f, D.In) else [getattr(f, "value", None)]
+            if type(f) in _TESTS and name in ("created_at", "seq") and all(isinstance(v, str if name == "created_at" else int) for v in values):
+                self.filters.append((type(f), name, values if isinstance(f, D.In) else values[0]))
+            else:
+                yield f
+
+
 class PagesStream(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.options, self.state = _Options(options), options.get("state")
@@ -352,7 +358,7 @@ class PagedPosts(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> PagesReader:
-        return PagesReader(self.options)
+        return (PushingReader if self.options.get("pushFilters", "false").lower() == "true" else PagesReader)(self.options)
 
     def streamReader(self, schema) -> PagesStream:
         return PagesStream(self.options)

@@ -62,7 +62,7 @@ def test_zone_map_and_pushed_filters(spark, tmp_path, monkeypatch):
     assert [(z.first, z.last, z.rows) for _, z in pages.zone_map(folder)] == [(0, 10_000, 10_000), (10_000, 20_000, 10_000), (20_000, 25_100, 5_050)]
     monkeypatch.setattr(pages, "read_page", lambda *_: pytest.fail("the driver reads no page"))
     at = lambda i: (dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)).strftime("%Y-%m-%dT%H:%M:%S.000000Z")
-    reader = pages.PagesReader({"path": folder, "maxPages": "1000"})
+    reader = pages.PushingReader({"path": folder, "maxPages": "1000"})
     assert [p.first for p in reader.partitions()] == [0, 10_000, 20_000]
     left = list(reader.pushFilters([D.GreaterThanOrEqual(("created_at",), at(12_345)), D.LessThan(("created_at",), at(12_400)), D.StringContains(("text",), "9"), D.IsNotNull(("created_at",))]))
     assert [type(f) for f in left] == [D.StringContains, D.IsNotNull] and [p.first for p in reader.partitions()] == [10_000]
@@ -70,12 +70,13 @@ def test_zone_map_and_pushed_filters(spark, tmp_path, monkeypatch):
     assert [(p.first, p.last) for p in cut.partitions()] == [(0, 10_000), (10_000, 20_000), (20_000, 25_100)]
     monkeypatch.undo()
     pages.register(spark)
-    df = spark.read.format("paged_posts").option("path", folder).option("maxPages", "1000").option("skipLabels", "porn").load()
-    some = df.where((F.col("created_at") >= at(12_345)) & (F.col("created_at") < at(12_400)) & F.col("seq").isin(12_350, 12_351, 12_399, 99))
+    load = lambda push: spark.read.format("paged_posts").option("path", folder).option("maxPages", "1000").option("skipLabels", "porn").option("pushFilters", push).load()
+    some = load("true").where((F.col("created_at") >= at(12_345)) & (F.col("created_at") < at(12_400)) & F.col("seq").isin(12_350, 12_351, 12_399, 99))
     assert sorted(r["seq"] for r in some.collect()) == [12_351, 12_399]
     plan = some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThanOrEqual(created_at" in plan.split("PushedFilters")[1]
-    assert df.count() == 25_050 - 2_505 and df.where("replies = 0").count() == df.count()
+    df = load("false")
+    assert df.where("seq = 11").count() == 1 and df.count() == 25_050 - 2_505 and df.where("replies = 0").count() == df.count()
 
 
 def test_newest_first_ends_in_a_group(spark, tmp_path):
