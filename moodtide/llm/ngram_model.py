@@ -13,7 +13,7 @@ text's score is a sum of whole numbers, equal in any order and for any number of
 3. Scoring: tries and packed bigrams of all texts meet by shard, a heavy shard's tries in copies for ``SALTS`` parts of the texts. A task maps its tries
    into memory (from a file without a name, which ends with the task) and finds a bigram by successor search for (context's rank, word's number). It hands on sums by text, and the words of bigrams
    that training lacks, which are looked up among the contexts in a second round.
-4. Sums meet by slice of texts and are added up.
+4. Sums meet by slice of texts and are added up there, packed as they are.
 
 Only the heavy words with their counts and two totals go to the driver, all of bounded number. The rest grows with the corpus and is dealt by hash. Words are held by 48 bits of their hash, successors by 40
 beside their context.
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -400,6 +401,44 @@ def _scorer(layout: Layout, totals: dict, first: bool):
     return run
 
 
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists, and where each list's begin; null is an empty list."""
+    return column.flatten(), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))
+
+
+def _merged(batches):
+    """A row for each text, from rows sorted by slice: its sums, which come packed from each task, and what the slice's own row says of it."""
+    last, about, n = None, None, 0
+    sums = {"units": np.zeros(ROWS, np.int64), "known": np.zeros(ROWS, np.int64), "base": np.zeros(ROWS)}
+
+    def texts():
+        out = pa.record_batch([*about, *(pa.array(v[:n].copy()) for v in sums.values())], names=["doc_id", "learnt", "n", *sums])
+        for v in sums.values():
+            v[:] = 0
+        return out
+
+    for b in batches:
+        where = b.column("slice").to_numpy()
+        cols = {c: _lists(b.column(c)) for c in ("texts", *sums, "doc_id", "learnt", "n")}
+        at, offs = cols["texts"][0].to_numpy(), cols["texts"][1]
+        values = {c: cols[c][0].to_numpy() for c in sums}
+        for i in range(b.num_rows):
+            if where[i] != last:
+                if last is not None:
+                    yield texts()
+                last, about = where[i], None
+            x, y = cols["n"][1][i : i + 2]
+            if y > x:
+                about, n = [cols[c][0].slice(x, y - x) for c in ("doc_id", "learnt", "n")], int(y - x)
+                continue
+            own = at[offs[i] : offs[i + 1]]
+            for c, total in sums.items():
+                a = cols[c][1][i]
+                total[own] += values[c][a : a + len(own)]  # a text stands once in a row
+    if last is not None:
+        yield texts()
+
+
 def _missed(layout: Layout, w: np.ndarray, own: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
     """Words of bigrams that training lacks, by the task of the word as a context; their counts by text are added up."""
     order = np.lexsort((own, w))
@@ -460,9 +499,8 @@ def scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
     misses = found.where("kind = 1").select("task", "kind", "slice", *PACKED[1:])
     rest = _meet(tries, misses, layout, levels=False).mapInArrow(common.lean(_scorer(layout, totals, first=False)), _ALL_SQL)
     arrays = ("texts", "units", "known", "base", "doc_id", "learnt", "n")
-    both = found.where("texts IS NOT NULL").select("slice", *arrays).union(rest.select("slice", *arrays)).repartition(layout.tasks, "slice")
-    each = both.select("slice", F.inline(F.arrays_zip(*(F.coalesce(F.col(c), F.array()).alias(c) for c in arrays))))
-    sums = each.groupBy("slice", "texts").agg(*(F.sum(c).alias(c) for c in ("units", "known", "base")), *(F.max(c).alias(c) for c in ("doc_id", "learnt", "n")))
+    both = found.where("texts IS NOT NULL").select("slice", *arrays).union(rest.select("slice", *arrays)).repartition(layout.tasks, "slice").sortWithinPartitions("slice")
+    sums = both.mapInArrow(common.lean(_merged), "doc_id long, learnt boolean, n long, units long, known long, base double")
     return sums.select(
         "doc_id", (~F.col("learnt")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(totals["tokens"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("units") / STEPS).alias("score")
     )
