@@ -61,7 +61,7 @@ class FolderReceiver:
 
     def finish(self) -> None:
         name = f"{self.task}-{len(self.names):06d}.json"
-        _put(self.io, f"{self.path}/staged/{name}", "\n".join(json.dumps(x, default=str) for x in self.held).encode())
+        _put(self.io, f"{self.path}/staged/{name}", "\n".join(json.dumps({"_row": i, **x}, default=str) for i, x in enumerate(self.held)).encode())
         self.names.append(name)
         self.held = []
 
@@ -93,7 +93,8 @@ class _Writer:
     def _commit(self, messages: list, name: str) -> None:
         io, path = _opened(self.options["path"])
         io.create_dir(f"{path}/manifests", recursive=True)
-        body = [{"write": name, "name": n} for m in messages if m is not None for n in m.names]
+        at = time.time_ns()
+        body = [{"write": name, "name": n, "at": at} for m in messages if m is not None for n in m.names]
         _put(io, f"{path}/manifests/{name}.json", "\n".join(map(json.dumps, body)).encode())
 
     def _abort(self, messages: list) -> None:
@@ -154,7 +155,10 @@ def deliver(df: DataFrame, folder: str, key: str | None = None, source: type[Out
 
 
 def received(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """What a folder has received by committed writes: ``_key``, the file of the batch, and the columns of schema; a key that came in several writes once."""
-    named = spark.read.schema("write string, name string").json(f"{folder}/manifests")
-    rows = spark.read.schema(f"_key string, {schema}").json(f"{folder}/staged").withColumn("batch", F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1))
-    return rows.join(named, rows["batch"] == named["name"]).drop("name", "write").dropDuplicates(["_key"])
+    """What a folder has received by committed writes: ``_key``, the columns of schema, and the file of the batch. A key that came several times is its first row by
+    time of commit, batch and place in it, so that all reads agree."""
+    named = spark.read.schema("write string, name string, at long").json(f"{folder}/manifests")
+    rows = spark.read.schema(f"_row long, _key string, {schema}").json(f"{folder}/staged").withColumn("batch", F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1))
+    columns = [c for c in rows.columns if c not in ("_row", "_key")]
+    first = F.min_by(F.struct(*columns), F.struct("at", "batch", "_row")).alias("_first")
+    return rows.join(named, rows["batch"] == named["name"]).groupBy("_key").agg(first).select("_key", "_first.*")

@@ -54,6 +54,15 @@ def test_a_failing_task_sends_nothing_twice(spark, tmp_path):
     assert sorted(r["id"] for r in outbox.received(spark, str(tmp_path), "id long").collect()) == list(range(200))
 
 
+def test_of_rows_of_a_key_the_first_counts(spark, tmp_path):
+    for n in range(4):
+        for write in range(2):
+            outbox.deliver(spark.range(0, 60, numPartitions=3).select("id", F.lit(write).alias("write_no")), str(tmp_path / str(n)), key="id", pause=0)
+        got = outbox.received(spark, str(tmp_path / str(n)), "id long, write_no int")
+        assert [(r["write_no"], r["count"]) for r in got.groupBy("write_no").count().collect()] == [(0, 60)]
+        assert got.select("batch").distinct().count() == 3
+
+
 def test_a_replayed_micro_batch_is_delivered_once(spark, tmp_path):
     outbox.register(spark)
     for i in range(3):
