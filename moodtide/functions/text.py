@@ -36,7 +36,7 @@ def truncate_text(text: Column, limit: int = POST_CHARS) -> Column:
 def truncate_lines(text: Column, limit: int = POST_CHARS, least: int = 150) -> Column:
     """Cut to the limit, at the last line break if that stands beyond ``least`` bytes."""
     cut = F.substring(text, 1, limit)
-    head = F.regexp_replace(cut, r"(?s)\n[^\n]*$", "")
+    head = F.regexp_replace(cut, r"\n[^\n]*\z", "")  # in Java $ stands before a last line break too
     return F.when(F.length(text) <= limit, text).when(F.contains(cut, F.lit("\n")) & (F.octet_length(head) > least), head).otherwise(cut)
 
 

@@ -117,3 +117,10 @@ def test_vectorised_scores_equal_plain_ones():
     want = np.array([compound(t, table) for t in texts])
     assert np.abs(got - want).max() < 1e-8 and (want != 0).sum() > 3000
     assert len(compounds(pa.array([], pa.string()), table)) == 0
+
+
+def test_a_cut_that_ends_in_a_line_break(spark):
+    lines = "a" * 200 + "\n" + "b" * 98
+    cases = [(lines + "\n" + "c" * 50, lines), (lines + "\r\n" + "c" * 50, "a" * 200), ("a" * 299 + "\n" + "c", "a" * 299), ("\n" * 400, "\n" * 299)]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "i int, t string").select("i", T.truncate_lines(F.col("t")).alias("cut"))
+    assert [r["cut"] for r in df.orderBy("i").collect()] == [w for _, w in cases]
