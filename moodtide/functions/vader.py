@@ -1,14 +1,17 @@
 """Rule-based compound score (Hutto and Gilbert 2014) over a pluggable valence table.
 
-Arrow batches, without a loop over rows or words: tokens of all texts of a batch are one dictionary-encoded array, word properties are looked up by entry of the dictionary, and the three words before a
-word of the table are shifted arrays. The table is small and its size is checked before it is shipped. The published valences are not part of
+Arrow batches, without a loop over rows or words: tokens of a slice of texts are one dictionary-encoded array, word properties are looked up by entry of the dictionary, and the three words before a
+word of the table are shifted arrays. A slice has about a megabyte of text, so that memory goes by its size and not by that of Spark's batches, which hold 10,000 texts of any length. The table is small and its size is checked before it is shipped. The published valences are not part of
 this repository: scores follow the rules, and equal the published ones only for the same table.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +22,8 @@ from moodtide.functions import lexicon
 from moodtide.session import ship
 
 MAX_ENTRIES = 200_000
+#: Bytes of text whose tokens are held at once; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
 # Fixed values of the published rules.
 BOOST, NEGATION, CAPS, ALPHA = 0.293, -0.74, 0.733, 15.0
 BOOSTERS = (
@@ -82,7 +87,22 @@ def _before(mask: np.ndarray, i: np.ndarray, back: int, inside: np.ndarray) -> n
     return mask[np.maximum(i - back, 0)] & inside
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in order, in runs of at most SLICE_BYTES or of one text."""
+    upto = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, "right")) - 1)
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def compounds(texts: pa.Array, valences: dict[str, float]) -> np.ndarray:
+    """The score of each text, slice by slice."""
+    return np.concatenate([np.zeros(0), *(_compounds(t, valences) for t in _slices(texts))])
+
+
+def _compounds(texts: pa.Array, valences: dict[str, float]) -> np.ndarray:
     """Words of the table take boosts, dampers, capitals, negations, idioms and "least" before them; "but", "!" and "?" weigh the sum."""
     w = _Words(texts, valences)
     i = np.flatnonzero(w.hit)
@@ -152,8 +172,12 @@ def vader_compound(text: Column, table: DataFrame | None = None) -> Column:
         ship(spark)
     valences = valence_table(table)
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(s: pd.Series) -> pd.Series:
-        return pd.Series(compounds(pa.array(s, pa.string(), from_pandas=True), valences))
+    @F.arrow_udf(T.DoubleType())
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(compounds(texts, valences))
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a worker that waits for its next task holds nothing
+            ctypes.CDLL(None).malloc_trim(0)
 
     return scored(text)

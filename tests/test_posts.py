@@ -119,6 +119,22 @@ def test_vectorised_scores_equal_plain_ones():
     assert len(compounds(pa.array([], pa.string()), table)) == 0
 
 
+def test_scoring_holds_the_tokens_of_a_slice_only():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    table = {"good": 2.0, "bad": -2.0}
+    texts = pa.array([f"a GOOD day {i} but not a bad one! " * (1 + i % 200) for i in range(3000)] + [None, "", "good " * 300_000], pa.string())
+    tracemalloc.start()
+    got = compounds(texts, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [compounds(texts.slice(i, 1), table)[0] for i in range(0, len(texts), 100)]
+    assert len(got) == len(texts) and got[::100].tolist() == want and got[-3:-1].tolist() == [0, 0]
+    assert peak < 100_000_000
+
+
 def test_a_cut_that_ends_in_a_line_break(spark):
     lines = "a" * 200 + "\n" + "b" * 98
     cases = [(lines + "\n" + "c" * 50, lines), (lines + "\r\n" + "c" * 50, "a" * 200), ("a" * 299 + "\n" + "c", "a" * 299), ("\n" * 400, "\n" * 299)]
