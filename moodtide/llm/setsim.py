@@ -11,7 +11,8 @@ An item is a doc_id. Items of equal sets are one class; a class is named by 64 b
    lists one name.
 3. Star: each list's class of most lists is its centre. Lengths and bitmaps bound the overlap with the others; what is left
    is tested by exact intersection, first with the centre of most common lists, then with those still apart. Tests
-   come as streams sorted by tile (centre, size band, part), so one large group is many tiles.
+   come as streams sorted by tile (centre, size band, part), so one large group is many tiles. Each round of tests reads the texts anew
+   and moves those of its pairs only, picked by a filter of fixed size.
 4. Tiles: of a list whose members are still in several components, those outside its largest one seek partners. Sizes are cut into
    bands, so wide that the sizes a set can link to lie in one or two; a tile is a block of one band of a list and the seekers that can link
    into it, so a member is in one tile and seekers alone are copied. In a tile sizes, then bitmaps bound the overlaps. In ``NEAREST_ROUNDS`` rounds
@@ -242,6 +243,24 @@ def bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return both.select(*named, "c_n", "c_bits", "x_n", "x_bits").mapInArrow(common.lean(rows), ", ".join(f"{k} {t}" for k, t in pairs.dtypes))
 
 
+def texts_of(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, text) of the classes of pairs (c, x): the text of the row that first(id, a, r) names. Other texts are read, but not moved."""
+    ids = pairs.select(F.explode(F.array("c", "x")).alias("id")).distinct()
+    wanted = common.written(first.select("id", "a", "r").join(ids, "id"), "wanted")
+    found = common.probably_among(docs, wanted, ["a", "r"]).join(wanted, ["a", "r"])
+    texts = common.written(found.dropDuplicates(["id"]).select("id", "text"), "texts")
+    common.discard(wanted)
+    return texts
+
+
+def links_of(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Those of pairs (c, x, xn) that link, written: c, x."""
+    texts = texts_of(pairs, docs, first)
+    out = common.written(tested(pairs, texts), "links")
+    common.discard(texts)
+    return out
+
+
 def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (c, x, xn) that link: c, x."""
     band = F.floor(F.log(F.col("xn").cast("double")) / math.log(DEN / NUM)).cast("int")
@@ -447,17 +466,17 @@ def classes(docs: DataFrame) -> DataFrame:
     first = items.withColumn("p", place).join(low, ["id", "p"]).select("id", "a", "r", "n", "bits").dropDuplicates(["id"])
     first = common.written(first, "first")
     marks = first.select("id", "n", "bits")
-    texts = common.written(docs.join(first.select("id", "a", "r"), ["a", "r"]).dropDuplicates(["a", "r"]).select("id", "text"), "texts")
 
     star = lists.where(f"id <> c AND {DEN} * least(cn, n) >= {NUM} * greatest(cn, n)").groupBy("c", F.col("id").alias("x"), F.col("n").alias("xn")).agg(F.count("*").alias("shared"))
     star = common.written(bounded(star, marks), "star")
+    common.release(spark)  # shuffle files of what is written by now
     best = star.groupBy("x", "xn").agg(F.max_by("c", F.shiftleft(F.col("shared"), 40) + F.col("c").bitwiseAND((1 << 40) - 1)).alias("c")).select("c", "x", "xn")
-    links = common.written(tested(best, texts), "links")
+    links = links_of(best, docs, first)
     parts_of = _components(links)
     apart = _apart(star, parts_of)
-    links, parts_of, _ = _grown(links, parts_of, apart, texts)
+    links, parts_of, _ = _grown(links, parts_of, apart, docs, first)
     common.discard(star, apart)
-    common.release(spark)  # shuffle files of what is written by now
+    common.release(spark)
     for left in range(NEAREST_ROUNDS, -1, -1):
         nearest = left > 0
         tiled, scratch = _open_tiles(lists, parts_of, marks, parts)
@@ -467,7 +486,7 @@ def classes(docs: DataFrame) -> DataFrame:
             found = found.groupBy("c").agg(F.min_by("x", by).alias("x"), F.min_by("xn", by).alias("xn"))
         found = common.written(found.select("c", "x", "xn").distinct(), "tiles")
         common.discard(*scratch)
-        links, parts_of, share = _grown(links, parts_of, found, texts)
+        links, parts_of, share = _grown(links, parts_of, found, docs, first)
         common.discard(found)
         common.release(spark)
         if share is None:
@@ -476,7 +495,7 @@ def classes(docs: DataFrame) -> DataFrame:
     of_item = of_item.withColumn("doc_id", F.when(F.col("r") < 1 << 31, F.col("a"))).withColumn("p", place)
     of_item = common.written(of_item.select("a", "r", "doc_id", "p", "component"), "of-item")
     low = common.written(of_item.groupBy("component").agg(F.min("p").alias("low"), F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"), "low")
-    common.discard(lists, texts, first, parts_of)
+    common.discard(lists, first, parts_of)
     common.release(spark)
     judged = of_item.join(low, "component", "left").select("a", "r", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("p") == F.col("low"), F.lit(True)).alias("stays"))
     rows = keyed.where("n >= 0").select("a", "r", "n")
@@ -515,12 +534,12 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / (BAND * math.log(DEN / NUM)) + 1e-9).cast("int")
 
 
-def _grown(links: DataFrame, parts_of: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, float | None]:
+def _grown(links: DataFrame, parts_of: DataFrame, pairs: DataFrame, docs: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame, float | None]:
     """links and their components after tests of more pairs, and the share of these that link; None if there are none."""
     wanted = pairs.count()
     if not wanted:
         return links, parts_of, None
-    more = common.written(tested(pairs, texts), "links")
+    more = links_of(pairs, docs, first)
     n = more.count()
     if n:
         links = links.union(more)

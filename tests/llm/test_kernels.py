@@ -8,8 +8,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from moodtide.llm import packing, textkit, token_file, tokens
+from moodtide.llm import common, packing, setsim, textkit, token_file, tokens
 from tests.llm import brute
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("abAB \n\té,.'!1 \x0b| #")), max_size=60)), max_size=8)
@@ -106,3 +107,20 @@ def test_nnls_is_least_squares_on_the_cone():
     x = packing.nnls(a, b)
     slope = a.T @ (b - a @ x)
     assert (x >= 0).all() and (slope <= 1e-9).all() and abs((x * slope).sum()) < 1e-9
+
+
+def test_a_filter_of_keys_loses_no_row_and_passes_few(spark):
+    rows = spark.range(0, 40_000).select((F.col("id") * 7919 - 10_000_000).alias("a"), (F.col("id") % 5).alias("r"), F.col("id").alias("text"))
+    keys = rows.where("text % 40 = 3").select("a", "r")
+    got = {x["text"] for x in common.probably_among(rows, keys, ["a", "r"]).collect()}
+    want = set(range(3, 40_000, 40))
+    assert want <= got and len(got) < len(want) + 20
+    assert common.probably_among(rows, keys.limit(0), ["a", "r"]).count() == 0
+
+
+def test_texts_of_pairs_alone_are_moved(spark):
+    docs = spark.createDataFrame([(i, i % 2, f"text {i}") for i in range(200)], "a long, r long, text string")
+    first = docs.select((F.col("a") + 1000).alias("id"), "a", "r").where("a < 150")
+    pairs = spark.createDataFrame([(1003, 1007, 1), (1003, 1009, 1), (1140, 1003, 1)], "c long, x long, xn int")
+    got = setsim.texts_of(pairs, docs.union(docs.where("a = 7")), first)
+    assert sorted((r["id"], r["text"]) for r in got.collect()) == [(1000 + i, f"text {i}") for i in (3, 7, 9, 140)]
