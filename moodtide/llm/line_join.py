@@ -432,7 +432,10 @@ def _matching(batches):
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, sub) of the pairs (a, sub, ya, ysub) whose sets match."""
-    both = pairs.select("a", "sub", "ya", "ysub").join(sets.withColumnRenamed("tokens", "x"), ["a", "sub"]).join(sets.toDF("ya", "ysub", "y"), ["ya", "ysub"])
+    pairs = pairs.select("a", "sub", "ya", "ysub")
+    x = common.probably_among(sets, pairs, ["a", "sub"]).withColumnRenamed("tokens", "x")
+    y = common.probably_among(sets, pairs.select(F.col("ya").alias("a"), F.col("ysub").alias("sub")), ["a", "sub"]).toDF("ya", "ysub", "y")
+    both = pairs.join(x, ["a", "sub"]).join(y, ["ya", "ysub"])
     return common.written(both.select("a", "sub", "x", "y").mapInArrow(common.lean(_matching), "a long, sub long").distinct(), "matched")
 
 
@@ -458,6 +461,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # an equal earlier line already removes these
     pairs = common.written(pairs.join(gone[0], ["a", "sub"], "left_anti"), "line-pairs")
     sets = common.written(line_sets(docs, found.select("a", "sub").distinct()), "line-sets")  # the texts are read once more
+    common.release(spark)  # and shuffled with the lines wanted
     gone.append(verified(sets, pairs))
     none = [F.lit((1 << 62)).alias("cs"), F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("csub")]
     open_ = common.written(pairs.join(gone[1], ["a", "sub"], "left_anti").select("a", "sub", *none), "line-open")
