@@ -15,9 +15,10 @@ An item is a doc_id. Items of equal sets are one class; a class is named by 64 b
    and moves those of its pairs only, picked by a filter of fixed size.
 4. Tiles: of a list whose members are still in several components, those outside its largest one seek partners. Sizes are cut into
    bands, so wide that the sizes a set can link to lie in one or two; a tile is a block of one band of a list and the seekers that can link
-   into it, so a member is in one tile and seekers alone are copied. In a tile sizes, then bitmaps bound the overlaps. In ``NEAREST_ROUNDS`` rounds
-   each seeker is tested against its nearest one of another component; then all pairs of different components that may still
-   link are tested.
+   into it, so a member is in one tile and seekers alone are copied. In a tile sizes, then bitmaps bound the overlaps. A pair is
+   handed on by the first of its lists alone, as far as the ``FIRST_LISTS`` first lists of each class tell. In ``NEAREST_ROUNDS`` rounds
+   each seeker is tested against its nearest one of another component; then against its next 16, then 256, ... nearest ones, until none
+   that may still link is left: no round hands on all pairs of a group.
 
 All pairs that share a prefix shingle are so tested, ruled out by a bound, or joined by tested links: components are exact. A
 32-bit tag stands for a shingle inside a bucket; clashes only cost tests.
@@ -29,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodtide.llm import common
@@ -39,6 +40,8 @@ K, NUM, DEN = 5, 75, 100
 #: Width of a size band, in steps of the ratio that links allow.
 BAND = 4
 SKETCH_BITS, BLOCK_TOKENS, TILE, HELD_PAIRS, NEAREST_ROUNDS = 22, 1_000_000, 512, 500_000, 1
+#: Lists of a class that go with its rows, and the factor by which later rounds take more partners of a seeker.
+FIRST_LISTS, MORE = 16, 16
 #: Bits of a bitmap: the power of two from two for each shingle up, within these bounds.
 LEAST_BITS, MOST_BITS = 128, 1 << 20
 NAMES = ["a", "r", "n", "h1", "h2", "bits"]
@@ -373,20 +376,44 @@ class Marks:
         return out
 
 
-def tile_pairs(nearest: bool):
-    """Of rows sorted by tile: pairs of different components whose bitmaps allow a link; each class's nearest only, or all.
+def _leading(order: np.ndarray, c: np.ndarray, take: int) -> np.ndarray:
+    """Of order, in which equal values of c are neighbours, the first ``take`` of each value."""
+    run = np.cumsum(np.append(0, np.diff(c[order]) != 0)[: len(order)])
+    return order[np.arange(len(order)) - np.searchsorted(run, run) < take]
+
+
+def _in_earlier_list(firsts: np.ndarray, lists: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j are known to share a list before that of row i. Rows of firsts hold a class's first lists."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 8192):
+        x, y = firsts[i[at : at + 8192]], firsts[j[at : at + 8192]]
+        shared = (x[:, :, None] == y[:, None, :]).any(2)
+        out[at : at + 8192] = (shared & (x < lists[i[at : at + 8192], None])).any(1)
+    return out
+
+
+def _first_lists(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of FIRST_LISTS names, the last name of all where there are fewer."""
+    a = column.combine_chunks()
+    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+    offs = a.offsets.to_numpy()
+    size, out = np.diff(offs), np.full((len(a), FIRST_LISTS), np.iinfo(np.int64).max)
+    out[np.repeat(np.arange(len(a)), size), tk.ragged(np.zeros(len(a), np.int64), size)] = a.values.to_numpy()[offs[0] : offs[-1]]
+    return out
+
+
+def tile_pairs(take: int, nearest: bool):
+    """Of rows sorted by tile: pairs of different components whose bitmaps allow a link; the ``take`` nearest of each seeker, after its cursor.
 
     Only members outside the list's largest component look for partners: of two components one is not the largest. A task
-    combines what its tiles give before it hands it on: many lists hold the same pairs.
+    combines what its tiles give before it hands it on.
     """
 
     def combined(held):
         c, x, xn, d = (np.concatenate(k) for k in zip(*held, strict=True))
-        order = np.lexsort((x, d, c) if nearest else (x, c))
-        new = c[order][1:] != c[order][:-1]
-        if not nearest:
-            new |= x[order][1:] != x[order][:-1]
-        first = order[np.append(True, new)[: len(order)]]
+        order = np.lexsort((x, d, c))
+        order = order[np.append(True, (c[order][1:] != c[order][:-1]) | (x[order][1:] != x[order][:-1]))[: len(order)]]
+        first = _leading(order, c, take)
         return c[first], x[first], xn[first], d[first]
 
     def rows(batches):
@@ -406,30 +433,30 @@ def tile_pairs(nearest: bool):
     def found(batches):
         for t, _ in grouped(batches, ["list", "band", "block"], 1 << 30):  # about TILE members and the list's seekers
             g, n, ids = _groups(t, ["list", "band", "block"]), t.column("n").to_numpy().astype(np.int64), t.column("id").to_numpy()
-            part, asks, seeks = (t.column(k).to_numpy(zero_copy_only=False) for k in ("part", "asks", "seeks"))
+            part, asks, seeks, turn, last_d, last_x, lists = (t.column(k).to_numpy(zero_copy_only=False) for k in ("part", "asks", "seeks", "turn", "last_d", "last_x", "list"))
             low, high = _sizes_around(n)
             top = int(high.max()) + 2
-            held, seek = np.flatnonzero(~asks), np.flatnonzero(seeks)
+            held, seek = np.flatnonzero(~asks), np.flatnonzero(turn)
             held = held[np.argsort((g * top + n)[held], kind="stable")]
             key = (g * top + n)[held]
             begin, end = np.searchsorted(key, g[seek] * top + low[seek]), np.searchsorted(key, g[seek] * top + high[seek], "right")
-            marks = Marks(t.column("bits"))
+            marks, firsts = Marks(t.column("bits")), _first_lists(t.column("firsts"))
             pairs = np.cumsum(end - begin)
             at = 0
             while at < len(seek):
                 to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + 500_000, "right")))
                 i, j = np.repeat(seek[at:to], (end - begin)[at:to]), held[tk.ragged(begin[at:to], (end - begin)[at:to])]
                 ok = part[i] != part[j]
-                i, j = i[ok], j[ok]
-                d = marks.differing(i, j)
-                ok = may_link(n[i], n[j], d)
                 if not nearest:  # a pair that both seek comes once
                     ok &= (ids[i] < ids[j]) | ~seeks[j]
+                i, j = i[ok], j[ok]
+                d = marks.differing(i, j)
+                ok = may_link(n[i], n[j], d) & ((d > last_d[i]) | (d == last_d[i]) & (ids[j] > last_x[i]))
+                i, j, d = i[ok], j[ok], d[ok]
+                ok = ~_in_earlier_list(firsts, lists, i, j)
                 i, j, d = i[ok], j[ok], d[ok]
-                if nearest:
-                    by = np.lexsort((j, d, i))
-                    first = by[np.append(True, i[by][1:] != i[by][:-1])[: len(by)]]
-                    i, j, d = i[first], j[first], d[first]
+                first = _leading(np.lexsort((ids[j], d, i)), i, take)
+                i, j, d = i[first], j[first], d[first]
                 yield ids[i], ids[j], n[j].astype(np.int32), d.astype(np.int32)
                 at = to
 
@@ -477,20 +504,20 @@ def classes(docs: DataFrame) -> DataFrame:
     links, parts_of, _ = _grown(links, parts_of, apart, docs, first)
     common.discard(star, apart)
     common.release(spark)
-    for left in range(NEAREST_ROUNDS, -1, -1):
-        nearest = left > 0
-        tiled, scratch = _open_tiles(lists, parts_of, marks, parts)
-        found = tiled.mapInArrow(common.lean(tile_pairs(nearest)), "c long, x long, xn int, d int")
-        if nearest:
-            by = F.shiftleft(F.col("d").cast("long"), 40) + F.col("x").bitwiseAND((1 << 40) - 1)
-            found = found.groupBy("c").agg(F.min_by("x", by).alias("x"), F.min_by("xn", by).alias("xn"))
-        found = common.written(found.select("c", "x", "xn").distinct(), "tiles")
-        common.discard(*scratch)
+    share = 0.0
+    for _ in range(NEAREST_ROUNDS):
+        member = _open_members(lists, parts_of)
+        found, bands = _tile_pairs(member, parts_of, marks, parts, 1, None)
+        by = F.shiftleft(F.col("d").cast("long"), 40) + F.col("x").bitwiseAND((1 << 40) - 1)
+        found = common.written(found.groupBy("c").agg(F.min_by("x", by).alias("x"), F.min_by("xn", by).alias("xn")), "tiles")
+        common.discard(member, bands)
         links, parts_of, share = _grown(links, parts_of, found, docs, first)
         common.discard(found)
         common.release(spark)
         if share is None:
             break
+    if share is not None:
+        parts_of = _all_open(lists, links, parts_of, marks, parts, docs, first)
     of_item = items.select("a", "r", "id").distinct().join(parts_of.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_item = of_item.withColumn("doc_id", F.when(F.col("r") < 1 << 31, F.col("a"))).withColumn("p", place)
     of_item = common.written(of_item.select("a", "r", "doc_id", "p", "component"), "of-item")
@@ -503,30 +530,64 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.join(judged, ["a", "r"], "left").select("a", "r", "n", F.coalesce("component_id", doc_id).alias("component_id"), F.coalesce("stays", F.lit(True)).alias("stays"))
 
 
-def _open_tiles(lists: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Members of the lists that hold several components beside their centre, by tile: (list, size band, block); and the tables that they are read from."""
+def _all_open(lists: DataFrame, links: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Components after tests of all pairs of different components that may still link, in rounds of a bounded number for each seeker."""
+    member, turns, take = _open_members(lists, parts_of), None, 1
+    while turns is None or not turns.isEmpty():
+        take *= MORE
+        found, bands = _tile_pairs(member, parts_of, marks, parts, take, turns)
+        by = Window.partitionBy("c").orderBy("d", "x")
+        found = common.written(found.distinct().withColumn("k", F.row_number().over(by)).where(F.col("k") <= take).drop("k"), "tiles")
+        full = found.groupBy("c").agg(F.max(F.struct("d", "x")).alias("m"), F.count("*").alias("k")).where(F.col("k") >= take)
+        before, turns = turns, common.written(full.select(F.col("c").alias("id"), F.col("m.d").alias("last_d"), F.col("m.x").alias("last_x")), "turns")
+        common.discard(bands, *([] if before is None else [before]))
+        links, parts_of, _ = _grown(links, parts_of, found.select("c", "x", "xn"), docs, first)
+        common.discard(found)
+        common.release(member.sparkSession)
+    common.discard(member, turns)
+    return parts_of
+
+
+def _open_members(lists: DataFrame, parts_of: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components beside their centre, and whether they seek: those outside the largest one do. Written."""
     placed = lists.where("id <> c").join(parts_of.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left")
     placed = placed.select("list", "id", "n", F.coalesce("part", "id").alias("part"), _band(F.col("n")).alias("band"))
     shares = placed.groupBy("list", "part").agg(F.count("*").alias("k"))
     main = shares.groupBy("list").agg(F.max_by("part", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("list", "main")
-    member = common.written(placed.join(main, "list").withColumn("seeks", F.col("part") != F.col("main")).drop("main"), "open")
+    return common.written(placed.join(main, "list").select("list", "id", "n", "band", (F.col("part") != F.col("main")).alias("seeks")), "open")
+
+
+def _tile_pairs(member: DataFrame, parts_of: DataFrame, marks: DataFrame, parts: int, take: int, turns: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (c, x, xn, d) of the tiles (list, size band, block) of members, and a table that they are read from.
+
+    All that seek do so after no cursor, or those of turns(id, last_d, last_x) after theirs. Who seeks stays as ``member`` says, so that each pair
+    keeps its seeker; pairs that are in one component by now are left out.
+    """
+    firsts = member.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("list")), 1, FIRST_LISTS).alias("firsts"))
+    nodes = parts_of.select(F.col("node").alias("id"), F.col("component").alias("part"))
+    held = member.join(nodes, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    if turns is None:
+        held = held.withColumn("turn", F.col("seeks")).withColumn("last_d", F.lit(-1)).withColumn("last_x", F.lit(0).cast("long"))
+    else:
+        held = held.join(turns, "id", "left").withColumn("turn", F.col("seeks") & F.col("last_d").isNotNull())
+        held = held.withColumn("last_d", F.coalesce("last_d", F.lit(-1))).withColumn("last_x", F.coalesce("last_x", F.lit(0).cast("long")))
     # the bands of all sizes that a seeker can link to: one or two
     near = F.explode(F.sequence(_band(F.ceil(F.col("n") * NUM / DEN)), _band(F.floor(F.col("n") * DEN / NUM)))).alias("band")
-    seekers = member.where("seeks").select("list", "id", "n", "part", F.col("band").alias("home"), near)
+    seekers = held.where("turn").select("list", "id", "n", "part", "last_d", "last_x", F.col("band").alias("home"), near)
     # a band without seekers around it, or whose only member seeks, has no tile
     sizes = member.groupBy("list", "band").agg(F.count("*").alias("size"), F.min("id").alias("lone"))
     asked = seekers.groupBy("list", "band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / TILE, F.lit(1.0))))).cast("int").alias("blocks")
     bands = common.written(sizes.join(asked, ["list", "band"]).where("NOT (size = 1 AND lo = hi AND lone = lo)").select("list", "band", blocks), "bands")
     home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    held = member.join(bands, ["list", "band"]).withColumn("block", home)
+    held = held.join(bands, ["list", "band"]).withColumn("block", home)
     # in its own block a seeker asks where it stands; copies go to the others
     asking = seekers.join(bands, ["list", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asking = asking.where((F.col("band") != F.col("home")) | (F.col("block") != home)).withColumn("seeks", F.lit(True))
-    cols = ["list", "band", "block", "id", "n", "part", "seeks"]
+    asking = asking.where((F.col("band") != F.col("home")) | (F.col("block") != home)).withColumn("seeks", F.lit(True)).withColumn("turn", F.lit(True))
+    cols = ["list", "band", "block", "id", "n", "part", "seeks", "turn", "last_d", "last_x"]
     both = held.select(*cols, F.lit(False).alias("asks")).union(asking.select(*cols, F.lit(True).alias("asks")))
-    tiles = both.join(marks.select("id", "bits"), "id").repartition(parts, "list", "band", "block").sortWithinPartitions("list", "band", "block", "id")
-    return tiles, [member, bands]
+    tiles = both.join(marks.select("id", "bits").join(firsts, "id"), "id").repartition(parts, "list", "band", "block").sortWithinPartitions("list", "band", "block", "id")
+    return tiles.mapInArrow(common.lean(tile_pairs(take, turns is None and take == 1)), "c long, x long, xn int, d int"), bands
 
 
 def _band(n: Column) -> Column:

@@ -77,6 +77,50 @@ def test_near_duplicates_with_small_tiles(spark, monkeypatch):
     assert got == {i: component.get(i, i) for i, _ in rows}
 
 
+def test_pairs_of_a_group_come_in_rounds(spark, monkeypatch):
+    """Texts that differ from 40 others in three words of four, and so nearly link: a round has only so many pairs of a text."""
+    monkeypatch.setattr(setsim, "MORE", 4, raising=False)
+    made, written = [], common.written
+
+    def counted(df, label="t"):
+        out = written(df, label)
+        if label == "tiles":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    r = random.Random(3)
+    base = words(r, 104, 10**6).split()
+    rows = []
+    for i in range(121):
+        x, y = divmod(i, 11)
+        w = base[:]
+        for k, v in ((20, x), (40, y), (60, (x + y) % 11), (80, (x + 2 * y) % 11)):
+            w[k] = f"x{k}y{v}"
+        rows.append((i, " ".join(w)))
+    _, component = brute.components(rows)
+    got = {x["doc_id"]: x["component_id"] for x in similarity.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: component.get(i, i) for i, _ in rows} and len(set(got.values())) == 121
+    assert made[0] <= 121 and made[1] <= 4 * 121 and len(made) > 2 and sum(made[1:]) > 1000
+
+
+@pytest.mark.parametrize("first_lists", [1, 16])
+def test_near_duplicates_in_many_rounds(spark, monkeypatch, first_lists):
+    for name, v in {"TILE": 3, "MORE": 2, "NEAREST_ROUNDS": 0, "FIRST_LISTS": first_lists}.items():
+        monkeypatch.setattr(setsim, name, v)
+    r = random.Random(8)
+    base = words(r, 60, 10**6).split()
+    rows = [(500 + i, t) for i, t in documents(4, 30)]
+    for i in range(60):
+        w = base[:]
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"n{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    _, component = brute.components(rows)
+    got = {x["doc_id"]: x["component_id"] for x in similarity.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: component.get(i, i) for i, _ in rows}
+
+
 def test_near_duplicates_repeated_and_null_ids(spark):
     """Rows are compared by their own texts, whatever their ids."""
     rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "q r s t u v w"), (None, "a b c d e f g"), (None, "k l m n o p q"), (None, "k l m n o p q"), (3, None), (3, ""), (4, "q r s t u v w"), (4, "q r s t u v w")]
