@@ -79,7 +79,7 @@ def words_of(t: tk.Texts) -> tuple[np.ndarray, ...]:
     begin = np.append(np.searchsorted(start, line_start), len(start))
     number = np.arange(len(own)) - np.searchsorted(own, own)
     full = np.flatnonzero(np.diff(begin))
-    return t.hashes(start, end), np.append(begin[full], len(start)), own[full], number[full]
+    return t.word_hashes(start, end), np.append(begin[full], len(start)), own[full], number[full]
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
                 h, begin, own, number = words_of(t)
                 if not len(own):
                     continue
-                np.add.at(sketch, (h >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(sketch, (h >> _U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))  # one type for both: far faster
                 h1, h2 = tk.run_hash(h, begin[:-1], begin[1:]), tk.sums(tk.mix(h), begin)
                 yield pa.record_batch([pa.array(a[own + t.first]), pa.array(_sub(r[own + t.first], number).view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["a", "sub", "h1", "h2"])
         hot = np.flatnonzero(sketch)
@@ -116,12 +116,15 @@ def levels(keys: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(count[cell < 0].sum())
 
 
-def copies(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, sub) of each line that equals an earlier one word by word, and a table that this is read from."""
+def copies(keys: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, sub) of each line that equals an earlier one word by word, and the tables that this is read from."""
     lines = keys.where("h1 IS NOT NULL")
-    again = lines.groupBy("h1", "h2").agg(F.min(place("a", "sub")).alias("p"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "p")
-    again = common.written(again, "line-again")  # read again, so that a very common line's rows may be split over tasks
-    return lines.join(again, ["h1", "h2"]).where(place("a", "sub") != F.col("p")).select("a", "sub"), again
+    # counts need no sort; places, whose minima do, are those of repeated lines only
+    again = common.written(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "line-again")
+    same = common.written(common.probably_among(lines, again, ["h1", "h2"]).join(again, ["h1", "h2"]), "line-same")
+    common.discard(again)
+    first = common.written(same.groupBy("h1", "h2").agg(F.min(place("a", "sub")).alias("p")), "line-first")  # read again, so that a very common line's rows may be split over tasks
+    return same.join(first, ["h1", "h2"]).where(place("a", "sub") != F.col("p")).select("a", "sub"), [same, first]
 
 
 # -- prefixes --------------------------------------------------------------------------------------------------------
@@ -396,7 +399,7 @@ def line_sets(docs: DataFrame, items: DataFrame) -> DataFrame:
                 size = (end - start)[one]
                 some = tk.Texts(t.data[tk.ragged(start[one], size)], np.append(0, np.cumsum(size)), 0)
                 first, last = some.spans(tk.BLANK_SEPARATED)
-                v, edges = tk.sorted_sets(some.hashes(first, last), some.owner(first), some.n)
+                v, edges = tk.sorted_sets(some.word_hashes(first, last), some.owner(first), some.n)
                 tokens = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((8 * edges).astype(np.int32)), pa.py_buffer(v)])
                 yield pa.record_batch([pa.array(doc[own[one] + t.first]), pa.array(_sub(row[own[one] + t.first], number[one]).view(np.int64)), tokens], names=["a", "sub", "tokens"])
 
@@ -453,11 +456,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     common.release(spark)  # shuffle files of the postings
     equal, again = copies(keys)
     gone = [common.written(equal, "line-copies")]
-    common.discard(keys, again)
+    common.discard(keys, *again)
 
-    first = F.min(F.struct((-F.col("score")).alias("k"), place("ya", "ysub").alias("p"))).alias("m")
-    pairs = found.where("ya IS NOT NULL").groupBy("a", "sub").agg(first)
-    pairs = pairs.select("a", "sub", F.col("m.p.a").alias("ya"), F.col("m.p.s").alias("ysub"))
+    # one of the best partners, by a number, of which maxima need no sort; both columns come from one row
+    by = F.shiftleft("score", 40) + F.xxhash64("ya", "ysub").bitwiseAND((1 << 40) - 1)
+    pairs = found.where("ya IS NOT NULL").groupBy("a", "sub").agg(F.max_by("ya", by).alias("ya"), F.max_by("ysub", by).alias("ysub"))
     # an equal earlier line already removes these
     pairs = common.written(pairs.join(gone[0], ["a", "sub"], "left_anti"), "line-pairs")
     sets = common.written(line_sets(docs, found.select("a", "sub").distinct()), "line-sets")  # the texts are read once more

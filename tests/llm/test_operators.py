@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moodtide.llm import common, decontamination, html_extraction, language, line_join, packing, quality_model, quality_rules, registry, setsim, similarity, token_file, url_filter
+from moodtide.llm import common, decontamination, html_extraction, language, line_join, packing, quality_model, quality_rules, registry, setsim, similarity, textkit, token_file, url_filter
 from tests.llm import brute
 from tests.oracle import rows_of, sql_rows
 
@@ -169,6 +170,26 @@ def test_repeated_lines_in_many_rounds(spark, monkeypatch):
     check_lines(spark, rows)
 
 
+def test_lines_are_grouped_without_sorts(spark):
+    """Of all lines only counts are grouped; places, whose minima take a sort, are those of repeated lines."""
+    keys = spark.createDataFrame([(1, 0, 5, 6), (1, 1, 5, 6), (2, 0, 5, 7), (3, 0, 8, 9), (4, 0, 8, 9), (-1, -5, 8, 9), (7, 9, None, None)], "a long, sub long, h1 long, h2 long")
+    equal, scratch = line_join.copies(keys)
+    assert {(r["a"], r["sub"]) for r in equal.collect()} == {(1, 1), (4, 0), (-1, -5)}
+    assert scratch[0].count() == 5  # not the line that stands once
+
+
+def test_hashes_of_words():
+    """Eight bytes at a time: words are told apart wherever they stand, by their length too."""
+    r = random.Random(2)
+    some = ["x" * k for k in (1, 7, 8, 9, 15, 16, 17, 300)] + ["\0", "\0\0", "x" * 8 + "\0", "é"] + ["".join(r.choice("abé\0") for _ in range(r.randint(1, 40))) for _ in range(500)]
+    seen = {}
+    for t in textkit.slices(pa.array([" ".join(some), None, "", " ".join(reversed(some)), "tail"]), limit=3000):
+        start, end = t.spans(textkit.BLANK_SEPARATED)
+        for a, b, h in zip(start, end, t.word_hashes(start, end).tolist()):
+            assert seen.setdefault(t.data[a:b].tobytes(), h) == h
+    assert len(seen) == len(set(some)) + 1 == len(set(seen.values()))
+
+
 def test_repeated_lines_of_odd_ids(spark):
     a, b = "one two three four", "five six seven eight"
     rows = [(1, a), (2, a), (2, b), (None, b), (None, "nine ten"), (5, "x\nx\n\ny"), (5, "x\nx\n\ny"), (6, None), (None, None)]
