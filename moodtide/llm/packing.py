@@ -29,6 +29,8 @@ from moodtide.llm.token_file import tokenizer_path
 SIZE, END_ID, BIN, MOST_PARTS, SALTS = 4096, 1, 64, 5, 256
 #: Bins up to this part of a sequence are left to fill room; room smaller than a bin is of no use.
 FILLERS = 32
+#: Text whose ids are made at once: arrays beside the text stay small, as an encoder takes room of its own in each worker.
+SLICE_BYTES = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,7 +39,7 @@ def piece_rows(tokenizer: str, end_id: int, size: int):
         encoder = tokens.encoder(tokenizer)
         for b in batches:
             ids = b.column("doc_id")
-            for t in tk.slices(b.column("text")):
+            for t in tk.slices(b.column("text"), limit=SLICE_BYTES):
                 values, begin = tokens.with_end(*encoder.encode(t), end_id)
                 length = np.diff(begin)
                 count = -(-length // size)
@@ -218,7 +220,7 @@ def placed(plan: np.ndarray):
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SIZE, salts: int = SALTS) -> DataFrame:
     common.ship(docs.sparkSession)
-    pieces = common.written(docs.select("doc_id", "text").mapInArrow(piece_rows(tokenizer, end_id, size), PIECES), "pieces")
+    pieces = common.written(docs.select("doc_id", "text").mapInArrow(common.lean(piece_rows(tokenizer, end_id, size), encoders=True), PIECES), "pieces")
     counts = np.zeros(size + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most size rows
         counts[r["length"]] = r["count"]
@@ -230,7 +232,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SIZE
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("own", own).join(ahead, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("own") - 1).alias("rank"))
-    return ranked.mapInArrow(placed(plan), PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(common.lean(placed(plan)), PIECES + ", sequence_id long, offset long")
 
 
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -124,3 +125,19 @@ def test_texts_of_pairs_alone_are_moved(spark):
     pairs = spark.createDataFrame([(1003, 1007, 1), (1003, 1009, 1), (1140, 1003, 1)], "c long, x long, xn int")
     got = setsim.texts_of(pairs, docs.union(docs.where("a = 7")), first)
     assert sorted((r["id"], r["text"]) for r in got.collect()) == [(1000 + i, f"text {i}") for i in (3, 7, 9, 140)]
+
+
+def test_packing_leaves_room_in_a_worker():
+    """Ids are made of little text at once, and of what a task needs only the encoder stays in the worker."""
+    path = token_file.tokenizer_path("word_bpe_49k.json")
+    b = pa.record_batch([pa.array(range(16)), pa.array(["some words that come again, " * 8000] * 16)], names=["doc_id", "text"])
+    encoder, rows = tokens.encoder(path), common.lean(packing.piece_rows(path, 1, 4096), encoders=True)
+    textkit.forget()
+    tracemalloc.start()
+    try:
+        n = sum(x.num_rows for x in rows([b]))
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert n > 16 and tokens.encoder(path) is encoder
+    assert most < 40e6 and kept < 10e6
