@@ -40,7 +40,8 @@ MORE = 16
 _U = np.uint64
 #: name, type of the packed columns of a posting. The sign of n is negative beyond the smaller set's own prefix.
 PACKED = (("tag", np.uint32), ("n", np.int32), ("pos", np.uint16), ("a", np.int64), ("sub", np.uint64), ("s0", np.uint64), ("s1", np.uint64))
-MEMBER = "list long, a long, sub long, n int, pos int, s0 long, s1 long"
+#: members: how many of its list are kept.
+MEMBER = "list long, members int, a long, sub long, n int, pos int, s0 long, s1 long"
 
 
 # -- keys of documents and lines -------------------------------------------------------------------------------------
@@ -250,7 +251,7 @@ def _best(x: np.ndarray, y: np.ndarray, score: np.ndarray, m: Members, best: np.
 
 
 def shortlist(batches):
-    """From rows sorted by bucket: members (list, a, sub, n, pos, s0, s1) of the lists of lines with partners, and one partner of each line."""
+    """From rows sorted by bucket: members (list, members, a, sub, n, pos, s0, s1) of the lists of lines with partners, and one partner of each line."""
     bucket, held = None, None
 
     def lists(cols):
@@ -295,8 +296,9 @@ def shortlist(batches):
             none = some < 0
             name = tk.mix((tag[k].astype(np.uint64) << _U(32)) ^ tk.mix(np.full(len(k), bucket, np.uint64)))
             n = np.where(m.own[k], m.n[k], -m.n[k])
-            mine = [name.view(np.int64), m.a[k], m.sub[k].view(np.int64), n.astype(np.int32), m.pos[k].astype(np.int32), m.s0[k].view(np.int64), m.s1[k].view(np.int64)]
-            yield pa.record_batch([*map(pa.array, mine), pa.array(m.a[some], mask=none), pa.array(m.sub[some].view(np.int64), mask=none), pa.array(value[k], mask=none)], names=["list", "a", "sub", "n", "pos", "s0", "s1", "ya", "ysub", "score"])
+            members = np.bincount(g[k])[g[k]]
+            mine = [name.view(np.int64), members.astype(np.int32), m.a[k], m.sub[k].view(np.int64), n.astype(np.int32), m.pos[k].astype(np.int32), m.s0[k].view(np.int64), m.s1[k].view(np.int64)]
+            yield pa.record_batch([*map(pa.array, mine), pa.array(m.a[some], mask=none), pa.array(m.sub[some].view(np.int64), mask=none), pa.array(value[k], mask=none)], names=["list", "members", "a", "sub", "n", "pos", "s0", "s1", "ya", "ysub", "score"])
 
     def unpacked():
         return {k: np.frombuffer(b"".join(held[k]), t) for k, t in PACKED}
@@ -330,48 +332,60 @@ def _long_list(m: Members, of: np.ndarray, best: np.ndarray, value: np.ndarray)
         open_ = open_[(best[of[open_]] < 0) & (open_ > at)]
 
 
+def _changes(t: pa.Table | pa.RecordBatch, before: pa.RecordBatch | None = None) -> np.ndarray:
+    """Whether each row is of another (list, block) than the row before it; before: the rows in front of the first."""
+    out = np.zeros(t.num_rows, bool)
+    for k in ("list", "block"):
+        v = t.column(k).to_numpy()
+        out[1:] |= v[1:] != v[:-1]
+        out[0] |= before is None or before.column(k)[-1].as_py() != v[0]
+    return out
+
+
 def next_partners(take: int):
     """From rows sorted by (list, block): the next earlier partners, at most ``take`` for each seeking line, in order of score and place."""
 
-    def rows(batches):
-        held = []
-
-        def tile(t: pa.Table):
-            seek = t.column("seek").to_numpy()
-            cols = {k: t.column(k).to_numpy() for k in ("n", "pos", "a", "sub", "s0", "s1", "cs", "ca", "csub")}
-            m = Members(cols["n"], cols["pos"], cols["a"], *(cols[k].view(np.uint64) for k in ("sub", "s0", "s1")))
-            who, those = np.flatnonzero(seek), np.flatnonzero(~seek)
-            for a in range(0, len(who), step := max(1, PAIRS // max(1, len(those)))):
-                x, y = np.repeat(who[a : a + step], len(those)), np.tile(those, len(who[a : a + step]))
-                ok = _earlier(m.a, m.sub, x, y)
-                x, y = x[ok], y[ok]
-                s = m.score(x, y)
-                cursor, csub = cols["cs"][x], cols["csub"].view(np.uint64)[x]
-                f, cf = m.sub[y] >> _U(63), csub >> _U(63)
-                after = np.where(f != cf, f > cf, np.where(m.a[y] != cols["ca"][x], m.a[y] > cols["ca"][x], m.sub[y] > csub))
-                k = np.flatnonzero((s > 0) & ((s < cursor) | (s == cursor) & after))
-                x, y, s = x[k], y[k], s[k]
-                order = np.lexsort((m.sub[y], m.a[y], m.sub[y] >> _U(63), -s, x))
-                x, y, s = x[order], y[order], s[order]
-                start = np.searchsorted(x, x)
-                k = np.arange(len(x)) - start < take
-                x, y, s = x[k], y[k], s[k]
-                yield pa.record_batch([pa.array(v) for v in (m.a[x], m.sub[x].view(np.int64), m.a[y], m.sub[y].view(np.int64), s)], names=["a", "sub", "ya", "ysub", "score"])
+    def tiles(t: pa.Table):
+        seek, group = t.column("seek").to_numpy(), np.cumsum(_changes(t))
+        cols = {k: t.column(k).to_numpy() for k in ("n", "pos", "a", "sub", "s0", "s1", "cs", "ca", "csub")}
+        m = Members(cols["n"], cols["pos"], cols["a"], *(cols[k].view(np.uint64) for k in ("sub", "s0", "s1")))
+        who, those = np.flatnonzero(seek), np.flatnonzero(~seek)
+        begin = np.searchsorted(group[those], group[who])
+        count = np.searchsorted(group[those], group[who], "right") - begin
+        upto, at = np.cumsum(count), 0
+        while at < len(who):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            x, y = np.repeat(who[at:to], count[at:to]), those[tk.ragged(begin[at:to], count[at:to])]
+            at = to
+            ok = _earlier(m.a, m.sub, x, y)
+            x, y = x[ok], y[ok]
+            s = m.score(x, y)
+            cursor, csub = cols["cs"][x], cols["csub"].view(np.uint64)[x]
+            f, cf = m.sub[y] >> _U(63), csub >> _U(63)
+            after = np.where(f != cf, f > cf, np.where(m.a[y] != cols["ca"][x], m.a[y] > cols["ca"][x], m.sub[y] > csub))
+            k = np.flatnonzero((s > 0) & ((s < cursor) | (s == cursor) & after))
+            x, y, s = x[k], y[k], s[k]
+            order = np.lexsort((m.sub[y], m.a[y], m.sub[y] >> _U(63), -s, x))
+            x, y, s = x[order], y[order], s[order]
+            start = np.searchsorted(x, x)
+            k = np.arange(len(x)) - start < take
+            x, y, s = x[k], y[k], s[k]
+            yield pa.record_batch([pa.array(v) for v in (m.a[x], m.sub[x].view(np.int64), m.a[y], m.sub[y].view(np.int64), s)], names=["a", "sub", "ya", "ysub", "score"])
 
-        last = None
+    def rows(batches):
+        held = []  # the last tile so far
         for b in batches:
-            keys = list(zip(b.column("list").to_pylist(), b.column("block").to_pylist(), strict=True))
-            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-            for x, y in zip(cuts, cuts[1:]):
-                if x == y:
-                    continue
-                if keys[x] != last and held:
-                    yield from tile(pa.Table.from_batches(held))
-                    held = []
-                last = keys[x]
-                held.append(b.slice(x, y - x))
+            if not b.num_rows:
+                continue
+            new = np.flatnonzero(_changes(b, held[-1] if held else None))
+            if len(new):  # all tiles before the last one of the batch are whole
+                whole = [*held, b.slice(0, int(new[-1]))]
+                if any(x.num_rows for x in whole):
+                    yield from tiles(pa.Table.from_batches(whole))
+                held, b = [], b.slice(int(new[-1]))
+            held.append(b)
         if held:
-            yield from tile(pa.Table.from_batches(held))
+            yield from tiles(pa.Table.from_batches(held))
 
     return rows
 
@@ -473,6 +487,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     take = 1
     while not open_.isEmpty():
         take *= MORE
+        # lines that are still open in a later round were open in this one: their lists are all that it needs
+        before, found = found, common.written(_lists_of(found, open_), "line-lists")
+        common.discard(before)
         more = common.written(_next(found, open_, take, parts), "line-pairs")
         linked = verified(sets, more)
         gone.append(linked)
@@ -488,14 +505,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _next(found: DataFrame, open_: DataFrame, take: int, parts: int) -> DataFrame:
-    """The next candidates (a, sub, ya, ysub, score) of the open lines (a, sub, cs, ca, csub), at most ``take`` of each."""
+def _lists_of(found: DataFrame, open_: DataFrame) -> DataFrame:
+    """The members of found in the lists of the open lines."""
     members = found.select(*[c.split()[0] for c in MEMBER.split(", ")])
-    seekers = members.join(open_, ["a", "sub"])
-    size = members.groupBy("list").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    lists = seekers.select("list").distinct().join(size, "list")
-    held = members.join(lists, "list").withColumn("block", F.pmod(F.xxhash64("a", "sub"), F.col("blocks")).cast("int"))
-    asking = seekers.join(size, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seekers = common.probably_among(members.select("list", "a", "sub"), open_, ["a", "sub"])
+    lists = seekers.join(open_.select("a", "sub"), ["a", "sub"], "left_semi").select("list").distinct()
+    return members.join(lists, "list", "left_semi")
+
+
+def _next(found: DataFrame, open_: DataFrame, take: int, parts: int) -> DataFrame:
+    """The next candidates (a, sub, ya, ysub, score) of the open lines (a, sub, cs, ca, csub), at most ``take`` of each; found: the members of their lists."""
+    members = found.withColumn("blocks", F.ceil(F.col("members") / MEMBERS).cast("int"))
+    held = members.withColumn("block", F.pmod(F.xxhash64("a", "sub"), F.col("blocks")).cast("int"))
+    asking = members.join(open_, ["a", "sub"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cols = ["list", "block", "n", "pos", "a", "sub", "s0", "s1"]
     zero = [F.lit(0).cast("long").alias(k) for k in ("cs", "ca", "csub")]
     tiles = held.select(*cols, *zero, F.lit(False).alias("seek")).union(asking.select(*cols, "cs", "ca", "csub", F.lit(True).alias("seek")))

@@ -170,6 +170,27 @@ def test_repeated_lines_in_many_rounds(spark, monkeypatch):
     check_lines(spark, rows)
 
 
+def test_rounds_read_the_lists_of_open_lines(spark, monkeypatch):
+    """A round of verification reads the lists of lines that are still open, not all lists anew, and their sizes come with them."""
+    monkeypatch.setattr(line_join, "MORE", 2)
+    of_round, r, plain = [], random.Random(5), line_join._next
+
+    def noted(found, open_, take, parts):
+        wanted = {(x["a"], x["sub"]) for x in open_.collect()}
+        held = [x.asDict() for x in found.collect()]
+        lists = {x["list"] for x in held if (x["a"], x["sub"]) in wanted}
+        assert all(x["list"] in lists for x in held)
+        assert all(n == x["members"] for x in held for n in [sum(y["list"] == x["list"] for y in held)])
+        of_round.append(len(held))
+        return plain(found, open_, take, parts)
+
+    monkeypatch.setattr(line_join, "_next", noted)
+    near = [" ".join(r.sample([f"c{k}" for k in range(14)], 10)) for _ in range(40)]  # most of these pass the filters and few match
+    far = [f"{w} z{k}" for w in (words(r, 30, 10**6) for _ in range(40)) for k in range(2)]  # matched at once
+    check_lines(spark, list(enumerate([*near, *far])))
+    assert len(of_round) > 1 and of_round == sorted(of_round, reverse=True)
+
+
 def test_lines_are_grouped_without_sorts(spark):
     """Of all lines only counts are grouped; places, whose minima take a sort, are those of repeated lines."""
     keys = spark.createDataFrame([(1, 0, 5, 6), (1, 1, 5, 6), (2, 0, 5, 7), (3, 0, 8, 9), (4, 0, 8, 9), (-1, -5, 8, 9), (7, 9, None, None)], "a long, sub long, h1 long, h2 long")
